@@ -1,9 +1,11 @@
 """Registered queries of the training-data operators and their SQL."""
-from cuelake.llm import line_dedup, quality
+from cuelake.llm import bpe, line_dedup, quality, token_output
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op5_token_output": token_output.op5_token_output,
+    "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
