@@ -1,9 +1,10 @@
 """Registered queries of the training-data operators and their SQL."""
-from cuelake.llm import bpe, line_dedup, minhash, quality, token_output
+from cuelake.llm import bpe, line_dedup, minhash, quality, substring_dedup, token_output
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_token_output": token_output.op5_token_output,
     "op8_minhash_near_dedup": minhash.op8_minhash_near_dedup,
     "op10_byte_bpe": bpe.op10_byte_bpe,
