@@ -1,5 +1,5 @@
 """Registered queries of the training-data operators and their SQL."""
-from cuelake.llm import bpe, line_dedup, minhash, mixing, quality, substring_dedup, token_output, topk_search, warc
+from cuelake.llm import bpe, line_dedup, minhash, mixing, pii, quality, substring_dedup, token_output, topk_search, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_warc": warc.op7_warc,
     "op8_minhash_near_dedup": minhash.op8_minhash_near_dedup,
+    "op9_pii": pii.op9_pii,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 ORACLES = {
