@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 from cuelake.llm.common import batch_words, mix64, shingle_hashes, staged, string_hashes
 
 BINS, ROWS = 128, 4
-#: Sets of at most PREFIX_MAX shingles are also found by their smallest shingles, without loss;
-#: sets of at least BAND_MIN by bands. Linked sets share one of the two (see keys()).
+#: Sets of at most PREFIX_MAX shingles are found by their rarest shingles, without loss; sets
+#: of at least BAND_MIN by bands. A pair with one set above PREFIX_MAX has both at BAND_MIN.
 PREFIX_MAX, BAND_MIN = 75, 55
-#: Stars of a bucket in one round after the first.
+#: Stars of a bucket in the first round after the central one; each further round has as
+#: many times more.
 STARS = 32
 
 
+_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
+
+
 def signature(values: np.ndarray) -> np.ndarray:
     """One-permutation sketch of a sorted array of distinct hashes, all BINS bins filled.
 
@@ -28,9 +32,9 @@ def signature(values: np.ndarray) -> np.ndarray:
     densification): the same for every set, and spread evenly over the filled bins.
     """
     shift = np.uint64(64 - BINS.bit_length() + 1)
-    bins, first = np.unique((values >> shift).astype(np.int64), return_index=True)
-    out, full = np.zeros(BINS, np.uint64), np.zeros(BINS, bool)
-    out[bins], full[bins] = values[first], True
+    first = np.searchsorted(values, _EDGES)
+    full = np.diff(np.append(first, len(values))) > 0
+    out = values[np.minimum(first, len(values) - 1)]
     empty, attempt = np.flatnonzero(~full), 0
     filled = out.copy()
     while len(empty):
@@ -41,26 +45,32 @@ def signature(values: np.ndarray) -> np.ndarray:
     return filled
 
 
-def keys(values: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
-    """Bucket keys of a set: bands of ROWS bins, and for small sets a prefix.
+def bands(sketch: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each ROWS bins of a sketch."""
+    h = np.zeros(BINS // ROWS, np.uint64)
+    for k in range(ROWS):
+        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + sketch.reshape(-1, ROWS)[:, k])
+    return mix64(h + np.arange(BINS // ROWS, dtype=np.uint64)).view(np.int64)
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, key): the rarest shingles of small sets (doc_id, n, small).
 
-    Sets with 100 * |a & b| >= percent * |a | b| share one of the |a| - ceil(percent/100 |a|) + 1
-    smallest hashes of each, so prefixes lose nothing; a pair with one set above PREFIX_MAX
-    has both at BAND_MIN or more.
+    Of two sets with 100 * |A & B| >= percent * |A | B|, each has one of the shared shingles
+    among its n - ceil(percent / 100 n) + 1 first ones in any common order; with the rarest
+    first, a passage that many documents hold makes no large bucket.
     """
-    n, out = len(values), []
-    if n <= PREFIX_MAX:
-        out.append(mix64(values[: n - -(-percent * n // 100) + 1]))
-    if n >= BAND_MIN:
-        h = np.zeros(BINS // ROWS, np.uint64)
-        for k in range(ROWS):
-            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + sketch.reshape(-1, ROWS)[:, k])
-        out.append(mix64(h + np.arange(BINS // ROWS, dtype=np.uint64)))
-    return np.concatenate(out).view(np.int64)
+    grams = sets.filter("small IS NOT NULL").select(F.col("doc_id").alias("id"), "n", F.explode("small").alias("g"))
+    held = grams.groupBy("g").agg(F.count("*").alias("df"))
+    ordered = grams.join(held.hint("merge"), "g").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("s"))
+    size = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    first = ordered.select("id", F.explode(F.slice("s", F.lit(1), size)).alias("x"))
+    return first.filter("x.df > 1").select("id", F.xxhash64(F.lit("prefix"), "x.g").alias("key"))
 
 
-def features(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), fp (128-bit name of the set), sketch (a byte a bin), keys."""
+def features(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n (set size), fp (128-bit name of the set), sketch (a byte a bin), keys (bands),
+    small (all shingles of a small set)."""
 
     def rows(batches):
         for b in batches:
@@ -69,7 +79,7 @@ def features(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 codes, dictionary, starts = batch_words(pc.ascii_lower(some["text"]))
                 hashes = string_hashes(dictionary)[codes] if len(codes) else np.empty(0, np.uint64)
                 grams = shingle_hashes(hashes, width)
-                n, fp, sk, ks = [], [], [], []
+                n, fp, sk, ks, sm = [], [], [], [], []
                 for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
                     if e - s >= width:
                         values = np.unique(grams[s : e - width + 1])
@@ -80,15 +90,17 @@ def features(docs: DataFrame, width: int, percent: int) -> DataFrame:
                         filled = signature(values)
                         fp.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
                         sk.append((filled & np.uint64(0xFF)).astype(np.uint8).tobytes())
-                        ks.append(keys(values, filled, percent))
+                        ks.append(bands(filled) if len(values) >= BAND_MIN else None)
+                        sm.append(values.view(np.int64) if len(values) <= PREFIX_MAX else None)
                     else:
-                        fp.append(None), sk.append(None), ks.append(None)
+                        for column in (fp, sk, ks, sm):
+                            column.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [some["doc_id"], pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sk, pa.binary()), pa.array(ks, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "fp", "sketch", "keys"],
+                    [some["doc_id"], pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sk, pa.binary()), pa.array(ks, pa.list_(pa.int64())), pa.array(sm, pa.list_(pa.int64()))],
+                    names=["doc_id", "n", "fp", "sketch", "keys", "small"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id bigint, n bigint, fp binary, sketch binary, keys array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id bigint, n bigint, fp binary, sketch binary, keys array<bigint>, small array<bigint>")
 
 
 def likely(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,23 +188,23 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 85) -> Da
     nothing. Documents are linked at 100 * intersection >= percent * union of the full sets;
     component_id is the smallest doc_id reachable, kept is doc_id = component_id.
 
-    Equal sets become one class. Class representatives are bucketed by bands (and small
-    sets by prefixes); every bucket sends edges from its most central member only, the one
+    Equal sets become one class. Class representatives are bucketed by bands (small sets
+    by their rarest shingles); every bucket sends edges from its most central member only, the one
     whose buckets are largest in sum. Sketches drop unlikely edges, the texts confirm the
     rest. Buckets whose members are not yet in one component go on: the members outside
-    the centre's component become centres in turn, STARS a round, until each has been one.
+    the centre's component become centres in turn, in rounds, until each has been one.
 
     One row a row of docs; an empty set is linked with nothing. Rows that repeat a doc_id
     are one document; a null doc_id is linked with nothing, its component is null and it
     is kept. Other columns are dropped; an empty table gives an empty table.
     """
-    found = staged(features(docs, width, percent), "features")
+    found = staged(features(docs, width), "features")
     sets = found.filter("doc_id IS NOT NULL AND n > 0")
     classes = sets.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     member = staged(sets.select("doc_id", "fp").join(classes.hint("merge"), "fp").select("doc_id", "rep", (F.col("doc_id") == F.col("rep")).alias("own")).distinct(), "classes")
     reps = member.filter("own").select("doc_id").distinct()
     sets = sets.join(reps.hint("merge"), "doc_id", "left_semi")
-    keyed = sets.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
+    keyed = sets.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")).unionByName(prefixes(sets, percent))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     shared = staged(keyed.join(sizes.hint("merge"), "key"), "buckets")
     central = shared.groupBy("id").agg(F.sum("size").alias("weight"))
@@ -212,8 +224,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 85) -> Da
     rest = labelled.join(of_centre.hint("merge"), "key").filter("comp <> cc")
     rest = staged(rest.withColumn("turn", F.row_number().over(W.partitionBy("key").orderBy(F.desc("weight"), "id"))).select("key", F.col("id").alias("centre"), F.col("comp").alias("cc"), "turn"), "open")
     turns = rest.agg(F.max("turn")).first()[0] or 0
-    for start in range(0, turns, STARS):
-        stars = rest.filter((F.col("turn") > start) & (F.col("turn") <= start + STARS))
+    start, end = 0, STARS
+    while start < turns:
+        stars = rest.filter((F.col("turn") > start) & (F.col("turn") <= end))
+        start, end = end, end * STARS
         edges = labelled.join(stars.hint("merge"), "key").filter("comp <> cc").select(*pair("id", "centre")).distinct()
         more = staged(likely(edges, sets, percent).join(tested.hint("merge"), ["a", "b"], "left_anti"), "candidates")
         links.append(staged(confirmed(more, texts, width, percent), "links"))

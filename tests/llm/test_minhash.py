@@ -55,7 +55,7 @@ def cases():
     return rows
 
 
-@pytest.mark.parametrize("stars", [1, 32])
+@pytest.mark.parametrize("stars", [2, 32])
 def test_components_equal_brute_force(spark, stars, monkeypatch):
     monkeypatch.setattr(m, "STARS", stars)
     rows = cases()
