@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql.functions import pandas_udf
 
 _CJK = re.compile(r"[\u4e00-\u9fff\u3000-\u303f\uff00-\uffef]")
@@ -57,17 +57,24 @@ def overlap_merge(first: str | None, second: str | None) -> str:
     return a + ("" if _CJK.search(a) or _CJK.search(b) else " ") + b
 
 
-@pandas_udf("double")
-def similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@pandas_udf("string")
-def overlap_merge_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+def _overlap_merge(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([overlap_merge(x, y) for x, y in zip(a, b)], dtype="object")
 
 
+def similarity(a: Column | str, b: Column | str) -> Column:
+    """ratio() of two columns, in Arrow batches; null where either is null."""
+    return pandas_udf(_similarity, "double")(a, b)
+
+
+def overlap_merged(a: Column | str, b: Column | str) -> Column:
+    return pandas_udf(_overlap_merge, "string")(a, b)
+
+
 def register(spark: SparkSession) -> None:
     """Both functions under their SQL names."""
-    spark.udf.register("similarity", similarity_udf)
-    spark.udf.register("overlap_merge", overlap_merge_udf)
+    spark.udf.register("similarity", pandas_udf(_similarity, "double"))
+    spark.udf.register("overlap_merge", pandas_udf(_overlap_merge, "string"))

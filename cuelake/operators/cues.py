@@ -14,11 +14,15 @@ from cuelake.functions.text import CJK, IDEOGRAPH, strip
 #: Texts that stand for unread ones.
 PLACEHOLDERS = ["[Chữ khó", "[Gemini]", "[Unreadable]", "[Lỗi"]
 
-by_media = W.partitionBy("media_id")
 BEFORE = (W.unboundedPreceding, -1)
 SO_FAR = (W.unboundedPreceding, 0)
 
 
+def media_order(*columns):
+    """The window of a medium in this order."""
+    return W.partitionBy("media_id").orderBy(*columns)
+
+
 def normalize_cues(raw: DataFrame) -> DataFrame:
     """Admission: types, defaults (times 0, confidence 1.0), stripped text, no blanks."""
     have = set(raw.columns)
@@ -54,7 +58,7 @@ def is_placeholder(text: Column) -> Column:
 def with_islands(cues: DataFrame, gap_ms: int, order: list[Column] | None = None) -> DataFrame:
     """Adds island: a new one starts where a cue begins more than gap_ms after everything
     before it has ended."""
-    w = by_media.orderBy(*(order or [F.col("start_ms"), F.desc(F.col("end_ms") - F.col("start_ms")), F.col("ord")]))
+    w = media_order(*(order or [F.col("start_ms"), F.desc(F.col("end_ms") - F.col("start_ms")), F.col("ord")]))
     opened = F.coalesce(F.col("start_ms") > F.max("end_ms").over(w.rowsBetween(*BEFORE)) + gap_ms, F.lit(True))
     return cues.withColumn("_new", opened.cast("int")).withColumn("island", F.sum("_new").over(w.rowsBetween(*SO_FAR))).drop("_new")
 
@@ -69,14 +73,14 @@ def merge_islands(cues: DataFrame, gap_ms: int = 80) -> DataFrame:
 
 def group_by_gap(cues: DataFrame, gap_ms: int = 1000) -> DataFrame:
     """Adds grp: a cue joins the one before if it starts less than gap_ms after its end."""
-    w = by_media.orderBy("start_ms", "ord")
+    w = media_order("start_ms", "ord")
     new = F.coalesce(F.col("start_ms") - F.lag("end_ms").over(w) >= gap_ms, F.lit(True)).cast("int")
     return cues.withColumn("_new", new).withColumn("grp", F.sum("_new").over(w.rowsBetween(*SO_FAR))).drop("_new")
 
 
 def consecutive_equal(detections: DataFrame, interval_ms: int = 1500, lead_in_ms: int = 200) -> DataFrame:
     """Cues of consecutive detections (media_id, t_ms, ord, text) with one text."""
-    w = by_media.orderBy("t_ms", "ord")
+    w = media_order("t_ms", "ord")
     new = (~F.lag("text").over(w).eqNullSafe(F.col("text")) | F.lag("t_ms").over(w).isNull()).cast("int")
     return (
         detections.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(*SO_FAR)))
@@ -125,7 +129,7 @@ def reassemble(plan: DataFrame, results: DataFrame) -> DataFrame:
 
 def lay_out(rows: DataFrame, default_ms: int = 2_500, silence_ms: int = 350) -> DataFrame:
     """Rows (media_id, ord, text, dur_ms) end to end with silence between; blank ones go."""
-    w = by_media.orderBy("ord").rowsBetween(*BEFORE)
+    w = media_order("ord").rowsBetween(*BEFORE)
     length = F.when(F.col("dur_ms") > 0, F.col("dur_ms")).otherwise(F.lit(default_ms))
     kept = rows.filter(strip(F.coalesce("text", F.lit(""))) != "").withColumn("_d", length)
     return kept.withColumn("start_ms", F.coalesce(F.sum(F.col("_d") + silence_ms).over(w), F.lit(0)).cast("bigint")).withColumn("end_ms", F.col("start_ms") + F.col("_d")).drop("_d")
@@ -141,7 +145,7 @@ def apply_edits(cues: DataFrame, edits: DataFrame) -> DataFrame:
     """Edits (media_id, ord, action, start_ms, end_ms): `split` at the middle, `move` to new
     times unless start >= end, `merge` with the next cue of the medium (texts joined)."""
     e = edits.select("media_id", "ord", "action", F.col("start_ms").alias("e_start"), F.col("end_ms").alias("e_end"))
-    w = by_media.orderBy("start_ms", "ord")
+    w = media_order("start_ms", "ord")
     j = cues.join(e, ["media_id", "ord"], "left").withColumns({
         "n_end": F.lead("end_ms").over(w), "n_text": F.lead("text").over(w), "before": F.lag("action").over(w)})
     j = j.filter(~F.col("before").eqNullSafe("merge"))

@@ -109,7 +109,7 @@ def t6(spark, d):
 
 @query("w2_previous_gap", "SELECT media_id, ord, start_ms - lag(end_ms) OVER (PARTITION BY media_id ORDER BY start_ms, ord) AS gap_ms FROM v_cues", V_CUES)
 def w2(spark, d):
-    return b.cues(spark, d).select("media_id", "ord", (F.col("start_ms") - F.lag("end_ms").over(c.by_media.orderBy("start_ms", "ord"))).alias("gap_ms"))
+    return b.cues(spark, d).select("media_id", "ord", (F.col("start_ms") - F.lag("end_ms").over(c.media_order("start_ms", "ord"))).alias("gap_ms"))
 
 
 PROBES = """p AS (SELECT media_id, grp, probe, CASE probe WHEN 0 THEN s + (e - s) * 5 // 10 WHEN 1 THEN s + (e - s) * 2 // 10 ELSE s + (e - s) * 8 // 10 END AS t_ms
@@ -172,7 +172,7 @@ def t11(spark, d):
 
 @query("w3_running_clock", "SELECT media_id, ord, coalesce(sum(dur_ms) OVER (PARTITION BY media_id ORDER BY start_ms, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS clock_ms FROM v_cues", V_CUES)
 def w3(spark, d):
-    w = c.by_media.orderBy("start_ms", "ord").rowsBetween(*c.BEFORE)
+    w = c.media_order("start_ms", "ord").rowsBetween(*c.BEFORE)
     return b.cues(spark, d).select("media_id", "ord", F.coalesce(F.sum("dur_ms").over(w), F.lit(0)).cast("bigint").alias("clock_ms"))
 
 
@@ -247,7 +247,7 @@ def t4(spark, d):
 
 @query("w5_stable_sort", "SELECT media_id, ord, row_number() OVER (PARTITION BY media_id ORDER BY length(text) DESC, start_ms, ord)::INTEGER AS nth FROM v_cues", V_CUES)
 def w5(spark, d):
-    return b.cues(spark, d).select("media_id", "ord", F.row_number().over(c.by_media.orderBy(F.desc(F.length("text")), "start_ms", "ord")).alias("nth"))
+    return b.cues(spark, d).select("media_id", "ord", F.row_number().over(c.media_order(F.desc(F.length("text")), "start_ms", "ord")).alias("nth"))
 
 
 @query("o1_union_cues", "SELECT text, count(*) AS n FROM (SELECT text FROM v_cues UNION ALL SELECT text FROM v_lines) u GROUP BY text", V_CUES, V_LINES)

@@ -1 +1,188 @@
-"""Queries."""
+"""Queries for quality and monitoring, and those of the grouped folds."""
+from pyspark.sql import functions as F
+
+from cuelake.operators import folds
+from cuelake.operators import quality as q
+from cuelake.plans import bindings as b
+from cuelake.plans.bindings import V_CUES, V_JOBS, V_LINES, V_MEDIA, V_MESSAGES
+from cuelake.plans.registry import query
+
+
+@query("q1_timecode_rule", "SELECT c.media_id, count(*) AS n, count(*) FILTER (start_ms >= end_ms OR start_ms < 0 OR coalesce(end_ms > duration_ms + 5000, false)) AS n_bad FROM v_cues c LEFT JOIN v_media m USING (media_id) GROUP BY 1", V_CUES, V_MEDIA)
+def q1(spark, d):
+    return q.timecode_rule(b.cues(spark, d), b.media(spark, d))
+
+
+@query("q2_media_rules", "SELECT media_id, CASE WHEN size_bytes <= 0 THEN 'empty file' WHEN width <= 0 OR height <= 0 THEN 'no picture' WHEN fps <= 0 THEN 'no frame rate' WHEN frame_count <= 0 THEN 'no frames' WHEN duration_ms < 1000 THEN 'too short' END AS reason FROM v_media", V_MEDIA)
+def q2(spark, d):
+    return q.media_reason(b.media(spark, d)).select("media_id", "reason")
+
+
+@query("q3_frame_drift", "SELECT media_id, frame_count AS n_in, frame_count + media_id % 9 AS n_out FROM v_media WHERE media_id % 9 > 5", V_MEDIA)
+def q3(spark, d):
+    m = b.media(spark, d)
+    return q.frame_drift(m, m.withColumn("frame_count", F.col("frame_count") + F.col("media_id") % 9))
+
+
+@query("q4_zero_drift", "SELECT media_id, count(*) AS mismatches FROM v_cues WHERE ord % 20 = 0 GROUP BY media_id", V_CUES)
+def q4(spark, d):
+    from cuelake.operators.translate import compare
+
+    raw = b.cues(spark, d)
+    return compare(raw, raw.filter("ord % 20 <> 0")).groupBy("media_id").agg(F.count("*").alias("mismatches"))
+
+
+@query("q6_over_long", "SELECT media_id, ord FROM v_cues WHERE end_ms - start_ms > 2000", V_CUES)
+def q6(spark, d):
+    return q.over_long(b.cues(spark, d), 2_000).select("media_id", "ord")
+
+
+@query("q6_timecode_count", "SELECT media_id, count(*) * 2 AS n FROM v_cues GROUP BY media_id", V_CUES)
+def q6b(spark, d):
+    from cuelake.sources.subtitles import to_srt
+
+    return to_srt(b.cues(spark, d)).select("media_id", q.timecode_count(F.col("document")).cast("bigint").alias("n"))
+
+
+@query("q7_error_classes", "SELECT CASE event_id % 7 WHEN 0 THEN 'not_found' WHEN 1 THEN 'unavailable' WHEN 2 THEN 'exhausted' WHEN 3 THEN 'exhausted' WHEN 4 THEN 'auth' ELSE 'other' END AS error, count(*) AS n FROM v_msg GROUP BY 1", V_MESSAGES)
+def q7(spark, d):
+    return b.messages(spark, d).groupBy(q.error_class(F.col("message")).alias("error")).agg(F.count("*").alias("n"))
+
+
+@query("q8_retry_delay", "SELECT event_id, CASE event_id % 7 WHEN 2 THEN 17.5 WHEN 3 THEN 2 WHEN 6 THEN 60 ELSE 15 END::DOUBLE AS delay FROM v_msg", V_MESSAGES)
+def q8(spark, d):
+    return b.messages(spark, d).select("event_id", q.retry_delay(F.col("message")).alias("delay"))
+
+
+@query("q9_latest_state", "SELECT job_id, arg_max(state, ts_ms * 100000000 + event_id) AS state, max(ts_ms) AS ts_ms, arg_max(state, ts_ms * 100000000 + event_id) IN ('COMPLETED', 'FAILED', 'CANCELLED') AS final FROM v_jobs GROUP BY job_id", V_CUES, V_JOBS)
+def q9(spark, d):
+    return q.latest_state(b.job_events(spark, d))
+
+
+@query("q9_time_in_state", "SELECT job_id, state, coalesce(sum(nx - ts_ms), 0)::BIGINT AS in_state_ms FROM (SELECT *, lead(ts_ms) OVER (PARTITION BY job_id ORDER BY ts_ms, event_id) AS nx FROM v_jobs) z GROUP BY 1, 2", V_CUES, V_JOBS)
+def q9b(spark, d):
+    return q.time_in_state(b.job_events(spark, d))
+
+
+LATEST = "lt AS (SELECT job_id, arg_max(state, ts_ms * 100000000 + event_id) AS state FROM v_jobs GROUP BY job_id)"
+
+
+@query("a11_pool_summary", "SELECT count(*) FILTER (state <> 'FAILED') AS active, count(*) FILTER (state = 'FAILED') AS expired, count(*) AS total FROM lt", V_CUES, V_JOBS, LATEST)
+def a11(spark, d):
+    return q.pool_summary(b.job_events(spark, d), ["FAILED"])
+
+
+@query("a12_batch_summary", "SELECT job_id % 10 AS batch, count(*) AS total, count(*) FILTER (state IN ('COMPLETED', 'FAILED', 'CANCELLED')) AS completed, count(*) FILTER (state = 'COMPLETED') AS success, count(*) FILTER (state = 'FAILED') AS failed FROM lt GROUP BY 1", V_CUES, V_JOBS, LATEST)
+def a12(spark, d):
+    return q.batch_summary(q.latest_state(b.job_events(spark, d)).withColumn("batch", F.col("job_id") % 10), ["batch"])
+
+
+@query("q10_run_report", """SELECT job_id, '{"steps":[' || string_agg('{"state":"' || state || '","n":' || n || '}', ',' ORDER BY state, n) || '],"errors":' || coalesce(sum(n) FILTER (state = 'FAILED'), 0) || ',"elapsed_ms":' || (max(hi) - min(lo)) || '}' AS report
+ FROM (SELECT job_id, state, count(*) AS n, max(ts_ms) AS hi, min(ts_ms) AS lo FROM v_jobs GROUP BY 1, 2) z GROUP BY job_id""", V_CUES, V_JOBS)
+def q10(spark, d):
+    return q.run_report(b.job_events(spark, d))
+
+
+@query("q11_missing_outputs", "SELECT media_id FROM v_media WHERE media_id NOT IN (SELECT job_id FROM v_jobs WHERE state = 'COMPLETED')", V_MEDIA, V_CUES, V_JOBS)
+def q11(spark, d):
+    done = b.job_events(spark, d).filter("state = 'COMPLETED'").select(F.col("job_id").alias("media_id"))
+    return q.missing_outputs(b.media(spark, d).select("media_id"), done, "media_id")
+
+
+@query("s14_bounded_history", "SELECT media_id, ord FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_ms DESC, ord DESC) AS n FROM v_cues) z WHERE n <= 5", V_CUES)
+def s14(spark, d):
+    return q.keep_latest(b.cues(spark, d), "media_id", [F.desc("start_ms"), F.desc("ord")], 5).select("media_id", "ord")
+
+
+@query("w6_latest_n", "SELECT media_id, ord FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY dur_ms DESC, ord) AS n FROM v_cues) z WHERE n <= 3", V_CUES)
+def w6(spark, d):
+    return q.keep_latest(b.cues(spark, d), "media_id", [F.desc("dur_ms"), F.col("ord")], 3).select("media_id", "ord")
+
+
+@query("s18_log_rotation", """, s AS (SELECT source AS log, row_number() OVER (PARTITION BY source ORDER BY media_id, line_no) AS line_no, text FROM v_lines), z AS (SELECT log, sum(strlen(text) + 1) AS bytes FROM s GROUP BY log),
+ r AS (SELECT s.*, bytes, row_number() OVER (PARTITION BY log ORDER BY line_no DESC) AS n FROM s JOIN z USING (log))
+ SELECT log, line_no, text FROM r WHERE bytes <= 20000 OR n <= 50 UNION ALL SELECT log, -1, '--- rotated ---' FROM z WHERE bytes > 20000""".replace(", s AS", "WITH s AS", 1), V_LINES)
+def s18(spark, d):
+    from pyspark.sql import Window as W
+
+    lines = b.lines(spark, d).select(F.col("source").alias("log"), F.row_number().over(W.partitionBy("source").orderBy("media_id", "line_no")).cast("bigint").alias("line_no"), "text")
+    return q.rotate_logs(lines, 20_000, 50)
+
+
+@query("u1_merge_strategy", """WITH o AS (SELECT *, max(end_ms) OVER (PARTITION BY media_id ORDER BY start_ms, start_ms - end_ms, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM v_cues),
+ i AS (SELECT *, sum(CASE WHEN start_ms <= prev + 80 THEN 0 ELSE 1 END) OVER (PARTITION BY media_id ORDER BY start_ms, start_ms - end_ms, ord ROWS UNBOUNDED PRECEDING) AS island FROM o)
+ SELECT media_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, first(text ORDER BY length(text) DESC, start_ms, start_ms - end_ms, ord) AS text FROM i GROUP BY media_id, island HAVING max(end_ms) - min(start_ms) > 50""", V_CUES)
+def u1(spark, d):
+    return folds.merge_by_strategy(b.cues(spark, d), "prefer_longest").select("media_id", "start_ms", "end_ms", "text")
+
+
+@query("t1_combine")
+def t1c(spark, d):
+    return folds.merge_by_strategy(b.cues(spark, d), "combine")
+
+
+@query("t1_prefer_first")
+def t1f(spark, d):
+    return folds.merge_by_strategy(b.cues(spark, d), "prefer_first")
+
+
+@query("t2_overlap_dedupe")
+def t2(spark, d):
+    return folds.dedupe_overlap(b.cues(spark, d))
+
+
+def frames(spark, d):
+    c = b.cues(spark, d)
+    return c.select("media_id", "ord", F.col("start_ms").alias("t_ms"), F.when(F.col("text") == "view", F.lit("")).otherwise(F.col("text")).alias("text"), F.lit(10_000_000).cast("bigint").alias("duration_ms"))
+
+
+@query("t3_sampled_cues")
+def t3(spark, d):
+    return folds.sampled_cues(frames(spark, d), miss_ms=6_000)
+
+
+@query("t5_consecutive_similar")
+def t5(spark, d):
+    return folds.consecutive_similar(frames(spark, d))
+
+
+@query("q5_residual_duplicates")
+def q5(spark, d):
+    return folds.residual_duplicates(folds.dedupe_overlap(b.cues(spark, d)))
+
+
+@query("x2_similarity")
+def x2(spark, d):
+    from pyspark.sql import Window as W
+
+    from cuelake.functions.similarity import similarity
+
+    pairs = b.lines(spark, d).withColumn("next", F.lead("text").over(W.partitionBy("media_id").orderBy("line_no"))).filter("next IS NOT NULL")
+    return pairs.select("media_id", "line_no", similarity(F.lower("text"), F.lower("next")).alias("ratio"))
+
+
+@query("x4_overlap_merge")
+def x4(spark, d):
+    from pyspark.sql import Window as W
+
+    from cuelake.functions.similarity import overlap_merged
+
+    turn = b.turns(spark, d).withColumn("next", F.lead("text").over(W.partitionBy("conv_id").orderBy("turn"))).filter("next IS NOT NULL")
+    return turn.select("conv_id", "turn", F.length(overlap_merged("text", "next")).alias("n"))
+
+
+@query("u2_registered_functions", "SELECT doc_id, 1.0::DOUBLE AS same, source AS merged FROM documents")
+def u2(spark, d):
+    from cuelake.functions.similarity import register
+
+    register(spark)
+    b.table(spark, d, "documents").createOrReplaceTempView("cuelake_documents")
+    return spark.sql("SELECT doc_id, similarity(source, source) AS same, overlap_merge(source, source) AS merged FROM cuelake_documents")
+
+
+@query("u3_aggregate_expressions", "SELECT l_orderkey AS frame, min(l_partkey % 600)::INTEGER AS x, count(*) AS n FROM lineitem GROUP BY 1")
+def u3(spark, d):
+    from cuelake.operators.detections import box_union
+
+    v = b.detections(spark, d).withColumn("box", F.struct("x", "y", "w", "h"))
+    return v.groupBy("frame").agg(box_union(F.col("box"))["x"].alias("x"), F.count("*").alias("n"))

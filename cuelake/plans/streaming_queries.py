@@ -1 +1,74 @@
-"""Queries."""
+"""Streaming queries over the event table, drained with availableNow."""
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cuelake.plans import bindings as b
+from cuelake.plans.bindings import V_CUES, V_JOBS
+from cuelake.plans.registry import query
+from cuelake.streaming import cues as st
+
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def place(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir (one of this machine where that is unset)."""
+    import tempfile
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = tempfile.mkdtemp(prefix="cuelake-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return st.read_stream(spark, f"{sf_dir}/events.parque[t]", EVENTS)  # a pattern: the table may be a file or a folder
+
+
+def cue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    start = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - b.EPOCH_US) / 3_600_000).cast("bigint")
+    end = start + F.floor(F.round(F.col("value") * 100).cast("bigint") / 2).cast("bigint")
+    return e.select(F.col("user_id").alias("media_id"), F.col("event_id").alias("ord"), start.alias("start_ms"), end.alias("end_ms"), F.col("event_type").alias("text"), F.timestamp_millis(start).alias("ts"))
+
+
+@query("r1_incremental_ingest", "SELECT media_id, ord, start_ms, end_ms, text FROM v_cues", V_CUES)
+def r1(spark, d):
+    at = place(spark)
+    st.ingest(cue_stream(spark, d).drop("ts"), f"{at}/out", f"{at}/checkpoint")
+    return spark.read.parquet(f"{at}/out").drop("batch")
+
+
+@query("r2_stream_overlap_dedupe")
+def r2(spark, d):
+    at = place(spark)
+    st.drain(st.dedupe_stream(cue_stream(spark, d)), f"{at}/out", f"{at}/checkpoint")
+    return spark.read.parquet(f"{at}/out")
+
+
+@query("r4_session_cues", """, z AS (SELECT *, max(start_ms + greatest(dur_ms, 0) + 1800) OVER (PARTITION BY media_id ORDER BY start_ms, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v_cues),
+ s AS (SELECT *, sum(CASE WHEN start_ms < reach THEN 0 ELSE 1 END) OVER (PARTITION BY media_id ORDER BY start_ms, ord ROWS UNBOUNDED PRECEDING) AS k FROM z)
+ SELECT media_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n FROM s GROUP BY media_id, k""".replace(", z AS", "WITH z AS", 1), V_CUES)
+def r4(spark, d):
+    return st.sessions(b.cues(spark, d).withColumn("ts", F.timestamp_millis(F.col("start_ms"))))
+
+
+@query("r5_late_rows", "SELECT media_id, ord, coalesce(start_ms < max(start_ms) OVER (PARTITION BY media_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 30000, false) AS late FROM v_cues", V_CUES)
+def r5(spark, d):
+    return st.split_late(b.cues(spark, d), 30_000).select("media_id", "ord", "late")
+
+
+@query("r6_live_progress", "SELECT job_id, arg_max(state, ts_ms * 100000000 + event_id) AS state, count(*) AS n FROM v_jobs GROUP BY job_id", V_CUES, V_JOBS)
+def r6(spark, d):
+    at = place(spark)
+    c = cue_stream(spark, d)
+    state = F.element_at(F.array(*map(F.lit, ["QUEUED", "RUNNING", "FAILED", "COMPLETED", "CANCELLED"])), (F.col("ord") % 5 + 1).cast("int"))
+    jobs = c.select(F.col("media_id").alias("job_id"), F.col("ord").alias("event_id"), F.col("start_ms").alias("ts_ms"), state.alias("state"))
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{at}/out")
+
+    st.progress(jobs).writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out")
