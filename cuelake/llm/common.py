@@ -36,10 +36,15 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/cuelake/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str = "zstd", parts: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends
-    there, so a lost executor costs a re-read and not a recomputation."""
+    there, so a lost executor costs a re-read and not a recomputation.
+
+    parts: files to write at most, for tables of few and short rows; it should follow
+    the number of rows."""
     path = stage_path(df.sparkSession, name)
+    if parts:
+        df = df.coalesce(parts)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ PREFIX_MAX, BAND_MIN = 75, 55
 #: Stars of a bucket in the first round after the central one; each further round has as
 #: many times more.
 STARS = 32
+#: Documents for each file of the small tables in between.
+ROWS_A_FILE = 4_000
 
 
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
@@ -157,27 +160,27 @@ def confirmed(edges: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return pairs.mapInArrow(rows, "a bigint, b bigint").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, parts: int | None = None) -> DataFrame:
     """(id, component): the smallest id reachable over undirected links (a, b).
 
     Alternating large-star and small-star steps, each written to the shared folder; a
     node's smallest neighbour is an aggregate joined back, so hubs are never gathered.
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, before = staged(edges, "edges"), None
+    edges, before = staged(edges, "edges", parts=parts), None
     while True:
         sides = edges.union(edges.select("v", "u"))
         low = sides.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = sides.join(low.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = staged(large, "large-star")
+        large = staged(large, "large-star", parts=parts)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low.hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        edges = staged(small, "small-star")
+        edges = staged(small, "small-star", parts=parts)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    return staged(edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component"), "components")
+    return staged(edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component"), "components", parts=parts)
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 85) -> DataFrame:
@@ -199,44 +202,43 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 85) -> Da
     is kept. Other columns are dropped; an empty table gives an empty table.
     """
     found = staged(features(docs, width), "features")
+    parts = max(8, found.count() // ROWS_A_FILE)
     sets = found.filter("doc_id IS NOT NULL AND n > 0")
     classes = sets.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    member = staged(sets.select("doc_id", "fp").join(classes.hint("merge"), "fp").select("doc_id", "rep", (F.col("doc_id") == F.col("rep")).alias("own")).distinct(), "classes")
+    member = staged(sets.select("doc_id", "fp").join(classes.hint("merge"), "fp").select("doc_id", "rep", (F.col("doc_id") == F.col("rep")).alias("own")), "classes", parts=parts)
     reps = member.filter("own").select("doc_id").distinct()
     sets = sets.join(reps.hint("merge"), "doc_id", "left_semi")
     keyed = sets.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")).unionByName(prefixes(sets, percent))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = staged(keyed.join(sizes.hint("merge"), "key"), "buckets")
+    shared = staged(keyed.join(sizes.hint("merge"), "key"), "buckets", parts=parts)
     central = shared.groupBy("id").agg(F.sum("size").alias("weight"))
-    shared = staged(shared.join(central.hint("merge"), "id").select("key", "id", "weight"), "weighted")
+    shared = staged(shared.join(central.hint("merge"), "id").select("key", "id", "weight"), "weighted", parts=parts)
     centre = shared.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("c")).select("key", (-F.col("c.id")).alias("centre"))
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     edges = shared.join(centre.hint("merge"), "key").filter("id <> centre").select(*pair("id", "centre")).distinct()
-    tested = staged(likely(edges, sets, percent), "candidates")
+    tested = staged(likely(edges, sets, percent), "candidates", parts=parts)
     texts = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
-    links = [staged(confirmed(tested, texts, width, percent), "links")]
-    found_in = components(links[0])
+    links = [staged(confirmed(tested, texts, width, percent), "links", parts=parts)]
+    found_in = components(links[0], parts)
 
     # what one star a bucket leaves open
     label = found_in.select("id", F.col("component").alias("comp"))
     labelled = shared.join(label.hint("merge"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     of_centre = centre.join(label.select(F.col("id").alias("centre"), F.col("comp").alias("cc")).hint("merge"), "centre", "left").select("key", F.coalesce("cc", "centre").alias("cc"))
     rest = labelled.join(of_centre.hint("merge"), "key").filter("comp <> cc")
-    rest = staged(rest.withColumn("turn", F.row_number().over(W.partitionBy("key").orderBy(F.desc("weight"), "id"))).select("key", F.col("id").alias("centre"), F.col("comp").alias("cc"), "turn"), "open")
+    rest = staged(rest.withColumn("turn", F.row_number().over(W.partitionBy("key").orderBy(F.desc("weight"), "id"))).select("key", F.col("id").alias("centre"), F.col("comp").alias("cc"), "turn"), "open", parts=parts)
     turns = rest.agg(F.max("turn")).first()[0] or 0
     start, end = 0, STARS
     while start < turns:
         stars = rest.filter((F.col("turn") > start) & (F.col("turn") <= end))
         start, end = end, end * STARS
         edges = labelled.join(stars.hint("merge"), "key").filter("comp <> cc").select(*pair("id", "centre")).distinct()
-        more = staged(likely(edges, sets, percent).join(tested.hint("merge"), ["a", "b"], "left_anti"), "candidates")
-        links.append(staged(confirmed(more, texts, width, percent), "links"))
+        more = staged(likely(edges, sets, percent).join(tested.hint("merge"), ["a", "b"], "left_anti"), "candidates", parts=parts)
+        links.append(staged(confirmed(more, texts, width, percent), "links", parts=parts))
         tested = tested.unionByName(more)
+    links = [links[0], *(x for x in links[1:] if not x.isEmpty())]
     if len(links) > 1:
-        every = links[0]
-        for x in links[1:]:
-            every = every.unionByName(x)
-        found_in = components(every)
+        found_in = components(reduce(DataFrame.unionByName, links), parts)
     names = member.select("doc_id", "rep").join(found_in.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     return (
         found.select("doc_id", F.col("n").alias("n_shingles"))
