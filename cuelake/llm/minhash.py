@@ -71,41 +71,63 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return first.filter("x.df > 1").select("id", F.xxhash64(F.lit("prefix"), "x.g").alias("key"))
 
 
+def batch_sets(batch: pa.RecordBatch, width: int):
+    """(sorted distinct shingle hashes) of each text of a batch, in order."""
+    for at in range(0, batch.num_rows, 2000):
+        codes, dictionary, starts = batch_words(pc.ascii_lower(batch["text"].slice(at, 2000)))
+        hashes = string_hashes(dictionary)[codes] if len(codes) else np.empty(0, np.uint64)
+        grams = shingle_hashes(hashes, width)
+        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            if e - s >= width:
+                yield np.unique(grams[s : e - width + 1])
+            else:
+                yield shingle_hashes(hashes[s:e], e - s) if e > s else np.empty(0, np.uint64)
+
+
 def features(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n (set size), fp (128-bit name of the set), sketch (a byte a bin), keys (bands),
     small (all shingles of a small set)."""
 
     def rows(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                some = b.slice(at, 2000)
-                codes, dictionary, starts = batch_words(pc.ascii_lower(some["text"]))
-                hashes = string_hashes(dictionary)[codes] if len(codes) else np.empty(0, np.uint64)
-                grams = shingle_hashes(hashes, width)
-                n, fp, sk, ks, sm = [], [], [], [], []
-                for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                    if e - s >= width:
-                        values = np.unique(grams[s : e - width + 1])
-                    else:
-                        values = shingle_hashes(hashes[s:e], e - s) if e > s else np.empty(0, np.uint64)
-                    n.append(len(values))
-                    if len(values):
-                        filled = signature(values)
-                        fp.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
-                        sk.append((filled & np.uint64(0xFF)).astype(np.uint8).tobytes())
-                        ks.append(bands(filled) if len(values) >= BAND_MIN else None)
-                        sm.append(values.view(np.int64) if len(values) <= PREFIX_MAX else None)
-                    else:
-                        for column in (fp, sk, ks, sm):
-                            column.append(None)
-                yield pa.RecordBatch.from_arrays(
-                    [some["doc_id"], pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sk, pa.binary()), pa.array(ks, pa.list_(pa.int64())), pa.array(sm, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "fp", "sketch", "keys", "small"],
-                )
+            n, fp, sk, ks, sm = [], [], [], [], []
+            for values in batch_sets(b, width):
+                n.append(len(values))
+                if len(values):
+                    filled = signature(values)
+                    fp.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
+                    sk.append((filled & np.uint64(0xFF)).astype(np.uint8).tobytes())
+                    ks.append(bands(filled) if len(values) >= BAND_MIN else None)
+                    sm.append(values.view(np.int64) if len(values) <= PREFIX_MAX else None)
+                else:
+                    for column in (fp, sk, ks, sm):
+                        column.append(None)
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b["doc_id"], pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sk, pa.binary()), pa.array(ks, lists), pa.array(sm, lists)],
+                names=["doc_id", "n", "fp", "sketch", "keys", "small"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id bigint, n bigint, fp binary, sketch binary, keys array<bigint>, small array<bigint>")
 
 
+def alone(docs: DataFrame, width: int) -> DataFrame:
+    """(id, u): shingles of each of these documents that no other of them holds, at least.
+
+    Shingles are told apart by 32 bits: two that fall together only lower u.
+    """
+
+    def rows(batches):
+        for b in batches:
+            sets = list(batch_sets(b, width))
+            ids = np.repeat(b["doc_id"].to_numpy(), [len(v) for v in sets])
+            grams = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((grams >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["id", "g"])
+
+    held = docs.select("doc_id", "text").mapInArrow(rows, "id bigint, g int")
+    return held.groupBy("g").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count("*").alias("u"))
+
+
 def likely(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Candidate edges (a, b) whose sizes and sketches allow the wanted similarity.
 
@@ -195,7 +217,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 85) -> Da
     by their rarest shingles); every bucket sends edges from its most central member only, the one
     whose buckets are largest in sum. Sketches drop unlikely edges, the texts confirm the
     rest. Buckets whose members are not yet in one component go on: the members outside
-    the centre's component become centres in turn, in rounds, until each has been one.
+    the centre's component become centres in turn, in rounds, until each has been one,
+    as far as the shingles that no other member holds leave room for a link.
 
     One row a row of docs; an empty set is linked with nothing. Rows that repeat a doc_id
     are one document; a null doc_id is linked with nothing, its component is null and it
@@ -225,14 +248,25 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 85) -> Da
     label = found_in.select("id", F.col("component").alias("comp"))
     labelled = shared.join(label.hint("merge"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     of_centre = centre.join(label.select(F.col("id").alias("centre"), F.col("comp").alias("cc")).hint("merge"), "centre", "left").select("key", F.coalesce("cc", "centre").alias("cc"))
-    rest = labelled.join(of_centre.hint("merge"), "key").filter("comp <> cc")
-    rest = staged(rest.withColumn("turn", F.row_number().over(W.partitionBy("key").orderBy(F.desc("weight"), "id"))).select("key", F.col("id").alias("centre"), F.col("comp").alias("cc"), "turn"), "open", parts=parts)
+    open_keys = staged(labelled.join(of_centre.hint("merge"), "key").withColumn("out", F.col("comp") != F.col("cc")), "open", parts=parts)
+    unsettled = open_keys.filter("out").select("key").distinct()
+    labelled = open_keys.join(unsettled.hint("merge"), "key", "left_semi")
+    # A set with u shingles of its own shares at most n - u with any other: most members of a
+    # bucket are ruled out by that alone, without looking at pairs.
+    involved = texts.join(labelled.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    own = sets.select(F.col("doc_id").alias("id"), "n").join(alone(involved, width).hint("merge"), "id", "left").select("id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("most"))
+    able = staged(labelled.join(own.hint("merge"), "id").filter(100 * F.col("most") >= percent * F.col("n")), "able", parts=parts)
+    turn = F.row_number().over(W.partitionBy("key").orderBy(F.desc("weight"), "id"))
+    rest = able.filter("out").select("key", F.col("id").alias("centre"), F.col("comp").alias("c_comp"), F.col("n").alias("c_n"), F.col("most").alias("c_most"), turn.alias("turn"))
+    rest = staged(rest, "centres", parts=parts)
+    both = F.least("most", "c_most")
+    possible = (F.col("comp") != F.col("c_comp")) & (100 * both >= percent * (F.col("n") + F.col("c_n") - both))
     turns = rest.agg(F.max("turn")).first()[0] or 0
     start, end = 0, STARS
     while start < turns:
         stars = rest.filter((F.col("turn") > start) & (F.col("turn") <= end))
         start, end = end, end * STARS
-        edges = labelled.join(stars.hint("merge"), "key").filter("comp <> cc").select(*pair("id", "centre")).distinct()
+        edges = able.join(stars.hint("merge"), "key").filter(possible).select(*pair("id", "centre")).distinct()
         more = staged(likely(edges, sets, percent).join(tested.hint("merge"), ["a", "b"], "left_anti"), "candidates", parts=parts)
         links.append(staged(confirmed(more, texts, width, percent), "links", parts=parts))
         tested = tested.unionByName(more)
