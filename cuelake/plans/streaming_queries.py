@@ -31,7 +31,7 @@ def cue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     start = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - b.EPOCH_US) / 3_600_000).cast("bigint")
     end = start + F.floor(F.round(F.col("value") * 100).cast("bigint") / 2).cast("bigint")
-    return e.select(F.col("user_id").alias("media_id"), F.col("event_id").alias("ord"), start.alias("start_ms"), end.alias("end_ms"), F.col("event_type").alias("text"), F.timestamp_millis(start).alias("ts"))
+    return e.select(F.col("user_id").alias("media_id"), F.col("event_id").alias("ord"), start.alias("start_ms"), end.alias("end_ms"), F.col("event_type").alias("text"), F.timestamp_millis(start + b.EPOCH_US // 1000).alias("ts"))
 
 
 @query("r1_incremental_ingest", "SELECT media_id, ord, start_ms, end_ms, text FROM v_cues", V_CUES)

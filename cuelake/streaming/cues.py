@@ -48,11 +48,11 @@ class _Merger(StatefulProcessor):
     def _close_at(self, cue: Cue) -> int:
         return cue.end + self.overlap_ms + 300
 
-    def _set(self, cue: Cue, latest: int) -> None:
+    def _set(self, cue: Cue, latest: int, base: int) -> None:
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         self.state.update((cue.ord, cue.start, cue.end, cue.text, latest))
-        self.handle.registerTimer(self._close_at(cue))
+        self.handle.registerTimer(base + self._close_at(cue))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["start_ms", "ord"], kind="stable")
@@ -74,7 +74,7 @@ class _Merger(StatefulProcessor):
                 out.append((key[0], cur.ord, cur.start, cur.end, cur.text, False))
                 cur = nxt
         if cur is not None:
-            self._set(cur, latest)
+            self._set(cur, latest, int(pdf.base_ms.iloc[-1]))
         yield pd.DataFrame(out, columns=["media_id", "ord", "start_ms", "end_ms", "text", "late"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -92,13 +92,14 @@ class _Merger(StatefulProcessor):
 def dedupe_stream(stream: DataFrame, overlap_ms: int = 1_500, least: float = 0.80, watermark: str = "30 seconds") -> DataFrame:
     """Overlap dedupe of a stream of cues (media_id, ord, start_ms, end_ms, text, ts).
 
-    ts is event time (start_ms as a timestamp). State is one open cue a medium; a cue goes
+    ts is event time: start_ms after some base that a medium keeps. State is one open cue a medium; a cue goes
     out when the next one breaks it or the watermark passes its reach. Rows behind the
     last start seen of their medium come out as they are, with late = true: the result
     equals the batch operator for input in order.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     kept = stream.filter((F.length(F.trim("text")) >= 2)).withWatermark("ts", watermark)
+    kept = kept.withColumn("base_ms", F.unix_millis("ts") - F.col("start_ms"))
     return kept.groupBy("media_id").transformWithStateInPandas(_Merger(overlap_ms, least), outputStructType=OUT, outputMode="append", timeMode="EventTime")
 
 
