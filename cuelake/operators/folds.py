@@ -106,6 +106,40 @@ def dedupe_overlap(cues: DataFrame, overlap_ms: int = 1_500, least: float = 0.80
     return islands.groupBy("media_id", "island").applyInPandas(fold, BOXED)
 
 
+@dataclass
+class Sampler:
+    """Turns samples of one medium, in order, into cues; `open` is the cue not yet closed."""
+
+    hold_ms: int
+    miss_ms: int
+    longest_ms: int
+    least: float
+    open: Cue | None = None
+    seen: int = 0
+
+    def take(self, ord: int, t: int, text: str, stop: int) -> list[Cue]:
+        """The cues that this sample closes."""
+        here = Cue(ord, t, min(t + self.hold_ms, stop), text)
+        recent = self.open is not None and t - self.seen <= self.miss_ms and t - self.open.start < self.longest_ms
+        if not text:
+            if recent:
+                self.open = replace(self.open, end=here.end)
+                return []
+            return self.close()
+        legible = "[Chữ khó" not in text and "Gemini" not in text
+        if recent and legible and alike(self.open.text, text, self.least):
+            size = lambda x: len(" ".join(x.split()))
+            self.open, self.seen = replace(self.open, end=here.end, text=text if size(text) > size(self.open.text) else self.open.text), t
+            return []
+        closed = self.close()
+        self.open, self.seen = here, t
+        return closed
+
+    def close(self) -> list[Cue]:
+        closed, self.open = [self.open] if self.open else [], None
+        return closed
+
+
 def sampled_cues(frames: DataFrame, *, hold_ms: int = 1_500, miss_ms: int = 1_200, longest_ms: int = 8_000, least: float = 0.78) -> DataFrame:
     """Cues of sampled frames (media_id, ord, t_ms, text, duration_ms); an empty text is a miss.
 
@@ -118,24 +152,10 @@ def sampled_cues(frames: DataFrame, *, hold_ms: int = 1_500, miss_ms: int = 1_20
     """
 
     def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[Cue] = []
-        live, seen = False, 0
+        machine, out = Sampler(hold_ms, miss_ms, longest_ms, least), []
         for o, t, text, stop in pdf.sort_values(["t_ms", "ord"], kind="stable")[["ord", "t_ms", "text", "duration_ms"]].itertuples(index=False):
-            here = Cue(int(o), int(t), int(min(t + hold_ms, stop)), text or "")
-            recent = live and t - seen <= miss_ms and t - out[-1].start < longest_ms
-            if not here.text:
-                live = recent
-                if live:
-                    out[-1] = replace(out[-1], end=here.end)
-                continue
-            legible = "[Chữ khó" not in here.text and "Gemini" not in here.text
-            if recent and legible and alike(out[-1].text, here.text, least):
-                size = lambda x: len(" ".join(x.split()))
-                out[-1] = replace(out[-1], end=here.end, text=here.text if size(here.text) > size(out[-1].text) else out[-1].text)
-            else:
-                out.append(here)
-            live, seen = True, t
-        return _frame(key[0], out)[["media_id", "ord", "start_ms", "end_ms", "text"]]
+            out += machine.take(int(o), int(t), text or "", int(stop))
+        return _frame(key[0], out + machine.close())[["media_id", "ord", "start_ms", "end_ms", "text"]]
 
     w = media_order("t_ms", "ord")
     full = F.when(F.coalesce("text", F.lit("")) != "", F.col("t_ms"))

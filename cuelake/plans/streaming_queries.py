@@ -48,6 +48,14 @@ def r2(spark, d):
     return spark.read.parquet(f"{at}/out")
 
 
+@query("r3_stream_sampled_cues")
+def r3(spark, d):
+    at = place(spark)
+    samples = cue_stream(spark, d).select("media_id", "ord", F.col("start_ms").alias("t_ms"), F.when(F.col("text") == "view", F.lit("")).otherwise(F.col("text")).alias("text"), F.lit(10_000_000).cast("bigint").alias("duration_ms"), "ts")
+    st.drain(st.sample_stream(samples, miss_ms=6_000), f"{at}/out", f"{at}/checkpoint")
+    return spark.read.parquet(f"{at}/out").drop("late")
+
+
 @query("r4_session_cues", """, z AS (SELECT *, max(start_ms + greatest(dur_ms, 0) + 1800) OVER (PARTITION BY media_id ORDER BY start_ms, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v_cues),
  s AS (SELECT *, sum(CASE WHEN start_ms < reach THEN 0 ELSE 1 END) OVER (PARTITION BY media_id ORDER BY start_ms, ord ROWS UNBOUNDED PRECEDING) AS k FROM z)
  SELECT media_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n FROM s GROUP BY media_id, k""".replace(", z AS", "WITH z AS", 1), V_CUES)

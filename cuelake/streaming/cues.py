@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from cuelake.operators.folds import Cue, joins_overlap, longer
+from cuelake.operators.folds import Cue, Sampler, joins_overlap, longer
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OPEN = "ord bigint, start_ms bigint, end_ms bigint, text string, latest_ms bigint"
@@ -89,6 +89,58 @@ class _Merger(StatefulProcessor):
         pass
 
 
+class _SampleProcessor(StatefulProcessor):
+    """The open cue of a medium's samples; silence closes it by an event-time timer."""
+
+    def __init__(self, hold_ms: int, miss_ms: int, longest_ms: int, least: float):
+        self.args, self.miss_ms = (hold_ms, miss_ms, longest_ms, least), miss_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("open", OPEN)
+
+    def _rows(self, key, cues: list[Cue]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], c.ord, c.start, c.end, c.text, False) for c in cues], columns=["media_id", "ord", "start_ms", "end_ms", "text", "late"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(["t_ms", "ord"], kind="stable")
+        machine, out = Sampler(*self.args), []
+        if self.state.exists():
+            o, s, e, t, seen = self.state.get()
+            machine.open, machine.seen = Cue(o, s, e, t), seen
+        for o, t, text, stop in pdf[["ord", "t_ms", "text", "duration_ms"]].itertuples(index=False):
+            out += machine.take(int(o), int(t), text or "", int(stop))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if machine.open:
+            c = machine.open
+            self.state.update((c.ord, c.start, c.end, c.text, int(machine.seen)))
+            self.handle.registerTimer(int(pdf.base_ms.iloc[-1]) + int(machine.seen) + self.miss_ms + 1)
+        elif self.state.exists():
+            self.state.clear()
+        yield self._rows(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.state.exists():
+            o, s, e, t, _ = self.state.get()
+            out = [Cue(o, s, e, t)]
+            self.state.clear()
+        yield self._rows(key, out)
+
+    def close(self) -> None:
+        pass
+
+
+def sample_stream(stream: DataFrame, *, hold_ms: int = 1_500, miss_ms: int = 1_200, longest_ms: int = 8_000, least: float = 0.78, watermark: str = "30 seconds") -> DataFrame:
+    """Cues of a stream of samples (media_id, ord, t_ms, text, duration_ms, ts); see
+    folds.sampled_cues. State is one open cue a medium, closed by the next text or by
+    miss_ms of silence on the event clock; equal to the batch form for input in order."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = stream.withWatermark("ts", watermark).withColumn("base_ms", F.unix_millis("ts") - F.col("t_ms"))
+    return rows.groupBy("media_id").transformWithStateInPandas(_SampleProcessor(hold_ms, miss_ms, longest_ms, least), outputStructType=OUT, outputMode="append", timeMode="EventTime")
+
+
 def dedupe_stream(stream: DataFrame, overlap_ms: int = 1_500, least: float = 0.80, watermark: str = "30 seconds") -> DataFrame:
     """Overlap dedupe of a stream of cues (media_id, ord, start_ms, end_ms, text, ts).
 
