@@ -17,9 +17,8 @@ BINS, ROWS = 128, 4
 #: Sets of at most PREFIX_MAX shingles are found by their rarest shingles, without loss; sets
 #: of at least BAND_MIN by bands. A pair with one set above PREFIX_MAX has both at BAND_MIN.
 PREFIX_MAX, BAND_MIN = 75, 55
-#: Stars of a bucket in the first round after the central one; each further round has as
-#: many times more.
-STARS = 32
+#: Members up to which an open bucket sends a star from each; members of a block of a larger one.
+FEW, BLOCK = 64, 1_024
 #: Documents for each file of the small tables in between.
 ROWS_A_FILE = 4_000
 
@@ -151,6 +150,87 @@ def likely(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(rows, "a bigint, b bigint")
 
 
+def clusters(rows: DataFrame, parts: int) -> DataFrame:
+    """(key, id, comp, members): the ids of overlapping buckets (key, id, comp), each once.
+
+    Members of one bucket are in one cluster, so its pairs hold the pairs of all buckets;
+    the many buckets of one group of copies become one.
+    """
+    lead = rows.groupBy("key").agg(F.min("id").alias("lead"))
+    linked = components(rows.join(lead.hint("merge"), "key").select(F.col("id").alias("a"), F.col("lead").alias("b")), parts)
+    ids = rows.select("id", "comp").distinct().join(linked.hint("merge"), "id", "left").select(F.coalesce("component", "id").alias("key"), "id", "comp")
+    return ids.join(ids.groupBy("key").agg(F.count("*").alias("members")).hint("merge"), "key")
+
+
+def bridges(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between components of large buckets: members (key, id, comp, members).
+
+    Blocks of BLOCK members meet in pairs, with their shingles as 64-bit hashes; a cell
+    compares its sets by counting common shingles and returns no more links than join its
+    components, whatever their number.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    # cell (i, j), i <= j: a member of block k lies in the cells (k, *) and (*, k)
+    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j")))
+    laid = members.select("key", "id", "comp", F.explode(cells).alias("cell"))
+    ids = members.select(F.col("id").alias("doc_id")).distinct()
+
+    def rows(batches):
+        for b in batches:
+            grams = [v.view(np.int64) for v in batch_sets(b, width)]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(grams, pa.list_(pa.int64()))], names=["id", "grams"])
+
+    sets = texts.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(rows, "id bigint, grams array<bigint>")
+
+    def cell(table: pa.Table) -> pa.Table:
+        ids, comps = table["id"].to_numpy(), table["comp"].to_numpy()
+        lists = table["grams"].combine_chunks()
+        n = np.diff(lists.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(n)), n)
+        names, code, held = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        common = held[code] > 1
+        owner, code = owner[common], code[common]
+        order = np.argsort(code, kind="stable")
+        owner, code = owner[order], code[order]
+        top = {c: c for c in set(comps.tolist())}
+
+        def find(c):
+            while top[c] != c:
+                c = top[c]
+            return c
+
+        # shingles that many members hold are counted by a matrix product, others pair by pair
+        count = np.bincount(code, minlength=len(names))
+        heavy = count[code] * 16 >= len(n)
+        columns = np.unique(code[heavy], return_inverse=True)[1]
+        dense = np.zeros((len(n), columns.max() + 1 if len(columns) else 0), np.float32)
+        dense[owner[heavy], columns] = 1
+        owner, code = owner[~heavy], code[~heavy]
+        by_owner = np.argsort(owner, kind="stable")
+
+        found = []
+        step = 64
+        for s in range(0, len(n), step):
+            shared = (dense[s : s + step] @ dense.T).astype(np.int32)
+            lo, hi = np.searchsorted(owner[by_owner], [s, s + step])
+            mine = by_owner[lo:hi]
+            first, last = np.searchsorted(code, code[mine]), np.searchsorted(code, code[mine], "right")
+            each = last - first
+            other = owner[np.repeat(first - np.concatenate(([0], np.cumsum(each)))[:-1], each) + np.arange(each.sum())]
+            np.add.at(shared, (np.repeat(owner[mine] - s, each), other), 1)
+            link = 100 * shared >= percent * (n[s : s + step, None] + n[None, :] - shared)
+            link &= comps[s : s + step, None] != comps[None, :]
+            for i, j in zip(*np.nonzero(link)):
+                x, y = find(int(comps[s + i])), find(int(comps[j]))
+                if x != y:
+                    top[max(x, y)] = min(x, y)
+                    found.append(sorted((int(ids[s + i]), int(ids[j]))))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return laid.join(sets.hint("merge"), "id").groupBy("key", "cell").applyInArrow(cell, "a bigint, b bigint").distinct()
+
+
 def confirmed(edges: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Edges (a, b) with 100 * |A & B| >= percent * |A | B| on the shingles themselves."""
     side = lambda c: docs.select(F.col("doc_id").alias(c), F.col("text").alias(f"t_{c}"))
@@ -217,8 +297,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 85) -> Da
     by their rarest shingles); every bucket sends edges from its most central member only, the one
     whose buckets are largest in sum. Sketches drop unlikely edges, the texts confirm the
     rest. Buckets whose members are not yet in one component go on: the members outside
-    the centre's component become centres in turn, in rounds, until each has been one,
-    as far as the shingles that no other member holds leave room for a link.
+    the centre's component become centres too; large ones are compared in blocks, which
+    return no more links than join their components. Members whose unshared shingles leave
+    no room for a link are ruled out before.
 
     One row a row of docs; an empty set is linked with nothing. Rows that repeat a doc_id
     are one document; a null doc_id is linked with nothing, its component is null and it
@@ -256,20 +337,18 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 85) -> Da
     involved = texts.join(labelled.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     own = sets.select(F.col("doc_id").alias("id"), "n").join(alone(involved, width).hint("merge"), "id", "left").select("id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("most"))
     able = staged(labelled.join(own.hint("merge"), "id").filter(100 * F.col("most") >= percent * F.col("n")), "able", parts=parts)
-    turn = F.row_number().over(W.partitionBy("key").orderBy(F.desc("weight"), "id"))
-    rest = able.filter("out").select("key", F.col("id").alias("centre"), F.col("comp").alias("c_comp"), F.col("n").alias("c_n"), F.col("most").alias("c_most"), turn.alias("turn"))
-    rest = staged(rest, "centres", parts=parts)
+    counted = able.groupBy("key").agg(F.count("*").alias("members"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key", "members")
+    able = staged(able.join(counted.hint("merge"), "key").select("key", "id", "comp", "out", "n", "most", "members"), "open-buckets", parts=parts)
+
+    # small buckets: every member outside is a centre, FEW edges a member at most
+    few = able.filter(F.col("members") <= FEW)
+    rest = few.filter("out").select("key", F.col("id").alias("centre"), F.col("comp").alias("c_comp"), F.col("n").alias("c_n"), F.col("most").alias("c_most"))
     both = F.least("most", "c_most")
     possible = (F.col("comp") != F.col("c_comp")) & (100 * both >= percent * (F.col("n") + F.col("c_n") - both))
-    turns = rest.agg(F.max("turn")).first()[0] or 0
-    start, end = 0, STARS
-    while start < turns:
-        stars = rest.filter((F.col("turn") > start) & (F.col("turn") <= end))
-        start, end = end, end * STARS
-        edges = able.join(stars.hint("merge"), "key").filter(possible).select(*pair("id", "centre")).distinct()
-        more = staged(likely(edges, sets, percent).join(tested.hint("merge"), ["a", "b"], "left_anti"), "candidates", parts=parts)
-        links.append(staged(confirmed(more, texts, width, percent), "links", parts=parts))
-        tested = tested.unionByName(more)
+    edges = few.join(rest.hint("merge"), "key").filter(possible).select(*pair("id", "centre")).distinct()
+    more = likely(edges, sets, percent).unionByName(bridges(clusters(able.filter(F.col("members") > FEW), parts), texts, width, percent)).distinct()
+    more = staged(more.join(tested.hint("merge"), ["a", "b"], "left_anti"), "candidates", parts=parts)
+    links.append(staged(confirmed(more, texts, width, percent), "links", parts=parts))
     links = [links[0], *(x for x in links[1:] if not x.isEmpty())]
     if len(links) > 1:
         found_in = components(reduce(DataFrame.unionByName, links), parts)

@@ -55,9 +55,10 @@ def cases():
     return rows
 
 
-@pytest.mark.parametrize("stars", [2, 32])
-def test_components_equal_brute_force(spark, stars, monkeypatch):
-    monkeypatch.setattr(m, "STARS", stars)
+@pytest.mark.parametrize("few,block", [(0, 3), (0, 1000), (64, 1024)])
+def test_components_equal_brute_force(spark, few, block, monkeypatch):
+    monkeypatch.setattr(m, "FEW", few)
+    monkeypatch.setattr(m, "BLOCK", block)
     rows = cases()
     docs = spark.createDataFrame([(d, t, "c") for d, t in rows], "doc_id bigint, text string, kept string")
     got = sorted(((r.doc_id is None, r.doc_id, r.n_shingles, r.component_id, r.kept) for r in m.near_duplicates(docs).collect()), key=str)
