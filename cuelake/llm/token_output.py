@@ -34,6 +34,8 @@ SEGMENT = 1 << 20
 #: Words whose ids a worker keeps.
 CACHE = 400_000
 BLOCK = 512
+#: A character that sets words apart in one call of the tokenizer.
+MARK = "\ue000"
 
 _ENCODERS: dict = {}
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint32)
@@ -118,6 +120,32 @@ def _encoder(path: str):
     return _ENCODERS[path]
 
 
+def encode_words(tokenizer, words: list[str]) -> list[np.ndarray]:
+    """Ids of each word, many words in one call.
+
+    Words are set apart by the private-use character MARK between spaces: its ids come
+    together only where it stands, as no other character has its bytes. Words that hold it
+    themselves are encoded one by one.
+    """
+    out: list = [None] * len(words)
+    plain = [i for i, w in enumerate(words) if MARK not in w]
+    for i in set(range(len(words))).difference(plain):
+        out[i] = np.array(tokenizer.encode(words[i], add_special_tokens=False).ids, np.uint32)
+    mark = np.array(tokenizer.encode(MARK, add_special_tokens=False).ids, np.uint32)
+    groups = [plain[k : k + 500] for k in range(0, len(plain), 500)]
+    texts = [f" {MARK} ".join([words[i] for i in g]) for g in groups]
+    for g, e in zip(groups, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        ids = np.array(e.ids, np.uint32)
+        n = len(ids) - len(mark) + 1
+        at = np.flatnonzero(np.logical_and.reduce([ids[k : n + k] == m for k, m in enumerate(mark)])) if n > 0 else np.empty(0, np.int64)
+        starts, ends = [0, *(at + len(mark)).tolist()], [*at.tolist(), len(ids)]
+        if len(starts) != len(g):
+            raise ValueError("the marks do not set the words apart")
+        for i, s, t in zip(g, starts, ends):
+            out[i] = ids[s:t]
+    return out
+
+
 def encode_batch(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in order, number of ids of each), without end ids.
 
@@ -131,8 +159,7 @@ def encode_batch(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     new = [w for w in distinct if w not in known]
     for k in range(0, len(new), 10_000):
         part = new[k : k + 10_000]
-        for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            known[w] = np.array(e.ids, np.uint32)
+        known.update(zip(part, encode_words(tokenizer, part)))
     pieces = [known[w] for w in distinct]
     if len(known) > CACHE:
         known.clear()
