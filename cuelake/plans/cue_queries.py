@@ -178,7 +178,7 @@ def w3(spark, d):
 
 @query("t12_speech_fit", """SELECT media_id, ord, round(f, 9) AS factor, abs(f - 1) < 0.05 AS copy, CASE WHEN abs(f - 1) < 0.05 THEN 0 ELSE n + 1 END AS links,
  CASE WHEN abs(f - 1) < 0.05 THEN NULL ELSE CAST(round(f / pow(2, n), 4) * 10000 AS BIGINT) END AS rest_1e4
- FROM (SELECT *, CASE WHEN f <= 2 THEN 0 WHEN f <= 4 THEN 1 WHEN f <= 8 THEN 2 WHEN f <= 16 THEN 3 WHEN f <= 32 THEN 4 WHEN f <= 64 THEN 5 WHEN f <= 128 THEN 6 WHEN f <= 256 THEN 7 WHEN f <= 512 THEN 8 WHEN f <= 1024 THEN 9 WHEN f <= 2048 THEN 10 ELSE 11 END AS n
+ FROM (SELECT *, CASE WHEN f <= 2 THEN 0 WHEN f <= 4 THEN 1 WHEN f <= 8 THEN 2 WHEN f <= 16 THEN 3 WHEN f <= 32 THEN 4 WHEN f <= 64 THEN 5 WHEN f <= 128 THEN 6 WHEN f <= 256 THEN 7 WHEN f <= 512 THEN 8 WHEN f <= 1024 THEN 9 WHEN f <= 2048 THEN 10 WHEN f <= 4096 THEN 11 WHEN f <= 8192 THEN 12 ELSE 13 END AS n
  FROM (SELECT media_id, ord, CASE WHEN clip_ms / dur_ms > 1.05 THEN clip_ms / dur_ms ELSE 1.0 END::DOUBLE AS f FROM (SELECT *, (ord % 7 * 900 + 1)::DOUBLE AS clip_ms FROM v_cues WHERE dur_ms > 0) a) b) q""", V_CUES)
 def t12(spark, d):
     cues = b.cues(spark, d)

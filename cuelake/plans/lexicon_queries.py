@@ -11,8 +11,6 @@ ENTRIES = "en AS (SELECT layer, priority, line_no, trim(split_part(line, '=', 1)
 CLEAN = r"""cl AS (SELECT layer, priority, line_no, key, trim(CASE layer WHEN 'Babylon' THEN split_part(value, ';', 1) WHEN 'LacViet' THEN regexp_extract(regexp_replace(value, '✚\[[^\]]*\]', '', 'g'), '^[^;,]*')
  WHEN 'ThieuChuu' THEN split_part(split_part(value, '[', 1), ',', 1) WHEN 'PhienAm' THEN split_part(value, '|', 1) ELSE value END) AS value FROM en)"""
 
-
-
 #: Words of the prose with their counts join every lexicon query, so that it grows with the corpus.
 PROSE = "wd AS (SELECT word, count(*) AS uses FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) u GROUP BY word)"
 
@@ -159,8 +157,6 @@ def x11(spark, d):
     return lex.apply_glossary(distinct_lines(spark, d), b.pairs(spark))
 
 
-PADDED = "' ' || regexp_replace(text, '([^A-Za-z0-9_À-ɏ])', ' \\1 ', 'g') || ' '"
-
 
 @query("x12_enforce_words")
 def x12(spark, d):
