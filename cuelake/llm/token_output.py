@@ -18,6 +18,7 @@ at rank(i) in the next level: no block is decoded to reach it.
 from __future__ import annotations
 
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from cuelake.llm.common import batch_words, stage_path
 END_ID = 2
 #: Ids of a segment at which it is closed, after the document that reaches it.
 SEGMENT = 1 << 20
-#: Words whose ids a worker keeps.
-CACHE = 400_000
+#: Words whose ids a worker keeps before it keeps no more, and texts encoded together.
+CACHE, ROWS = 100_000, 3_000
 BLOCK = 512
 #: A character that sets words apart in one call of the tokenizer.
 MARK = "\ue000"
@@ -157,12 +158,12 @@ def encode_batch(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     codes, dictionary, starts = batch_words(texts)
     distinct = dictionary.to_pylist()
     new = [w for w in distinct if w not in known]
+    fresh: dict = {}
     for k in range(0, len(new), 10_000):
         part = new[k : k + 10_000]
-        known.update(zip(part, encode_words(tokenizer, part)))
-    pieces = [known[w] for w in distinct]
-    if len(known) > CACHE:
-        known.clear()
+        fresh.update(zip(part, encode_words(tokenizer, part)))
+    known.update(islice(fresh.items(), max(0, CACHE - len(known))))
+    pieces = [fresh[w] if w in fresh else known[w] for w in distinct]
     size = np.fromiter(map(len, pieces), np.int64, len(pieces))
     table = np.concatenate(pieces) if pieces else np.empty(0, np.uint32)
     first = np.concatenate(([0], np.cumsum(size)))
@@ -197,8 +198,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, *, segment: int = S
             )
 
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                some = b.slice(at, 500)
+            for at in range(0, b.num_rows, ROWS):
+                some = b.slice(at, ROWS)
                 ids, counts = encode_batch(some["text"], tokenizer)
                 where = 0
                 for doc, n in zip(some["doc_id"].to_pylist(), counts.tolist()):
