@@ -9,19 +9,27 @@ from cuelake.llm.common import staged, text_key
 
 #: Documents of a block, slots of a hyperperiod, and documents of a ranking bucket.
 BLOCK_DOCS, PERIOD, BUCKET_DOCS = 16, 1_000, 20_000
+#: Slots a source has on the average where there are more sources than slots of a period.
+SPREAD = 4
 
 
 def target_weights(docs: DataFrame, *, period: int = PERIOD, power: float = 0.5) -> DataFrame:
     """(source, weight): whole slots of each source in a period, in proportion to its
     documents to the given power (tempered sampling). Largest remainders make up the sum;
-    every source has one slot at least, so at most `period` sources are allowed."""
+    every source has one slot at least: with more than `period` sources the period is
+    SPREAD times their number."""
     counts = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("n"))
-    every = W.partitionBy(F.lit(1))
-    share = F.pow("n", F.lit(power)) / F.sum(F.pow("n", F.lit(power))).over(every)
-    free = F.lit(period) - F.count("*").over(every)
-    rows = counts.select("source", (share * free).alias("x")).select("source", F.floor("x").alias("low"), F.round(F.col("x") - F.floor("x"), 9).alias("part"))
-    rows = rows.withColumn("left", F.lit(period) - F.sum(F.col("low") + 1).over(every)).withColumn("nth", F.row_number().over(every.orderBy(F.desc("part"), "source")))
-    return rows.select("source", (F.col("low") + 1 + F.when(F.col("nth") <= F.col("left"), 1).otherwise(0)).cast("int").alias("weight"))
+    return apportioned(counts.select(F.lit("").alias("grp"), "source", F.pow("n", F.lit(power)).alias("mass")), period).drop("grp")
+
+
+def apportioned(units: DataFrame, period: int) -> DataFrame:
+    """(grp, source, weight) of units (grp, source, mass): each group shares out its own period."""
+    every = W.partitionBy("grp")
+    slots = F.when(F.count("*").over(every) <= period, F.lit(period)).otherwise(SPREAD * F.count("*").over(every))
+    rows = units.select("grp", "source", slots.alias("p"), ((F.col("mass") / F.sum("mass").over(every)) * (slots - F.count("*").over(every))).alias("x"))
+    rows = rows.select("grp", "source", "p", F.floor("x").alias("low"), F.round(F.col("x") - F.floor("x"), 9).alias("part"))
+    rows = rows.withColumn("left", F.col("p") - F.sum(F.col("low") + 1).over(every)).withColumn("nth", F.row_number().over(every.orderBy(F.desc("part"), "source")))
+    return rows.select("grp", "source", (F.col("low") + 1 + F.when(F.col("nth") <= F.col("left"), 1).otherwise(0)).cast("int").alias("weight"))
 
 
 def pfair_slots(weights: DataFrame) -> DataFrame:
@@ -31,9 +39,13 @@ def pfair_slots(weights: DataFrame) -> DataFrame:
     at ceil(j p / w). Each slot takes, of the released blocks, that with the earliest
     deadline; ties go to the source first by name. Weights sum to p, so every block meets
     its window and a source is never a whole block from its share. The table has p rows
-    and is built by one fold over the slots, whatever the size of the corpus.
+    and is built by one fold over the slots, whatever the size of the corpus. Where weights
+    have a column grp, each group has its own hyperperiod and fold.
     """
-    one = weights.filter("weight > 0").agg(F.sort_array(F.collect_list(F.struct("source", "weight"))).alias("s"), F.sum("weight").cast("int").alias("p"))
+    grouped = "grp" in weights.columns
+    if not grouped:
+        weights = weights.withColumn("grp", F.lit(""))
+    one = weights.filter("weight > 0").groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("source", "weight"))).alias("s"), F.sum("weight").cast("int").alias("p"))
     zero = F.struct(F.transform("s", lambda x: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("slots"))
 
     def step(state, t):
@@ -48,10 +60,54 @@ def pfair_slots(weights: DataFrame) -> DataFrame:
             F.transform(state["done"], lambda d, i: F.when(i == pick, d + 1).otherwise(d)).alias("done"),
             F.concat(state["slots"], F.array(pick)).alias("slots"))), F.lit(0))
 
-    slots = one.select("s", "p", F.aggregate(F.sequence(F.lit(0), F.col("p") - 1), zero, step, lambda x: x["slots"]).alias("slots"))
-    rows = slots.select("s", "p", F.posexplode("slots").alias("slot", "i")).select(F.get(F.col("s"), F.col("i")).alias("s"), "p", "slot")
-    nth = F.row_number().over(W.partitionBy("source").orderBy("slot"))
-    return rows.select(F.col("s.source").alias("source"), F.col("s.weight").alias("weight"), F.col("p").alias("period"), "slot").withColumn("nth", nth)
+    slots = one.select("grp", "s", "p", F.aggregate(F.sequence(F.lit(0), F.col("p") - 1), zero, step, lambda x: x["slots"]).alias("slots"))
+    rows = slots.select("grp", "s", "p", F.posexplode("slots").alias("slot", "i")).select("grp", F.get(F.col("s"), F.col("i")).alias("s"), "p", "slot")
+    nth = F.row_number().over(W.partitionBy("grp", "source").orderBy("slot"))
+    out = rows.select("grp", F.col("s.source").alias("source"), F.col("s.weight").alias("weight"), F.col("p").alias("period"), "slot").withColumn("nth", nth)
+    return out if grouped else out.drop("grp")
+
+
+def slot_lists(slots: DataFrame) -> DataFrame:
+    """Slots of each source in one row: grp, source, weight, period, at."""
+    at = F.transform(F.sort_array(F.collect_list(F.struct("nth", "slot"))), lambda x: x["slot"])
+    return slots.groupBy("grp", "source", "weight", "period").agg(at.alias("at"))
+
+
+def slot_tables(docs: DataFrame, *, period: int = PERIOD, power: float = 0.5) -> tuple[DataFrame, int]:
+    """(w_source, weight_k, period_k, at_k of each level k) and the number of levels.
+
+    Up to `period` sources share one schedule. More are dealt to groups of sources of like
+    size, a fixed number each on the average, and the groups, with the sum of their masses,
+    are sources of the next level. Block b of a source is the q-th block of its group,
+    where q is its slot in the group's schedule, and so on up to the slot of the mixture.
+    Each schedule is a fold over its own group, so none grows with the number of sources.
+    """
+    counts = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("n"))
+    units = staged(counts.select("source", F.pow("n", F.lit(power)).alias("mass")), "sources")
+    many, most, fan = units.count(), period, max(2, period // (2 * SPREAD))
+    levels = []
+    while True:
+        grouped = None
+        if many > most:
+            size = units.withColumn("size", F.floor(F.log2("mass")))
+            rows = size.groupBy("size").agg(F.ceil(F.count("*") / fan).alias("groups"))
+            grouped = staged(size.join(rows.hint("merge"), "size").select(
+                F.concat_ws(":", "size", F.pmod(F.xxhash64("source"), "groups")).alias("grp"), "source", "mass"), "groups")
+            above = staged(grouped.groupBy("grp").agg(F.sum("mass").alias("mass")).select(F.col("grp").alias("source"), "mass"), "sources")
+            fewer = above.count()
+            # groups of one source each are not worth a level: the last level takes them as they are
+            grouped = grouped if 2 * fewer <= many else None
+        last = grouped is None
+        level = units.withColumn("grp", F.lit("")) if last else grouped
+        levels.append(staged(slot_lists(pfair_slots(staged(apportioned(level, period), "weights"))), "slots"))
+        if last:
+            break
+        units, many, most = above, fewer, period // SPREAD
+    table = levels[0].select(F.col("source").alias("w_source"), F.col("grp").alias("_up"), *[F.col(c).alias(f"{c}_0") for c in ("weight", "period", "at")])
+    for k, level in enumerate(levels[1:], 1):
+        level = level.select(F.col("source").alias("_g"), F.col("grp").alias("_next"), *[F.col(c).alias(f"{c}_{k}") for c in ("weight", "period", "at")])
+        table = table.join(level.hint("merge"), F.col("_up") == F.col("_g")).drop("_up", "_g").withColumnRenamed("_next", "_up")
+    return table.drop("_up"), len(levels)
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
@@ -60,7 +116,9 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, block_docs
     A source's documents are shuffled by md5(doc_id) and cut into blocks of `block_docs`;
     block b of a source with weight w gets slot pfair(b mod w) + period * (b div w). Ordered
     by (slot, pos), every prefix of slots holds each source within less than one block of
-    its target share, until a source ends; the others then go on in their own slots. All
+    its target share, until a source ends; the others then go on in their own slots. With
+    more than `period` sources they are scheduled in levels (see slot_tables): a source is
+    then within less than one block a level. All
     documents are kept. Ranks are counted in hash buckets of a source (BUCKET_DOCS each),
     whose sizes are summed, so that no task holds a source.
 
@@ -70,27 +128,31 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, block_docs
     """
     docs = docs.drop("source_rank", "block", "slot", "pos")
     if weights is None:
-        weights = staged(target_weights(docs, period=period), "weights")
-    slots = staged(pfair_slots(weights), "slots")
+        table, levels = slot_tables(docs, period=period)
+    else:
+        slots = slot_lists(staged(pfair_slots(weights.select("source", "weight", F.lit("").alias("grp"))), "slots"))
+        table, levels = slots.select(F.col("source").alias("w_source"), *[F.col(c).alias(f"{c}_0") for c in ("weight", "period", "at")]), 1
     buckets = min(65_536, max(1, -(-docs.count() // BUCKET_DOCS)))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     bucket = lambda k: F.floor(F.conv(F.substring(k, 1, 4), 16, 10).cast("int") * buckets / 65_536).cast("int")
     keyed = docs.withColumns({"_s": F.coalesce("source", F.lit("")), "_k": key, "_b": bucket(key), "_t": text_key(F.col("text"))})
     sizes = keyed.groupBy("_s", "_b").agg(F.count("*").alias("_n"))
     before = sizes.select(F.col("_s").alias("s"), F.col("_b").alias("b"), F.coalesce(F.sum("_n").over(W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    # the slots of one level are bounded (a period); those of many sources meet their source's few bucket rows, not its documents
+    if levels > 1:
+        before = before.join(table.hint("merge"), F.col("s") == F.col("w_source"), "left")
     ranked = (
         keyed.withColumn("_r", F.row_number().over(W.partitionBy("_s", "_b").orderBy("_k", "doc_id", "_t")))
         .join(before.hint("merge"), (F.col("_s") == F.col("s")) & (F.col("_b") == F.col("b")))
         .withColumn("source_rank", F.col("base") + F.col("_r") - 1)
         .withColumn("block", F.floor(F.col("source_rank") / block_docs))
     )
-    table = slots.groupBy("source", "weight", "period").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "slot"))), lambda x: x["slot"]).alias("at")).select(F.col("source").alias("w_source"), "weight", "period", "at")
-    # bounded: PERIOD slots in all
-    placed = ranked.join(F.broadcast(table), F.col("_s") == F.col("w_source"), "left")
-    return placed.withColumns({
-        "slot": F.get(F.col("at"), (F.col("block") % F.col("weight")).cast("int")) + F.floor(F.col("block") / F.col("weight")) * F.col("period"),
-        "pos": (F.col("source_rank") % block_docs).cast("int"),
-    }).select(*docs.columns, "source_rank", "block", "slot", "pos")
+    placed = ranked if levels > 1 else ranked.join(F.broadcast(table), F.col("_s") == F.col("w_source"), "left")
+    slot = F.col("block")
+    for k in range(levels):
+        placed = placed.withColumn(f"_slot_{k}", F.get(F.col(f"at_{k}"), (slot % F.col(f"weight_{k}")).cast("int")) + F.floor(slot / F.col(f"weight_{k}")) * F.col(f"period_{k}"))
+        slot = F.col(f"_slot_{k}")
+    return placed.withColumns({"slot": slot, "pos": (F.col("source_rank") % block_docs).cast("int")}).select(*docs.columns, "source_rank", "block", "slot", "pos")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

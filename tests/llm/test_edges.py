@@ -81,6 +81,25 @@ def test_mixing_keeps_rows_and_shares(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).collect() == [] and quality.quality_rules(docs(spark, []), spark.range(0).select(F.col("id").alias("doc_id"))).collect() == []
 
 
+@pytest.mark.parametrize("sources,period", [(1_500, mixing.PERIOD), (300, 16)])
+def test_mixing_holds_more_sources_than_the_period(spark, sources, period):
+    sizes = {f"s{i}": 1 + 2 * (i % 3) for i in range(sources)} | {"hot": sources}
+    rows = [(s, k) for s, n in sizes.items() for k in range(n)]
+    table = spark.createDataFrame([(i, s, "x") for i, (s, _) in enumerate(rows)], "doc_id bigint, source string, text string")
+    got = mixing.mix_sources(table, block_docs=1, period=period).collect()
+    assert len(got) == len(rows) and all(r.slot is not None and r.slot >= 0 for r in got)
+    assert len({(r.slot, r.pos) for r in got}) == len(rows)
+    assert all(r.slot < q.slot for r, q in zip(*(lambda x: (x, x[1:]))(sorted((r for r in got if r.source == "hot"), key=lambda r: r.source_rank))))
+    weights = [r.weight for r in mixing.target_weights(table, period=period).collect()]
+    assert len(weights) == len(sizes) and min(weights) >= 1
+    # the tempered share of the hot source, in any prefix of the slots
+    mass = {s: n**0.5 for s, n in sizes.items()}
+    share = mass["hot"] / sum(mass.values())
+    hot = sorted(r.slot for r in got if r.source == "hot")
+    for n, slot in enumerate(hot[:-1], 1):
+        assert abs(n - share * (slot + 1)) <= 3 + 0.2 * share * (slot + 1), (n, slot, share)
+
+
 def test_top_k_equals_brute_force(spark):
     import numpy as np
 
