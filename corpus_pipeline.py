@@ -42,11 +42,17 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the digests of ids and of the decoded bytes."""
+    """Token ids of every document with its place in the mixture, and the digests of ids and
+    of the decoded bytes.
+
+    Places depend on the documents alone, not on the order in which they are read, so they
+    are those of mix_stage: (slot, pos) orders the rows as the mixture does.
+    """
     import public_tokenizers
 
-    found = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), with_ids=True)
-    return found.select("doc_id", "n_tokens", "ids", F.sha2("ids_csv", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    mixed = staged(mixing.mix_sources(docs.select(COLUMNS)), "placed")  # short and long texts read it
+    found = bpe.encode_decode(mixed, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), with_ids=True, carry=("source", "slot", "pos"))
+    return found.select("doc_id", "source", "slot", "pos", "n_tokens", "ids", F.sha2("ids_csv", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

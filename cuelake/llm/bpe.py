@@ -109,7 +109,7 @@ def long_pieces(docs: DataFrame, path: str, *, chunk: int = CHUNK, overlap: int
     )
 
 
-def encode_decode(docs: DataFrame, path: str, *, chunk: int = CHUNK, overlap: int = OVERLAP, with_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, *, chunk: int = CHUNK, overlap: int = OVERLAP, with_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Encode every text and decode its ids again: doc_id, n_tokens, ids_csv, decoded.
 
     ids_csv holds the ids in decimal, joined by commas; decoded the concatenated bytes
@@ -117,9 +117,10 @@ def encode_decode(docs: DataFrame, path: str, *, chunk: int = CHUNK, overlap: in
     A text of at most one chunk is encoded where it is read; only longer ones are cut
     (see long_pieces), their pieces encoded in parallel and joined in order. Rows that
     repeat a doc_id are kept apart by their text; equal rows give equal rows (long ones
-    are encoded once and repeated). A null doc_id is carried. Other columns are dropped.
+    are encoded once and repeated). A null doc_id is carried. Other columns are dropped,
+    but those named in carry stay with their row.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"_row": text_key(F.col("text")), "_n": F.length("text")})
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *carry).withColumns({"_row": text_key(F.col("text")), "_n": F.length("text")})
 
     def encode(batches):
         c = codec(path)
@@ -130,22 +131,29 @@ def encode_decode(docs: DataFrame, path: str, *, chunk: int = CHUNK, overlap: in
                 n.append(len(ids))
                 csv.append(",".join([c.decimal[i] for i in ids]))
                 raw.append(b"".join([c.raw[i] for i in ids]))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["_row"], b["copies"], b["piece"], pa.array(n, pa.int64()), pa.array(csv, pa.string()), pa.array(raw, pa.binary())], names=["doc_id", "_row", "copies", "piece", "n_tokens", "ids_csv", "decoded"])
+            with_row = [x for x in b.schema.names if x != "text"]
+            yield pa.RecordBatch.from_arrays([*[b[x] for x in with_row], pa.array(n, pa.int64()), pa.array(csv, pa.string()), pa.array(raw, pa.binary())], names=[*with_row, "n_tokens", "ids_csv", "decoded"])
 
-    schema = "doc_id bigint, _row bigint, copies bigint, piece bigint, n_tokens bigint, ids_csv string, decoded binary"
+    held = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    schema = "doc_id bigint, _row bigint, copies bigint, piece bigint{}, n_tokens bigint, ids_csv string, decoded binary"
     one = F.lit(1).cast("long")
-    short = rows.filter(F.col("_n") <= chunk).select("doc_id", "_row", one.alias("copies"), one.alias("piece"), "text").mapInArrow(encode, schema)
+    short = rows.filter(F.col("_n") <= chunk).select("doc_id", "_row", one.alias("copies"), one.alias("piece"), "text", *carry).mapInArrow(encode, schema.format(held))
     long_rows = rows.filter(F.col("_n") > chunk).groupBy("doc_id", "_row").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+    with_rows = rows.filter(F.col("_n") > chunk).select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), *carry)
     joined = (
         long_pieces(long_rows, path, chunk=chunk, overlap=overlap)
-        .mapInArrow(encode, schema)
+        .mapInArrow(encode, schema.format(""))
         .groupBy("doc_id", "_row", "copies")
         .agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("piece", "ids_csv", F.hex("decoded").alias("hex")))).alias("p"))
-        .select("doc_id", "n_tokens", F.array_join(F.filter(F.col("p.ids_csv"), lambda x: x != ""), ",").alias("ids_csv"),
-                F.unhex(F.array_join(F.col("p.hex"), "")).alias("decoded"), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_c"))
-        .drop("_c")
+        .select("doc_id", "_row", "copies", "n_tokens", F.array_join(F.filter(F.col("p.ids_csv"), lambda x: x != ""), ",").alias("ids_csv"),
+                F.unhex(F.array_join(F.col("p.hex"), "")).alias("decoded"))
     )
-    out = short.select("doc_id", "n_tokens", "ids_csv", "decoded").unionByName(joined)
+    if carry:
+        joined = joined.join(with_rows.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")))
+    else:
+        joined = joined.withColumn("_c", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    columns = ["doc_id", *carry, "n_tokens", "ids_csv", "decoded"]
+    out = short.select(columns).unionByName(joined.select(columns))
     if with_ids:
         out = out.withColumn("ids", F.when(F.col("ids_csv") == "", F.array().cast("array<int>")).otherwise(F.split("ids_csv", ",").cast("array<int>")))
     return out

@@ -112,3 +112,46 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, docs, str(tmp_path)).columns == corpus_pipeline.COLUMNS
             assert stage(spark, docs, str(tmp_path)).count() <= len(data)
+
+
+def places(docs, period, block_docs):
+    """(doc_id, slot, pos) by plain Pfair scheduling of (doc_id, source)."""
+    by = {}
+    for d, s in docs:
+        by.setdefault(s or "", []).append(d)
+    names, total = sorted(by), sum(len(x) ** 0.5 for x in by.values())
+    x = {s: len(by[s]) ** 0.5 / total * (period - len(by)) for s in names}
+    weight = {s: math.floor(x[s]) + 1 for s in names}
+    rest = period - sum(weight.values())
+    for s in sorted(names, key=lambda s: (-round(x[s] - math.floor(x[s]), 9), s))[:rest]:
+        weight[s] += 1
+    at, done = {s: [] for s in names}, dict.fromkeys(names, 0)
+    for t in range(period):
+        ready = [(-(-(done[s] + 1) * period // weight[s]), s) for s in names if done[s] * period // weight[s] <= t]
+        s = min(ready)[1]
+        at[s].append(t)
+        done[s] += 1
+    out = []
+    for s, ids in by.items():
+        for rank, d in enumerate(sorted(ids, key=lambda d: hashlib.md5(str(d).encode()).hexdigest())):
+            block = rank // block_docs
+            out.append((d, s, at[s][block % weight[s]] + period * (block // weight[s]), rank % block_docs))
+    return sorted(out)
+
+
+def test_run_returns_the_places_of_the_mixture(spark, tmp_path):
+    docs = [(i, f"text {i} " * (1 + i % 5), f"src{i % 4 if i % 3 else 0}") for i in range(300)]
+    docs += [(400, "long text of many words " * 4_000, "src1"), (401, "long text of many words " * 4_000, None)]
+    frame = spark.createDataFrame([(d, t, "en", s, len(t)) for d, t, s in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for name, stage in corpus_pipeline.STAGES[3:]:
+        frame = corpus_pipeline.staged(stage(spark, frame, str(tmp_path)), name.replace(" ", "-"))
+    got = frame.collect()
+    enc = bpe.codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).encoding
+    assert sorted((r.doc_id, r.source or "", r.slot, r.pos) for r in got) == places([(d, s) for d, _, s in docs], 1_000, 16)
+    assert {r.doc_id: list(r.ids) for r in got} == {d: enc.encode_ordinary(t) for d, t, _ in docs}
+
+
+def test_copies_of_long_texts_keep_their_places(spark):
+    rows = [(i % 2 or None, "abc def " * 20, k) for k, i in enumerate([0, 0, 1, 1, 1])] + [(7, "short", 9)]
+    got = bpe.encode_decode(spark.createDataFrame(rows, "doc_id bigint, text string, slot int"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), chunk=64, overlap=16, carry=("slot",)).collect()
+    assert sorted((r.doc_id or 0, r.slot, r.decoded.decode()) for r in got) == sorted((d or 0, k, t) for d, t, k in rows)
