@@ -11,13 +11,11 @@ from pyspark.sql import functions as F
 from cuelake.llm.common import batch_words, staged
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity whose co-occurrence with it is counted.
-CONTEXT = 8
 #: Documents in which a term and an entity must meet before they count as a pair.
 SUPPORT = 3
 #: Share of an entity's information, PMI(term; entity) / IC(entity), that a term may reveal.
 DISCLOSURE = 0.8
-#: Distinct words a task counts before it passes the counts on.
+#: Distinct words, or pairs of an entity and a word, a task counts before it passes the counts on.
 COUNTED = 300_000
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -84,106 +82,143 @@ def entity_name(kind: str, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{norm}".encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def contexts(text: str, spans: dict[str, list[tuple[int, int]]], width: int):
-    """(entity, term, start, end) of the words near each span that overlap no span."""
-    taken = sorted(s for k in KINDS for s in spans[k])
-    if not taken:
-        return []
-    w = [m.span() for m in _WORD.finditer(text)]
-    starts = [s for s, _ in w]
-    from bisect import bisect_left, bisect_right
-
-    hidden = set()
-    for s, e in taken:
-        hidden.update(range(max(bisect_right(starts, s) - 1, 0), bisect_left(starts, e)))
-    out = []
-    for k in KINDS:
-        for s, e in spans[k]:
-            name = entity_name(k, text[s:e])
-            first, last = max(bisect_right(starts, s) - 1, 0), bisect_left(starts, e)
-            for i in [*range(max(first - width, 0), first), *range(last, min(last + width, len(w)))]:
-                if i not in hidden:
-                    out.append((name, text[w[i][0] : w[i][1]], *w[i]))
+def occurrences(text: str) -> dict[str, list[int]]:
+    """Starts of the words that overlap no base span, by word."""
+    taken = sorted(s for found in base_spans(text).values() for s in found)
+    reach, k, out = 0, 0, {}
+    for m in _WORD.finditer(text):
+        while k < len(taken) and taken[k][0] < m.end():
+            reach = max(reach, taken[k][1])
+            k += 1
+        if reach <= m.start():
+            out.setdefault(m.group(), []).append(m.start())
     return out
 
 
-FOUND = "doc_id bigint, _row bigint, base array<string>, near array<struct<entity:bigint,term:string,start:int,end:int>>"
+FOUND = "doc_id bigint, _row bigint, base array<string>, entities array<bigint>, text string"
 
 
-def find_entities(docs: DataFrame, width: int) -> DataFrame:
-    """Per row: base spans as kind:start:end, and the words near them."""
-    near = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+def find_entities(docs: DataFrame) -> DataFrame:
+    """Per row: base spans as kind:start:end, and, where there are any, the names of the
+    entities and the text."""
 
     def rows(batches):
         for b in batches:
-            base, ctx = [], []
+            base, entities, texts = [], [], []
             for x in b["text"]:
                 text = x.as_py() or ""
                 spans = base_spans(text)
                 base.append([f"{k}:{s}:{e}" for k in KINDS for s, e in spans[k]])
-                ctx.append([dict(zip(("entity", "term", "start", "end"), c)) for c in contexts(text, spans, width)])
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["_row"], pa.array(base, pa.list_(pa.string())), pa.array(ctx, near)], names=["doc_id", "_row", "base", "near"])
+                entities.append(sorted({entity_name(k, text[s:e]) for k in KINDS for s, e in spans[k]}))
+                texts.append(text if entities[-1] else None)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["_row"], pa.array(base, pa.list_(pa.string())), pa.array(entities, pa.list_(pa.int64())), pa.array(texts, pa.string())], names=["doc_id", "_row", "base", "entities", "text"])
 
     return docs.mapInArrow(rows, FOUND)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(term, n): occurrences of every word of the corpus, added up in each task first."""
+def counted(frame: DataFrame, columns: dict[str, str], batch_counts) -> DataFrame:
+    """The counts that batch_counts gives of each batch, added up in each task first, as
+    `columns` (name: type) and n."""
+    schema = pa.schema([*((c, pa.int64() if t == "bigint" else pa.string()) for c, t in columns.items()), ("n", pa.int64())])
 
     def rows(batches):
         total: dict = {}
 
         def batch():
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
-
-        import numpy as np
+            keys = zip(*total) if len(columns) > 1 else [list(total)]
+            return pa.RecordBatch.from_arrays([*(pa.array(k, f.type) for k, f in zip(keys, schema)), pa.array(list(total.values()), pa.int64())], schema=schema)
 
         for b in batches:
-            codes, dictionary, _ = batch_words(b["text"])
-            for w, n in zip(dictionary.to_pylist(), np.bincount(codes, minlength=len(dictionary)).tolist()):
-                total[w] = total.get(w, 0) + n
-            if len(total) > COUNTED:
-                yield batch()
-                total.clear()
+            for some in batch_counts(b):
+                for k, n in some:
+                    total[k] = total.get(k, 0) + n
+                if len(total) > COUNTED:
+                    yield batch()
+                    total.clear()
         if total:
             yield batch()
 
-    return docs.select("text").mapInArrow(rows, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return frame.mapInArrow(rows, ", ".join(f"{c} {t}" for c, t in columns.items()) + ", n bigint").groupBy(*columns).agg(F.sum("n").alias("n"))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(term, n): rows that hold each word of the corpus."""
+
+    def batch_counts(b):
+        import numpy as np
+
+        codes, dictionary, starts = batch_words(b["text"])
+        size = max(len(dictionary), 1)
+        once = np.unique(np.repeat(np.arange(len(starts) - 1), np.diff(starts)) * size + codes) % size
+        yield zip(dictionary.to_pylist(), np.bincount(once, minlength=len(dictionary)).tolist())
+
+    return counted(docs.select("text"), {"term": "string"}, batch_counts)
 
 
-def disclosing_pairs(found: DataFrame, counts: DataFrame, *, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def recurring(found: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
+    """(entity, n_e) of the entities in `support` rows or more (no pair of another can be
+    met so often), and the rows that hold them: doc_id, _row, text, entities."""
+    some = found.filter(F.size("entities") > 0)
+    each = some.select("doc_id", "_row", F.explode("entities").alias("entity"))
+    known = staged(each.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support), "recurring")
+    rows = each.join(known.hint("merge"), "entity").groupBy(F.col("doc_id").alias("_d"), F.col("_row").alias("_r")).agg(F.collect_set("entity").alias("entities"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r"))
+    return known, staged(some.drop("entities").join(rows.hint("merge"), same).select("doc_id", "_row", "text", "entities"), "held")
+
+
+def disclosing_pairs(known: DataFrame, held: DataFrame, counts: DataFrame, total: int, *, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(entity, term) pairs whose co-occurrence reveals too much of the entity.
 
-    p(t), p(e) and p(t, e) are shares of all words: occurrences of t, words near e, and
-    occurrences of t near e. PMI = ln(p(t, e) / (p(t) p(e))) is the information t gives about
-    e, IC = -ln p(e) all there is to know. Pairs met in `support` rows or more with
-    PMI >= disclosure * IC are returned.
+    p(t), p(e) and p(t, e) are shares of the `total` rows: those that hold t, e, and both,
+    however far apart. PMI = ln(p(t, e) / (p(t) p(e))) is the information t gives about
+    e, IC = -ln p(e) all there is to know (none of an entity in every row). Pairs met in
+    `support` rows or more with PMI >= disclosure * IC are returned.
     """
-    met = found.select(F.explode("near").alias("x")).select("x.entity", "x.term")
-    each = found.select("doc_id", "_row", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x"))
-    rows_met = each.groupBy("x.entity", "x.term").agg(F.count("*").alias("rows")).filter(F.col("rows") >= support)
-    pairs = met.groupBy("entity", "term").agg(F.count("*").alias("n_te")).join(rows_met.hint("merge"), ["entity", "term"])
-    entity = met.groupBy("entity").agg(F.count("*").alias("n_e"))
-    total = counts.agg(F.sum("n")).first()[0] or 1
+
+    def batch_counts(b):
+        for text, entities in zip(b["text"].to_pylist(), b["entities"].to_pylist()):
+            terms = list(occurrences(text))
+            for e in entities:
+                yield (((e, t), 1) for t in terms)
+
+    met = counted(held.select("text", "entities"), {"entity": "bigint", "term": "string"}, batch_counts)
+    pairs = met.filter(F.col("n") >= support).withColumnRenamed("n", "n_te")
     p = lambda c: F.col(c) / F.lit(float(total))
-    scored = pairs.join(entity.hint("merge"), "entity").join(counts.hint("merge"), "term")
+    scored = pairs.join(known.hint("merge"), "entity").join(counts.hint("merge"), "term").filter(F.col("n_e") < total)
     return scored.filter(F.log(p("n_te") / (p("n") * p("n_e"))) >= -disclosure * F.log(p("n_e"))).select("entity", "term")
 
 
-def personal_data(docs: DataFrame, *, width: int = CONTEXT, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def located(held: DataFrame) -> DataFrame:
+    """(doc_id, _row, entities, term, starts): every word outside base spans."""
+    kind = pa.schema([("doc_id", pa.int64()), ("_row", pa.int64()), ("entities", pa.list_(pa.int64())), ("term", pa.string()), ("starts", pa.list_(pa.int32()))])
+
+    def rows(batches):
+        for b in batches:
+            for doc, row, text, entities in zip(*(b[c].to_pylist() for c in ("doc_id", "_row", "text", "entities"))):
+                at = occurrences(text)
+                n = len(at)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([doc] * n, [row] * n, [entities] * n, list(at), list(at.values())), kind)], schema=kind)
+
+    return held.select("doc_id", "_row", "text", "entities").mapInArrow(rows, "doc_id bigint, _row bigint, entities array<bigint>, term string, starts array<int>")
+
+
+def personal_data(docs: DataFrame, *, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, _row, base and terms: spans (kind:start:end, code points) of every row.
 
-    base holds the fixed patterns by kind, then start; terms the words near a protected
-    entity that disclose it (see disclosing_pairs), as term:start:end. Base spans never
+    base holds the fixed patterns by kind, then start; terms every occurrence, in the rows
+    that hold a protected entity, of the words that disclose it (see disclosing_pairs), as
+    term:start:end. Base spans never
     depend on the corpus. One row a row of docs; null texts are empty; null and repeated
     ids are carried (_row is a tag of the text); an empty table gives an empty table.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("_row"), "text")
-    found = staged(find_entities(rows, width), "entities")
-    some = found.filter(F.size("near") > 0)
-    bad = staged(disclosing_pairs(some, staged(word_counts(rows), "words"), support=support, disclosure=disclosure), "disclosing")
-    at = some.select("doc_id", "_row", F.explode("near").alias("x")).select("doc_id", "_row", "x.*").distinct()
-    hits = at.join(bad.hint("merge"), ["entity", "term"]).groupBy("doc_id", "_row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("s"))
+    found = staged(find_entities(rows), "entities")
+    known, held = recurring(found, support)
+    bad = staged(disclosing_pairs(known, held, staged(word_counts(rows), "words"), found.count(), support=support, disclosure=disclosure), "disclosing")
+    bad = bad.select("entity", F.col("term").alias("_t"))
+    at = located(held).join(bad.hint("merge"), (F.col("term") == F.col("_t")) & F.array_contains("entities", F.col("entity")))
+    spans = F.transform("starts", lambda x: F.struct(x.alias("start"), (x + F.length("term")).alias("end")))
+    hits = at.select("doc_id", "_row", spans.alias("s")).distinct().groupBy("doc_id", "_row").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("s"))
     spans = F.transform("s", lambda x: F.concat_ws(":", F.lit("term"), x["start"], x["end"]))
     hits = hits.select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), spans.alias("terms"))
     return found.select("doc_id", "_row", "base").join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left").select(

@@ -54,6 +54,21 @@ def test_terms_that_disclose(spark):
     assert "[EMAIL]" in clean[1] and "nickname" not in clean[1] and clean[40] is None
 
 
+def test_disclosing_terms_are_found_and_removed_at_any_distance(spark):
+    far = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, f"alias opens {far} mail jo@ex.com near codename and {far} codename closes alias") for i in range(4)]
+    rows += [(10 + i, f"opens {far} mail near and closes here {i}") for i in range(30)]
+    rows += [(50, "alias codename without the entity")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spans = pii.personal_data(docs)
+    got = {r.doc_id: r.terms for r in spans.collect()}
+    want = [f"term:{m.start()}:{m.end()}" for m in re.finditer("alias|codename", rows[0][1])]
+    assert len(want) == 4 and all(got[i] == want for i in range(4))
+    assert all(not got[d] for d, _ in rows[4:])
+    text = pii.sanitise(docs, spans).filter("doc_id = 1").first().text
+    assert "alias" not in text and "codename" not in text and "[EMAIL]" in text and "w39" in text
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert pii.personal_data(docs).collect() == []
