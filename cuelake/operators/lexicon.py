@@ -240,31 +240,75 @@ def _segments(text: str, entries: dict[str, str], longest: dict[str, int]) -> It
         at = end
 
 
+def _grams(text: str, lengths: list[int]) -> list[str]:
+    """Distinct strings of the given lengths that begin where the segmentation may look up."""
+    starts = [at for at, c in enumerate(text) if not (c in _ALNUM or c.isspace() or c in _COPIED)]
+    return list(dict.fromkeys(text[at : at + n] for at in starts for n in lengths if at + n <= len(text)))
+
+
+def _longest(entries: dict[str, str]) -> dict[str, int]:
+    longest: dict[str, int] = {}
+    for k in entries:
+        longest[k[0]] = max(longest.get(k[0], 0), len(k))
+    return longest
+
+
+def _segmented_by_join(distinct: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Adds _o: each text is segmented with the entries that occur in it, which an
+    equi-join of its n-grams (lengths of the lexicon, MAX_KEY at most) with the lexicon finds."""
+    lengths = sorted(r.n for r in lexicon.select(F.length("key").alias("n")).distinct().collect())
+
+    @F.pandas_udf("array<string>")
+    def grams(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: [] if v is None else _grams(v, lengths))
+
+    @F.pandas_udf("string")
+    def segment(x: pd.Series, keys: pd.Series, values: pd.Series) -> pd.Series:
+        def one(v, k, w):
+            if v is None:
+                return None
+            own = {} if k is None else dict(zip(k, w))
+            return " ".join(_segments(v, own, _longest(own)))
+
+        return pd.Series([one(*r) for r in zip(x, keys, values)], dtype=object)
+
+    found = distinct.select(F.col("text").alias("_g"), F.explode(grams("text")).alias("key")).join(lexicon.hint("merge"), "key")
+    own = found.groupBy("_g").agg(F.collect_list(F.struct("key", "value")).alias("_e"))
+    return distinct.join(own.hint("merge"), F.col("text") == F.col("_g"), "left").select("text", segment("text", F.col("_e.key"), F.col("_e.value")).alias("_o"))
+
+
 def translate_longest(texts: DataFrame, lexicon: DataFrame, shortcuts: DataFrame | None = None, *, max_entries: int = 1_000_000) -> DataFrame:
     """Adds out to texts (text): greedy longest match from left to right, word by word.
 
     Space and ASCII marks are copied, runs of letters and digits copied whole, everything
     else is looked up (at most MAX_KEY characters) or copied; parts are joined by spaces and
-    tidied, then abbreviations and phrase rules apply. The lexicon goes to the workers as
-    one broadcast: more than `max_entries` entries are refused. Only distinct texts are sent.
+    tidied, then abbreviations and phrase rules apply. Entries that begin with a copied
+    character are never looked up and are left out. The others go to the workers as
+    one broadcast; more than `max_entries` are met by an equi-join instead. Only distinct texts are sent.
     """
     spark = texts.sparkSession
-    rows = lexicon.select("key", "value").filter(F.length("key").between(1, MAX_KEY)).limit(max_entries + 1).toLocalIterator()
-    entries = {r.key: r.value for r in rows}
-    if len(entries) > max_entries:
-        raise ValueError(f"more than {max_entries} lexicon entries")
-    shared = spark.sparkContext.broadcast(entries)
-
-    @F.pandas_udf("string")
-    def segment(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = shared.value
-        longest: dict[str, int] = {}
-        for k in known:
-            longest[k[0]] = max(longest.get(k[0], 0), len(k))
-        for b in batches:
-            yield b.map(lambda x: None if x is None else " ".join(_segments(x, known, longest)))
-
-    distinct = texts.select("text").distinct().withColumn("_o", t.tidy_marks(segment("text")))
+    usable = lexicon.select("key", "value").filter(F.length("key").between(1, MAX_KEY) & ~F.substring("key", 1, 1).isin(*sorted(_ALNUM | _COPIED)))
+    entries = {}
+    for n, r in enumerate(usable.limit(max_entries + 1).toLocalIterator()):
+        if n == max_entries:
+            entries = None
+            break
+        entries[r.key] = r.value
+    distinct = texts.select("text").distinct()
+    if entries is None:
+        distinct = _segmented_by_join(distinct, usable)
+    else:
+        shared = spark.sparkContext.broadcast(entries)
+
+        @F.pandas_udf("string")
+        def segment(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            known = shared.value
+            longest = _longest(known)
+            for b in batches:
+                yield b.map(lambda x: None if x is None else " ".join(_segments(x, known, longest)))
+
+        distinct = distinct.withColumn("_o", segment("text"))
+    distinct = distinct.withColumn("_o", t.tidy_marks(F.col("_o")))
     if shortcuts is not None:
         distinct = distinct.withColumn("_p", pairs_array(shortcuts, F.col("ord"))).withColumn("_o", t.replace_words(F.col("_o"), F.col("_p"))).drop("_p")
     distinct = distinct.select(F.col("text").alias("_t"), t.phrase_style(F.col("_o")).alias("out"))

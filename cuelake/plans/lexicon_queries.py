@@ -178,7 +178,8 @@ def x14(spark, d):
 
 @query("x15_longest_match")
 def x15(spark, d):
-    lexicon = words(spark, d).filter("uses > 20").orderBy(F.desc("uses"), "word").limit(5_000).select(F.col("word").alias("key"), F.upper("word").alias("value"))
+    # words that begin with an ASCII letter or digit are copied without a look-up
+    lexicon = words(spark, d).filter(F.length("word").between(1, lex.MAX_KEY) & ~F.col("word").rlike("^[A-Za-z0-9]")).select(F.col("word").alias("key"), F.upper("word").alias("value"))
     return lex.translate_longest(distinct_lines(spark, d), lexicon)
 
 

@@ -200,3 +200,19 @@ def test_history_and_search(spark):
     assert quality.keep_latest(rows, "user", [F.desc("at")]).count() == 50
     found = c.search(cues(spark, (0, 1, "Xin chào"), (1, 2, "chào"), (2, 3, "CHÀO")).withColumn("orig", F.lit("z")), "chào", ["text", "orig"]).first()
     assert (found.hits_text, found.hits_orig, found.hits_all) == (3, 0, 3)
+
+
+def test_longest_match_past_the_broadcast_bound(spark):
+    entries = {"你好": "xin chào", "你": "bạn", "好吗": "ổn không", "éa": "Éa", "abc": "never"}
+    lex = spark.createDataFrame(list(entries.items()), "key string, value string")
+    x = spark.createDataFrame([("你好吗 abc",), ("你，x1",), ("plain",), ("",), (None,), ("你好你好éa",)], "text string")
+    rows = lambda **k: {r.text: r.out for r in lexicon.translate_longest(x, lex, **k).collect()}
+    assert rows(max_entries=2) == rows() and len(rows()) == 6 and rows()["你，x1"] == "bạn ， x1"
+
+
+def test_longest_match_query_knows_rare_words(spark, tmp_path, monkeypatch):
+    from cuelake.plans import lexicon_queries as q
+
+    spark.createDataFrame([(1, "once éa here"), (2, "plain words")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(q, "distinct_lines", lambda s, d: s.createDataFrame([("x éa y",)], "text string"))
+    assert [r.out for r in q.x15(spark, str(tmp_path)).collect()] == ["x ÉA y"]
