@@ -1,6 +1,7 @@
 """Line dedup on levelled sorted runs of line hashes."""
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,51 +24,55 @@ def line_hash(key: Column) -> Column:
 class LineRuns:
     """Levelled sorted runs of (h, owner): a line hash and the first document that had it.
 
-    Every run is a Parquet table sorted by h within range partitions of h. A batch
-    adds one run to level 0; when a level holds `fanout` runs they are merged into
-    one run of the next level, so a hash is rewritten once per level and a batch
-    meets at most fanout * levels runs.
+    Every run is a table bucketed and sorted by h, in the shared folder. A batch adds one
+    run to level 0; when a level holds `fanout` runs they are merged, bucket by bucket,
+    into one run of the next level: a hash is rewritten once a level, and a batch meets
+    at most fanout * levels runs. All runs have the same buckets, so the batch is
+    exchanged once and merge-joins one run after another; no run is exchanged again.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
+    def __init__(self, spark: SparkSession, fanout: int = 4, buckets: int | None = None):
         self.spark, self.fanout, self.levels = spark, fanout, [[]]
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def known(self) -> DataFrame | None:
-        """All runs as one table; a hash is in one run only."""
-        paths = [p for level in self.levels for p in level]
-        return self.spark.read.parquet(*paths) if paths else None
+    def known(self) -> list[DataFrame]:
+        """The runs, the largest first; a hash is in one run only."""
+        return [self.spark.table(name) for level in reversed(self.levels) for name, _ in level]
 
     def admit(self, lines: DataFrame) -> DataFrame:
-        """Owners (h, owner) of every hash in `lines` (h, doc_id), after adding the new ones.
+        """Owners (h, owner, latest) of every hash in `lines` (h, doc_id), after adding the
+        new ones; latest is the largest doc_id of the batch that holds it.
 
-        The batch's hashes are reduced to one row each before the exchange, then
-        merge-joined once with the runs; those not found become the batch's run.
+        The batch's hashes are reduced to one row each before the exchange; those that no
+        run holds become the batch's run.
         """
-        mine = lines.groupBy("h").agg(F.min("doc_id").alias("mine"))
-        runs = self.known()
-        if runs is None:
-            owners = mine.select("h", F.col("mine").alias("owner"), F.lit(True).alias("new"))
-        else:
-            owners = mine.join(runs.hint("merge"), "h", "left").select(
-                "h", F.coalesce("owner", "mine").alias("owner"), F.isnull("owner").alias("new")
-            )
+        rows = lines.groupBy("h").agg(F.min("doc_id").alias("mine"), F.max("doc_id").alias("latest"), F.lit(None).cast("bigint").alias("owner"))
+        for run in self.known():
+            run = run.select("h", F.col("owner").alias("found"))
+            rows = rows.join(run.hint("merge"), "h", "left").select("h", "mine", "latest", F.coalesce("owner", "found").alias("owner"))
         batch = stage_path(self.spark, "line-owners")
-        owners.write.parquet(batch)
-        owners = self.spark.read.schema("h binary, owner bigint, new boolean").parquet(batch)
+        rows.select("h", F.coalesce("owner", "mine").alias("owner"), "latest", F.isnull("owner").alias("new")).write.parquet(batch)
+        owners = self.spark.read.schema("h binary, owner bigint, latest bigint, new boolean").parquet(batch)
         self._write(owners.filter("new").select("h", "owner"), 0)
-        return owners.select("h", "owner")
+        return owners.select("h", "owner", "latest")
 
     def _write(self, rows: DataFrame, level: int) -> None:
         path = stage_path(self.spark, f"line-run-{level}")
-        rows.repartitionByRange("h").sortWithinPartitions("h").write.parquet(path)
+        name = os.path.basename(path).replace("-", "_")
+        rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append((name, path))
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            self._write(self.spark.read.parquet(*old), level + 1)
-            for p in old:
-                drop_path(self.spark, p)
+            self._write(reduce(DataFrame.unionByName, [self.spark.table(name) for name, _ in old]), level + 1)
+            self.drop(old)
+
+    def drop(self, runs: list | None = None) -> None:
+        """Delete runs (all of them unless given)."""
+        for name, path in runs or [run for level in self.levels for run in level]:
+            self.spark.sql(f"DROP TABLE {name}")
+            drop_path(self.spark, path)
 
 
 def dedup_lines(docs: DataFrame, *, min_chars: int = 10, batches: int = 4, fanout: int = 4, runs: LineRuns | None = None) -> DataFrame:
@@ -78,9 +83,10 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 10, batches: int = 4, fanou
     at least `min_chars` code points that several documents hold keeps its lines only
     in the smallest doc_id holding it, all of them; shorter lines always stay.
 
-    Documents are taken in `batches` ranges of ascending doc_id, each against the
-    runs of all before. Only hashes, ids and line numbers are exchanged before the
-    dropped positions meet the texts in one join.
+    Documents are taken in `batches` ranges of ascending doc_id with like numbers of
+    rows, each against the runs of all before. Only hashes, ids and line numbers are
+    exchanged before the dropped positions meet the texts in one join, and of the
+    owners only those of lines that a later document holds.
 
     Columns of `docs` stay (text is the kept text), plus n_lines and n_dropped.
     Rows without doc_id pass whole and own nothing; rows that repeat a doc_id are
@@ -88,24 +94,28 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 10, batches: int = 4, fanou
     names are carried, n_lines and n_dropped of the input are replaced.
     """
     spark = docs.sparkSession
-    runs = runs or LineRuns(spark, fanout)
+    own, runs = runs is None, runs or LineRuns(spark, fanout)
     docs = docs.drop("n_lines", "n_dropped")
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    marks = [k / batches for k in range(1, batches)]
+    high, *cuts = docs.agg(F.max("doc_id"), *[F.percentile_approx("doc_id", m, 1_000) for m in marks]).first()
     found = []
-    if low is not None:
-        step = (high - low) // batches + 1
-        for start in range(low, high + 1, step):
-            part = docs.select("doc_id", "text").filter((F.col("doc_id") >= start) & (F.col("doc_id") < start + step))
+    if high is not None:
+        ends = sorted({*cuts, high})
+        for above, upto in zip([None, *ends], ends):
+            part = docs.select("doc_id", "text").filter(F.col("doc_id") <= upto)
+            part = part if above is None else part.filter(F.col("doc_id") > above)
             lines = (
                 part.select("doc_id", text_key("text").alias("_row"), F.posexplode(F.split("text", "\n")).alias("_at", "_line"))
                 .select("doc_id", "_row", "_at", line_key(F.col("_line")).alias("_key"))
                 .filter(F.length("_key") >= min_chars)
                 .select("doc_id", "_row", "_at", line_hash(F.col("_key")).alias("h"))
             )
-            owners = runs.admit(lines)
+            owners = runs.admit(lines).filter("owner < latest").select("h", "owner")
             found.append(
                 lines.join(owners.hint("merge"), "h").filter(F.col("owner") < F.col("doc_id")).select("doc_id", "_row", "_at")
             )
+        if own:
+            runs.drop()
     split = F.split(F.coalesce("text", F.lit("")), "\n")
     if not found:
         return docs.withColumns({"n_lines": F.size(split).cast("long"), "n_dropped": F.lit(0).cast("long"), "text": F.coalesce("text", F.lit(""))})

@@ -1,4 +1,5 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+import gzip
 import hashlib
 import re
 from collections import Counter
@@ -40,8 +41,18 @@ def test_runs_are_compacted(spark):
     for k in range(5):
         runs.admit(spark.range(10 * k, 10 * k + 15).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("h"), F.lit(k).cast("bigint").alias("doc_id")))
     assert all(len(level) < 2 for level in runs.levels)
-    owners = {r.owner: r["count"] for r in runs.known().groupBy("owner").count().collect()}
+    owners = Counter(r.owner for run in runs.known() for r in run.collect())
     assert owners == {0: 15, 1: 10, 2: 10, 3: 10, 4: 10}
+    plan = runs.known()[0].join(spark.range(1).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("h")).hint("merge"), "h")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan  # of the batch only
+    runs.drop()
+
+
+@pytest.mark.parametrize("ids", [[-(2**63), 2**63 - 1, 0], [-(2**63), -(2**63) + 1], [2**63 - 1] * 2, [5, 10**15, 10**18]])
+def test_line_dedup_of_extreme_ids(spark, ids):
+    table = docs(spark, [(i, f"a common line\nline of {k} alone") for k, i in enumerate(ids)])
+    got = {(r.doc_id, r.n_dropped) for r in line_dedup.dedup_lines(table).collect()}
+    assert got == {(i, int(i != min(ids))) for i in ids}
 
 
 def test_quality_counts(spark):
@@ -145,6 +156,28 @@ def test_warc_round_trip(spark):
     assert warc.resolve_revisits(warc.assemble(warc.read_warc(spark, empty))).collect() == []
 
 
+def test_warc_negative_and_null_ids(spark):
+    big = "x" * 200
+    pages = spark.createDataFrame([(-5, None, big), (3, None, big), (None, None, big), (2**63 - 1, None, big), (-(2**63), None, "s")], "page_id bigint, url string, html string")
+    path = stage_path(spark, "warc")
+    warc.write_warc(pages, path)
+    records = warc.read_warc(spark, path)
+    assert records.select("record_id").distinct().count() == 15
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.resolve_revisits(warc.assemble(records)).collect()}
+    assert got == {(-5, "response", None), (3, "revisit", -5), (None, "revisit", -5), (2**63 - 1, "revisit", -5), (-(2**63), "response", None)}
+
+
+@pytest.mark.parametrize("form", ["members", "plain"])
+def test_foreign_archives(spark, tmp_path, form):
+    blocks = [b"", bytes(range(256)) * 3, b"WARC/1.1\r\n\r\nWARC/1.0\r\n\r\n", b"\r\n\r\nWARC/" * 50, b"\r\n\r\n", b"p" * 100_000]
+    raw = [b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <%d>\r\nContent-Length: %d\r\n\r\n" % (i, len(x)) + x + b"\r\n\r\n" for i, x in enumerate(blocks)]
+    for k in range(2):
+        file = tmp_path / f"{k}.warc{'.gz' if form == 'members' else ''}"
+        file.write_bytes(b"".join(map(gzip.compress, raw)) if form == "members" else b"".join(raw))
+    got = sorted((r.record_id, bytes(r.block), r.payload_bytes) for r in warc.read_warc(spark, str(tmp_path)).collect())
+    assert got == sorted((f"<{i}>", x, len(x)) for i, x in enumerate(blocks) for _ in range(2))
+
+
 def test_hops_between_records(spark):
     row = lambda rid, kind, *to: (rid, kind, None, None, list(to), None, None, None, None, None, None)
     records = spark.createDataFrame([row("r", "response", "q2"), row("q", "request", "r"), row("q2", "request"), row("m", "metadata", "q"), row("lost", "metadata", "nowhere")], warc.RECORDS)
