@@ -1,7 +1,6 @@
 """WARC archives: writing records and assembling them into captures."""
 from __future__ import annotations
 
-import gzip
 import hashlib
 
 import pyarrow as pa
@@ -16,6 +15,7 @@ MIN_REVISIT = 100
 #: Rows of `pages` in one archive file, at most.
 FILE_ROWS = 2_000
 CRLF = "\r\n"
+SEPARATOR = b"\r\n\r\nWARC/"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -42,16 +42,16 @@ def write_warc(pages: DataFrame, path: str, *, min_revisit: int = MIN_REVISIT, f
     takes part as one more id, after all others.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumns(
-        {"_id": F.coalesce(F.col("page_id"), F.lit(2**63 - 1)), "digest": F.sha2("html", 256), "bytes": F.octet_length("html")}
+        {"_id": F.coalesce(F.col("page_id").cast("string"), F.lit("none")), "digest": F.sha2("html", 256), "bytes": F.octet_length("html")}
     )
-    big = rows.filter(F.col("bytes") >= min_revisit).select("_id", "digest").distinct()
-    owners = big.groupBy("digest").agg(F.min("_id").alias("owner"))
+    big = rows.filter(F.col("bytes") >= min_revisit).select("page_id", "_id", "digest").distinct()
+    owners = big.groupBy("digest").agg(F.min(F.struct(F.isnull("page_id"), "page_id", "_id"))["_id"].alias("owner"))
     owned = big.join(owners.hint("merge"), "digest").select("_id", "digest", "owner")
     rows = rows.join(owned.hint("merge"), ["_id", "digest"], "left").withColumn(
         "nth", F.row_number().over(W.partitionBy("_id", "digest").orderBy("url"))
     )
     revisit = F.col("owner").isNotNull() & ((F.col("owner") != F.col("_id")) | (F.col("nth") > 1))
-    urn = lambda page, nth: F.concat(F.lit("<urn:page:"), page.cast("string"), F.lit(":"), F.substring("digest", 1, 16), F.lit(":"), nth.cast("string"))
+    urn = lambda page, nth: F.concat(F.lit("<urn:page:"), page, F.lit(":"), F.substring("digest", 1, 16), F.lit(":"), nth.cast("string"))
     name = urn(F.col("_id"), F.col("nth"))
     rid = F.concat(name, F.when(revisit, F.lit(":revisit>")).otherwise(F.lit(":response>")))
     uri = F.when(F.trim(F.coalesce("url", F.lit(""))) != "", F.regexp_replace("url", r"[\r\n]", ""))
@@ -79,26 +79,53 @@ def write_warc(pages: DataFrame, path: str, *, min_revisit: int = MIN_REVISIT, f
     records.write.option("compression", "gzip").option("lineSep", CRLF * 2).option("maxRecordsPerFile", 3 * file_rows).text(path)
 
 
-def parse_warc(data: bytes):
-    """Records of one archive: (headers with lower-case names, all concurrent ids, block)."""
-    at = 0
-    while at < len(data):
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        if at >= len(data):
-            return
-        if data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no WARC record at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        headers, concurrent = {}, []
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            name, _, value = line.partition(":")
-            headers[name.strip().lower()] = value.strip()
-            if name.strip().lower() == "warc-concurrent-to":
-                concurrent.append(value.strip())
-        n = int(headers["content-length"])
-        yield headers, concurrent, data[end + 4 : end + 4 + n]
-        at = end + 4 + n
+def parse_record(data: bytes):
+    """(headers with lower-case names, all concurrent ids, block) of one whole record, or
+    the size that data must reach where it ends before the record does."""
+    if data[:5] != b"WARC/":
+        raise ValueError(f"no WARC record: {data[:40]!r}")
+    end = data.find(b"\r\n\r\n")
+    if end < 0:
+        return len(data) + 1
+    headers, concurrent = {}, []
+    for line in data[:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        name, _, value = line.partition(":")
+        headers[name.strip().lower()] = value.strip()
+        if name.strip().lower() == "warc-concurrent-to":
+            concurrent.append(value.strip())
+    stop = end + 4 + int(headers["content-length"])
+    if len(data) < stop:
+        return stop
+    if data[stop:].strip(b"\r\n"):
+        raise ValueError(f"a record is longer than it says: {data[:200]!r}")
+    return headers, concurrent, data[end + 4 : stop]
+
+
+def records_of(segments):
+    """Records from the parts of archives between SEPARATORs, in their order: a separator
+    inside a block leaves a record unfinished and is put back."""
+    held: list[bytes] = []
+    size = need = 0
+    for part in segments:
+        if held:
+            held += [SEPARATOR, part]
+            size += len(SEPARATOR) + len(part)
+        else:
+            part = part.lstrip(b"\r\n")
+            if not part:
+                continue
+            held = [part if part[:5] == b"WARC/" else b"WARC/" + part]
+            size, need = len(held[0]), 0
+        if size >= need:
+            held = [b"".join(held)]
+            record = parse_record(held[0])
+            if isinstance(record, int):
+                need = record
+            else:
+                yield record
+                held = []
+    if held:
+        raise ValueError(f"an archive ends within a record: {held[0][:200]!r}")
 
 
 RECORDS = (
@@ -123,25 +150,25 @@ def _row(h: dict, concurrent: list, block: bytes) -> tuple:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row a record of the archives (plain or gzip) under path; a task reads whole files."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    """One row a record of the archives (gzip, of one member or many, or plain) under path.
+
+    Spark's text reader streams the archives and cuts them before "WARC/"; a task holds one
+    record at a time, whatever the size of a file. A compressed archive is one task's. A
+    plain one may be split: a block that holds the separator across a split raises an error.
+    """
+    parts = spark.read.option("lineSep", SEPARATOR.decode()).text(path).select(F.col("value").cast("binary").alias("part"))
 
     def parse(batches):
-        for b in batches:
-            for x in b["content"]:
-                data = x.as_py()
-                if data[:2] == b"\x1f\x8b":
-                    data = gzip.decompress(data)
+        rows = []
+        for record in records_of(x.as_py() for b in batches for x in b["part"]):
+            rows.append(_row(*record))
+            if len(rows) == 500:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], names=_NAMES)
                 rows = []
-                for record in parse_warc(data):
-                    rows.append(_row(*record))
-                    if len(rows) == 1000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], names=_NAMES)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], names=_NAMES)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], names=_NAMES)
 
-    return files.mapInArrow(parse, RECORDS)
+    return parts.mapInArrow(parse, RECORDS)
 
 
 def assemble(records: DataFrame, *, with_blocks: bool = True) -> DataFrame:
@@ -180,7 +207,7 @@ def assemble(records: DataFrame, *, with_blocks: bool = True) -> DataFrame:
 
 def resolve_revisits(captures: DataFrame) -> DataFrame:
     """Captures with the full payload's size and digest, and the page referred to."""
-    page = F.try_to_number(F.regexp_extract(F.get(F.col("metadata.fields"), F.lit(0)), r"page_id: (\d+)", 1), F.lit("9999999999999999999")).cast("bigint")
+    page = F.regexp_extract(F.get(F.col("metadata.fields"), F.lit(0)), r"page_id: (-?\d+)", 1).try_cast("bigint")
     rows = captures.select(
         page.alias("page_id"), F.col("response.type").alias("record_type"), F.col("response.record_id").alias("record_id"), F.col("response.refers_to").alias("to"),
         F.col("response.payload_bytes").alias("bytes"), F.col("response.payload_sha256").alias("sha256"), F.col("response.header_digest").alias("said"),
