@@ -9,6 +9,8 @@ from cuelake.llm.common import staged, text_key
 
 #: Documents of a block, slots of a hyperperiod, and documents of a ranking bucket.
 BLOCK_DOCS, PERIOD, BUCKET_DOCS = 16, 1_000, 20_000
+#: Ranking buckets at most, as many as seven hex digits tell apart: past 5 * 10^12 documents they grow.
+MAX_BUCKETS = 1 << 28
 #: Slots a source has on the average where there are more sources than slots of a period.
 SPREAD = 4
 
@@ -132,9 +134,9 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, block_docs
     else:
         slots = slot_lists(staged(pfair_slots(weights.select("source", "weight", F.lit("").alias("grp"))), "slots"))
         table, levels = slots.select(F.col("source").alias("w_source"), *[F.col(c).alias(f"{c}_0") for c in ("weight", "period", "at")]), 1
-    buckets = min(65_536, max(1, -(-docs.count() // BUCKET_DOCS)))
+    buckets = min(MAX_BUCKETS, max(1, -(-docs.count() // BUCKET_DOCS)))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    bucket = lambda k: F.floor(F.conv(F.substring(k, 1, 4), 16, 10).cast("int") * buckets / 65_536).cast("int")
+    bucket = lambda k: F.floor(F.conv(F.substring(k, 1, 7), 16, 10).cast("bigint") * buckets / MAX_BUCKETS).cast("int")
     keyed = docs.withColumns({"_s": F.coalesce("source", F.lit("")), "_k": key, "_b": bucket(key), "_t": text_key(F.col("text"))})
     sizes = keyed.groupBy("_s", "_b").agg(F.count("*").alias("_n"))
     before = sizes.select(F.col("_s").alias("s"), F.col("_b").alias("b"), F.coalesce(F.sum("_n").over(W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
