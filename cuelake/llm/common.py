@@ -89,6 +89,13 @@ def batch_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return codes.astype(np.int64), encoded.dictionary, offsets.astype(np.int64)
 
 
+def slices(batch: pa.RecordBatch, column: str, size: int):
+    """Parts of a batch with some `size` bytes of a string column each; longer rows stand alone."""
+    held = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)) // size
+    cuts = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(s, e - s) for s, e in zip(cuts, cuts[1:]) if e > s)
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -3,17 +3,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelake.llm.common import batch_words, mix64, shingle_hashes, string_hashes, text_key
+from cuelake.llm.common import batch_words, mix64, shingle_hashes, slices, string_hashes, text_key
 
 #: Words of a window and of the grams whose smallest hash is a window's minimiser.
 WINDOW, GRAM = 20, 4
-#: Characters of a batch packed together, and of a bucket aimed at.
+#: Bytes of a batch packed together, and of a bucket aimed at.
 BATCH_CHARS, BUCKET_CHARS = 16 << 20, 24 << 20
 
 
@@ -77,11 +76,8 @@ def packed(docs: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
 
     def rows(batches):
         for b in batches:
-            sizes = pc.fill_null(pc.binary_length(b["text"]), 0).to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // BATCH_CHARS)) + 1
-            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
-                if e > s:
-                    yield from one(b.slice(s, e - s))
+            for some in slices(b, "text", BATCH_CHARS):
+                yield from one(some)
 
     def one(b):
         ids, tags = b["doc_id"].to_numpy(), b["_row"].to_numpy()

@@ -17,26 +17,34 @@ at rank(i) in the next level: no block is decoded to reach it.
 """
 from __future__ import annotations
 
+import json
+import re
+import string
 import zlib
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import batch_words, stage_path
+from cuelake.llm.common import batch_words, slices, stage_path
 
 END_ID = 2
 #: Ids of a segment at which it is closed, after the document that reaches it.
 SEGMENT = 1 << 20
-#: Words whose ids a worker keeps before it keeps no more, and texts encoded together.
-CACHE, ROWS = 100_000, 3_000
+#: Pieces whose ids a worker keeps before it starts afresh, and bytes of texts encoded together.
+CACHE, BATCH_BYTES = 400_000, 8 << 20
 BLOCK = 512
-#: A character that sets words apart in one call of the tokenizer.
-MARK = "\ue000"
+#: Pieces of a word as the tokenizer's own pattern cuts them, and characters outside the
+#: range in which lower case, NFC and the classes of the pattern are taken from here.
+LAST_PLAIN = 0x17F
+PIECE = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
+OTHER = r"[^\x00-\x{17F}]|\x{85}|\x{A0}|\x{130}"
+LETTERS = "".join(c for c in map(chr, range(LAST_PLAIN + 1)) if c.isalpha())
+MARKS = string.punctuation
 
 _ENCODERS: dict = {}
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint32)
@@ -111,67 +119,110 @@ class Codes:
         return out
 
 
-def _encoder(path: str):
-    if path not in _ENCODERS:
+class WordEncoder:
+    """The library's tokenizer, with the ids of the pieces met so far; kept by the worker.
+
+    The tokenizer normalises a text, cuts it into pieces that hold no white space and merges
+    inside a piece only, so a piece has the same ids wherever it stands. Words of plain
+    letters, digits and marks are cut here as the tokenizer cuts them (see PIECE) and their
+    new pieces given to its model many to a call; words with other characters or with a
+    special token's string go whole through the unchanged tokenizer.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
-        _ENCODERS[path] = (t, {})
+        self.whole = Tokenizer.from_file(path)
+        parts = json.loads(self.whole.to_str())
+        special = "|".join(re.escape(t["content"]) for t in parts["added_tokens"])
+        self.other = OTHER + (f"|{special}" if special else "")
+        vocab = parts["model"]["vocab"]
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a piece
+        self.last[[i for t, i in vocab.items() if t.endswith(parts["model"]["end_of_word_suffix"])]] = True
+        parts |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.model = Tokenizer.from_str(json.dumps(parts))
+        byte = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+        byte |= {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in byte)}
+        self.bytes = {c: "".join(byte[b] for b in chr(c).encode()) for c in range(LAST_PLAIN + 1) if c != 32}
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[str, int] = {"": 0}
+        self.ids, self.size = [np.empty(0, np.uint32)], [np.zeros(1, np.int64)]
+
+    def learn(self, pieces: list[str]) -> None:
+        """Ids of new pieces, those with other characters after the rest."""
+        other = pc.match_substring_regex(pa.array(pieces, pa.string()), self.other).to_pylist()
+        plain = [p for p, o in zip(pieces, other) if not o]
+        rest = [p for p, o in zip(pieces, other) if o]
+        texts = [" ".join(plain[k : k + 2_000]).translate(self.bytes) for k in range(0, len(plain), 2_000)]
+        for e in self.model.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(e.ids, np.uint32)
+            self.ids.append(ids)
+            self.size.append(np.diff(np.flatnonzero(self.last[ids]), prepend=-1))
+        for e in self.whole.encode_batch_fast(rest, add_special_tokens=False):
+            self.ids.append(np.array(e.ids, np.uint32))
+            self.size.append(np.array([len(e.ids)], np.int64))
+        self.at.update(zip(plain + rest, range(len(self.at), len(self.at) + len(pieces))))
+        self.ids, self.size = [np.concatenate(self.ids)], [np.concatenate(self.size)]
+        if len(self.size[0]) != len(self.at):
+            raise ValueError("the ids do not tell the pieces apart")
+
+    def pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the pieces of all words in order, number of pieces of each word)."""
+        other = pc.match_substring_regex(words, self.other)
+        low = pc.utf8_lower(words)
+        # most words are letters, or letters and marks: only the rest needs the pattern
+        mixed = pc.invert(pc.utf8_is_alpha(low))
+        some = low.filter(mixed)
+        base = pc.utf8_rtrim(some, MARKS)
+        hard = pc.invert(pc.utf8_is_alpha(base))
+        two = pc.binary_join_element_wise(base, pc.utf8_ltrim(some, LETTERS), pa.scalar(" ", low.type))
+        two = pc.replace_with_mask(two, hard, pc.replace_substring_regex(some.filter(hard), PIECE, r"\1 "))
+        cut = pc.replace_with_mask(low, mixed, two)
+        split = pc.ascii_split_whitespace(pc.if_else(other, words, cut))
+        flat = split.flatten().dictionary_encode()
+        names = flat.dictionary.to_pylist()
+        if len(self.at) > CACHE:
+            self.forget()
+        new = [p for p in names if p not in self.at]
+        if new:
+            self.learn(new)
+        numbers = np.fromiter(map(self.at.__getitem__, names), np.int32, len(names))
+        return numbers[flat.indices.to_numpy()], np.diff(split.offsets.to_numpy())
+
+
+def _encoder(path: str) -> WordEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
 
 
-def encode_words(tokenizer, words: list[str]) -> list[np.ndarray]:
-    """Ids of each word, many words in one call.
-
-    Words are set apart by the private-use character MARK between spaces: its ids come
-    together only where it stands, as no other character has its bytes. Words that hold it
-    themselves are encoded one by one.
-    """
-    out: list = [None] * len(words)
-    plain = [i for i, w in enumerate(words) if MARK not in w]
-    for i in set(range(len(words))).difference(plain):
-        out[i] = np.array(tokenizer.encode(words[i], add_special_tokens=False).ids, np.uint32)
-    mark = np.array(tokenizer.encode(MARK, add_special_tokens=False).ids, np.uint32)
-    groups = [plain[k : k + 500] for k in range(0, len(plain), 500)]
-    texts = [f" {MARK} ".join([words[i] for i in g]) for g in groups]
-    for g, e in zip(groups, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-        ids = np.array(e.ids, np.uint32)
-        n = len(ids) - len(mark) + 1
-        at = np.flatnonzero(np.logical_and.reduce([ids[k : n + k] == m for k, m in enumerate(mark)])) if n > 0 else np.empty(0, np.int64)
-        starts, ends = [0, *(at + len(mark)).tolist()], [*at.tolist(), len(ids)]
-        if len(starts) != len(g):
-            raise ValueError("the marks do not set the words apart")
-        for i, s, t in zip(g, starts, ends):
-            out[i] = ids[s:t]
-    return out
+def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions first, first + 1, .. of runs of the given sizes, one run after another."""
+    ends = np.cumsum(size)
+    return np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0, dtype=first.dtype)
 
 
 def encode_batch(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in order, number of ids of each), without end ids.
 
-    The tokenizer drops white space and merges inside words only, so every distinct
-    run between characters of [\\x20\\x09-\\x0D] is encoded once by the library and its
-    ids are gathered for each occurrence.
+    Every distinct run between characters of [\\x20\\x09-\\x0D] is encoded once and its ids are
+    gathered for each occurrence.
     """
-    tokenizer, known = _encoder(path)
+    encoder = _encoder(path)
     codes, dictionary, starts = batch_words(texts)
-    distinct = dictionary.to_pylist()
-    new = [w for w in distinct if w not in known]
-    fresh: dict = {}
-    for k in range(0, len(new), 10_000):
-        part = new[k : k + 10_000]
-        fresh.update(zip(part, encode_words(tokenizer, part)))
-    known.update(islice(fresh.items(), max(0, CACHE - len(known))))
-    pieces = [fresh[w] if w in fresh else known[w] for w in distinct]
-    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    table = np.concatenate(pieces) if pieces else np.empty(0, np.uint32)
-    first = np.concatenate(([0], np.cumsum(size)))
-    each = size[codes]
-    ends = np.concatenate(([0], np.cumsum(each)))
-    ids = table[np.repeat(first[codes] - ends[:-1], each) + np.arange(ends[-1])]
-    counts = ends[starts[1:]] - ends[starts[:-1]]
-    return ids, counts
+    if not len(codes):
+        return np.empty(0, np.uint32), np.zeros(len(starts) - 1, np.int64)
+    numbers, held = encoder.pieces(dictionary)
+    store, size = encoder.ids[0], encoder.size[0]
+    first = np.cumsum(size) - size
+    table = store[spread(first[numbers], size[numbers])]  # ids of the distinct words
+    ends = np.concatenate(([0], np.cumsum(size[numbers])))[np.concatenate(([0], np.cumsum(held)))]
+    each, begin = np.diff(ends).astype(np.int32), ends[:-1].astype(np.int32)
+    ids = table[spread(begin[codes], each[codes])]
+    total = np.concatenate(([0], np.cumsum(each[codes], dtype=np.int64)))
+    return ids, total[starts[1:]] - total[starts[:-1]]
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, *, segment: int = SEGMENT, end_id: int = END_ID) -> None:
@@ -198,8 +249,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, *, segment: int = S
             )
 
         for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                some = b.slice(at, ROWS)
+            for some in slices(b, "text", BATCH_BYTES):
                 ids, counts = encode_batch(some["text"], tokenizer)
                 where = 0
                 for doc, n in zip(some["doc_id"].to_pylist(), counts.tolist()):
