@@ -126,6 +126,9 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, *, threshold: float = THR
     docs = docs.drop(*names)
     llr = fit_ratio(docs.select("doc_id", "text"), trusted, buckets=buckets).scalar()
     text = F.coalesce("text", F.lit(""))
+    # Nondeterministic to the optimiser, so that a filter on a count stays above the counts:
+    # pushed below, it would take the hashes of the whole text into each of its windows.
+    once = lambda c: F.when(F.spark_partition_id() >= 0, c)
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(WS_CHARS)) != "")
     return (
         docs.withColumns({
@@ -135,12 +138,12 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, *, threshold: float = THR
         })
         .withColumn("_llr", llr)  # of one use: the projection below takes the subquery in
         .withColumns({
-            "n_words": F.size("_w").cast("long"),
-            "word_chars": (F.length(text) - F.regexp_count(text, F.lit(WS))).cast("long"),
-            "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "n_repeat_words": repeated_words(F.col("_w"), WINDOW),
-            "score": ratio_score(F.col("_t"), F.col("_llr"), buckets),
+            "n_words": once(F.size("_w").cast("long")),
+            "word_chars": once((F.length(text) - F.regexp_count(text, F.lit(WS))).cast("long")),
+            "n_symbols": once(F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long")),
+            "n_dup_lines": once((F.size("_l") - F.size(F.array_distinct("_l"))).cast("long")),
+            "n_repeat_words": once(repeated_words(F.col("_w"), WINDOW)),
+            "score": once(ratio_score(F.col("_t"), F.col("_llr"), buckets)),
         })
         .drop("_w", "_t", "_l", "_llr")
         .withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
