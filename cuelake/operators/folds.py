@@ -1,20 +1,25 @@
 """Cue building whose breaks depend on the texts: time cuts first, then a small fold.
 
-A gap that no text could bridge ends an island for certain; only the rows of one island
-are folded together, in an Arrow grouped map.
+A gap that no text could bridge ends an island for certain. Islands are dealt out by their
+key and sorted; a task streams many of them through one Arrow call and holds one open cue.
 """
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
+from itertools import groupby
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuelake.functions.similarity import alike, overlap_merge, ratio
-from cuelake.operators.cues import BEFORE, SO_FAR, media_order, drop_degenerate, drop_short_noise, with_islands
+from cuelake.functions.text import strip
+from cuelake.operators.cues import BEFORE, SO_FAR, drop_brief, drop_degenerate, drop_short_noise, media_order, with_islands
 
+#: Rows of an Arrow batch of results.
+OUT_ROWS = 10_000
 CUE = "media_id bigint, ord bigint, start_ms bigint, end_ms bigint, text string"
 BOXED = CUE + ", x int, y int, w int, h int"
 
@@ -38,26 +43,56 @@ def hull(a: tuple | None, b: tuple | None) -> tuple | None:
     return x, y, max(a[0] + a[2], b[0] + b[2]) - x, max(a[1] + a[3], b[1] + b[3]) - y
 
 
+def folded(rows: DataFrame, island: str, order: list[Column], columns: list[str], fold: Callable[[Iterator[tuple]], Iterable[Cue]], schema: str) -> DataFrame:
+    """Cues that fold() makes of the rows of each (media_id, island), in order, as `schema`.
+
+    fold() gets an iterator over tuples of `columns` and may yield as it goes, so neither
+    an island nor a medium is gathered.
+    """
+    keyed = rows.select("media_id", F.col(island).alias("_island"), *columns, *[c.alias(f"_o{i}") for i, c in enumerate(order)])
+    names = [f"_o{i}" for i in range(len(order))]
+    dealt = keyed.repartition("media_id", "_island").sortWithinPartitions("media_id", "_island", *names).drop(*names)
+    fields = [f.split(" ") for f in schema.split(", ")]
+    kinds = [(name, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]) for name, kind in fields]
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*out), kinds)], names=[n for n, _ in kinds])
+
+    def run(batches):
+        out, boxed = [], len(kinds) > 5
+        every = (row for b in batches for row in zip(*(b[c].to_pylist() for c in b.schema.names)))
+        for (medium, _), group in groupby(every, key=lambda row: row[:2]):
+            for c in fold(row[2:] for row in group):
+                out.append((medium, c.ord, c.start, c.end, c.text, *((c.box or (None,) * 4) if boxed else ())))
+                if len(out) == OUT_ROWS:
+                    yield batch(out)
+                    out = []
+        if out:
+            yield batch(out)
+
+    return dealt.mapInArrow(run, schema)
+
+
 def merge_by_strategy(cues: DataFrame, strategy: str = "combine", gap_ms: int = 80, least: float = 0.78) -> DataFrame:
     """Merge the cues of each time island: `prefer_longest`, `prefer_first`, or `combine` (the
     overlap of the texts). Of similar neighbours the longer text stays in any case."""
     if strategy not in ("combine", "prefer_first", "prefer_longest"):
         raise ValueError(f"no such strategy: {strategy}")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.assign(d=pdf.start_ms - pdf.end_ms).sort_values(["start_ms", "d", "ord"], kind="stable")
-        text = None
-        for nxt in rows.text.fillna(""):
-            if text is None:
-                text = nxt
-            elif strategy == "prefer_longest" or alike(text, nxt, least):
-                text = nxt if len(nxt) > len(text) else text
-            elif strategy == "combine":
-                text = overlap_merge(text, nxt)
-        first = rows.iloc[0]
-        return pd.DataFrame([[first.media_id, first.ord, rows.start_ms.min(), rows.end_ms.max(), text]], columns=["media_id", "ord", "start_ms", "end_ms", "text"])
+    def fold(rows):
+        cue = None
+        for ord, start, end, text in rows:
+            nxt = Cue(ord, start, end, text or "")
+            if cue is None:
+                cue = nxt
+            elif strategy == "prefer_longest" or alike(cue.text, nxt.text, least):
+                cue = cue.grown(nxt, longer(cue.text, nxt.text))
+            else:
+                cue = cue.grown(nxt, overlap_merge(cue.text, nxt.text) if strategy == "combine" else cue.text)
+        yield cue
 
-    return drop_degenerate(with_islands(cues, gap_ms).groupBy("media_id", "island").applyInPandas(fold, CUE))
+    order = [F.col("start_ms"), F.col("start_ms") - F.col("end_ms"), F.col("ord")]
+    return drop_degenerate(folded(with_islands(cues, gap_ms), "island", order, ["ord", "start_ms", "end_ms", "text"], fold, CUE))
 
 
 def same_line(a: str, b: str, least: float) -> bool:
@@ -74,14 +109,12 @@ def longer(a: str, b: str) -> str:
     return b if len(b) > len(a) else a
 
 
-def _cues(pdf: pd.DataFrame) -> list[Cue]:
-    boxes = zip(pdf.x, pdf.y, pdf.w, pdf.h) if "x" in pdf else [(None,) * 4] * len(pdf)
-    return [Cue(int(o), int(s), int(e), t, None if pd.isna(b[0]) else tuple(map(int, b))) for o, s, e, t, b in zip(pdf.ord, pdf.start_ms, pdf.end_ms, pdf.text, boxes)]
+def box_of(*edges) -> tuple | None:
+    return None if edges[0] is None else edges
 
 
-def _frame(media_id: int, cues: list[Cue]) -> pd.DataFrame:
-    rows = [(media_id, c.ord, c.start, c.end, c.text, *(c.box or (None,) * 4)) for c in cues]
-    return pd.DataFrame(rows, columns=["media_id", "ord", "start_ms", "end_ms", "text", "x", "y", "w", "h"]).astype({c: "Int32" for c in "xywh"})
+def with_boxes(rows: DataFrame) -> DataFrame:
+    return rows if "x" in rows.columns else rows.withColumns({c: F.lit(None).cast("int") for c in "xywh"})
 
 
 def dedupe_overlap(cues: DataFrame, overlap_ms: int = 1_500, least: float = 0.80) -> DataFrame:
@@ -91,19 +124,22 @@ def dedupe_overlap(cues: DataFrame, overlap_ms: int = 1_500, least: float = 0.80
     islands at that gap hold whole answers.
     """
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[Cue] = []
-        for c in _cues(pdf.sort_values(["start_ms", "ord"], kind="stable")):
-            if out and joins_overlap(out[-1], c, overlap_ms, least):
-                out[-1] = out[-1].grown(c, longer(out[-1].text, c.text))
+    def fold(rows):
+        cue = None
+        for ord, start, end, text, *box in rows:
+            nxt = Cue(ord, start, end, text, box_of(*box))
+            if cue and joins_overlap(cue, nxt, overlap_ms, least):
+                cue = cue.grown(nxt, longer(cue.text, nxt.text))
             else:
-                out.append(c)
-        return _frame(key[0], out)
+                if cue:
+                    yield cue
+                cue = nxt
+        yield cue
 
-    have = cues if "x" in cues.columns else cues.withColumns({c: F.lit(None).cast("int") for c in "xywh"})
-    kept = drop_short_noise(have).select("media_id", "ord", "start_ms", "end_ms", "text", "x", "y", "w", "h")
-    islands = with_islands(kept, overlap_ms + 300, [F.col("start_ms"), F.col("ord")])
-    return islands.groupBy("media_id", "island").applyInPandas(fold, BOXED)
+    kept = drop_short_noise(with_boxes(cues)).select("media_id", "ord", "start_ms", "end_ms", "text", "x", "y", "w", "h")
+    order = [F.col("start_ms"), F.col("ord")]
+    islands = with_islands(kept, overlap_ms + 300, order)
+    return folded(islands, "island", order, ["ord", "start_ms", "end_ms", "text", "x", "y", "w", "h"], fold, BOXED)
 
 
 @dataclass
@@ -117,9 +153,9 @@ class Sampler:
     open: Cue | None = None
     seen: int = 0
 
-    def take(self, ord: int, t: int, text: str, stop: int) -> list[Cue]:
+    def take(self, ord: int, t: int, text: str, stop: int, box: tuple | None = None) -> list[Cue]:
         """The cues that this sample closes."""
-        here = Cue(ord, t, min(t + self.hold_ms, stop), text)
+        here = Cue(ord, t, min(t + self.hold_ms, stop), text, box)
         recent = self.open is not None and t - self.seen <= self.miss_ms and t - self.open.start < self.longest_ms
         if not text:
             if recent:
@@ -129,7 +165,8 @@ class Sampler:
         legible = "[Chữ khó" not in text and "Gemini" not in text
         if recent and legible and alike(self.open.text, text, self.least):
             size = lambda x: len(" ".join(x.split()))
-            self.open, self.seen = replace(self.open, end=here.end, text=text if size(text) > size(self.open.text) else self.open.text), t
+            best = text if size(text) > size(self.open.text) else self.open.text
+            self.open, self.seen = replace(self.open, end=here.end, text=best, box=hull(self.open.box, box)), t
             return []
         closed = self.close()
         self.open, self.seen = here, t
@@ -140,28 +177,38 @@ class Sampler:
         return closed
 
 
-def sampled_cues(frames: DataFrame, *, hold_ms: int = 1_500, miss_ms: int = 1_200, longest_ms: int = 8_000, least: float = 0.78) -> DataFrame:
-    """Cues of sampled frames (media_id, ord, t_ms, text, duration_ms); an empty text is a miss.
+def sampled_cues(frames: DataFrame, *, hold_ms: int = 1_500, miss_ms: int = 1_200, longest_ms: int = 8_000, least: float = 0.78, brief: bool = False) -> DataFrame:
+    """Cues of sampled frames (media_id, ord, t_ms, text, duration_ms, and boxes x, y, w, h if
+    there are any); an empty text is a miss.
 
     A similar, legible text within miss_ms of the last one extends the open cue (up to
     longest_ms of age), as does a miss; anything else closes it. Each sighting holds for
-    hold_ms, within the medium. With miss_ms=0 an empty sample closes the cue.
+    hold_ms, within the medium; a cue's box holds those of its sightings. With miss_ms=0
+    an empty sample closes the cue. Cues that are too brief for their text go at the end
+    (see cues.drop_brief), unless brief=True.
 
     Cut: a text more than miss_ms after the last text always opens a cue; empty samples
     stay with the island before them.
     """
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        machine, out = Sampler(hold_ms, miss_ms, longest_ms, least), []
-        for o, t, text, stop in pdf.sort_values(["t_ms", "ord"], kind="stable")[["ord", "t_ms", "text", "duration_ms"]].itertuples(index=False):
-            out += machine.take(int(o), int(t), text or "", int(stop))
-        return _frame(key[0], out + machine.close())[["media_id", "ord", "start_ms", "end_ms", "text"]]
+    def fold(rows):
+        machine = Sampler(hold_ms, miss_ms, longest_ms, least)
+        for ord, t, text, stop, *box in rows:
+            yield from machine.take(ord, t, text or "", stop, box_of(*box))
+        yield from machine.close()
 
+    order = [F.col("t_ms"), F.col("ord")]
     w = media_order("t_ms", "ord")
     full = F.when(F.coalesce("text", F.lit("")) != "", F.col("t_ms"))
     cut = (full - F.max(full).over(w.rowsBetween(*BEFORE)) > miss_ms).cast("int")
-    islands = frames.withColumn("island", F.sum(F.coalesce(cut, F.lit(0))).over(w.rowsBetween(*SO_FAR)))
-    return islands.groupBy("media_id", "island").applyInPandas(fold, CUE)
+    islands = with_boxes(frames).withColumn("island", F.sum(F.coalesce(cut, F.lit(0))).over(w.rowsBetween(*SO_FAR)))
+    made = folded(islands, "island", order, ["ord", "t_ms", "text", "duration_ms", "x", "y", "w", "h"], fold, BOXED)
+    return made if brief else tidied(made)
+
+
+def tidied(cues: DataFrame) -> DataFrame:
+    """Stripped texts; blank and too brief cues go."""
+    return drop_brief(cues.withColumn("text", strip(F.col("text"))).filter("text <> ''"))
 
 
 def consecutive_similar(frames: DataFrame, *, hold_ms: int = 1_500, least: float = 0.78) -> DataFrame:
@@ -171,17 +218,19 @@ def consecutive_similar(frames: DataFrame, *, hold_ms: int = 1_500, least: float
     runs = frames.withColumn("run", F.sum(empty).over(w.rowsBetween(*SO_FAR))).filter("text <> ''")
     # sightings of a run are consecutive: only the texts can end a cue
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[Cue] = []
-        for o, t, text in pdf.sort_values(["t_ms", "ord"], kind="stable")[["ord", "t_ms", "text"]].itertuples(index=False):
-            here = Cue(int(o), int(t), int(t + hold_ms), text)
-            if out and alike(out[-1].text, text, least):
-                out[-1] = out[-1].grown(here, longer(out[-1].text, text))
+    def fold(rows):
+        cue = None
+        for ord, t, text in rows:
+            here = Cue(ord, t, t + hold_ms, text)
+            if cue and alike(cue.text, text, least):
+                cue = cue.grown(here, longer(cue.text, text))
             else:
-                out.append(here)
-        return _frame(key[0], out)[["media_id", "ord", "start_ms", "end_ms", "text"]]
+                if cue:
+                    yield cue
+                cue = here
+        yield cue
 
-    return runs.groupBy("media_id", "run").applyInPandas(fold, CUE)
+    return folded(runs, "run", [F.col("t_ms"), F.col("ord")], ["ord", "t_ms", "text"], fold, CUE)
 
 
 def residual_duplicates(cues: DataFrame, gap_ms: int = 2_500, least: float = 0.85) -> DataFrame:

@@ -28,6 +28,8 @@ SLANG = [
     ("泰裤辣", "quá ngầu"), ("栓Q", "cảm ơn nhiều"), ("特种兵式", "kiểu lính đặc nhiệm"), ("沉浸式", "kiểu đắm chìm"), ("搭子", "cạ cứng / bạn đồng hành"), ("尊嘟假嘟", "thật á / đùa à"),
 ]
 MAX_KEY = 50
+#: Terms looked up one by one in each text, at most.
+MAX_TERMS = 200
 
 
 def scan_lines(spark, path: str, layer: str, priority: int) -> DataFrame:
@@ -194,13 +196,21 @@ def find_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, term, n): terms that occur in texts (id, text), with their counts.
 
     Texts are cut into their n-grams of the lengths that terms have (a bounded set of
-    lengths), which meet the terms in an equi-join: no text is compared with every term.
+    lengths). A gram goes on only if it is a term, before anything is counted or exchanged:
+    up to MAX_TERMS terms are looked up in one array for each row, more meet the grams in an equi-join.
     """
-    lengths = terms.select(F.length("term").alias("n")).filter("n > 0").distinct()
-    sizes = lengths.agg(F.collect_set("n").alias("s")).scalar()
-    at = texts.withColumn("_s", sizes).select("id", "text", F.explode("_s").alias("n"))
-    grams = at.filter(F.length("text") >= F.col("n")).select("id", "text", "n", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1)).alias("i")).select("id", F.substr("text", F.col("i"), F.col("n")).alias("term"))
-    return grams.groupBy("id", "term").agg(F.count("*").alias("n")).join(terms.select("term").distinct(), "term").select("id", "term", "n")
+    terms = terms.select("term").filter("term <> ''").distinct()
+    lengths = terms.agg(F.collect_set(F.length("term"))).scalar()
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substr("text", i, n))
+    cut = F.flatten(F.transform(F.filter("_s", lambda n: n <= F.length("text")), grams))
+    if terms.limit(MAX_TERMS + 1).count() <= MAX_TERMS:
+        held = F.filter("_t", lambda x: F.contains(F.col("text"), x))
+        rows = texts.withColumn("_t", terms.agg(F.collect_list("term")).scalar()).select("id", "text", F.explode(held).alias("term"))
+        last = F.length("text") - F.length("term") + 1
+        n = F.size(F.filter(F.sequence(F.lit(1), last), lambda i: F.substr("text", i, F.length("term")) == F.col("term")))
+        return rows.select("id", "term", n.cast("bigint").alias("n")).groupBy("id", "term").agg(F.sum("n").alias("n"))
+    rows = texts.withColumn("_s", lengths).select("id", F.explode(cut).alias("term"))
+    return rows.join(terms.hint("shuffle_hash"), "term").groupBy("id", "term").agg(F.count("*").alias("n"))
 
 
 def slang_table(spark) -> DataFrame:

@@ -116,37 +116,79 @@ def u1(spark, d):
     return folds.merge_by_strategy(b.cues(spark, d), "prefer_longest").select("media_id", "start_ms", "end_ms", "text")
 
 
-@query("t1_combine")
+#: The folds in SQL, a row of each medium after another. No two of the event types are alike
+#: by ratio or hold one another, so that `alike` is equality here.
+ISLANDS = """io AS (SELECT *, max(end_ms) OVER (PARTITION BY media_id ORDER BY start_ms, start_ms - end_ms, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM v_cues),
+ isl AS (SELECT *, sum(CASE WHEN start_ms <= prev + 80 THEN 0 ELSE 1 END) OVER (PARTITION BY media_id ORDER BY start_ms, start_ms - end_ms, ord ROWS UNBOUNDED PRECEDING) AS island FROM io),
+ inn AS (SELECT *, row_number() OVER (PARTITION BY media_id, island ORDER BY start_ms, start_ms - end_ms, ord) AS n FROM isl)"""
+MERGED = """RECURSIVE WITH {islands},
+ mf AS (SELECT media_id, island, n, ord, start_ms, end_ms, text FROM inn WHERE n = 1
+ UNION ALL SELECT f.media_id, f.island, r.n, f.ord, f.start_ms, greatest(f.end_ms, r.end_ms), {text} FROM mf f JOIN inn r ON r.media_id = f.media_id AND r.island = f.island AND r.n = f.n + 1)
+ SELECT media_id, ord, start_ms, end_ms, text FROM mf WHERE n = (SELECT max(n) FROM inn WHERE inn.media_id = mf.media_id AND inn.island = mf.island) AND end_ms - start_ms > 50"""
+
+
+# the types share words only as a whole, and characters at their ends only exactly
+BORDER = "list_max(list_filter(range(1, least(length(f.text), length(r.text)) + 1), lambda n: right(f.text, n) = left(r.text, n)))"
+
+
+@query("t1_combine", MERGED.format(islands=ISLANDS, text=f"CASE WHEN contains(f.text, r.text) THEN f.text WHEN contains(r.text, f.text) THEN r.text ELSE f.text || coalesce(substr(r.text, CAST({BORDER} AS INTEGER) + 1), ' ' || r.text) END"), V_CUES)
 def t1c(spark, d):
     return folds.merge_by_strategy(b.cues(spark, d), "combine")
 
 
-@query("t1_prefer_first")
+@query("t1_prefer_first", MERGED.format(islands=ISLANDS, text="f.text"), V_CUES)
 def t1f(spark, d):
     return folds.merge_by_strategy(b.cues(spark, d), "prefer_first")
 
 
-@query("t2_overlap_dedupe")
+DEDUPED = """RECURSIVE WITH nn AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, ord) AS n FROM v_cues),
+ fd AS (SELECT media_id, n, 1 AS k, ord, start_ms, end_ms, text FROM nn WHERE n = 1
+ UNION ALL SELECT r.media_id, r.n, CASE WHEN same THEN k ELSE k + 1 END, CASE WHEN same THEN f_ord ELSE r.ord END, CASE WHEN same THEN f_start ELSE r.start_ms END, CASE WHEN same THEN greatest(f_end, r.end_ms) ELSE r.end_ms END, r.text
+ FROM (SELECT f.k, f.ord AS f_ord, f.start_ms AS f_start, f.end_ms AS f_end, r.*, r.start_ms - f.end_ms <= 1800 AND f.end_ms - f.start_ms < 8000 AND f.text = r.text AS same FROM fd f JOIN nn r ON r.media_id = f.media_id AND r.n = f.n + 1) r),
+ dd AS (SELECT media_id, min(ord) AS ord, start_ms, max(end_ms) AS end_ms, any_value(text) AS text FROM (SELECT media_id, k, first(ord ORDER BY n) AS ord, first(start_ms ORDER BY n) AS start_ms, last(end_ms ORDER BY n) AS end_ms, first(text ORDER BY n) AS text FROM fd GROUP BY media_id, k) g GROUP BY media_id, k, start_ms)""".replace("media_id, k, start_ms)", "media_id, g.ord, start_ms)")
+
+
+@query("t2_overlap_dedupe", DEDUPED + " SELECT * FROM dd", V_CUES)
 def t2(spark, d):
-    return folds.dedupe_overlap(b.cues(spark, d))
+    return folds.dedupe_overlap(b.cues(spark, d)).drop("x", "y", "w", "h")
+
+
+def boxed_sample():
+    """Text, medium length and box of a sample, from the text and ord of a cue."""
+    box = {"x": F.col("ord") % 600, "y": F.col("ord") % 300, "w": F.col("ord") % 50 + 10, "h": F.col("ord") % 20 + 5}
+    return [F.when(F.col("text") == "view", F.lit("")).otherwise(F.col("text")).alias("text"), F.lit(10_000_000).cast("bigint").alias("duration_ms"),
+            *[F.when(F.col("ord") % 7 > 0, v).cast("int").alias(k) for k, v in box.items()]]
 
 
 def frames(spark, d):
-    c = b.cues(spark, d)
-    return c.select("media_id", "ord", F.col("start_ms").alias("t_ms"), F.when(F.col("text") == "view", F.lit("")).otherwise(F.col("text")).alias("text"), F.lit(10_000_000).cast("bigint").alias("duration_ms"))
+    return b.cues(spark, d).select("media_id", "ord", F.col("start_ms").alias("t_ms"), *boxed_sample())
+
+
+#: hull: union of two boxes (x0, y0, x1, y1), either of which may be null.
+SAMPLED = """RECURSIVE WITH nn AS (SELECT media_id, ord, start_ms AS t, CASE WHEN text = 'view' THEN '' ELSE text END AS text, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, ord) AS n,
+ CASE WHEN ord % 7 > 0 THEN ord % 600 END AS x0, CASE WHEN ord % 7 > 0 THEN ord % 300 END AS y0, CASE WHEN ord % 7 > 0 THEN ord % 600 + ord % 50 + 10 END AS x1, CASE WHEN ord % 7 > 0 THEN ord % 300 + ord % 20 + 5 END AS y1 FROM v_cues),
+ fs AS (SELECT media_id, n, text <> '' AS op, ord, t AS s, t + 1500 AS e, text, t AS seen, x0, y0, x1, y1 FROM nn WHERE n = 1
+ UNION ALL SELECT media_id, n, CASE WHEN text = '' THEN recent ELSE true END,
+ CASE WHEN keep THEN f_ord ELSE ord END, CASE WHEN keep THEN s ELSE t END, t + 1500, CASE WHEN keep THEN f_text ELSE text END, CASE WHEN text = '' THEN seen ELSE t END,
+ CASE WHEN text = '' THEN f0 WHEN keep THEN least(f0, x0) ELSE x0 END, CASE WHEN text = '' THEN f1 WHEN keep THEN least(f1, y0) ELSE y0 END, CASE WHEN text = '' THEN f2 WHEN keep THEN greatest(f2, x1) ELSE x1 END, CASE WHEN text = '' THEN f3 WHEN keep THEN greatest(f3, y1) ELSE y1 END
+ FROM (SELECT q.*, recent AND (text = '' OR text = f_text) AS keep FROM (SELECT r.*, f.ord AS f_ord, f.s, f.text AS f_text, f.seen, f.x0 AS f0, f.y0 AS f1, f.x1 AS f2, f.y1 AS f3, f.op AND r.t - f.seen <= 6000 AND r.t - f.s < 8000 AS recent FROM fs f JOIN nn r ON r.media_id = f.media_id AND r.n = f.n + 1) q) r),
+ sc AS (SELECT media_id, ord, s AS start_ms, max(e) AS end_ms, any_value(text) AS text, CAST(last(x0 ORDER BY n) AS INTEGER) AS x, CAST(last(y0 ORDER BY n) AS INTEGER) AS y, CAST(last(x1 ORDER BY n) - last(x0 ORDER BY n) AS INTEGER) AS w, CAST(last(y1 ORDER BY n) - last(y0 ORDER BY n) AS INTEGER) AS h FROM fs WHERE op GROUP BY media_id, ord, s)"""
 
 
-@query("t3_sampled_cues")
+@query("t3_sampled_cues", SAMPLED + " SELECT * FROM sc WHERE end_ms - start_ms >= CASE WHEN length(text) >= 4 THEN 180 ELSE 300 END", V_CUES)
 def t3(spark, d):
     return folds.sampled_cues(frames(spark, d), miss_ms=6_000)
 
 
-@query("t5_consecutive_similar")
+@query("t5_consecutive_similar", """WITH nn AS (SELECT *, lag(text) OVER (PARTITION BY media_id ORDER BY start_ms, ord) AS prev FROM v_cues),
+ r AS (SELECT *, sum(CASE WHEN text = prev THEN 0 ELSE 1 END) OVER (PARTITION BY media_id ORDER BY start_ms, ord ROWS UNBOUNDED PRECEDING) AS k FROM nn)
+ SELECT media_id, first(ord ORDER BY start_ms, ord) AS ord, min(start_ms) AS start_ms, max(start_ms) + 1500 AS end_ms, any_value(text) AS text FROM r WHERE text <> 'view' GROUP BY media_id, k""", V_CUES)
 def t5(spark, d):
     return folds.consecutive_similar(frames(spark, d))
 
 
-@query("q5_residual_duplicates")
+@query("q5_residual_duplicates", DEDUPED + """ SELECT media_id, ord, text, next_text, 1.0::DOUBLE AS ratio FROM (SELECT *, lead(text) OVER w AS next_text, lead(start_ms) OVER w AS next_start FROM dd WINDOW w AS (PARTITION BY media_id ORDER BY start_ms, ord)) z
+ WHERE next_start - end_ms <= 2500 AND text = next_text AND length(text) > 2""", V_CUES)
 def q5(spark, d):
     return folds.residual_duplicates(folds.dedupe_overlap(b.cues(spark, d)))
 

@@ -5,7 +5,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.plans import bindings as b
+from cuelake.operators.folds import tidied
 from cuelake.plans.bindings import V_CUES, V_JOBS
+from cuelake.plans.quality_queries import DEDUPED, SAMPLED, boxed_sample
 from cuelake.plans.registry import query
 from cuelake.streaming import cues as st
 
@@ -13,11 +15,13 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 
 def place(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir (one of this machine where that is unset)."""
+    """A new folder below spark.checkpoint.dir; only a local session may do without one."""
     import tempfile
 
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="cuelake-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -41,31 +45,41 @@ def r1(spark, d):
     return spark.read.parquet(f"{at}/out").drop("batch")
 
 
-@query("r2_stream_overlap_dedupe")
+@query("r2_stream_overlap_dedupe", DEDUPED + " SELECT media_id, ord, start_ms, end_ms, text, false AS late FROM dd", V_CUES)
 def r2(spark, d):
     at = place(spark)
     st.drain(st.dedupe_stream(cue_stream(spark, d)), f"{at}/out", f"{at}/checkpoint")
-    return spark.read.parquet(f"{at}/out")
+    return spark.read.parquet(f"{at}/out").unionByName(st.still_open(spark, f"{at}/checkpoint")).drop("x", "y", "w", "h")
 
 
-@query("r3_stream_sampled_cues")
+@query("r3_stream_sampled_cues", SAMPLED + " SELECT * FROM sc WHERE end_ms - start_ms >= CASE WHEN length(text) >= 4 THEN 180 ELSE 300 END", V_CUES)
 def r3(spark, d):
     at = place(spark)
-    samples = cue_stream(spark, d).select("media_id", "ord", F.col("start_ms").alias("t_ms"), F.when(F.col("text") == "view", F.lit("")).otherwise(F.col("text")).alias("text"), F.lit(10_000_000).cast("bigint").alias("duration_ms"), "ts")
+    samples = cue_stream(spark, d).select("media_id", "ord", F.col("start_ms").alias("t_ms"), *boxed_sample(), "ts")
     st.drain(st.sample_stream(samples, miss_ms=6_000), f"{at}/out", f"{at}/checkpoint")
-    return spark.read.parquet(f"{at}/out").drop("late")
+    return tidied(spark.read.parquet(f"{at}/out").unionByName(st.still_open(spark, f"{at}/checkpoint")).drop("late"))
 
 
 @query("r4_session_cues", """, z AS (SELECT *, max(start_ms + greatest(dur_ms, 0) + 1800) OVER (PARTITION BY media_id ORDER BY start_ms, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v_cues),
- s AS (SELECT *, sum(CASE WHEN start_ms < reach THEN 0 ELSE 1 END) OVER (PARTITION BY media_id ORDER BY start_ms, ord ROWS UNBOUNDED PRECEDING) AS k FROM z)
+ s AS (SELECT *, sum(CASE WHEN start_ms <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY media_id ORDER BY start_ms, ord ROWS UNBOUNDED PRECEDING) AS k FROM z)
  SELECT media_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n FROM s GROUP BY media_id, k""".replace(", z AS", "WITH z AS", 1), V_CUES)
 def r4(spark, d):
-    return st.sessions(b.cues(spark, d).withColumn("ts", F.timestamp_millis(F.col("start_ms"))))
+    at = place(spark)
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{at}/out")
+
+    made = st.sessions(cue_stream(spark, d).withColumn("ts", F.timestamp_millis(F.col("start_ms"))))
+    made.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out")
 
 
 @query("r5_late_rows", "SELECT media_id, ord, coalesce(start_ms < max(start_ms) OVER (PARTITION BY media_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 30000, false) AS late FROM v_cues", V_CUES)
 def r5(spark, d):
-    return st.split_late(b.cues(spark, d), 30_000).select("media_id", "ord", "late")
+    at = place(spark)
+    st.split_late(cue_stream(spark, d).drop("ts"), 30_000, f"{at}/on-time", f"{at}/late", f"{at}/checkpoint")
+    table = lambda name, late: spark.read.parquet(f"{at}/{name}").select("media_id", "ord", F.lit(late).alias("late"))
+    return table("on-time", False).unionByName(table("late", True))
 
 
 @query("r6_live_progress", "SELECT job_id, arg_max(state, ts_ms * 100000000 + event_id) AS state, count(*) AS n FROM v_jobs GROUP BY job_id", V_CUES, V_JOBS)

@@ -5,14 +5,16 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from cuelake.operators.folds import Cue, Sampler, joins_overlap, longer
+from cuelake.operators.cues import drop_short_noise
+from cuelake.operators.folds import Cue, Sampler, joins_overlap, longer, with_boxes
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-OPEN = "ord bigint, start_ms bigint, end_ms bigint, text string, latest_ms bigint"
-OUT = "media_id bigint, ord bigint, start_ms bigint, end_ms bigint, text string, late boolean"
+OPEN = "ord bigint, start_ms bigint, end_ms bigint, text string, x int, y int, w int, h int, seen_ms bigint"
+OUT = "media_id bigint, ord bigint, start_ms bigint, end_ms bigint, text string, x int, y int, w int, h int, late boolean"
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, *, files_per_batch: int = 100) -> DataFrame:
@@ -35,110 +37,114 @@ def drain(stream: DataFrame, out: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-class _Merger(StatefulProcessor):
-    """The open cue of a medium; emitted when a cue breaks it or the watermark passes it."""
-
-    def __init__(self, overlap_ms: int, least: float):
-        self.overlap_ms, self.least = overlap_ms, least
+class _CueProcessor(StatefulProcessor):
+    """The open cue of a medium and the latest start seen. Rows behind that start come out as
+    they are, with late = true; a cue comes out when a row closes it or its timer expires."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("open", OPEN)
+        self.open = handle.getValueState("open", OPEN)
+        self.latest = handle.getValueState("latest", "at bigint")
 
-    def _close_at(self, cue: Cue) -> int:
-        return cue.end + self.overlap_ms + 300
+    def rows(self, key, cues: list[tuple[Cue, bool]]) -> pd.DataFrame:
+        made = [(key[0], c.ord, c.start, c.end, c.text, *(c.box or (None,) * 4), late) for c, late in cues]
+        return pd.DataFrame(made, columns=[c.split(" ")[0] for c in OUT.split(", ")]).astype({c: "Int32" for c in "xywh"})
 
-    def _set(self, cue: Cue, latest: int, base: int) -> None:
+    def held(self) -> tuple[Cue | None, int]:
+        if not self.open.exists():
+            return None, 0
+        ord, start, end, text, x, y, w, h, seen = self.open.get()
+        return Cue(ord, start, end, text, None if x is None else (x, y, w, h)), seen
+
+    def hold(self, cue: Cue | None, seen: int, expires: int) -> None:
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        self.state.update((cue.ord, cue.start, cue.end, cue.text, latest))
-        self.handle.registerTimer(base + self._close_at(cue))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["start_ms", "ord"], kind="stable")
-        out, cur, latest = [], None, -1
-        if self.state.exists():
-            o, s, e, t, latest = self.state.get()
-            cur = Cue(o, s, e, t)
-        for o, s, e, t in pdf[["ord", "start_ms", "end_ms", "text"]].itertuples(index=False):
-            nxt = Cue(int(o), int(s), int(e), t)
-            if nxt.start < latest:
-                out.append((key[0], nxt.ord, nxt.start, nxt.end, nxt.text, True))
-                continue
-            latest = nxt.start
-            if cur is None:
-                cur = nxt
-            elif joins_overlap(cur, nxt, self.overlap_ms, self.least):
-                cur = cur.grown(nxt, longer(cur.text, nxt.text))
-            else:
-                out.append((key[0], cur.ord, cur.start, cur.end, cur.text, False))
-                cur = nxt
-        if cur is not None:
-            self._set(cur, latest, int(pdf.base_ms.iloc[-1]))
-        yield pd.DataFrame(out, columns=["media_id", "ord", "start_ms", "end_ms", "text", "late"])
+        if cue is None:
+            if self.open.exists():
+                self.open.clear()
+            return
+        self.open.update((cue.ord, cue.start, cue.end, cue.text, *(cue.box or (None,) * 4), int(seen)))
+        self.handle.registerTimer(int(expires))
+
+    def in_order(self, pdf: pd.DataFrame, at: str) -> Iterator[tuple[tuple, bool]]:
+        """Rows by time, each with whether it is late."""
+        latest = self.latest.get()[0] if self.latest.exists() else None
+        for row in pdf.sort_values([at, "ord"], kind="stable").itertuples(index=False):
+            t = int(getattr(row, at))
+            late = latest is not None and t < latest
+            latest = t if latest is None else max(latest, t)
+            yield row, late
+        self.latest.update((latest,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rows = []
-        if self.state.exists():
-            o, s, e, t, _ = self.state.get()
-            rows = [(key[0], o, s, e, t, False)]
-            self.state.clear()
-        yield pd.DataFrame(rows, columns=["media_id", "ord", "start_ms", "end_ms", "text", "late"])
+        cue, _ = self.held()
+        if cue:
+            self.open.clear()
+        yield self.rows(key, [(cue, False)] if cue else [])
 
     def close(self) -> None:
         pass
 
 
-class _SampleProcessor(StatefulProcessor):
-    """The open cue of a medium's samples; silence closes it by an event-time timer."""
+def _box(row) -> tuple | None:
+    return None if pd.isna(row.x) else (int(row.x), int(row.y), int(row.w), int(row.h))
 
-    def __init__(self, hold_ms: int, miss_ms: int, longest_ms: int, least: float):
-        self.args, self.miss_ms = (hold_ms, miss_ms, longest_ms, least), miss_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("open", OPEN)
+class _Merger(_CueProcessor):
+    """See folds.dedupe_overlap."""
 
-    def _rows(self, key, cues: list[Cue]) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], c.ord, c.start, c.end, c.text, False) for c in cues], columns=["media_id", "ord", "start_ms", "end_ms", "text", "late"])
+    def __init__(self, overlap_ms: int, least: float):
+        self.overlap_ms, self.least = overlap_ms, least
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["t_ms", "ord"], kind="stable")
-        machine, out = Sampler(*self.args), []
-        if self.state.exists():
-            o, s, e, t, seen = self.state.get()
-            machine.open, machine.seen = Cue(o, s, e, t), seen
-        for o, t, text, stop in pdf[["ord", "t_ms", "text", "duration_ms"]].itertuples(index=False):
-            out += machine.take(int(o), int(t), text or "", int(stop))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if machine.open:
-            c = machine.open
-            self.state.update((c.ord, c.start, c.end, c.text, int(machine.seen)))
-            self.handle.registerTimer(int(pdf.base_ms.iloc[-1]) + int(machine.seen) + self.miss_ms + 1)
-        elif self.state.exists():
-            self.state.clear()
-        yield self._rows(key, out)
+        pdf, out = pd.concat(list(rows)), []
+        cue, _ = self.held()
+        for row, late in self.in_order(pdf, "start_ms"):
+            nxt = Cue(int(row.ord), int(row.start_ms), int(row.end_ms), row.text, _box(row))
+            if late:
+                out.append((nxt, True))
+            elif cue and joins_overlap(cue, nxt, self.overlap_ms, self.least):
+                cue = cue.grown(nxt, longer(cue.text, nxt.text))
+            else:
+                out += [(cue, False)] if cue else []
+                cue = nxt
+        self.hold(cue, 0, pdf.base_ms.iloc[-1] + (cue.end if cue else 0) + self.overlap_ms + 300)
+        yield self.rows(key, out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.state.exists():
-            o, s, e, t, _ = self.state.get()
-            out = [Cue(o, s, e, t)]
-            self.state.clear()
-        yield self._rows(key, out)
 
-    def close(self) -> None:
-        pass
+class _SampleProcessor(_CueProcessor):
+    """See folds.sampled_cues; silence closes the open cue by an event-time timer."""
+
+    def __init__(self, hold_ms: int, miss_ms: int, longest_ms: int, least: float):
+        self.args, self.miss_ms = (hold_ms, miss_ms, longest_ms, least), miss_ms
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf, out = pd.concat(list(rows)), []
+        machine = Sampler(*self.args)
+        machine.open, machine.seen = self.held()
+        for row, late in self.in_order(pdf, "t_ms"):
+            ord, t, text, stop = int(row.ord), int(row.t_ms), row.text or "", int(row.duration_ms)
+            if not late:
+                out += [(c, False) for c in machine.take(ord, t, text, stop, _box(row))]
+            elif text:
+                out.append((Cue(ord, t, min(t + machine.hold_ms, stop), text, _box(row)), True))
+        self.hold(machine.open, machine.seen, pdf.base_ms.iloc[-1] + machine.seen + self.miss_ms + 1)
+        yield self.rows(key, out)
+
+
+def _processed(rows: DataFrame, processor: StatefulProcessor, clock: str, watermark: str) -> DataFrame:
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = with_boxes(rows).withWatermark("ts", watermark).withColumn("base_ms", F.unix_millis("ts") - F.col(clock))
+    return rows.groupBy("media_id").transformWithStateInPandas(processor, outputStructType=OUT, outputMode="append", timeMode="EventTime")
 
 
 def sample_stream(stream: DataFrame, *, hold_ms: int = 1_500, miss_ms: int = 1_200, longest_ms: int = 8_000, least: float = 0.78, watermark: str = "30 seconds") -> DataFrame:
     """Cues of a stream of samples (media_id, ord, t_ms, text, duration_ms, ts); see
-    folds.sampled_cues. State is one open cue a medium, closed by the next text or by
-    miss_ms of silence on the event clock; equal to the batch form for input in order."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rows = stream.withWatermark("ts", watermark).withColumn("base_ms", F.unix_millis("ts") - F.col("t_ms"))
-    return rows.groupBy("media_id").transformWithStateInPandas(_SampleProcessor(hold_ms, miss_ms, longest_ms, least), outputStructType=OUT, outputMode="append", timeMode="EventTime")
+    folds.sampled_cues with brief=True. State is one open cue a medium, closed by the next
+    text or by miss_ms of silence on the event clock. Samples behind the last one of their
+    medium come out as cues of their own, with late = true, and change nothing: the result
+    equals the batch form for input in order, with what still_open gives at the end."""
+    return _processed(stream, _SampleProcessor(hold_ms, miss_ms, longest_ms, least), "t_ms", watermark)
 
 
 def dedupe_stream(stream: DataFrame, overlap_ms: int = 1_500, least: float = 0.80, watermark: str = "30 seconds") -> DataFrame:
@@ -147,17 +153,20 @@ def dedupe_stream(stream: DataFrame, overlap_ms: int = 1_500, least: float = 0.8
     ts is event time: start_ms after some base that a medium keeps. State is one open cue a medium; a cue goes
     out when the next one breaks it or the watermark passes its reach. Rows behind the
     last start seen of their medium come out as they are, with late = true: the result
-    equals the batch operator for input in order.
+    equals the batch operator for input in order, with what still_open gives at the end.
     """
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    kept = stream.filter((F.length(F.trim("text")) >= 2)).withWatermark("ts", watermark)
-    kept = kept.withColumn("base_ms", F.unix_millis("ts") - F.col("start_ms"))
-    return kept.groupBy("media_id").transformWithStateInPandas(_Merger(overlap_ms, least), outputStructType=OUT, outputMode="append", timeMode="EventTime")
+    return _processed(drop_short_noise(stream), _Merger(overlap_ms, least), "start_ms", watermark)
+
+
+def still_open(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Cues that a drained sample_stream or dedupe_stream still holds, as its output rows."""
+    state = spark.read.format("statestore").option("stateVarName", "open").load(checkpoint)
+    return state.select("key.*", "value.*", F.lit(False).alias("late")).drop("seen_ms")
 
 
 def sessions(stream: DataFrame, overlap_ms: int = 1_500, watermark: str = "30 seconds") -> DataFrame:
-    """Cues per medium chained by time: a session lasts while cues start within the duration
-    of one plus the overlap and 300 ms."""
+    """Cues per medium chained by time, batch or stream: a session lasts while cues start
+    within the duration of one plus the overlap and 300 ms, or just at its end."""
     gap = F.concat((F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0)) + overlap_ms + 300).cast("string"), F.lit(" milliseconds"))
     rows = stream.withWatermark("ts", watermark) if stream.isStreaming else stream
     grouped = rows.groupBy("media_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n"), F.max("end_ms").alias("end_ms"))
@@ -169,9 +178,48 @@ def progress(stream: DataFrame) -> DataFrame:
     return stream.groupBy("job_id").agg(F.max_by("state", F.struct("ts_ms", "event_id")).alias("state"), F.count("*").alias("n"))
 
 
-def split_late(rows: DataFrame, watermark_ms: int) -> DataFrame:
-    """Adds late: rows further behind the running latest start of their medium than allowed."""
-    from pyspark.sql import Window as W
+class _LateMarker(StatefulProcessor):
+    """The running latest start of a medium."""
+
+    def __init__(self, watermark_ms: int):
+        self.watermark_ms = watermark_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", "at bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values("ord", kind="stable")
+        top = pdf.start_ms.cummax().shift(1)
+        if self.latest.exists():
+            held = self.latest.get()[0]
+            top = top.fillna(held).clip(lower=held)
+        late = (pdf.start_ms < top - self.watermark_ms).fillna(False).astype(bool)
+        self.latest.update((int(max(pdf.start_ms.max(), -(2**62) if top.isna().all() else top.max())),))
+        yield pdf[["media_id", "ord", "start_ms", "end_ms", "text"]].assign(late=late)
+
+    def close(self) -> None:
+        pass
+
+
+def mark_late(stream: DataFrame, watermark_ms: int) -> DataFrame:
+    """Adds late to cues (media_id, ord, start_ms, end_ms, text), batch or stream: rows
+    further behind the running latest start of their medium, in the order of ord, than
+    allowed. A stream's batches follow one another in that order."""
+    if not stream.isStreaming:
+        w = W.partitionBy("media_id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
+        return stream.withColumn("late", F.coalesce(F.col("start_ms") < F.max("start_ms").over(w) - watermark_ms, F.lit(False)))
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    schema = "media_id bigint, ord bigint, start_ms bigint, end_ms bigint, text string, late boolean"
+    return stream.groupBy("media_id").transformWithStateInPandas(_LateMarker(watermark_ms), outputStructType=schema, outputMode="append", timeMode="None")
+
+
+def split_late(stream: DataFrame, watermark_ms: int, on_time: str, late: str, checkpoint: str) -> None:
+    """Write rows in time to one table and late ones to a side table, a folder a batch."""
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.persist()
+        for keep, path in ((~F.col("late"), on_time), (F.col("late"), late)):
+            rows.filter(keep).drop("late").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        rows.unpersist()
 
-    w = W.partitionBy("media_id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn("late", F.coalesce(F.col("start_ms") < F.max("start_ms").over(w) - watermark_ms, F.lit(False)))
+    mark_late(stream, watermark_ms).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

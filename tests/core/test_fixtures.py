@@ -115,8 +115,27 @@ def whole_sampling(rows, hold, miss, oldest):
 def test_sampled_cues_equal_the_plain_machine(spark):
     r = random.Random(9)
     rows = [(1, i, 400 * i + r.randrange(300), r.choice(["", "", "same text", "same text!", "other", "[Gemini] x"]), 100_000) for i in range(300)]
-    got = folds.sampled_cues(spark.createDataFrame(rows, "media_id bigint, ord bigint, t_ms bigint, text string, duration_ms bigint"))
-    assert sorted((x.ord, x.start_ms, x.end_ms, x.text) for x in got.collect()) == whole_sampling(rows, 1500, 1200, 8000)
+    frame = spark.createDataFrame(rows, "media_id bigint, ord bigint, t_ms bigint, text string, duration_ms bigint")
+    want = whole_sampling(rows, 1500, 1200, 8000)
+    got = folds.sampled_cues(frame, brief=True)
+    assert sorted((x.ord, x.start_ms, x.end_ms, x.text) for x in got.collect()) == want
+    lasting = [x for x in want if x[2] - x[1] >= (180 if len(x[3].strip()) >= 4 else 300)]
+    assert len(lasting) < len(want)
+    assert sorted((x.ord, x.start_ms, x.end_ms, x.text) for x in folds.sampled_cues(frame).collect()) == lasting
+
+
+def test_sampled_cues_join_boxes(spark):
+    rows = [(1, 0, 0, "one line", 9_000, 10, 10, 5, 5), (1, 1, 500, "one line.", 9_000, 12, 2, 9, 9), (1, 2, 900, "", 9_000, 0, 0, 1, 1), (1, 3, 1_000, "one line", 9_000, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "media_id bigint, ord bigint, t_ms bigint, text string, duration_ms bigint, x int, y int, w int, h int")
+    assert [tuple(r) for r in folds.sampled_cues(frame).collect()] == [(1, 0, 0, 2_500, "one line.", 10, 2, 11, 13)]
+
+
+def test_terms_past_the_bound_are_joined(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "abcabc ab"), (2, ""), (3, None), (4, "zzz"), (4, "ab")], "id bigint, text string")
+    terms = spark.createDataFrame([("ab",), ("abc",), ("q",), ("",), ("ab",)], "term string")
+    few = sorted(tuple(r) for r in lexicon.find_terms(texts, terms).collect())
+    monkeypatch.setattr(lexicon, "MAX_TERMS", 1)
+    assert few == sorted(tuple(r) for r in lexicon.find_terms(texts, terms).collect()) == [(1, "ab", 3), (1, "abc", 2), (4, "ab", 1)]
 
 
 @pytest.mark.parametrize("a,b,out", [("", "x", "x"), ("abc def", "def ghi", "abc def ghi"), ("你好世", "世界", "你好世界"), ("one", "two", "one two"), ("中", "文", "中文"), ("long text", "text", "long text"), ("see the hậu kì", "the hậu kỉ now", "see the hậu kỉ now")])
