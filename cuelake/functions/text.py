@@ -128,6 +128,45 @@ def wrap_words(text: Column, width: int) -> Column:
     return F.flatten(F.transform(paragraphs, lambda p: pack_greedy(F.split(p, " "), width)))
 
 
+def text_width(text: Column) -> Column:
+    """Width in thousandths of the font size: 1000 for CJK and full-width characters, 500 for others."""
+    return 500 * (F.length(text) + F.regexp_count(text, F.lit(CJK)))
+
+
+def fit_text(text: Column, width: int, height: int, size: int, smallest: int, line_pct: int = 120) -> Column:
+    """struct<size, lines, overflow>: text wrapped to a box of pixels at the largest font size
+    from `size` down to `smallest` at which every line is within the width and all lines
+    (line_pct of the size each) within the height; overflow if even the smallest is too large."""
+    words = F.transform(F.filter(F.split(squeeze(text), " "), lambda x: x != ""), lambda x: F.struct(x.alias("text"), text_width(x).alias("w")))
+    space = 500
+    none = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("w"), F.lit(0).alias("widest"))
+
+    def pack(limit):
+        def step(s, x):
+            first, wider = s["open"] == "", s["w"] + space + x["w"]
+            close = ~first & (wider > limit)
+            alone = first | close
+            w = F.when(alone, x["w"]).otherwise(wider)
+            return F.struct(
+                F.when(close, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]).alias("done"),
+                F.when(alone, x["text"]).otherwise(F.concat(s["open"], F.lit(" "), x["text"])).alias("open"), w.alias("w"), F.greatest(s["widest"], w).alias("widest"),
+            )
+
+        return F.aggregate(words, none, step, lambda s: F.struct(F.filter(F.concat(s["done"], F.array(s["open"])), lambda x: x != "").alias("lines"), s["widest"].alias("widest")))
+
+    def at(s):
+        # array(...) keeps one evaluation of the lines
+        packed = F.array(pack(F.floor(F.lit(1000 * width) / s)))
+        large = lambda p: (p["widest"] * s > 1000 * width) | (F.size(p["lines"]) * s * line_pct > 100 * height)
+        return F.get(F.transform(packed, lambda p: F.struct(s.alias("size"), p["lines"].alias("lines"), large(p).alias("overflow"))), F.lit(0))
+
+    # a text that fits at one size fits at every smaller one: most need one or two sizes
+    sizes, first = F.sequence(F.lit(size), F.lit(smallest), F.lit(-1)), F.array(at(F.lit(smallest)))
+    start = F.struct(F.lit(0).alias("size"), F.array().cast("array<string>").alias("lines"), F.lit(True).alias("overflow"))
+    search = F.aggregate(sizes, start, lambda best, s: F.when(best["overflow"], at(s)).otherwise(best))
+    return F.get(F.transform(first, lambda tiny: F.when(tiny["overflow"], tiny).otherwise(search)), F.lit(0))
+
+
 def sentences(text: Column, max_chars: int = 155) -> Column:
     """A script as sentences of at most max_chars, each with an end mark (X6).
 

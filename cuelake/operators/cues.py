@@ -79,7 +79,8 @@ def group_by_gap(cues: DataFrame, gap_ms: int = 1000) -> DataFrame:
 
 
 def consecutive_equal(detections: DataFrame, interval_ms: int = 1500, lead_in_ms: int = 200) -> DataFrame:
-    """Cues of consecutive detections (media_id, t_ms, ord, text) with one text."""
+    """Cues of consecutive detections (media_id, t_ms, ord, text) with one text; see
+    folds.consecutive_either for those with translations and boxes."""
     w = media_order("t_ms", "ord")
     new = (~F.lag("text").over(w).eqNullSafe(F.col("text")) | F.lag("t_ms").over(w).isNull()).cast("int")
     return (

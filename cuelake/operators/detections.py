@@ -112,6 +112,11 @@ def best_per_frame(det: DataFrame) -> DataFrame:
     return full.groupBy("frame").agg(F.max(F.struct("conf", (-F.col("ord")).alias("o"), "text")).alias("b")).select("frame", (-F.col("b.o")).alias("ord"), F.col("b.conf").alias("conf"), F.col("b.text").alias("text"))
 
 
+def best_score(text: Column, conf: Column) -> Column:
+    """Aggregate: the best text score of a group of readings."""
+    return F.max(text_score(text, conf))
+
+
 def text_score(text: Column, mean_conf: Column, *, light: bool = False) -> Column:
     """-1 without text, 0 without letters, else length + 1.5 per ideograph + 12 * confidence
     (light: length + 10 * confidence)."""

@@ -233,6 +233,26 @@ def consecutive_similar(frames: DataFrame, *, hold_ms: int = 1_500, least: float
     return folded(runs, "run", [F.col("t_ms"), F.col("ord")], ["ord", "t_ms", "text"], fold, CUE)
 
 
+def consecutive_either(detections: DataFrame, interval_ms: int = 1_500, lead_in_ms: int = 200) -> DataFrame:
+    """Cues of consecutive detections (media_id, t_ms, ord, text, trans, x, y, w, h) that share
+    the text or the translation of the cue's first one; text is that translation, and the
+    box is the first one's. Time has no bound, so a medium is one stream."""
+
+    def fold(rows):
+        cue = first = None
+        for ord, t, text, trans, *box in rows:
+            if cue and (first[0] == text or first[1] == trans):
+                cue = replace(cue, end=t + interval_ms)
+            else:
+                if cue:
+                    yield cue
+                first, cue = (text, trans), Cue(ord, max(t - lead_in_ms, 0), t + interval_ms, trans, box_of(*box))
+        yield cue
+
+    rows = with_boxes(detections).withColumn("whole", F.lit(0))
+    return folded(rows, "whole", [F.col("t_ms"), F.col("ord")], ["ord", "t_ms", "text", "trans", "x", "y", "w", "h"], fold, BOXED)
+
+
 def residual_duplicates(cues: DataFrame, gap_ms: int = 2_500, least: float = 0.85) -> DataFrame:
     """Neighbouring cues that still hold one line: close in time, over two characters, alike."""
     from cuelake.functions.similarity import similarity

@@ -147,14 +147,15 @@ def sync_report(sources: DataFrame, have: DataFrame) -> DataFrame:
     return one(new).join(F.broadcast(one(total)), "one").join(F.broadcast(one(fetched)), "one").drop("one")
 
 
-def pairs_array(pairs: DataFrame, *order: Column) -> Column:
+def pairs_array(pairs: DataFrame, *order: Column, max_entries: int = 5_000) -> Column:
     """A bounded table of (key, value) as one array for replacement folds, in this order.
 
-    The array is a scalar subquery: it is gathered once and meant for rule tables of some
-    thousand entries; see translate_longest for lexicons.
+    The array is a scalar subquery, gathered once and meant for rule tables; more than
+    `max_entries` raise an error. See translate_longest for lexicons.
     """
-    keyed = pairs.select(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], "key", "value").alias("x"))
-    return keyed.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))).alias("p")).scalar()
+    keyed = pairs.select(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], "key", "value").alias("x")).limit(max_entries + 1)
+    one = keyed.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))).alias("p"))
+    return one.select(F.when(F.size("p") > max_entries, F.raise_error(F.lit(f"more than {max_entries} rules"))).otherwise(F.col("p")).alias("p")).scalar()
 
 
 def rewrite_distinct(rows: DataFrame, column: str, new: str, change) -> DataFrame:
@@ -338,6 +339,19 @@ def language_candidates(label: Column) -> Column:
     return out.otherwise(codes("ch_sim+en", "ch_tra+en", "en"))
 
 
+#: The second order of language rules, case-sensitive; without a match vi and en.
+READERS = [
+    (("Tự động", "auto"), "ch_sim"), (("Trung Giản Thể", "ch_sim"), "ch_sim"), (("Trung Phồn Thể", "ch_tra"), "ch_tra"), (("Việt", "vi"), "vi"), (("Anh", "en"), "en"), (("Nhật", "ja"), "ja"),
+    (("Hàn", "ko"), "ko"), (("Pháp", "fr"), "fr"), (("Đức", "de"), "de"), (("Tây Ban Nha", "es"), "es"), (("Nga", "ru"), "ru"), (("Thái", "th"), "th"),
+]
+
+
+def reader_languages(label: Column) -> Column:
+    """Languages that a sampled reader is opened with: the first rule whose words the label holds."""
+    rules = [(label.rlike("|".join(rf"\Q{w}\E" for w in words)), F.array(*map(F.lit, dict.fromkeys([code, "en"])))) for words, code in READERS]
+    return F.coalesce(*[F.when(hit, codes) for hit, codes in rules], F.array(F.lit("vi"), F.lit("en")))
+
+
 def iso_language(label: Column) -> Column:
     known = {"Vietnamese": "vi", "English": "en", "Chinese": "zh-CN", "Japanese": "ja", "Korean": "ko", "French": "fr", "German": "de", "Spanish": "es", "auto": "auto"}
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), label), label)

@@ -17,12 +17,13 @@ def p9(spark, d):
     return det.filter_noise(boxes(spark, d)).select("frame", "ord", "text")
 
 
-@query("p9_force_scan", """, f AS (SELECT o_orderkey AS frame FROM orders), k AS (SELECT * FROM v_det WHERE ord < 4)
+@query("p9_force_scan", """, f AS (SELECT o_orderkey AS frame FROM orders UNION SELECT -o_orderkey FROM orders), k AS (SELECT * FROM v_det)
  SELECT f.frame, coalesce(k.ord, 0) AS ord, CASE WHEN k.ord IS NULL OR conf_pct < 15 THEN '[Chữ khó - Nhấp quét Gemini]' ELSE text END AS text, CAST(coalesce(conf_pct, 10) AS INTEGER) AS conf_pct
  FROM f LEFT JOIN k USING (frame)""".replace(", f AS", "WITH f AS", 1), V_DETECTIONS)
 def p9b(spark, d):
-    frames = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("frame"))
-    return det.force_scan(frames, boxes(spark, d).filter("ord < 4")).select("frame", "ord", "text", F.round(F.col("conf") * 100).cast("int").alias("conf_pct"))
+    key = F.col("o_orderkey")
+    frames = b.table(spark, d, "orders").select(F.explode(F.array(key, -key)).alias("frame"))  # nothing is detected on the second
+    return det.force_scan(frames, boxes(spark, d)).select("frame", "ord", "text", F.round(F.col("conf") * 100).cast("int").alias("conf_pct"))
 
 
 @query("p10_confidence_gates", "SELECT frame, count(*) FILTER (conf_pct >= 45) AS n45, count(*) FILTER (conf_pct > 45) AS over45, count(*) FILTER (conf_pct >= 50) AS n50, count(*) FILTER (conf_pct > 20) AS over20 FROM v_det GROUP BY frame", V_DETECTIONS)

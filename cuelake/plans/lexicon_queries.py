@@ -28,6 +28,10 @@ def with_uses(spark, d, lexicon):
 USES = "SELECT x.*, coalesce(wd.uses, 0) AS uses FROM ({}) x LEFT JOIN wd ON wd.word = x.key"
 
 
+def distinct_lines(spark, d):
+    return b.lines(spark, d).select("text").distinct()
+
+
 @query("s7_lexicon_entries", USES.format("SELECT layer, line_no, key, value FROM en"), V_LEXICON_LINES, ENTRIES, PROSE)
 def s7(spark, d):
     return with_uses(spark, d, lex.parse_entries(b.lexicon_lines(spark)).drop("priority"))
@@ -38,6 +42,9 @@ def l2(spark, d):
     return with_uses(spark, d, lex.clean_values(lex.parse_entries(b.lexicon_lines(spark))).drop("priority"))
 
 
+SQUEEZE = "trim(regexp_replace({}, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))"
+#: Unicode white space removed at both ends.
+STRIPPED = "regexp_replace({}, '^[\\s\\x{{85}}\\p{{Z}}]+|[\\s\\x{{85}}\\p{{Z}}]+$', '', 'g')"
 LAST = "la AS (SELECT layer, priority, line_no, key, CASE WHEN layer NOT IN ('VietPhrase', 'ChineseModern', 'Names') THEN value WHEN contains(value, '/') THEN trim(list_last(string_split(value, '/'))) WHEN contains(value, '|') THEN trim(list_last(string_split(value, '|'))) ELSE value END AS value FROM cl)"
 
 
@@ -46,10 +53,9 @@ def l1(spark, d):
     return with_uses(spark, d, lex.load_last_sense(b.lexicon_lines(spark)))
 
 
-@query("l3_last_sense", "SELECT value AS source, list_last(string_split(value, ' ')) AS sense FROM (SELECT DISTINCT replace(text, ' ', '/') AS v0, text AS value FROM v_lines WHERE contains(text, ' ') AND NOT contains(text, '/') AND trim(text) = text) q", V_LINES)
+@query("l3_last_sense", "SELECT text AS source, CASE WHEN contains(v, '/') THEN " + STRIPPED.format("list_last(string_split(v, '/'))") + " WHEN contains(v, '|') THEN " + STRIPPED.format("list_last(string_split(v, '|'))") + " ELSE v END AS sense FROM (SELECT DISTINCT text, replace(text, '. ', '/') AS v FROM v_lines) q", V_LINES)
 def l3(spark, d):
-    x = b.lines(spark, d).filter(F.col("text").contains(" ") & ~F.col("text").contains("/") & (F.trim("text") == F.col("text"))).select("text").distinct()
-    return x.select(F.col("text").alias("source"), lex.last_sense(F.replace("text", F.lit(" "), F.lit("/"))).alias("sense"))
+    return distinct_lines(spark, d).select(F.col("text").alias("source"), lex.last_sense(F.replace("text", F.lit(". "), F.lit("/"))).alias("sense"))
 
 
 @query("l4_first_sense_lexicon", USES.format("""SELECT key, first(value ORDER BY r DESC, line_no DESC) AS value, first(layer ORDER BY r DESC, line_no DESC) AS layer FROM (SELECT layer, line_no, key, trim(split_part(trim(split_part(value, '/', 1)), ';', 1)) AS value,
@@ -130,10 +136,6 @@ REPLACED = """ RECURSIVE dt AS (SELECT DISTINCT text FROM v_lines), ps AS (SELEC
  SELECT text, out FROM f WHERE k = (SELECT count(*) FROM ps)"""
 
 
-def distinct_lines(spark, d):
-    return b.lines(spark, d).select("text").distinct()
-
-
 @query("x8_longest_first", "RECURSIVE WITH" + REPLACED.format(order="length(key) DESC, ord", limit=3).replace(" RECURSIVE", "", 1), V_LINES, V_PAIRS)
 def x8(spark, d):
     return lex.replace_longest(distinct_lines(spark, d), b.pairs(spark), 3)
@@ -149,7 +151,6 @@ def x9(spark, d):
     return lex.replace_longest(distinct_lines(spark, d), b.pairs(spark))
 
 
-SQUEEZE = "trim(regexp_replace({}, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))"
 
 
 @query("x11_glossary", "RECURSIVE WITH" + REPLACED.format(order="ord", limit=99).replace(" RECURSIVE", "", 1).replace("SELECT text, out FROM f", "SELECT text, " + SQUEEZE.format("out") + " AS out FROM f"), V_LINES, V_PAIRS)
@@ -219,9 +220,9 @@ def x6(spark, d):
     return b.table(spark, d, "documents").select("doc_id", F.posexplode(t.sentences(F.col("text"))).alias("n", "text"))
 
 
-@query("x7_phrase_rules", "SELECT doc_id, 'Nên là ' || (doc_id % 7)::VARCHAR || ' vì vậy.' AS text FROM documents")
+@query("x7_phrase_rules", "SELECT media_id, line_no, " + SQUEEZE.format("regexp_replace('Nên là ' || text || ' vì vậy.', '[ \\t\\n\\x0b\\f\\r]+([,.!?])', '\\1', 'g')") + " AS text FROM v_lines", V_LINES)
 def x7(spark, d):
-    return b.table(spark, d, "documents").select("doc_id", t.spoken_style(F.concat(F.lit("Thành ra là  "), (F.col("doc_id") % 7).cast("string"), F.lit(" do đó ."))).alias("text"))
+    return b.lines(spark, d).select("media_id", "line_no", t.spoken_style(F.concat(F.lit("Thành ra là  "), "text", F.lit(" do đó ."))).alias("text"))
 
 
 @query("x16_language_codes", """SELECT doc_id, CASE lang WHEN 'en' THEN 'en|ch_sim+en' WHEN 'fr' THEN 'fr+en' WHEN 'de' THEN 'de+en' WHEN 'es' THEN 'es+en' ELSE 'ch_sim+en|ch_tra+en|en' END AS codes, lang AS iso FROM documents""")
@@ -229,6 +230,25 @@ def x16(spark, d):
     return b.table(spark, d, "documents").select("doc_id", F.array_join(lex.language_candidates(F.col("lang")), "|").alias("codes"), lex.iso_language(F.col("lang")).alias("iso"))
 
 
+#: Labels of reader languages with what the second rule order gives.
+LABELS = [("Tự động (auto)", "ch_sim|en"), ("Trung Giản Thể", "ch_sim|en"), ("Trung Phồn Thể", "ch_tra|en"), ("Tiếng Việt", "vi|en"), ("Tiếng Anh", "en"), ("Nhật", "ja|en"), ("en", "en"), ("fr", "fr|en"), ("de", "de|en"), ("es", "es|en"), ("?", "vi|en")]
+
+
+@query("x16_reader_languages", "SELECT doc_id, list_extract([" + ", ".join(f"'{c}'" for _, c in LABELS) + "], CASE WHEN doc_id % 2 = 0 THEN coalesce(list_position(['en', 'fr', 'de', 'es'], lang) + 6, 11) ELSE CAST(doc_id % 11 + 1 AS INTEGER) END) AS codes FROM documents")
+def x16b(spark, d):
+    label = F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(F.element_at(F.array(*[F.lit(x) for x, _ in LABELS]), (F.col("doc_id") % len(LABELS) + 1).cast("int")))
+    return b.table(spark, d, "documents").select("doc_id", F.array_join(lex.reader_languages(label), "|").alias("codes"))
+
+
+@query("o3_layered_union", "SELECT word AS key, first(source ORDER BY lang DESC, doc_id DESC, source DESC) AS value, first(lang ORDER BY lang DESC) AS layer FROM (SELECT unnest(string_split(text, ' ')) AS word, lang, doc_id, source FROM documents) u WHERE word <> '' GROUP BY word")
+def o3(spark, d):
+    """Words of the prose as entries of a layer a language, the later ones over the earlier."""
+    layers = ["de", "en", "es", "fr"]
+    w = b.table(spark, d, "documents").select("lang", "doc_id", "source", F.explode(F.split("text", " ")).alias("key"))
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, layers)), F.col("lang")), F.lit(0))
+    return lex.merge_layers(w.select(F.col("lang").alias("layer"), rank.cast("int").alias("priority"), F.col("doc_id").alias("line_no"), "key", F.col("source").alias("value")))
+
+
 @query("x17_strip_markup", "SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS text FROM pages")
 def x17(spark, d):
     return b.table(spark, d, "pages").select("page_id", t.strip_markup(F.col("html")).alias("text"))
@@ -239,9 +259,14 @@ def x18(spark, d):
     return b.lines(spark, d).select("media_id", "line_no", F.posexplode(t.wrap_words(F.col("text"), 40)).alias("n", "row")).withColumn("overflow", F.length("row") > 40)
 
 
-@query("x19_numbered_lines", "SELECT media_id, line_no, trim(text) AS text FROM v_lines WHERE trim(text) <> '' AND text NOT LIKE '%\"%' AND text NOT LIKE '%''%' AND text NOT LIKE '%`%'", V_LINES)
+@query("x18_fit_text")
+def x18b(spark, d):
+    fit = t.fit_text(F.col("text"), 900, 200, 48, 12)
+    return b.lines(spark, d).select("media_id", "line_no", fit.alias("f")).select("media_id", "line_no", "f.size", F.size("f.lines").alias("n_lines"), F.array_join("f.lines", "|").alias("lines"), "f.overflow")
+
+
+@query("x19_numbered_lines", "SELECT media_id, line_no, regexp_replace(" + STRIPPED.format("text") + """, '^["''`]+|["''`]+$', '', 'g') AS text FROM v_lines""", V_LINES)
 def x19(spark, d):
     from cuelake.operators.translate import clean_line
 
-    x = b.lines(spark, d).filter((F.trim("text") != "") & ~F.col("text").rlike("[\"'`]"))
-    return x.select("media_id", "line_no", clean_line(F.concat(F.lit("Dòng 3: "), "text")).alias("text"))
+    return b.lines(spark, d).select("media_id", "line_no", clean_line(F.concat(F.lit("Dòng 3: "), "text")).alias("text"))

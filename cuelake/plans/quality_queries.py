@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from cuelake.operators import folds
 from cuelake.operators import quality as q
 from cuelake.plans import bindings as b
-from cuelake.plans.bindings import V_CUES, V_JOBS, V_LINES, V_MEDIA, V_MESSAGES
+from cuelake.plans.bindings import V_CUES, V_DETECTIONS, V_JOBS, V_LINES, V_MEDIA, V_MESSAGES
 from cuelake.plans.registry import query
 
 
@@ -187,6 +187,17 @@ def t5(spark, d):
     return folds.consecutive_similar(frames(spark, d))
 
 
+@query("t4_consecutive_either", """RECURSIVE WITH nn AS (SELECT *, text[1:1] AS trans, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, ord) AS n FROM v_cues),
+ f AS (SELECT media_id, n, ord AS o, text AS ft, trans AS fr, start_ms AS t, start_ms AS e FROM nn WHERE n = 1
+ UNION ALL SELECT r.media_id, r.n, CASE WHEN same THEN o ELSE ord END, CASE WHEN same THEN ft ELSE text END, CASE WHEN same THEN fr ELSE trans END, CASE WHEN same THEN t ELSE start_ms END, start_ms
+ FROM (SELECT r.*, f.o, f.ft, f.fr, f.t, f.ft = r.text OR f.fr = r.trans AS same FROM f JOIN nn r ON r.media_id = f.media_id AND r.n = f.n + 1) r)
+ SELECT media_id, o AS ord, greatest(t - 200, 0) AS start_ms, max(e) + 1500 AS end_ms, fr AS text, CASE WHEN o % 7 > 0 THEN CAST(o % 600 AS INTEGER) END AS x FROM f GROUP BY media_id, o, t, fr""", V_CUES)
+def t4b(spark, d):
+    # event types that begin with one letter count as one translation
+    rows = b.cues(spark, d).select("media_id", "ord", F.col("start_ms").alias("t_ms"), "text", F.substring("text", 1, 1).alias("trans"), *boxed_sample()[2:])
+    return folds.consecutive_either(rows).drop("y", "w", "h")
+
+
 @query("q5_residual_duplicates", DEDUPED + """ SELECT media_id, ord, text, next_text, 1.0::DOUBLE AS ratio FROM (SELECT *, lead(text) OVER w AS next_text, lead(start_ms) OVER w AS next_start FROM dd WINDOW w AS (PARTITION BY media_id ORDER BY start_ms, ord)) z
  WHERE next_start - end_ms <= 2500 AND text = next_text AND length(text) > 2""", V_CUES)
 def q5(spark, d):
@@ -213,18 +224,19 @@ def x4(spark, d):
     return turn.select("conv_id", "turn", F.length(overlap_merged("text", "next")).alias("n"))
 
 
-@query("u2_registered_functions", "SELECT doc_id, 1.0::DOUBLE AS same, source AS merged FROM documents")
+@query("u2_registered_functions", "SELECT doc_id, CASE WHEN starts_with(source, 'src') THEN 6 / (length(source) + 3) END AS ratio, 'a ' || source || ' b' AS merged FROM documents")
 def u2(spark, d):
     from cuelake.functions.similarity import register
 
     register(spark)
     b.table(spark, d, "documents").createOrReplaceTempView("cuelake_documents")
-    return spark.sql("SELECT doc_id, similarity(source, source) AS same, overlap_merge(source, source) AS merged FROM cuelake_documents")
+    return spark.sql("SELECT doc_id, similarity(source, 'src') AS ratio, overlap_merge('a ' || source, source || ' b') AS merged FROM cuelake_documents")
 
 
-@query("u3_aggregate_expressions", "SELECT l_orderkey AS frame, min(l_partkey % 600)::INTEGER AS x, count(*) AS n FROM lineitem GROUP BY 1")
+@query("u3_aggregate_expressions", "SELECT frame, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, CAST(round(1000 * max(CASE text WHEN ' ' THEN 0 WHEN ',' THEN 0 ELSE 2 + conf_pct / 100 * 12 END)) AS BIGINT) AS score FROM v_det GROUP BY frame", V_DETECTIONS)
 def u3(spark, d):
-    from cuelake.operators.detections import box_union
+    from cuelake.operators.detections import best_score, box_union
 
     v = b.detections(spark, d).withColumn("box", F.struct("x", "y", "w", "h"))
-    return v.groupBy("frame").agg(box_union(F.col("box"))["x"].alias("x"), F.count("*").alias("n"))
+    both = v.groupBy("frame").agg(box_union(F.col("box")).alias("box"), best_score(F.col("text"), F.col("conf_pct") / 100).alias("score"))
+    return both.select("frame", "box.*", F.round(F.col("score") * 1000).cast("bigint").alias("score"))

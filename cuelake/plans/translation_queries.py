@@ -137,10 +137,10 @@ def b11(spark, d):
     return tr.draft_and_refine(cues(spark, d), memory(spark, d), lexicon, id_answers(spark, d).filter("media_id % 2 = 0")).select("media_id", "ord", "out")
 
 
-@query("b12_translate_set", "SELECT media_id, ord FROM tc", CUES)
+@query("b12_translate_set")
 def b12(spark, d):
     lexicon = b.pairs(spark).select("key", "value")
-    return tr.translate_set(cues(spark, d), answers(spark, d, 15), lexicon).filter("out <> '' OR out = ''").select("media_id", "ord")
+    return tr.translate_set(cues(spark, d), answers(spark, d, 15), lexicon).select("media_id", "ord", "out")
 
 
 @query("j8_compare_tracks", "SELECT a.media_id, a.ord, a.start_ms AS raw_start, a.end_ms AS raw_end, CASE WHEN a.ord % 10 <> 0 THEN a.start_ms + a.ord % 3 * 10 END AS out_start, CASE WHEN a.ord % 10 <> 0 THEN a.end_ms END AS out_end FROM v_cues a WHERE a.ord % 10 = 0 OR a.ord % 3 > 0", b.V_CUES)
