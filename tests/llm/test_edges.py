@@ -128,9 +128,24 @@ def test_top_k_equals_brute_force(spark):
             best = sorted(((-sum(a * b for a, b in zip(qv, v)), i) for i, v in good if i != q))[:5]
             want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert got == sorted(want)
+    early = topk_search.top_k(ints.filter("vec_id % 20 = 0"), ints, 5, block=64, together=8).filter("depth < 1").count()
+    assert early > 0
     assert topk_search.top_k(ints.limit(0), ints).collect() == []
 
 
+def test_top_k_of_unequal_lengths(spark):
+    rows = [(i, [i % 7, *[i % 5 - 2] * (i % 3)]) for i in range(60)]
+    table = spark.createDataFrame(rows, "vec_id bigint, vector array<bigint>")
+    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in topk_search.top_k(table, table, 3, block=8).collect())
+    want = []
+    for i, q in rows:
+        near = sorted((-sum(a * b for a, b in zip(q, x)), j) for j, x in rows if j != i and len(x) == len(q))[:3]
+        want += [(i, n, j, -s) for n, (s, j) in enumerate(near, 1)]
+    assert got == sorted(want)
+    with pytest.raises(ValueError):
+        topk_search.top_k(table, spark.createDataFrame([(1, [2**62])], "vec_id bigint, vector array<bigint>"))
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "é\r\n\r\nWARC/1.1\r\n" * 20
     rows = [(5, "http://a.b/x", big), (3, "http://a.b/y\r\n", big), (9, None, "small"), (8, "", "small"), (1, "http://z", None), (None, "http://n", big), (3, "http://a.b/w", big), (7, "http://l", LONG), (11, "http://l", LONG)]
