@@ -119,13 +119,13 @@ def resume_plan(media: DataFrame, checkpoints: DataFrame, step_ms: int = 20_000,
 def shift_by_chunk(cues: DataFrame, chunks: DataFrame) -> DataFrame:
     """Cues with times inside their chunk (chunk_idx) on the clock of the medium."""
     offset = chunks.select("media_id", "chunk_idx", F.col("start_ms").alias("_offset"))
-    return cues.join(offset, ["media_id", "chunk_idx"]).withColumns({"start_ms": F.col("start_ms") + F.col("_offset"), "end_ms": F.col("end_ms") + F.col("_offset")}).drop("_offset")
+    return cues.join(offset.hint("merge"), ["media_id", "chunk_idx"]).withColumns({"start_ms": F.col("start_ms") + F.col("_offset"), "end_ms": F.col("end_ms") + F.col("_offset")}).drop("_offset")
 
 
 def reassemble(plan: DataFrame, results: DataFrame) -> DataFrame:
     """Every planned chunk with its number of cues; chunks without a result have none."""
     n = results.groupBy("media_id", "chunk_idx").agg(F.count("*").alias("n_cues"))
-    return plan.join(n, ["media_id", "chunk_idx"], "left").select("media_id", "chunk_idx", "start_ms", F.coalesce("n_cues", F.lit(0)).alias("n_cues"))
+    return plan.join(n.hint("merge"), ["media_id", "chunk_idx"], "left").select("media_id", "chunk_idx", "start_ms", F.coalesce("n_cues", F.lit(0)).alias("n_cues"))
 
 
 def lay_out(rows: DataFrame, default_ms: int = 2_500, silence_ms: int = 350) -> DataFrame:
@@ -218,7 +218,7 @@ def masked_timeline(rows: DataFrame, clips: DataFrame | None = None, tone_ms: in
     kind = F.when(F.col("piece").startswith("*"), "tone").when(F.col("piece").rlike(r"^(?U:[\s,.!?，。！？]*)$"), "silence").otherwise("speech")
     parts = parts.withColumn("kind", kind)
     if clips is not None:
-        parts = parts.join(clips.withColumnRenamed("text", "piece").dropDuplicates(["piece"]), "piece", "left")
+        parts = parts.join(clips.withColumnRenamed("text", "piece").dropDuplicates(["piece"]).hint("merge"), "piece", "left")
     else:
         parts = parts.withColumn("clip_ms", F.lit(None).cast("bigint"))
     length = F.when(F.col("kind") == "tone", tone_ms).when(F.col("kind") == "silence", F.length("piece") * 50).otherwise(F.coalesce("clip_ms", F.lit(missing_ms)))

@@ -179,7 +179,7 @@ def reading_order(det: DataFrame) -> DataFrame:
 def frame_text(det: DataFrame) -> DataFrame:
     """(frame, text): the texts of a frame in reading order, joined by spaces."""
     order = reading_order(det)
-    j = det.join(order, ["frame", "ord"]).filter(strip(F.coalesce("text", F.lit(""))) != "")
+    j = det.join(order.hint("merge"), ["frame", "ord"]).filter(strip(F.coalesce("text", F.lit(""))) != "")
     return j.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("nth", "text"))).alias("t")).select("frame", F.array_join(F.col("t.text"), " ").alias("text"))
 
 

@@ -116,31 +116,31 @@ def merge_slang(have: DataFrame, new: DataFrame, *, force: bool = False) -> Data
     o = have.select("zh", *[F.col(c).alias(f"o_{c}") for c in fields], F.lit(True).alias("old"))
     n = new.filter(F.trim("zh") != "").select(F.trim("zh").alias("zh"), *[F.col(c).alias(f"n_{c}") for c in fields], F.lit(True).alias("fresh"))
     take = F.col("fresh").isNotNull() & (F.lit(force) | ~F.coalesce(F.col("o_source") == "Custom", F.lit(False)))
-    return o.join(n, "zh", "full").select("zh", *[F.when(take, F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")).alias(c) for c in fields], take.alias("written"))
+    return o.join(n.hint("merge"), "zh", "full").select("zh", *[F.when(take, F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")).alias(c) for c in fields], take.alias("written"))
 
 
 def upsert(have: DataFrame, new: DataFrame, key: str, *, overwrite: bool = True) -> DataFrame:
     """Rows by key: new ones over old (or only beside them); blank keys are refused."""
     new = new.withColumn(key, F.trim(key)).filter(F.col(key) != "")
     if overwrite:
-        return have.join(new.select(key), key, "left_anti").unionByName(new)
-    return have.unionByName(new.join(have.select(key), key, "left_anti"))
+        return have.join(new.select(key).hint("merge"), key, "left_anti").unionByName(new)
+    return have.unionByName(new.join(have.select(key).hint("merge"), key, "left_anti"))
 
 
 def delete(have: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return have.join(keys.select(F.trim(key).alias(key)), key, "left_anti")
+    return have.join(keys.select(F.trim(key).alias(key)).hint("merge"), key, "left_anti")
 
 
 def backfill(have: DataFrame, seed: DataFrame, key: str, least: int = 40) -> DataFrame:
     """The seed's other keys are added while the table has fewer than `least` entries."""
     few = have.groupBy().agg((F.count("*") < least).alias("few")).filter("few").select(F.lit(1).alias("one"))
-    missing = seed.join(have.select(key), key, "left_anti").withColumn("one", F.lit(1)).join(F.broadcast(few), "one", "left_semi").drop("one")
+    missing = seed.join(have.select(key).hint("merge"), key, "left_anti").withColumn("one", F.lit(1)).join(F.broadcast(few), "one", "left_semi").drop("one")
     return have.unionByName(missing)
 
 
 def sync_report(sources: DataFrame, have: DataFrame) -> DataFrame:
     """Entries added, total and whether anything was fetched, of (source_no, zh) rows."""
-    new = sources.select("zh").distinct().join(have.select("zh"), "zh", "left_anti").agg(F.count("*").alias("added"))
+    new = sources.select("zh").distinct().join(have.select("zh").hint("merge"), "zh", "left_anti").agg(F.count("*").alias("added"))
     total = have.select("zh").union(sources.select("zh")).distinct().agg(F.count("*").alias("total"))
     fetched = sources.agg((F.count("*") > 0).alias("fetched"))
     one = lambda df: df.withColumn("one", F.lit(1))
@@ -161,7 +161,7 @@ def pairs_array(pairs: DataFrame, *order: Column, max_entries: int = 5_000) -> C
 def rewrite_distinct(rows: DataFrame, column: str, new: str, change) -> DataFrame:
     """Adds `new` = change(text column), worked out once for each distinct text."""
     texts = rows.select(column).distinct().withColumn(new, change(F.col(column)))
-    return rows.join(texts, rows[column].eqNullSafe(texts[column]), "left").select(rows["*"], texts[new])
+    return rows.join(texts.hint("merge"), rows[column].eqNullSafe(texts[column]), "left").select(rows["*"], texts[new])
 
 
 def _with_pairs(texts: DataFrame, pairs: Column, change) -> DataFrame:
@@ -323,7 +323,7 @@ def translate_longest(texts: DataFrame, lexicon: DataFrame, shortcuts: DataFrame
     if shortcuts is not None:
         distinct = distinct.withColumn("_p", pairs_array(shortcuts, F.col("ord"))).withColumn("_o", t.replace_words(F.col("_o"), F.col("_p"))).drop("_p")
     distinct = distinct.select(F.col("text").alias("_t"), t.phrase_style(F.col("_o")).alias("out"))
-    return texts.join(distinct, texts["text"].eqNullSafe(distinct["_t"]), "left").drop("_t")
+    return texts.join(distinct.hint("merge"), texts["text"].eqNullSafe(distinct["_t"]), "left").drop("_t")
 
 
 def language_candidates(label: Column) -> Column:

@@ -107,7 +107,7 @@ def json_answers(answers: DataFrame) -> DataFrame:
 def attach(batched: DataFrame, aligned: DataFrame) -> DataFrame:
     """Batched lines with `out`, the aligned text of their position, or their own text."""
     x = aligned.withColumnRenamed("text", "_new")
-    return batched.join(x, ["media_id", "batch", "pos"], "left").withColumn("out", F.coalesce("_new", "text")).drop("_new")
+    return batched.join(x.hint("merge"), ["media_id", "batch", "pos"], "left").withColumn("out", F.coalesce("_new", "text")).drop("_new")
 
 
 def tiered(batched: DataFrame, answers: DataFrame) -> DataFrame:
@@ -119,9 +119,9 @@ def tiered(batched: DataFrame, answers: DataFrame) -> DataFrame:
     size = batched.groupBy("media_id", "batch").agg(F.count("*").alias("size"))
     good = (strip(F.coalesce("text", F.lit(""))) != "").alias("good")
     per = answers.select("media_id", "batch", "tier", "pos", good).groupBy("media_id", "batch", "tier").agg(F.count("*").alias("n"), F.count_distinct("pos").alias("d"), F.bool_and("good").alias("ok"))
-    chosen = per.join(size, ["media_id", "batch"]).filter("ok AND n = size AND d = size").groupBy("media_id", "batch").agg(F.min("tier").alias("tier"))
-    texts = answers.join(chosen, ["media_id", "batch", "tier"]).select("media_id", "batch", "pos", "tier", F.col("text").alias("_new"))
-    return batched.join(texts, ["media_id", "batch", "pos"], "left").withColumn("out", F.coalesce("_new", "text")).drop("_new")
+    chosen = per.join(size.hint("merge"), ["media_id", "batch"]).filter("ok AND n = size AND d = size").groupBy("media_id", "batch").agg(F.min("tier").alias("tier"))
+    texts = answers.join(chosen.hint("merge"), ["media_id", "batch", "tier"]).select("media_id", "batch", "pos", "tier", F.col("text").alias("_new"))
+    return batched.join(texts.hint("merge"), ["media_id", "batch", "pos"], "left").withColumn("out", F.coalesce("_new", "text")).drop("_new")
 
 
 def breaker(calls: DataFrame, limit: int = 3) -> DataFrame:
@@ -165,10 +165,10 @@ def draft_and_refine(cues: DataFrame, memory: DataFrame, lexicon: DataFrame, ref
     looked = lookup_memory(cues, memory)
     open_lines = fixed_batches(looked.filter("hit IS NULL").drop("hit"), size)
     drafts = translate_longest(open_lines.select("text").distinct(), lexicon).select("text", F.col("out").alias("draft"))
-    lines = open_lines.join(drafts, "text", "left")
+    lines = open_lines.join(drafts.hint("merge"), "text", "left")
     answers = json_answers(refined).withColumnRenamed("text", "_new")
     parsed = answers.select("media_id", "batch").distinct().withColumn("_parsed", F.lit(True))
-    done = lines.join(answers, ["media_id", "batch", "pos"], "left").join(parsed, ["media_id", "batch"], "left")
+    done = lines.join(answers.hint("merge"), ["media_id", "batch", "pos"], "left").join(parsed.hint("merge"), ["media_id", "batch"], "left")
     out = F.coalesce("_new", F.when(F.col("_parsed"), F.col("text")), spoken_style(F.col("draft")))
     kept = [c for c in cues.columns]
     return looked.filter("hit IS NOT NULL").withColumn("out", F.col("hit")).select(*kept, "out").unionByName(done.withColumn("out", out).select(*kept, "out"))
@@ -179,6 +179,6 @@ def translate_set(cues: DataFrame, answers: DataFrame, lexicon: DataFrame, size:
     raw) of their batch, else the dictionary; see compare() for the post-condition."""
     batched = fixed_batches(cues, size)
     aligned = align_answers(answers).withColumnRenamed("text", "_new")
-    j = batched.join(aligned, ["media_id", "batch", "pos"], "left")
+    j = batched.join(aligned.hint("merge"), ["media_id", "batch", "pos"], "left")
     fallback = translate_longest(j.filter("_new IS NULL").select("text").distinct(), lexicon).select("text", F.col("out").alias("_f"))
-    return j.join(fallback, "text", "left").withColumn("out", squeeze(F.coalesce("_new", "_f"))).select(*cues.columns, "out")
+    return j.join(fallback.hint("merge"), "text", "left").withColumn("out", squeeze(F.coalesce("_new", "_f"))).select(*cues.columns, "out")

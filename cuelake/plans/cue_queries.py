@@ -124,7 +124,7 @@ PROBES = """p AS (SELECT media_id, grp, probe, CASE probe WHEN 0 THEN s + (e - s
 def t7(spark, d):
     cues = b.cues(spark, d)
     probes = c.probe_schedule(cues).withColumn("conf_pct", (F.col("t_ms") * 7 + F.col("grp")) % 61)
-    return c.group_by_gap(cues).join(c.best_probe(probes), ["media_id", "grp"]).select("media_id", "ord", "probe", "conf_pct")
+    return c.group_by_gap(cues).join(c.best_probe(probes).hint("merge"), ["media_id", "grp"]).select("media_id", "ord", "probe", "conf_pct")
 
 
 CHUNKS = """ch AS (SELECT media_id, CAST(i AS INTEGER) AS chunk_idx, i * 20000 AS start_ms, least(21500, duration_ms - i * 20000) AS dur_ms, duration_ms

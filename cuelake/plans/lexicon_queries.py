@@ -22,7 +22,7 @@ def words(spark, d):
 def with_uses(spark, d, lexicon):
     """Entries of a lexicon (small) with the number of their uses in the prose."""
     w = words(spark, d)
-    return lexicon.join(w, lexicon["key"] == w["word"], "left").select(lexicon["*"], F.coalesce("uses", F.lit(0)).alias("uses"))
+    return lexicon.join(w.hint("merge"), lexicon["key"] == w["word"], "left").select(lexicon["*"], F.coalesce("uses", F.lit(0)).alias("uses"))
 
 
 USES = "SELECT x.*, coalesce(wd.uses, 0) AS uses FROM ({}) x LEFT JOIN wd ON wd.word = x.key"
@@ -96,10 +96,10 @@ def l7b(spark, d):
     return lex.delete(have.select("zh", "vi"), fresh, "zh")
 
 
-@query("l8_backfill", "SELECT zh, vi FROM have WHERE vi = 'es' UNION ALL SELECT zh, vi FROM fresh WHERE zh NOT IN (SELECT zh FROM have WHERE vi = 'es') AND (SELECT count(*) FROM have WHERE vi = 'es') < 1000000", HAVE)
+@query("l8_backfill", "SELECT zh, vi FROM have UNION ALL SELECT zh, vi FROM fresh WHERE zh NOT IN (SELECT zh FROM have) AND (SELECT count(*) FROM have) < 1000000", HAVE)
 def l8(spark, d):
     have, fresh = slang(spark, d)
-    return lex.backfill(have.filter("vi = 'es'").select("zh", "vi"), fresh.select("zh", "vi"), "zh", 1_000_000)
+    return lex.backfill(have.select("zh", "vi"), fresh.select("zh", "vi"), "zh", 1_000_000)
 
 
 @query("l9_sync_report", "SELECT (SELECT count(*) FROM fresh WHERE zh NOT IN (SELECT zh FROM have)) AS added, (SELECT count(*) FROM (SELECT zh FROM have UNION SELECT zh FROM fresh) u) AS total, (SELECT count(*) FROM fresh) > 0 AS fetched", HAVE)

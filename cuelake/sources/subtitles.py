@@ -120,7 +120,7 @@ def project_cues(projects: DataFrame, key: str = "media_id") -> DataFrame:
     segments = p.select(key, F.explode("p.tracks").alias("t")).select(key, F.inline("t.segments"))
     when = F.coalesce("target_timerange", "source_timerange")
     segments = segments.select(key, "material_id", F.floor(when["start"] / 1000).cast("bigint").alias("start_ms"), F.floor((when["start"] + when["duration"]) / 1000).cast("bigint").alias("end_ms"))
-    out = segments.join(texts, [key, "material_id"]).filter("text <> ''")
+    out = segments.join(texts.hint("merge"), [key, "material_id"]).filter("text <> ''")
     return out.withColumn("ord", F.row_number().over(W.partitionBy(key).orderBy("start_ms", "material_id")).cast("bigint")).select(key, "ord", "start_ms", "end_ms", "text")
 
 
