@@ -5,14 +5,14 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.llm.common import batch_words, staged
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents in which a term and an entity must meet before they count as a pair.
-SUPPORT = 3
+#: Documents in which a term and an entity, or a class of entities, must meet before they count as a pair.
+SUPPORT, CLASS_SUPPORT = 3, 6
 #: Share of an entity's information, PMI(term; entity) / IC(entity), that a term may reveal.
 DISCLOSURE = 0.8
 #: Distinct words, or pairs of an entity and a word, a task counts before it passes the counts on.
@@ -76,10 +76,17 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-def entity_name(kind: str, value: str) -> int:
-    """64-bit name of an entity: e-mails in lower case, the others by their digits."""
-    norm = value.lower() if kind in ("email",) else value if kind == "ip" else "".join(c for c in value if c.isdigit())
-    return int.from_bytes(hashlib.blake2b(f"{kind}:{norm}".encode(), digest_size=8).digest(), "big", signed=True)
+def entity_names(kind: str, value: str) -> list[int]:
+    """64-bit names of what a value stands for: itself (e-mails in lower case, the others by
+    their digits), its class (domain, network, issuer or dialling prefix) and its kind.
+
+    The last two bits hold the level: 0 the value, 1 the class, 2 the kind.
+    """
+    digits = "".join(c for c in value if c.isdigit())
+    norm = {"email": value.lower(), "ip": value}.get(kind, digits)
+    group = {"email": norm.rpartition("@")[2], "ip": ".".join(norm.split(".")[:2]), "card": digits[:6], "phone": digits[:4]}[kind]
+    name = lambda level, text: int.from_bytes(hashlib.blake2b(f"{kind}:{text}".encode(), digest_size=8).digest(), "big", signed=True) & ~3 | level
+    return [name(0, norm), name(1, group), name(2, "")]
 
 
 def occurrences(text: str) -> dict[str, list[int]]:
@@ -109,7 +116,7 @@ def find_entities(docs: DataFrame) -> DataFrame:
                 text = x.as_py() or ""
                 spans = base_spans(text)
                 base.append([f"{k}:{s}:{e}" for k in KINDS for s, e in spans[k]])
-                entities.append(sorted({entity_name(k, text[s:e]) for k in KINDS for s, e in spans[k]}))
+                entities.append(sorted({n for k in KINDS for s, e in spans[k] for n in entity_names(k, text[s:e])}))
                 texts.append(text if entities[-1] else None)
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["_row"], pa.array(base, pa.list_(pa.string())), pa.array(entities, pa.list_(pa.int64())), pa.array(texts, pa.string())], names=["doc_id", "_row", "base", "entities", "text"])
 
@@ -155,24 +162,30 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return counted(docs.select("text"), {"term": "string"}, batch_counts)
 
 
-def recurring(found: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
-    """(entity, n_e) of the entities in `support` rows or more (no pair of another can be
-    met so often), and the rows that hold them: doc_id, _row, text, entities."""
+def needed(support: int, class_support: int) -> Column:
+    """Rows in which a pair of the entity must be met."""
+    return F.when(F.col("entity").bitwiseAND(F.lit(3)) == 0, support).otherwise(class_support)
+
+
+def recurring(found: DataFrame, support: int, class_support: int) -> tuple[DataFrame, DataFrame]:
+    """(entity, n_e) of the entities in as many rows as a pair needs (no pair of another can
+    be met so often), and the rows that hold them: doc_id, _row, text, entities."""
     some = found.filter(F.size("entities") > 0)
     each = some.select("doc_id", "_row", F.explode("entities").alias("entity"))
-    known = staged(each.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support), "recurring")
+    known = staged(each.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= needed(support, class_support)), "recurring")
     rows = each.join(known.hint("merge"), "entity").groupBy(F.col("doc_id").alias("_d"), F.col("_row").alias("_r")).agg(F.collect_set("entity").alias("entities"))
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r"))
     return known, staged(some.drop("entities").join(rows.hint("merge"), same).select("doc_id", "_row", "text", "entities"), "held")
 
 
-def disclosing_pairs(known: DataFrame, held: DataFrame, counts: DataFrame, total: int, *, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def disclosing_pairs(known: DataFrame, held: DataFrame, counts: DataFrame, total: int, *, support: int = SUPPORT, class_support: int = CLASS_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(entity, term) pairs whose co-occurrence reveals too much of the entity.
 
     p(t), p(e) and p(t, e) are shares of the `total` rows: those that hold t, e, and both,
     however far apart. PMI = ln(p(t, e) / (p(t) p(e))) is the information t gives about
     e, IC = -ln p(e) all there is to know (none of an entity in every row). Pairs met in
-    `support` rows or more with PMI >= disclosure * IC are returned.
+    `support` rows or more (`class_support` for classes and kinds, which many rows hold)
+    with PMI >= disclosure * IC are returned.
     """
 
     def batch_counts(b):
@@ -182,7 +195,7 @@ def disclosing_pairs(known: DataFrame, held: DataFrame, counts: DataFrame, total
                 yield (((e, t), 1) for t in terms)
 
     met = counted(held.select("text", "entities"), {"entity": "bigint", "term": "string"}, batch_counts)
-    pairs = met.filter(F.col("n") >= support).withColumnRenamed("n", "n_te")
+    pairs = met.filter(F.col("n") >= needed(support, class_support)).withColumnRenamed("n", "n_te")
     p = lambda c: F.col(c) / F.lit(float(total))
     scored = pairs.join(known.hint("merge"), "entity").join(counts.hint("merge"), "term").filter(F.col("n_e") < total)
     return scored.filter(F.log(p("n_te") / (p("n") * p("n_e"))) >= -disclosure * F.log(p("n_e"))).select("entity", "term")
@@ -202,54 +215,59 @@ def located(held: DataFrame) -> DataFrame:
     return held.select("doc_id", "_row", "text", "entities").mapInArrow(rows, "doc_id bigint, _row bigint, entities array<bigint>, term string, starts array<int>")
 
 
-def personal_data(docs: DataFrame, *, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """doc_id, _row, base and terms: spans (kind:start:end, code points) of every row.
+def sanitised(text: Column, spans: Column) -> Column:
+    """Text with base spans generalised to their kind ([EMAIL] ...) and terms removed; where
+    spans (kind:start:end) overlap, the first in text order counts."""
+    parts = F.array_sort(F.transform(spans, lambda x: F.struct(
+        F.split(x, ":")[1].cast("int").alias("start"), F.split(x, ":")[2].cast("int").alias("end"), F.split(x, ":")[0].alias("kind"))))
+    put = lambda kind: F.when(kind == "term", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(kind), F.lit("]")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(
+        parts, start,
+        lambda s, x: F.when(x["start"] < s["at"], s).otherwise(F.struct(
+            x["end"].alias("at"), F.concat(s["out"], F.array(F.substr(text, s["at"] + 1, x["start"] - s["at"]), put(x["kind"]))).alias("out"))),
+        lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + 1)),
+    )
+
+
+def personal_data(docs: DataFrame, *, support: int = SUPPORT, class_support: int = CLASS_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """doc_id, _row, base and terms: spans (kind:start:end, code points) of every row; clean:
+    its text without them (see sanitised), null where there are none.
 
     base holds the fixed patterns by kind, then start; terms every occurrence, in the rows
     that hold a protected entity, of the words that disclose it (see disclosing_pairs), as
-    term:start:end. Base spans never
-    depend on the corpus. One row a row of docs; null texts are empty; null and repeated
-    ids are carried (_row is a tag of the text); an empty table gives an empty table.
+    term:start:end. Protected are single values, their classes (a mail domain, a network)
+    and their kinds. Base spans never depend on the corpus. One row a row of docs; null
+    texts are empty; null and repeated ids are carried (_row is a tag of the text); an
+    empty table gives an empty table.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("_row"), "text")
     found = staged(find_entities(rows), "entities")
-    known, held = recurring(found, support)
-    bad = staged(disclosing_pairs(known, held, staged(word_counts(rows), "words"), found.count(), support=support, disclosure=disclosure), "disclosing")
-    bad = bad.select("entity", F.col("term").alias("_t"))
-    at = located(held).join(bad.hint("merge"), (F.col("term") == F.col("_t")) & F.array_contains("entities", F.col("entity")))
+    known, held = recurring(found, support, class_support)
+    bad = disclosing_pairs(known, held, staged(word_counts(rows), "words"), found.count(), support=support, class_support=class_support, disclosure=disclosure)
+    bad = staged(bad.groupBy(F.col("term").alias("_t")).agg(F.collect_set("entity").alias("_of")), "disclosing")
+    at = located(held).join(bad.hint("merge"), (F.col("term") == F.col("_t")) & F.arrays_overlap("entities", "_of"))
     spans = F.transform("starts", lambda x: F.struct(x.alias("start"), (x + F.length("term")).alias("end")))
     hits = at.select("doc_id", "_row", spans.alias("s")).distinct().groupBy("doc_id", "_row").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("s"))
     spans = F.transform("s", lambda x: F.concat_ws(":", F.lit("term"), x["start"], x["end"]))
     hits = hits.select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), spans.alias("terms"))
-    return found.select("doc_id", "_row", "base").join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left").select(
-        "doc_id", "_row", "base", F.coalesce("terms", F.array().cast("array<string>")).alias("terms")
-    )
+    joined = found.select("doc_id", "_row", "base", "text").join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left")
+    joined = joined.withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    clean = F.when(F.size("base") > 0, sanitised(F.col("text"), F.concat("base", "terms")))
+    return joined.select("doc_id", "_row", "base", "terms", clean.alias("clean"))
 
 
 def sanitise(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Texts with base spans generalised to their kind ([EMAIL] ...) and terms removed.
-
-    spans: as personal_data returns them for docs. Columns of docs stay; where spans
-    overlap, the first in text order counts. Null texts stay null.
-    """
-    one = spans.select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), F.concat("base", "terms").alias("_spans")).distinct()
+    """docs with the texts that personal_data cleaned; null and clean texts stay."""
+    one = spans.filter("clean IS NOT NULL").select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), F.col("clean").alias("_clean")).distinct()
     joined = docs.withColumn("_row", F.xxhash64("text")).join(one.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left")
-    parts = F.array_sort(F.transform("_spans", lambda x: F.struct(
-        F.split(x, ":")[1].cast("int").alias("start"), F.split(x, ":")[2].cast("int").alias("end"), F.split(x, ":")[0].alias("kind"))))
-    put = lambda kind: F.when(kind == "term", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(kind), F.lit("]")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.aggregate(
-        parts, start,
-        lambda s, x: F.when(x["start"] < s["at"], s).otherwise(F.struct(
-            x["end"].alias("at"), F.concat(s["out"], F.substr("text", s["at"] + 1, x["start"] - s["at"]), put(x["kind"])).alias("out"))),
-        lambda s: F.concat(s["out"], F.substr("text", s["at"] + 1)),
-    )
-    return joined.withColumn("text", F.when(F.size("_spans") > 0, text).otherwise(F.col("text"))).select(*docs.columns)
+    return joined.withColumn("text", F.coalesce("_clean", "text")).select(*docs.columns)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     count = lambda k: F.size(F.filter("base", lambda x: x.startswith(f"{k}:"))).cast("long").alias(f"n_{k}")
     return personal_data(docs).select(
-        "doc_id", *[count(k) for k in KINDS], F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join(F.concat("base", "terms"), ",").alias("spans")
+        "doc_id", *[count(k) for k in KINDS], F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join(F.concat("base", "terms"), ",").alias("spans"),
+        F.size("terms").cast("long").alias("n_terms"), (F.size("base") > 0).alias("found"), F.sha2("clean", 256).alias("clean_sha256"),
     )

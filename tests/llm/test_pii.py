@@ -73,3 +73,49 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert pii.personal_data(docs).collect() == []
     assert pii.sanitise(docs, pii.personal_data(docs)).select(F.count("*")).first()[0] == 0
+
+
+def test_disclosure_equals_brute_force(spark):
+    import math
+    from collections import Counter
+
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(400):
+        said = r.choices(words, k=r.randrange(1, 30))
+        if i % 9 == 0:  # a domain that a word gives away
+            said += ["insider", f"p{i}@corp.example", "w3"]
+        if i % 40 == 0:
+            said += ["nick", "boss@corp.example", f"10.1.{i % 7}.9"]
+        r.shuffle(said)
+        rows.append((i, " ".join(said)))
+    rows += [(None, rows[0][1]), (5, rows[0][1]), (6, None), (7, "")]
+    find = re.compile(r"[^\x20\x09-\x0D]+")
+    held, df, df_e, met = [], Counter(), Counter(), Counter()
+    for _, text in rows:
+        text = text or ""
+        base = pii.base_spans(text)
+        spans = [x for v in base.values() for x in v]
+        names = {n for k, v in base.items() for s, e in v for n in pii.entity_names(k, text[s:e])}
+        free = {m.group() for m in find.finditer(text) if all(m.end() <= s or m.start() >= e for s, e in spans)}
+        held.append((text, spans, names))
+        df.update(set(find.findall(text)))
+        df_e.update(names)
+        met.update((n, t) for n in names for t in free)
+    total = len(rows)
+    bad = set()
+    for (n, t), both in met.items():
+        p_e = df_e[n] / total
+        if both >= (pii.CLASS_SUPPORT if n & 3 else pii.SUPPORT) and df_e[n] < total and math.log((both / total) / (df[t] / total * p_e)) >= -pii.DISCLOSURE * math.log(p_e):
+            bad.add((n, t))
+    assert {t for n, t in bad if n & 3} >= {"insider"} and {t for n, t in bad if not n & 3} >= {"nick"}
+    want = []
+    for (doc, _), (text, spans, names) in zip(rows, held):
+        cut = [m for m in find.finditer(text) if any((n, m.group()) in bad for n in names) and all(m.end() <= s or m.start() >= e for s, e in spans)]
+        clean, at = "", 0
+        for s, e, put in sorted([(s, e, f"[{k.upper()}]") for k, v in pii.base_spans(text).items() for s, e in v] + [(m.start(), m.end(), "") for m in cut]):
+            clean, at = clean + text[at:s] + put, e
+        want.append((str(doc), [f"term:{m.start()}:{m.end()}" for m in cut], clean + text[at:] if spans else None))
+    got = [(str(x.doc_id), x.terms, x.clean) for x in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
