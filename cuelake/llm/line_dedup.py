@@ -7,13 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import WS_CHARS, drop_path, stage_path, text_key
+from cuelake.llm.common import WS_CHARS, drop_path, stage_path, staged, text_key
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.trim(line, F.lit(WS_CHARS)), UPPER, LOWER)
+    """The line without white space at its ends, A-Z in lower case (lower() takes ASCII alone
+    byte by byte, but would change other letters)."""
+    bare = F.trim(line, F.lit(WS_CHARS))
+    return F.when(F.octet_length(bare) == F.length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
 def line_hash(key: Column) -> Column:
@@ -110,6 +113,7 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 10, batches: int = 4, fanou
                 .filter(F.length("_key") >= min_chars)
                 .select("doc_id", "_row", "_at", line_hash(F.col("_key")).alias("h"))
             )
+            lines = staged(lines, "line-hashes", compression="none")  # hashed once for both joins
             owners = runs.admit(lines).filter("owner < latest").select("h", "owner")
             found.append(
                 lines.join(owners.hint("merge"), "h").filter(F.col("owner") < F.col("doc_id")).select("doc_id", "_row", "_at")
