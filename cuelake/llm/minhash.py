@@ -13,11 +13,9 @@ from pyspark.sql import functions as F
 from cuelake.llm.common import batch_words, mix64, shingle_hashes, staged, string_hashes
 
 BINS, ROWS = 128, 4
-#: Sets of at most PREFIX_MAX shingles are found by their rarest shingles, without loss; sets
-#: of at least BAND_MIN by bands. A pair with one set above PREFIX_MAX has both at BAND_MIN.
-PREFIX_MAX, BAND_MIN = 75, 55
-#: Members up to which an open bucket sends a star from each; members of a block of a larger one.
-FEW, BLOCK = 64, 1_024
+#: Members up to which an open bucket sends a star from each; members, and shingles of
+#: them, of a block of a larger one.
+FEW, BLOCK, BLOCK_SHINGLES = 64, 1_024, 400_000
 #: Documents for each file of the small tables in between.
 ROWS_A_FILE = 4_000
 
@@ -54,21 +52,6 @@ def bands(sketch: np.ndarray) -> np.ndarray:
     return mix64(h + np.arange(BINS // ROWS, dtype=np.uint64)).view(np.int64)
 
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(id, key): the rarest shingles of small sets (doc_id, n, small).
-
-    Of two sets with 100 * |A & B| >= percent * |A | B|, each has one of the shared shingles
-    among its n - ceil(percent / 100 n) + 1 first ones in any common order; with the rarest
-    first, a passage that many documents hold makes no large bucket.
-    """
-    grams = sets.filter("small IS NOT NULL").select(F.col("doc_id").alias("id"), "n", F.explode("small").alias("g"))
-    held = grams.groupBy("g").agg(F.count("*").alias("df"))
-    ordered = grams.join(held.hint("merge"), "g").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("s"))
-    size = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    first = ordered.select("id", F.explode(F.slice("s", F.lit(1), size)).alias("x"))
-    return first.filter("x.df > 1").select("id", F.xxhash64(F.lit("prefix"), "x.g").alias("key"))
-
-
 def batch_sets(batch: pa.RecordBatch, width: int):
     """(sorted distinct shingle hashes) of each text of a batch, in order."""
     for at in range(0, batch.num_rows, 2000):
@@ -83,30 +66,29 @@ def batch_sets(batch: pa.RecordBatch, width: int):
 
 
 def features(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (set size), fp (128-bit name of the set), sketch (a byte a bin), keys (bands),
-    small (all shingles of a small set)."""
+    """doc_id, n (set size), fp (128-bit name of the set), sketch (a byte a bin), keys (bands;
+    of every set with a shingle)."""
 
     def rows(batches):
         for b in batches:
-            n, fp, sk, ks, sm = [], [], [], [], []
+            n, fp, sk, ks = [], [], [], []
             for values in batch_sets(b, width):
                 n.append(len(values))
                 if len(values):
                     filled = signature(values)
                     fp.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
                     sk.append((filled & np.uint64(0xFF)).astype(np.uint8).tobytes())
-                    ks.append(bands(filled) if len(values) >= BAND_MIN else None)
-                    sm.append(values.view(np.int64) if len(values) <= PREFIX_MAX else None)
+                    ks.append(bands(filled))
                 else:
-                    for column in (fp, sk, ks, sm):
+                    for column in (fp, sk, ks):
                         column.append(None)
             lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sk, pa.binary()), pa.array(ks, lists), pa.array(sm, lists)],
-                names=["doc_id", "n", "fp", "sketch", "keys", "small"],
+                [b["doc_id"], pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sk, pa.binary()), pa.array(ks, lists)],
+                names=["doc_id", "n", "fp", "sketch", "keys"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id bigint, n bigint, fp binary, sketch binary, keys array<bigint>, small array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id bigint, n bigint, fp binary, sketch binary, keys array<bigint>")
 
 
 def alone(docs: DataFrame, width: int) -> DataFrame:
@@ -150,25 +132,26 @@ def likely(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def clusters(rows: DataFrame, parts: int) -> DataFrame:
-    """(key, id, comp, members): the ids of overlapping buckets (key, id, comp), each once.
+    """(key, id, comp, members, shingles): the ids of overlapping buckets (key, id, comp, n),
+    each once, with the members of their cluster and all their shingles.
 
     Members of one bucket are in one cluster, so its pairs hold the pairs of all buckets;
     the many buckets of one group of copies become one.
     """
     lead = rows.groupBy("key").agg(F.min("id").alias("lead"))
     linked = components(rows.join(lead.hint("merge"), "key").select(F.col("id").alias("a"), F.col("lead").alias("b")), parts)
-    ids = rows.select("id", "comp").distinct().join(linked.hint("merge"), "id", "left").select(F.coalesce("component", "id").alias("key"), "id", "comp")
-    return ids.join(ids.groupBy("key").agg(F.count("*").alias("members")).hint("merge"), "key")
+    ids = rows.select("id", "comp", "n").distinct().join(linked.hint("merge"), "id", "left").select(F.coalesce("component", "id").alias("key"), "id", "comp", "n")
+    return ids.join(ids.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).hint("merge"), "key")
 
 
 def bridges(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between components of large buckets: members (key, id, comp, members).
+    """Links (a, b) between components of large buckets: members (key, id, comp, members, shingles).
 
-    Blocks of BLOCK members meet in pairs, with their shingles as 64-bit hashes; a cell
-    compares its sets by counting common shingles and returns no more links than join its
-    components, whatever their number.
+    Blocks of BLOCK members or BLOCK_SHINGLES shingles, whichever is less, meet in pairs,
+    with their shingles as 64-bit hashes; a cell compares its sets by counting common
+    shingles and returns no more links than join its components, whatever their number.
     """
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     block = F.pmod(F.xxhash64("id"), blocks).cast("int")
     # cell (i, j), i <= j: a member of block k lies in the cells (k, *) and (*, k)
     cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j")))
@@ -292,8 +275,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 85) -> Da
     nothing. Documents are linked at 100 * intersection >= percent * union of the full sets;
     component_id is the smallest doc_id reachable, kept is doc_id = component_id.
 
-    Equal sets become one class. Class representatives are bucketed by bands (small sets
-    by their rarest shingles); every bucket sends edges from its most central member only, the one
+    Equal sets become one class. Class representatives are bucketed by bands, whatever their
+    size; every bucket sends edges from its most central member only, the one
     whose buckets are largest in sum. Sketches drop unlikely edges, the texts confirm the
     rest. Buckets whose members are not yet in one component go on: the members outside
     the centre's component become centres too; large ones are compared in blocks, which
@@ -311,7 +294,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 85) -> Da
     member = staged(sets.select("doc_id", "fp").join(classes.hint("merge"), "fp").select("doc_id", "rep", (F.col("doc_id") == F.col("rep")).alias("own")), "classes", parts=parts)
     reps = member.filter("own").select("doc_id").distinct()
     sets = sets.join(reps.hint("merge"), "doc_id", "left_semi")
-    keyed = sets.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")).unionByName(prefixes(sets, percent))
+    keyed = sets.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     shared = staged(keyed.join(sizes.hint("merge"), "key"), "buckets", parts=parts)
     central = shared.groupBy("id").agg(F.sum("size").alias("weight"))

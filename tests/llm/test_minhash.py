@@ -76,3 +76,19 @@ def test_sketch_estimates_similarity():
         b = np.unique(np.concatenate((a[: n - n // 10], rng.integers(0, 2**63, n // 10).astype(np.uint64) * np.uint64(2))))
         j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         assert abs((m.signature(a) == m.signature(b)).mean() - j) < least
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_recall_of_bands_by_set_size(percent):
+    """Share of pairs just at the threshold that meet in a bucket: over 0.99 at every size."""
+    rng = np.random.default_rng(3)
+    fresh = lambda n: np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+    for n in (4, 6, 8, 10, 15, 20, 30, 50, 80, 150, 500, 3000):
+        met = tried = 0
+        for _ in range(300):
+            a = fresh(n)
+            gone = next(g for g in range(len(a), -1, -1) if 100 * (len(a) - g) >= percent * (len(a) + g))  # replaced in b
+            b = np.unique(np.concatenate((a[gone:], fresh(gone))))
+            met += len(np.intersect1d(m.bands(m.signature(a)), m.bands(m.signature(b)))) > 0
+            tried += 1
+        assert met >= 0.99 * tried, (n, met, tried)
