@@ -25,11 +25,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, that with the smallest doc_id.
+    """One document of each near-duplicate component (similarity 0.8), that with the smallest doc_id.
 
     Rows without doc_id stay.
     """
-    gone = minhash.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+    gone = minhash.near_duplicates(docs, percent=80).filter("NOT kept").select("doc_id").distinct()
     return docs.select(COLUMNS).join(gone.hint("merge"), "doc_id", "left_anti").select(COLUMNS)
 
 
