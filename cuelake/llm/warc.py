@@ -15,7 +15,9 @@ MIN_REVISIT = 100
 #: Rows of `pages` in one archive file, at most.
 FILE_ROWS = 2_000
 CRLF = "\r\n"
-SEPARATOR = b"\r\n\r\nWARC/"
+#: Where archives are cut. Its first byte comes once, so that a reader with a buffer needs no
+#: way back to bytes before the buffer.
+SEPARATOR = b"\nWARC/"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 

@@ -182,6 +182,17 @@ def test_warc_negative_and_null_ids(spark):
     assert got == {(-5, "response", None), (3, "revisit", -5), (None, "revisit", -5), (2**63 - 1, "revisit", -5), (-(2**63), "response", None)}
 
 
+def test_archives_longer_than_a_read_buffer(spark):
+    pages = spark.range(4_000).select(F.col("id").alias("page_id"), F.lit("http://a.example/").alias("url"), F.repeat(F.lit("pay\r\nload\n"), (F.col("id") % 97).cast("int")).alias("html"))
+    path = stage_path(spark, "warc")
+    warc.write_warc(pages.coalesce(1), path)
+    records = warc.read_warc(spark, path)
+    assert records.count() == 12_000
+    got = {(r.page_id, r.payload_bytes, r.payload_digest) for r in warc.resolve_revisits(warc.assemble(records)).collect()}
+    payload = lambda i: b"pay\r\nload\n" * (i % 97)
+    assert got == {(i, len(payload(i)), hashlib.sha256(payload(i)).hexdigest()) for i in range(4_000)}
+
+
 @pytest.mark.parametrize("form", ["members", "plain"])
 def test_foreign_archives(spark, tmp_path, form):
     blocks = [b"", bytes(range(256)) * 3, b"WARC/1.1\r\n\r\nWARC/1.0\r\n\r\n", b"\r\n\r\nWARC/" * 50, b"\r\n\r\n", b"p" * 100_000]
