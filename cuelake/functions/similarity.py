@@ -22,38 +22,63 @@ def alike(a: str | None, b: str | None, least: float = 0.78) -> bool:
     return x == y if not (x and y) else ratio(x, y) >= least
 
 
-def _longest(sizes: Iterable[int], fits) -> int:
-    return next((n for n in sizes if fits(n)), 0)
-
-
-def _closest(sizes: Iterable[int], score, above: float) -> int:
-    """The size with the best score above a bound; the first of equal ones."""
-    scored = [(score(n), -i, n) for i, n in enumerate(sizes)]
-    best = max((s for s in scored if s[0] > above), default=None)
-    return best[2] if best else 0
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, by rows of bits: a bound on ratio()'s matches."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    free = full
+    for c in b:
+        hit = free & where.get(c, 0)
+        if hit:
+            free = ((free + hit) | (free - hit)) & full
+    return len(a) - free.bit_count()
+
+
+def closest_border(a: list[str] | str, b: list[str] | str, join: str, least: int, above: float) -> int:
+    """Size of the border (end of a, start of b, the same number of units) with the best ratio()
+    over `above`, in lower case; the largest of equal ones; 0 if there is none.
+
+    Matches are no more than the common subsequence, and that of a smaller border is no longer:
+    sizes that it rules out are passed over, so texts without a border cost a few comparisons.
+    """
+    best, found = above, 0
+    reach = None  # common characters of the last border compared, all larger ones being settled
+    for n in range(min(len(a), len(b)), least - 1, -1):
+        x, y = join.join(a[len(a) - n :]).lower(), join.join(b[:n]).lower()
+        total = len(x) + len(y)
+        if reach is not None and 2.0 * (reach + 2) / total <= best:  # a cut can change a final sigma at either end
+            continue
+        reach = common_subsequence(x, y)
+        if 2.0 * reach / total <= best:
+            continue
+        score = ratio(x, y)
+        if score > best:
+            best, found = score, n
+    return found
+
+
+def exact_border(a: list[str] | str, b: list[str] | str) -> int:
+    """Size of the longest end of a that b starts with."""
+    return next((n for n in range(min(len(a), len(b)), 0, -1) if a[len(a) - n :] == b[:n]), 0)
 
 
 def overlap_merge(first: str | None, second: str | None) -> str:
-    """Join two texts at what they share: containment, then the longest common border in
-    words, in characters, then the closest fuzzy border in words, in characters."""
+    """Join two texts at what they share: one in the other, else at their border, sought
+    exactly and then by likeness (0.80 for two words or more, 0.85 for three characters or
+    more), each in words before characters; without a border, one after the other."""
     a, b = (first or "").strip(), (second or "").strip()
     if not a or not b or b in a or a in b:
         return a if len(a) >= len(b) else b
-    wa, wb = a.split(), b.split()
-    words, chars = range(min(len(wa), len(wb)), 0, -1), range(min(len(a), len(b)), 0, -1)
-    tail = lambda n: " ".join(wa[len(wa) - n :]).lower()
-    n = _longest(words, lambda n: wa[-n:] == wb[:n])
-    if n:
-        return " ".join(wa[:-n] + wb)
-    n = _longest(chars, lambda n: a.endswith(b[:n]))
-    if n:
-        return a + b[n:]
-    n = _closest([k for k in words if k >= 2], lambda k: ratio(tail(k), " ".join(wb[:k]).lower()), 0.80)
-    if n:
-        return " ".join(wa[:-n] + wb)
-    n = _closest([k for k in chars if k >= 3], lambda k: ratio(a[-k:].lower(), b[:k].lower()), 0.85)
-    if n:
-        return a + b[n:]
+    in_words = (a.split(), b.split(), " ")
+    in_chars = (a, b, "")
+    exact = lambda x, y, join: exact_border(x, y)
+    like = {" ": lambda x, y, join: closest_border(x, y, join, 2, 0.80), "": lambda x, y, join: closest_border(x, y, join, 3, 0.85)}
+    for border, (x, y, join) in ((exact, in_words), (exact, in_chars), (like[" "], in_words), (like[""], in_chars)):
+        n = border(x, y, join)
+        if n:
+            return " ".join(x[: len(x) - n] + y) if join else x + y[n:]
     return a + ("" if _CJK.search(a) or _CJK.search(b) else " ") + b
 
 
