@@ -20,13 +20,15 @@ WS_CHARS = " \t\n\x0b\f\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (tests, a local session) a temporary folder of
-    this machine is set once per session.
+    Where the setting is absent, a local session (tests) gets a temporary folder of
+    this machine, set once; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="cuelake-", dir=os.environ.get("TMPDIR"))
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
