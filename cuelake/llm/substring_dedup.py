@@ -71,9 +71,14 @@ def packed(docs: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
     A super-k-mer travels as its words joined by one space, a line each, with doc_id,
     row tag, first word and number of windows. A batch sends one copy of each super-k-mer,
     that of the smallest (doc_id, row, first word): windows of other copies are repeats
-    already, and travel as ranges without words (count < 0).
+    already, and travel as ranges without words (count < 0). Those need no other window, so
+    they go to buckets of their own, from `buckets` on, spread by document: a passage found
+    everywhere does not send them all to one task.
     """
 
+    # few enough that a batch does not send a row for each document
+    spread_over = max(1, buckets // 16)
+
     def rows(batches):
         for b in batches:
             for some in slices(b, "text", BATCH_CHARS):
@@ -91,17 +96,18 @@ def packed(docs: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
         word = dictionary.to_numpy(zero_copy_only=False)
         text = word[codes]
         bucket = (mix64(low) % np.uint64(buckets)).astype(np.int64)
+        spread = buckets + (mix64(ids.astype(np.uint64)) % np.uint64(spread_over)).astype(np.int64)
         order = np.lexsort((begin - starts[doc], tags[doc], ids[doc]))
         groups: dict = {}
         seen: dict = {}
         for i in order.tolist():
             s, e, d = int(begin[i]), int(end[i]), int(doc[i])
-            g = groups.setdefault(int(bucket[i]), ([], [], [], [], []))
             line = " ".join(text[s : e + window - 1])
             at = (int(ids[d]), int(tags[d]), s - int(starts[d]))
             old = seen.setdefault(line, at)
             if old is not at and old == at:
                 continue
+            g = groups.setdefault(int(bucket[i] if old is at else spread[d]), ([], [], [], [], []))
             g[0].append(at[0])
             g[1].append(at[1])
             g[2].append(at[2])
@@ -176,9 +182,9 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM,
 
     Consecutive windows with one minimiser (the smallest hash of their `gram`-word grams)
     travel together to the minimiser's bucket, where equal windows must meet. Buckets are
-    sized by the corpus; each task sends one copy of a repeated super-k-mer, so that a
-    passage found everywhere costs its bucket one copy a batch. The ranges found are
-    joined to the texts once.
+    sized by the corpus; each batch sends one copy of a repeated super-k-mer, so that a
+    passage found everywhere costs its bucket one copy a batch; its other copies are known
+    repeats and stay out of that bucket. The ranges found are joined to the texts once.
 
     Columns of docs stay (text: kept words joined by one space), plus n_words and n_removed.
     Null or blank texts become empty. Rows that repeat doc_id and text are one document
