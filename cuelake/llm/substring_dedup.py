@@ -142,10 +142,9 @@ def bucket_repeats(parts: list[bytes], window: int):
     h = shingle_hashes(string_hashes(dictionary)[codes], window)
     count = head[3]
     ends = np.cumsum(count)
-    line = np.repeat(np.arange(len(count)), count)
+    line = np.repeat(np.arange(len(count), dtype=np.int32), count)
     offset = np.arange(ends[-1]) - np.repeat(ends - count, count)
     at = starts[line] + offset
-    doc, row, pos = head[0][line], head[1][line], head[2][line] + offset
     key = h[at]
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
@@ -153,8 +152,11 @@ def bucket_repeats(parts: list[bytes], window: int):
     twice[1:] |= same
     twice[:-1] |= same
     some = order[twice]
+    del h, order, same, twice
+    # looked up for windows that meet an equal hash, which are few
+    doc, row, pos = (lambda i: head[0][line[i]]), (lambda i: head[1][line[i]]), (lambda i: head[2][line[i]] + offset[i])
     if len(some):
-        some = some[np.lexsort((pos[some], row[some], doc[some], key[some]))]
+        some = some[np.lexsort((pos(some), row(some), doc(some), key[some]))]
         while len(some):
             k = key[some]
             first = np.ones(len(some), bool)
@@ -162,13 +164,13 @@ def bucket_repeats(parts: list[bytes], window: int):
             lead = some[np.maximum.accumulate(np.where(first, np.arange(len(some)), 0))]
             span = np.arange(window)
             equal = np.concatenate([(codes[at[some[i : i + 200_000], None] + span] == codes[at[lead[i : i + 200_000], None] + span]).all(axis=1) for i in range(0, len(some), 200_000)])
-            later = equal & ~((doc[some] == doc[lead]) & (row[some] == row[lead]) & (pos[some] == pos[lead]))
+            later = equal & ~((doc(some) == doc(lead)) & (row(some) == row(lead)) & (pos(some) == pos(lead)))
             hit = np.sort(some[later])
             if len(hit):
                 brk = np.ones(len(hit), bool)
                 brk[1:] = (hit[1:] != hit[:-1] + 1) | (line[hit[1:]] != line[hit[:-1]])
                 b = np.flatnonzero(brk)
-                out.append(np.stack((doc[hit[b]], row[hit[b]], pos[hit[b]], np.diff(np.append(b, len(hit))))))
+                out.append(np.stack((doc(hit[b]), row(hit[b]), pos(hit[b]), np.diff(np.append(b, len(hit))))))
             some = some[~equal]
     return np.concatenate(out, axis=1)
 
