@@ -1,5 +1,5 @@
 """Registered queries of the training-data operators and their SQL."""
-from cuelake.llm import bpe, line_dedup, minhash, mixing, pii, quality, substring_dedup, token_output, topk_search, warc
+from cuelake.llm import bpe, line_dedup, minhash, mixing, pii, quality, substring_dedup, token_output, topk_search, warc, whitening
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op8_minhash_near_dedup": minhash.op8_minhash_near_dedup,
     "op9_pii": pii.op9_pii,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
