@@ -13,10 +13,12 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_byte_bpe": bpe.op10_byte_bpe,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op2_topk_search": topk_search.ORACLE,
     "op6_mix_sources": mixing.ORACLE,
     "op7_warc": warc.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
