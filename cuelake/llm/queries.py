@@ -1,5 +1,5 @@
 """Registered queries of the training-data operators and their SQL."""
-from cuelake.llm import bpe, line_dedup, minhash, mixing, pii, quality, substring_dedup, token_output, topk_search, warc, whitening
+from cuelake.llm import bpe, line_dedup, minhash, mixing, pii, prefix_trie, quality, substring_dedup, token_output, topk_search, warc, whitening
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
