@@ -3,11 +3,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuelake.functions import text as t
+from cuelake.operators import trie
 
 #: Layers from the weakest to the strongest.
 LAYERS = ["Babylon", "LacViet", "ThieuChuu", "PhienAm", "VietPhrase", "ChineseModern", "Names"]
@@ -28,8 +32,6 @@ SLANG = [
     ("泰裤辣", "quá ngầu"), ("栓Q", "cảm ơn nhiều"), ("特种兵式", "kiểu lính đặc nhiệm"), ("沉浸式", "kiểu đắm chìm"), ("搭子", "cạ cứng / bạn đồng hành"), ("尊嘟假嘟", "thật á / đùa à"),
 ]
 MAX_KEY = 50
-#: Terms looked up one by one in each text, at most.
-MAX_TERMS = 200
 
 
 def scan_lines(spark, path: str, layer: str, priority: int) -> DataFrame:
@@ -151,7 +153,7 @@ def pairs_array(pairs: DataFrame, *order: Column, max_entries: int = 5_000) -> C
     """A bounded table of (key, value) as one array for replacement folds, in this order.
 
     The array is a scalar subquery, gathered once and meant for rule tables; more than
-    `max_entries` raise an error. See translate_longest for lexicons.
+    `max_entries` raise an error. See replace_longest and translate_longest for lexicons.
     """
     keyed = pairs.select(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], "key", "value").alias("x")).limit(max_entries + 1)
     one = keyed.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))).alias("p"))
@@ -171,9 +173,21 @@ def _with_pairs(texts: DataFrame, pairs: Column, change) -> DataFrame:
 
 def replace_longest(texts: DataFrame, pairs: DataFrame, limit: int | None = None) -> DataFrame:
     """Adds out: keys replaced, the longest first (ties by ord), each on the result so far,
-    at most `limit` keys that occur."""
-    p = pairs_array(pairs, -F.length("key"), F.col("ord"))
-    return _with_pairs(texts, p, lambda x, q: t.replace_in_order(x, q, limit))
+    at most `limit` keys that occur. Empty keys are never replaced, a null value is empty,
+    a null text stays null.
+
+    The pairs are a dictionary of any size: a text meets the keys that it holds and those that their
+    values bring, not the whole list.
+    """
+    known = trie.publish(pairs.select("key", "value", "ord"), -F.length("key"), F.col("ord"))
+
+    @F.pandas_udf("string")
+    def change(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            out = trie.replaced(known, b.fillna("").tolist(), limit)
+            yield pd.Series(out, index=b.index, dtype=object).where(b.notna(), None)
+
+    return texts.withColumn("out", change("text"))
 
 
 def apply_glossary(texts: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
@@ -194,24 +208,22 @@ def enforce_words(texts: DataFrame, pairs: DataFrame, *, longest_first: bool = F
 
 
 def find_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, term, n): terms that occur in texts (id, text), with their counts.
+    """(id, term, n): terms that occur in texts (id, text), with the number of their places from left
+    to right without overlap; rows with one id count together.
 
-    Texts are cut into their n-grams of the lengths that terms have (a bounded set of
-    lengths). A gram goes on only if it is a term, before anything is counted or exchanged:
-    up to MAX_TERMS terms are looked up in one array for each row, more meet the grams in an equi-join.
+    The terms are a dictionary of any size. Each text is looked up where it is read, in time
+    that follows its length, and only what it holds goes on.
     """
-    terms = terms.select("term").filter("term <> ''").distinct()
-    lengths = terms.agg(F.collect_set(F.length("term"))).scalar()
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substr("text", i, n))
-    cut = F.flatten(F.transform(F.filter("_s", lambda n: n <= F.length("text")), grams))
-    if terms.limit(MAX_TERMS + 1).count() <= MAX_TERMS:
-        held = F.filter("_t", lambda x: F.contains(F.col("text"), x))
-        rows = texts.withColumn("_t", terms.agg(F.collect_list("term")).scalar()).select("id", "text", F.explode(held).alias("term"))
-        last = F.length("text") - F.length("term") + 1
-        n = F.size(F.filter(F.sequence(F.lit(1), last), lambda i: F.substr("text", i, F.length("term")) == F.col("term")))
-        return rows.select("id", "term", n.cast("bigint").alias("n")).groupBy("id", "term").agg(F.sum("n").alias("n"))
-    rows = texts.withColumn("_s", lengths).select("id", F.explode(cut).alias("term"))
-    return rows.join(terms.hint("shuffle_hash"), "term").groupBy("id", "term").agg(F.count("*").alias("n"))
+    known = trie.publish(terms.select(F.col("term").alias("key")).distinct().withColumn("value", F.lit("")))
+    kind = texts.schema["id"].dataType
+
+    def rows(batches):
+        for batch in batches:
+            row, found, n = trie.counted(known, ["" if x is None else x for x in batch["text"].to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(row)), pa.array(found, pa.string()), pa.array(n)], names=["id", "term", "n"])
+
+    schema = T.StructType([T.StructField("id", kind), T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])
+    return texts.select("id", "text").mapInArrow(rows, schema).groupBy("id", "term").agg(F.sum("n").alias("n"))
 
 
 def slang_table(spark) -> DataFrame:
@@ -219,11 +231,20 @@ def slang_table(spark) -> DataFrame:
 
 
 def mask_terms(texts: DataFrame, terms: DataFrame, mask: str = "***") -> DataFrame:
-    """Adds hits and out: terms (bounded list) replaced by a mask, the longest first."""
-    pairs = terms.select(F.monotonically_increasing_id().alias("ord"), F.col("term").alias("key"), F.lit(mask).alias("value"))
-    p = pairs_array(pairs.withColumn("ord", F.col("key")), -F.length("key"), F.col("key"))
-    hits = lambda x, q: F.size(F.filter(q, lambda y: x.contains(y["key"])))
-    return texts.withColumn("_p", p).withColumns({"hits": hits(F.col("text"), F.col("_p")), "out": t.replace_in_order(F.col("text"), F.col("_p"))}).drop("_p")
+    """Adds hits (terms that the text holds) and out: terms replaced by a mask, the longest first.
+    A null text has no hit and stays null. The terms are a dictionary of any size."""
+    pairs = terms.select(F.col("term").alias("key")).distinct().withColumn("value", F.lit(mask))
+    known = trie.publish(pairs, -F.length("key"))
+
+    @F.pandas_udf("hits int, out string")
+    def change(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            held = b.fillna("").tolist()
+            row, _, _ = trie.counted(known, held)
+            out = pd.Series(trie.replaced(known, held), dtype=object).where(b.notna().to_numpy(), None)
+            yield pd.DataFrame({"hits": np.bincount(row, minlength=len(held)).astype("int32"), "out": out})
+
+    return texts.withColumn("_m", change("text")).withColumns({"hits": F.col("_m.hits"), "out": F.col("_m.out")}).drop("_m")
 
 
 #: ASCII marks copied one by one by the segmentation.
@@ -231,7 +252,8 @@ _COPIED = frozenset(",.!?()[]{}:;\"'<>~@#$%^&*_-+=/\\|")
 _ALNUM = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 
 
-def _segments(text: str, entries: dict[str, str], longest: dict[str, int]) -> Iterator[str]:
+def _segments(text: str, first: int, size, values: dict[int, str]) -> Iterator[str]:
+    """Parts of one text of a batch that begins at place `first` of it; size and values as of Dictionary.longest."""
     at = 0
     while at < len(text):
         c = text[at]
@@ -240,85 +262,45 @@ def _segments(text: str, entries: dict[str, str], longest: dict[str, int]) -> It
             while end < len(text) and text[end] in _ALNUM:
                 end += 1
             yield text[at:end]
-        elif c.isspace() or c in _COPIED:
+        elif c.isspace() or c in _COPIED or not size[first + at]:
             yield c
         else:
-            for stop in range(min(at + longest.get(c, 0), len(text)), at, -1):
-                if text[at:stop] in entries:
-                    end = stop
-                    break
-            yield entries.get(text[at:end], c)
+            end = at + int(size[first + at])
+            yield values[first + at]
         at = end
 
 
-def _grams(text: str, lengths: list[int]) -> list[str]:
-    """Distinct strings of the given lengths that begin where the segmentation may look up."""
-    starts = [at for at, c in enumerate(text) if not (c in _ALNUM or c.isspace() or c in _COPIED)]
-    return list(dict.fromkeys(text[at : at + n] for at in starts for n in lengths if at + n <= len(text)))
-
+#: What is copied and never looked up.
+_PLAIN = np.array([*map(ord, sorted(_ALNUM | _COPIED)), *(i for i in range(0x110000) if chr(i).isspace())])
 
-def _longest(entries: dict[str, str]) -> dict[str, int]:
-    longest: dict[str, int] = {}
-    for k in entries:
-        longest[k[0]] = max(longest.get(k[0], 0), len(k))
-    return longest
 
+def segmented(known: trie.Dictionary, texts: list[str]) -> list[str]:
+    """The parts of each text, joined by spaces."""
+    cps, starts = trie.code_points(texts)
+    stop = np.repeat(starts[1:], np.diff(starts))
+    size, values = known.longest(cps, stop, np.flatnonzero(~np.isin(cps, _PLAIN)), MAX_KEY)
+    return [" ".join(_segments(x, s, size, values)) for x, s in zip(texts, starts.tolist())]
 
-def _segmented_by_join(distinct: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Adds _o: each text is segmented with the entries that occur in it, which an
-    equi-join of its n-grams (lengths of the lexicon, MAX_KEY at most) with the lexicon finds."""
-    lengths = sorted(r.n for r in lexicon.select(F.length("key").alias("n")).distinct().collect())
 
-    @F.pandas_udf("array<string>")
-    def grams(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: [] if v is None else _grams(v, lengths))
-
-    @F.pandas_udf("string")
-    def segment(x: pd.Series, keys: pd.Series, values: pd.Series) -> pd.Series:
-        def one(v, k, w):
-            if v is None:
-                return None
-            own = {} if k is None else dict(zip(k, w))
-            return " ".join(_segments(v, own, _longest(own)))
-
-        return pd.Series([one(*r) for r in zip(x, keys, values)], dtype=object)
-
-    found = distinct.select(F.col("text").alias("_g"), F.explode(grams("text")).alias("key")).join(lexicon.hint("merge"), "key")
-    own = found.groupBy("_g").agg(F.collect_list(F.struct("key", "value")).alias("_e"))
-    return distinct.join(own.hint("merge"), F.col("text") == F.col("_g"), "left").select("text", segment("text", F.col("_e.key"), F.col("_e.value")).alias("_o"))
-
-
-def translate_longest(texts: DataFrame, lexicon: DataFrame, shortcuts: DataFrame | None = None, *, max_entries: int = 1_000_000) -> DataFrame:
+def translate_longest(texts: DataFrame, lexicon: DataFrame, shortcuts: DataFrame | None = None) -> DataFrame:
     """Adds out to texts (text): greedy longest match from left to right, word by word.
 
     Space and ASCII marks are copied, runs of letters and digits copied whole, everything
     else is looked up (at most MAX_KEY characters) or copied; parts are joined by spaces and
     tidied, then abbreviations and phrase rules apply. Entries that begin with a copied
-    character are never looked up and are left out. The others go to the workers as
-    one broadcast; more than `max_entries` are met by an equi-join instead. Only distinct texts are sent.
+    character are never looked up and are left out. The lexicon has one value a key and any size: it
+    is a dictionary in the shared folder, of which workers open what their texts need. Only distinct
+    texts are sent.
     """
-    spark = texts.sparkSession
     usable = lexicon.select("key", "value").filter(F.length("key").between(1, MAX_KEY) & ~F.substring("key", 1, 1).isin(*sorted(_ALNUM | _COPIED)))
-    entries = {}
-    for n, r in enumerate(usable.limit(max_entries + 1).toLocalIterator()):
-        if n == max_entries:
-            entries = None
-            break
-        entries[r.key] = r.value
-    distinct = texts.select("text").distinct()
-    if entries is None:
-        distinct = _segmented_by_join(distinct, usable)
-    else:
-        shared = spark.sparkContext.broadcast(entries)
-
-        @F.pandas_udf("string")
-        def segment(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            known = shared.value
-            longest = _longest(known)
-            for b in batches:
-                yield b.map(lambda x: None if x is None else " ".join(_segments(x, known, longest)))
-
-        distinct = distinct.withColumn("_o", segment("text"))
+    known = trie.publish(usable)
+
+    @F.pandas_udf("string")
+    def segment(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series(segmented(known, b.fillna("").tolist()), dtype=object).where(b.notna().to_numpy(), None)
+
+    distinct = texts.select("text").distinct().withColumn("_o", segment("text"))
     distinct = distinct.withColumn("_o", t.tidy_marks(F.col("_o")))
     if shortcuts is not None:
         distinct = distinct.withColumn("_p", pairs_array(shortcuts, F.col("ord"))).withColumn("_o", t.replace_words(F.col("_o"), F.col("_p"))).drop("_p")

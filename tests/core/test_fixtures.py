@@ -130,11 +130,11 @@ def test_sampled_cues_join_boxes(spark):
     assert [tuple(r) for r in folds.sampled_cues(frame).collect()] == [(1, 0, 0, 2_500, "one line.", 10, 2, 11, 13)]
 
 
-def test_terms_past_the_bound_are_joined(spark, monkeypatch):
+def test_terms_in_one_shard_and_in_many(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "abcabc ab"), (2, ""), (3, None), (4, "zzz"), (4, "ab")], "id bigint, text string")
     terms = spark.createDataFrame([("ab",), ("abc",), ("q",), ("",), ("ab",)], "term string")
     few = sorted(tuple(r) for r in lexicon.find_terms(texts, terms).collect())
-    monkeypatch.setattr(lexicon, "MAX_TERMS", 1)
+    monkeypatch.setattr(lexicon.trie, "SHARD", 1)
     assert few == sorted(tuple(r) for r in lexicon.find_terms(texts, terms).collect()) == [(1, "ab", 3), (1, "abc", 2), (4, "ab", 1)]
 
 
@@ -221,12 +221,14 @@ def test_history_and_search(spark):
     assert (found.hits_text, found.hits_orig, found.hits_all) == (3, 0, 3)
 
 
-def test_longest_match_past_the_broadcast_bound(spark):
+def test_longest_match_in_one_shard_and_in_many(spark, monkeypatch):
     entries = {"你好": "xin chào", "你": "bạn", "好吗": "ổn không", "éa": "Éa", "abc": "never"}
     lex = spark.createDataFrame(list(entries.items()), "key string, value string")
     x = spark.createDataFrame([("你好吗 abc",), ("你，x1",), ("plain",), ("",), (None,), ("你好你好éa",)], "text string")
-    rows = lambda **k: {r.text: r.out for r in lexicon.translate_longest(x, lex, **k).collect()}
-    assert rows(max_entries=2) == rows() and len(rows()) == 6 and rows()["你，x1"] == "bạn ， x1"
+    rows = lambda: {r.text: r.out for r in lexicon.translate_longest(x, lex).collect()}
+    one = rows()
+    monkeypatch.setattr(lexicon.trie, "SHARD", 2)
+    assert rows() == one and len(one) == 6 and one["你，x1"] == "bạn ， x1"
 
 
 def test_longest_match_query_knows_rare_words(spark, tmp_path, monkeypatch):
