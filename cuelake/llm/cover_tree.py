@@ -19,8 +19,10 @@ LEAF, FAN, SAMPLE = 8_192, 64, 8
 RADII = (1.0, 0.5, 0.25, 0.125, 0.0625)
 #: Slack of distances in the bounds (rounding of a cosine near 1 is below 1e-7 there), and of cosines that are decided exactly.
 SLACK, EXACT = 1e-6, 1e-12
-#: Entries of a block of cosines.
-BLOCK = 1 << 21
+#: What a cosine in single precision may be off, at most.
+ROUND = 2e-5
+#: Entries of a block of cosines; nodes that a level may have for each of the level below it.
+BLOCK, WORTH = 1 << 20, 0.8
 #: Cells that are broadcast at most.
 FEW_CELLS = 200_000
 
@@ -72,12 +74,13 @@ class Tree:
 
     def __init__(self, u: np.ndarray, starts: list[np.ndarray], radii: list[np.ndarray]):
         self.u, self.starts, self.radii = u, starts, radii
+        self.short = u.astype(np.float32)
         self.ends = [np.append(s[1:], len(u)) for s in starts]
 
     @classmethod
     def grown(cls, u: np.ndarray) -> tuple[Tree, np.ndarray]:
         """(the tree, the order in which it holds the rows of u)."""
-        groups, radii, starts, sizes = [np.arange(len(u))], np.array([2.0]), [], []
+        groups, radii, radii_of, sizes = [np.arange(len(u))], np.array([2.0]), [], []
         for r in RADII:
             finer, found = [], []
             for g, radius in zip(groups, radii):
@@ -86,10 +89,15 @@ class Tree:
                 found += [radius] if len(parts) == 1 and radius <= r else [cls._radius(u, p) for p in parts]
             groups, radii = finer, np.array(found)
             sizes.append(np.array([len(g) for g in groups]))
-            starts.append(radii)
+            radii_of.append(radii)
         order = np.concatenate(groups)
-        # runs of a level lie within runs of the level above, so the order of the last level serves all
-        return cls(u[order], [np.concatenate(([0], np.cumsum(s)[:-1])) for s in sizes], starts), order
+        # runs of a level lie within runs of the level above, so the order of the last level serves all;
+        # a level that hardly joins nodes of the one below costs more than it saves
+        kept = [len(RADII) - 1]
+        for level in range(len(RADII) - 2, -1, -1):
+            if len(sizes[level]) <= WORTH * len(sizes[kept[0]]):
+                kept.insert(0, level)
+        return cls(u[order], [np.concatenate(([0], np.cumsum(sizes[k])[:-1])) for k in kept], [radii_of[k] for k in kept]), order
 
     @staticmethod
     def _radius(u: np.ndarray, rows: np.ndarray) -> float:
@@ -171,10 +179,10 @@ def traverse(a: Tree, b: Tree, x: np.ndarray, y: np.ndarray, weights: np.ndarray
         if hit.any():
             links.pairs(i[hit], j[hit] + shift)
 
-    def settle(level, i, j, c):
-        """Node pairs (i, j) with the cosines of their centres; gives those to open."""
-        d, r = np.sqrt(np.maximum(0, 2 - 2 * c)), a.radii[level][i] + b.radii[level][j]
-        s, e, t, f = a.starts[level][i], a.ends[level][i], b.starts[level][j], b.ends[level][j]
+    def settle(la, lb, i, j, c):
+        """Node pairs (i, j) of levels la and lb with the cosines of their centres; gives those to open."""
+        d, r = np.sqrt(np.maximum(0, 2 - 2 * c)), a.radii[la][i] + b.radii[lb][j]
+        s, e, t, f = a.starts[la][i], a.ends[la][i], b.starts[lb][j], b.ends[lb][j]
         ones = (e - s == 1) & (f - t == 1)
         same = (s == t) if own else np.zeros(len(i), bool)
         if (pick := ones & ~same).any():
@@ -187,50 +195,61 @@ def traverse(a: Tree, b: Tree, x: np.ndarray, y: np.ndarray, weights: np.ndarray
         more = ~ones & ~inside & (d - r <= far + SLACK)
         return i[more], j[more]
 
-    def block(level, i, j, triangle):
-        """All pairs of the node runs i and j, by blocks of cosines."""
-        step = max(1, BLOCK // max(1, len(j)))
-        cj, bound = b.u[b.starts[level][j]], b.radii[level][j] + far + SLACK
-        for s in range(0, len(i), step):
-            rows = i[s : s + step]
-            c = a.u[a.starts[level][rows]] @ cj.T
-            radii = a.radii[level][rows]
-            if radii.any():
-                keep = c >= 1 - (radii[:, None] + bound[None, :]) ** 2 / 2
-            else:
-                keep = c >= (1 - bound * bound / 2)[None, :]
-            if triangle:
-                keep &= j[None, :] >= rows[:, None]
-            p, q = np.nonzero(keep)
-            open_(level, *settle(level, rows[p], j[q], c[p, q]))
-
-    def open_(level, i, j):
+    def block(la, lb, i, j, triangle):
+        """All pairs of the node runs i and j (one run with itself, if triangle), by blocks of cosines.
+
+        Cosines are taken in single precision first; pairs that are further off than their bound by ROUND
+        are left out, the others are taken again. Single vectors have one bound for all.
+        """
+        alone = a.radii[la][i] == 0
+        for rows, flat in ((i[alone], True), (i[~alone], False)):
+            step = max(1, BLOCK // max(1, len(j)))
+            for s in range(0, len(rows), step):
+                part = rows[s : s + step]
+                cols = j[np.searchsorted(j, part[0]) :] if triangle else j
+                left, right = a.starts[la][part], b.starts[lb][cols]
+                least = b.radii[lb][cols] + far + SLACK
+                least = 1 - (least if flat else a.radii[la][part][:, None] + least) ** 2 / 2 - ROUND
+                at = np.flatnonzero(a.short[left] @ b.short[right].T >= least.astype(np.float32))
+                for k in range(0, len(at), BLOCK >> 4):
+                    cut = at[k : k + (BLOCK >> 4)]
+                    p, q = part[cut // len(cols)], cols[cut % len(cols)]
+                    if triangle:
+                        p, q = p[q >= p], q[q >= p]
+                    c = np.einsum("ij,ij->i", a.u[a.starts[la][p]], b.u[b.starts[lb][q]])
+                    open_(la, lb, *settle(la, lb, p, q, c))
+
+    def open_(la, lb, i, j):
+        """Node pairs are replaced by the pairs of their children; a tree at its last level waits for the other."""
         if not len(i):
             return
-        if level + 1 == len(a.starts):
-            lows, highs, below, tops = a.starts[level][i], a.ends[level][i], b.starts[level][j], b.ends[level][j]
+        ends = la + 1 == len(a.starts), lb + 1 == len(b.starts)
+        if all(ends):
+            lows, highs, below, tops = a.starts[la][i], a.ends[la][i], b.starts[lb][j], b.ends[lb][j]
         else:
-            (lows, highs), (below, tops) = a.children(level, i), b.children(level, j)
+            lows, highs = (i, i + 1) if ends[0] else a.children(la, i)
+            below, tops = (j, j + 1) if ends[1] else b.children(lb, j)
+            la, lb = la + (not ends[0]), lb + (not ends[1])
         product = (highs - lows) * (tops - below)
         same = (i == j) if own else np.zeros(len(i), bool)
         large = (product > 4_096) | same
         for k in np.flatnonzero(large):
             left, right = np.arange(lows[k], highs[k]), np.arange(below[k], tops[k])
-            if level + 1 == len(a.starts):
+            if all(ends):
                 points(left, right, bool(same[k]))
             else:
-                block(level + 1, left, right, bool(same[k]))
+                block(la, lb, left, right, bool(same[k]))
         small = np.flatnonzero(~large)
         for cut in np.split(small, np.flatnonzero(np.diff(np.cumsum(product[small]) >> 15)) + 1) if len(small) else ():
             n, w = product[cut], (tops - below)[cut]
             at = np.repeat(np.arange(len(cut)), n)
             within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             p, q = lows[cut][at] + within // w[at], below[cut][at] + within % w[at]
-            if level + 1 == len(a.starts):
+            if all(ends):
                 single(p, q, np.einsum("ij,ij->i", a.u[p], b.u[q]))
             else:
-                c = np.einsum("ij,ij->i", a.u[a.starts[level + 1][p]], b.u[b.starts[level + 1][q]])
-                open_(level + 1, *settle(level + 1, p, q, c))
+                c = np.einsum("ij,ij->i", a.u[a.starts[la][p]], b.u[b.starts[lb][q]])
+                open_(la, lb, *settle(la, lb, p, q, c))
 
     def points(left, right, triangle):
         step = max(1, BLOCK // max(1, len(right)))
@@ -243,7 +262,7 @@ def traverse(a: Tree, b: Tree, x: np.ndarray, y: np.ndarray, weights: np.ndarray
             p, q = np.nonzero(keep)
             single(rows[p], right[q], c[p, q])
 
-    block(0, np.arange(len(a.starts[0])), np.arange(len(b.starts[0])), own)
+    block(0, 0, np.arange(len(a.starts[0])), np.arange(len(b.starts[0])), own)
     return links.close()
 
 

@@ -89,9 +89,10 @@ def test_tree_covers():
     for level, (starts, ends, radii) in enumerate(zip(tree.starts, tree.ends, tree.radii)):
         assert starts[0] == 0 and (ends > starts).all()
         for s, e, r in zip(starts, ends, radii):
-            assert np.linalg.norm(tree.u[s:e] - tree.u[s], axis=1).max() <= r + 1e-9 and r <= ct.RADII[level] + 1e-6
+            assert np.linalg.norm(tree.u[s:e] - tree.u[s], axis=1).max() <= r + 1e-9 and r <= ct.RADII[0] + 1e-6
         if level:
-            assert set(tree.starts[level - 1]) <= set(starts)  # nested
+            assert set(tree.starts[level - 1]) <= set(starts) and tree.radii[level - 1].max() >= radii.max()  # nested
+    assert tree.radii[-1].max() <= ct.RADII[-1] + 1e-6
 
 
 def test_traverse_counts_whole_nodes():
