@@ -38,7 +38,7 @@ def drain(stream: DataFrame, out: str, checkpoint: str) -> None:
 
 
 class _CueProcessor(StatefulProcessor):
-    """The open cue of a medium and the latest start seen. Rows behind that start come out as
+    """The open cue of a medium and the latest start seen. Rows behind that start, or behind the watermark, come out as
     they are, with late = true; a cue comes out when a row closes it or its timer expires."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -66,12 +66,12 @@ class _CueProcessor(StatefulProcessor):
         self.open.update((cue.ord, cue.start, cue.end, cue.text, *(cue.box or (None,) * 4), int(seen)))
         self.handle.registerTimer(int(expires))
 
-    def in_order(self, pdf: pd.DataFrame, at: str) -> Iterator[tuple[tuple, bool]]:
+    def in_order(self, pdf: pd.DataFrame, at: str, watermark: int) -> Iterator[tuple[tuple, bool]]:
         """Rows by time, each with whether it is late."""
         latest = self.latest.get()[0] if self.latest.exists() else None
         for row in pdf.sort_values([at, "ord"], kind="stable").itertuples(index=False):
             t = int(getattr(row, at))
-            late = latest is not None and t < latest
+            late = (latest is not None and t < latest) or (watermark > 0 and t + row.base_ms <= watermark)
             latest = t if latest is None else max(latest, t)
             yield row, late
         self.latest.update((latest,))
@@ -99,7 +99,7 @@ class _Merger(_CueProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf, out = pd.concat(list(rows)), []
         cue, _ = self.held()
-        for row, late in self.in_order(pdf, "start_ms"):
+        for row, late in self.in_order(pdf, "start_ms", timerValues.getCurrentWatermarkInMs()):
             nxt = Cue(int(row.ord), int(row.start_ms), int(row.end_ms), row.text, _box(row))
             if late:
                 out.append((nxt, True))
@@ -122,7 +122,7 @@ class _SampleProcessor(_CueProcessor):
         pdf, out = pd.concat(list(rows)), []
         machine = Sampler(*self.args)
         machine.open, machine.seen = self.held()
-        for row, late in self.in_order(pdf, "t_ms"):
+        for row, late in self.in_order(pdf, "t_ms", timerValues.getCurrentWatermarkInMs()):
             ord, t, text, stop = int(row.ord), int(row.t_ms), row.text or "", int(row.duration_ms)
             if not late:
                 out += [(c, False) for c in machine.take(ord, t, text, stop, _box(row))]
@@ -134,7 +134,8 @@ class _SampleProcessor(_CueProcessor):
 
 def _processed(rows: DataFrame, processor: StatefulProcessor, clock: str, watermark: str) -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rows = with_boxes(rows).withWatermark("ts", watermark).withColumn("base_ms", F.unix_millis("ts") - F.col(clock))
+    # Spark drops rows behind the watermark from what holds the event-time column: without it they reach the processor
+    rows = with_boxes(rows).withWatermark("ts", watermark).withColumn("base_ms", F.unix_millis("ts") - F.col(clock)).drop("ts")
     return rows.groupBy("media_id").transformWithStateInPandas(processor, outputStructType=OUT, outputMode="append", timeMode="EventTime")
 
 
@@ -166,18 +167,78 @@ def still_open(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 def sessions(stream: DataFrame, overlap_ms: int = 1_500, watermark: str = "30 seconds") -> DataFrame:
     """Cues per medium chained by time, batch or stream: a session lasts while cues start
-    within the duration of one plus the overlap and 300 ms, or just at its end."""
+    within the duration of one plus the overlap and 300 ms, or just at its end.
+
+    In append mode a session comes out once, when the watermark passes its end, and its state goes;
+    open_sessions has those that still wait. Rows behind the watermark are dropped: see mark_behind.
+    """
     gap = F.concat((F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0)) + overlap_ms + 300).cast("string"), F.lit(" milliseconds"))
     rows = stream.withWatermark("ts", watermark) if stream.isStreaming else stream
     grouped = rows.groupBy("media_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n"), F.max("end_ms").alias("end_ms"))
     return grouped.select("media_id", F.unix_millis("s.start").alias("start_ms"), "end_ms", "n")
 
 
+def open_sessions(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Sessions that a drained stream of sessions still holds, as its output rows."""
+    v = F.col("value")
+    return spark.read.format("statestore").load(checkpoint).select(v["media_id"].alias("media_id"), F.unix_millis(v["session_window"]["start"]).alias("start_ms"), v["max"].alias("end_ms"), v["count"].alias("n"))
+
+
 def progress(stream: DataFrame) -> DataFrame:
-    """Latest state of each job and its number of events (update mode)."""
+    """Latest state of each job and its number of events. In update mode a batch gives the jobs that it
+    changes: KeyedTable.follow keeps them."""
     return stream.groupBy("job_id").agg(F.max_by("state", F.struct("ts_ms", "event_id")).alias("state"), F.count("*").alias("n"))
 
 
+BEHIND = "media_id bigint, ord bigint, start_ms bigint, end_ms bigint, text string, late boolean, behind_ms bigint"
+
+
+class _Behind(StatefulProcessor):
+    """The latest event time of a medium, until the watermark is keep_ms past it."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.latest = handle.getValueState("latest", "at bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        held = self.latest.get()[0] if self.latest.exists() else None
+        top = held
+        for pdf in rows:
+            behind = (held - pdf.at_ms).clip(lower=0) if held is not None else pd.Series(0, index=pdf.index)
+            most = int(pdf.at_ms.max())
+            top = most if top is None else max(top, most)
+            yield pdf[["media_id", "ord", "start_ms", "end_ms", "text"]].assign(late=(pdf.at_ms <= watermark) & (watermark > 0), behind_ms=behind.astype("int64"))
+        if top != held:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.latest.update((top,))
+            self.handle.registerTimer(top + self.keep_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.latest.clear()
+        yield pd.DataFrame(columns=[c.split()[0] for c in BEHIND.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def mark_behind(stream: DataFrame, watermark: str, keep_ms: int = 86_400_000) -> DataFrame:
+    """Adds late and behind_ms to a stream of cues (media_id, ord, start_ms, end_ms, text, ts) on event time.
+
+    A row is late if its ts is at or behind the watermark: the latest ts of all earlier batches less the delay.
+    behind_ms is how far it is behind the latest ts that its medium had in earlier batches (0 if it is not).
+    State is one time a medium and goes once the watermark is keep_ms past it. Rows of a batch are
+    taken as Arrow gives them, none is held; no row is dropped.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = stream.withWatermark("ts", watermark).withColumn("at_ms", F.unix_millis(F.col("ts").cast("timestamp"))).drop("ts")
+    return rows.groupBy("media_id").transformWithStateInPandas(_Behind(keep_ms), outputStructType=BEHIND, outputMode="append", timeMode="EventTime")
+
+
 class _LateMarker(StatefulProcessor):
     """The running latest start of a medium."""
 
@@ -214,7 +275,12 @@ def mark_late(stream: DataFrame, watermark_ms: int) -> DataFrame:
 
 
 def split_late(stream: DataFrame, watermark_ms: int, on_time: str, late: str, checkpoint: str) -> None:
-    """Write rows in time to one table and late ones to a side table, a folder a batch."""
+    """Write rows in time (see mark_late) to one table and late ones to a side table, a folder a batch."""
+    split_rows(mark_late(stream, watermark_ms), on_time, late, checkpoint)
+
+
+def split_rows(marked: DataFrame, on_time: str, late: str, checkpoint: str) -> None:
+    """Write the rows of a stream that are not late to one table and the late ones to another, a folder a batch."""
 
     def put(rows: DataFrame, batch: int) -> None:
         rows.persist()
@@ -222,4 +288,4 @@ def split_late(stream: DataFrame, watermark_ms: int, on_time: str, late: str, ch
             rows.filter(keep).drop("late").write.mode("overwrite").parquet(f"{path}/batch={batch}")
         rows.unpersist()
 
-    mark_late(stream, watermark_ms).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    marked.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
