@@ -4,11 +4,14 @@ A detection is a row (frame, ord, pts array<struct<x,y>>, text, conf).
 """
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuelake.functions.text import IDEOGRAPH, strip
+from cuelake.operators.resume import folded
 
 #: The text that stands for an unread box, and marks that count as noise alone.
 UNREAD = "[Chữ khó - Nhấp quét Gemini]"
@@ -183,23 +186,50 @@ def frame_text(det: DataFrame) -> DataFrame:
     return j.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("nth", "text"))).alias("t")).select("frame", F.array_join(F.col("t.text"), " ").alias("text"))
 
 
-def change_reuse(samples: DataFrame, *, change: float = 5.5, flat: float = 3.5, scale: float = 1.0) -> DataFrame:
-    """(media_id, ord, action, source_ord): samples (media_id, ord, feat array<float>) that
-    need reading. A sample within `change` (mean absolute difference) of the last kept one
-    reuses it; a flat one (deviation under `flat`) is empty; others are read and kept.
+def change_reuse(samples: DataFrame, *, keys: tuple[str, ...] = ("media_id",), change: float = 5.5, flat: float | None = 3.5, scale: float = 1.0, piece_bits: int | None = None) -> DataFrame:
+    """(keys, ord, action, source_ord): samples (keys, ord, feat array<float>) that need reading.
 
-    A fold over a medium's samples, whose features are its unit of memory.
-    """
-    diff = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("double")), F.lit(0.0), lambda s, x: s + x) / F.size(a) * scale
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(a)
-    with_dev = samples.withColumn("_m", mean(F.col("feat"))).withColumn("_dev", F.sqrt(F.aggregate("feat", F.lit(0.0), lambda s, x: s + (x - F.col("_m")) * (x - F.col("_m"))) / F.size("feat")) * scale)
-    rows = with_dev.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("ord", "feat", "_dev"))).alias("s"))
-    none = F.struct(F.array().cast("array<struct<ord:bigint,action:string,source_ord:bigint>>").alias("out"), F.lit(None).cast("array<float>").alias("kept"), F.lit(None).cast("bigint").alias("at"))
+    A sample within `change` (mean absolute difference) of the last kept one of its keys reuses it; a flat one
+    (deviation under `flat`; None: no such rule) is empty; others are read and kept. A sample whose
+    feature is null, or has another length than the kept one, is never within it; a null one is not flat either.
 
-    def step(s, x):
-        same = s["kept"].isNotNull() & (F.size(s["kept"]) == F.size(x["feat"])) & (diff(s["kept"], x["feat"]) < change)
-        action = F.when(same, "reuse").when(x["_dev"] < flat, "empty").otherwise("read")
-        row = F.struct(x["ord"].cast("bigint").alias("ord"), action.alias("action"), F.when(same, s["at"]).when(action == "read", x["ord"].cast("bigint")).alias("source_ord"))
-        return F.struct(F.concat(s["out"], F.array(row)).alias("out"), F.when(action == "read", x["feat"]).otherwise(s["kept"]).alias("kept"), F.when(action == "read", x["ord"].cast("bigint")).otherwise(s["at"]).alias("at"))
+    With keys medium, box and mode this is the reuse of masked crops, each box for itself. A medium of any
+    size is folded in pieces (see resume.folded): a sample that is read forgets all before it.
+    """
 
-    return rows.select("media_id", F.inline(F.aggregate("s", none, step, lambda s: s["out"])))
+    def fold(table: pa.Table, state: bytes | None) -> tuple[pa.Table, bytes]:
+        feats, ords = table["feat"].to_pylist(), table["ord"].to_pylist()
+        source = kept = None
+        if state:
+            number, _, held = state.partition(b"|")
+            source, kept = int(number), np.frombuffer(held, np.float32)
+        actions, sources = [], []
+        for ord_, feat in zip(ords, feats):
+            x = None if feat is None else np.array(feat, np.float32)
+            if x is not None and kept is not None and len(x) == len(kept) and len(x) and _total(np.abs(kept - x)) / len(x) * scale < change:
+                actions.append("reuse")
+                sources.append(source)
+                continue
+            if flat is not None and x is not None and len(x) and _deviation(x) * scale < flat:
+                actions.append("empty")
+                sources.append(None)
+                continue
+            kept, source = (np.empty(0, np.float32) if x is None else x), ord_
+            actions.append("read")
+            sources.append(ord_)
+        out = pa.table({**{k: table[k] for k in keys}, "ord": table["ord"], "action": actions, "source_ord": pa.array(sources, pa.int64())})
+        return out, b"" if kept is None else str(source).encode() + b"|" + kept.tobytes()
+
+    rows = samples.select(*keys, F.col("ord").cast("bigint").alias("ord"), F.col("feat").cast("array<float>").alias("feat"))
+    kinds = "".join(f"`{k}` {samples.schema[k].dataType.simpleString()}, " for k in keys)
+    return folded(rows, list(keys), ["ord"], fold, kinds + "ord bigint, action string, source_ord bigint", piece_bits=piece_bits).drop("_piece")
+
+
+def _total(x: np.ndarray) -> float:
+    """Sum from left to right in double precision."""
+    return float(np.cumsum(x, dtype=np.float64)[-1])
+
+
+def _deviation(x: np.ndarray) -> float:
+    d = x.astype(np.float64) - _total(x) / len(x)
+    return float(np.sqrt(_total(d * d) / len(x)))

@@ -1,12 +1,16 @@
 """Translation as tables: memory, batches, requests, answers and fallback."""
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuelake.functions.text import spoken_style, squeeze, strip
 from cuelake.operators.lexicon import enforce_words, translate_longest
+from cuelake.operators.resume import folded
+from cuelake.operators.shared import written
 
 MEMORY_KEY = ["src", "tgt", "engine", "text"]
 #: Lines of a request by provider (fixed values).
@@ -43,19 +47,45 @@ def fixed_batches(lines: DataFrame, size: int) -> DataFrame:
     return lines.withColumns({"batch": F.floor(n / size).cast("bigint"), "pos": (n % size).cast("int")})
 
 
-def budget_batches(lines: DataFrame, budget: int = 2_500) -> DataFrame:
+def _breaks(sizes: np.ndarray, budget: int, open_chars: int) -> tuple[list[int], int]:
+    """(lines that begin a batch, characters of the last batch), given those of the batch that is open before.
+
+    The next break is a search in the running sums, so that the steps are as many as the batches.
+    """
+    sums, at, taken, found = np.cumsum(sizes), 0, 0, []
+    while True:
+        k = int(np.searchsorted(sums, budget - open_chars + taken, "right"))
+        k = max(k, at)
+        if k >= len(sums):
+            return found, open_chars + int(sums[-1]) - taken if len(sums) else open_chars
+        if open_chars + int(sums[k]) - int(sizes[k]) - taken > 0:
+            found.append(k)
+        at, taken, open_chars = k + 1, int(sums[k]), int(sizes[k])
+
+
+def budget_batches(lines: DataFrame, budget: int = 2_500, *, piece_bits: int | None = None) -> DataFrame:
     """(media_id, ord, batch): a batch is closed before the line that would take a non-empty
-    one over the budget. A fold over the lengths of a medium's lines."""
-    rows = lines.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.length("text").alias("n")))).alias("l"))
-    none = F.struct(F.array().cast("array<struct<ord:bigint,batch:int>>").alias("out"), F.lit(0).alias("batch"), F.lit(0).alias("chars"))
+    one over the budget. A null text has no characters.
 
-    def step(s, x):
-        close = (s["chars"] + x["n"] > budget) & (s["chars"] > 0)
-        batch = F.when(close, s["batch"] + 1).otherwise(s["batch"])
-        row = F.struct(x["ord"].cast("bigint").alias("ord"), batch.alias("batch"))
-        return F.struct(F.concat(s["out"], F.array(row)).alias("out"), batch.alias("batch"), F.when(close, x["n"]).otherwise(s["chars"] + x["n"]).alias("chars"))
+    A medium of any size is cut into pieces (see resume.folded): where a batch begins, what was before
+    is forgotten. Pieces number their own batches; a running sum of their numbers puts them in line.
+    """
 
-    return rows.select("media_id", F.inline(F.aggregate("l", none, step, lambda s: s["out"])))
+    def fold(table: pa.Table, state: bytes | None) -> tuple[pa.Table, bytes]:
+        sizes = table["n"].to_numpy()
+        found, chars = _breaks(sizes, budget, int(state or 0))
+        local = np.zeros(len(sizes), np.int64)
+        local[found] = 1
+        return pa.table({"media_id": table["media_id"], "ord": table["ord"], "local": np.cumsum(local)}), str(chars).encode()
+
+    sized = lines.select("media_id", F.col("ord").cast("bigint").alias("ord"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n"))
+    kind = lines.schema["media_id"].dataType.simpleString()
+    rows = written(folded(sized, ["media_id"], ["ord"], fold, f"media_id {kind}, ord bigint, local bigint", piece_bits=piece_bits), "batches")
+    runs = rows.groupBy("media_id", "_piece").agg(F.max("local").alias("breaks"))
+    earlier = W.partitionBy("media_id").orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.withColumn("before", F.sum("breaks").over(earlier)).filter("before > 0").select("media_id", "_piece", "before")
+    joined = rows.join(runs.hint("merge"), ["media_id", "_piece"], "left")
+    return joined.select("media_id", "ord", (F.coalesce("before", F.lit(0)) + F.col("local")).cast("int").alias("batch"))
 
 
 def requests(batched: DataFrame, *, form: str = "numbered", template: str = "{text}", delimiter: str = "\n|||\n") -> DataFrame:

@@ -155,7 +155,32 @@ def a8(spark, d):
     return det.frame_text(b.detections(spark, d))
 
 
-@query("r7_change_reuse")
+def reuse_sql(keys: dict[str, str], change: float, flat: float | None, scale: float) -> str:
+    """The fold over embeddings as samples, a row after another."""
+    names = ", ".join(keys)
+    total = "list_sum(list_transform({}, lambda x: {}))"
+    dev = "sqrt(" + total.format("feat", "(CAST(x AS DOUBLE) - m) * (CAST(x AS DOUBLE) - m)") + " / len(feat))"
+    flat_rule = "false" if flat is None else f"dev * {scale} < {flat}"
+    near = total.format("list_zip(f.kept, s.feat)", "CAST(abs(x[1] - x[2]) AS DOUBLE)") + f" / len(s.feat) * {scale} < {change}"
+    row = f"SELECT {names}, k, ord, CASE WHEN same THEN 'reuse' WHEN {flat_rule} THEN 'empty' ELSE 'read' END AS action, CASE WHEN same THEN at WHEN {flat_rule} THEN NULL ELSE ord END AS source_ord, CASE WHEN same OR {flat_rule} THEN kept ELSE feat END AS kept, CASE WHEN same OR {flat_rule} THEN at ELSE ord END AS at FROM "
+    return f"""RECURSIVE WITH e AS (SELECT {", ".join(f"{v} AS {k}" for k, v in keys.items())}, vec_id AS ord, embedding AS feat, {total.format("embedding", "CAST(x AS DOUBLE)")} / len(embedding) AS m FROM embeddings),
+ s AS (SELECT *, {dev} AS dev, row_number() OVER (PARTITION BY {names} ORDER BY ord) AS k FROM e),
+ f AS ({row} (SELECT *, false AS same, CAST(NULL AS FLOAT[]) AS kept, CAST(NULL AS BIGINT) AS at FROM s WHERE k = 1) q
+ UNION ALL {row} (SELECT s.*, coalesce(f.kept IS NOT NULL AND {near}, false) AS same, f.kept, f.at FROM f JOIN s ON {" AND ".join(f"s.{k} = f.{k}" for k in keys)} AND s.k = f.k + 1) q)
+ SELECT {names}, ord, action, source_ord FROM f"""
+
+
+def samples(spark, d):
+    return b.table(spark, d, "embeddings").select(F.col("label").alias("media_id"), F.col("vec_id").alias("ord"), F.col("embedding").alias("feat"))
+
+
+@query("r7_change_reuse", reuse_sql({"media_id": "label"}, 13.5, 11.0, 100.0))
 def r7(spark, d):
-    v = b.table(spark, d, "embeddings").select(F.col("label").alias("media_id"), F.col("vec_id").alias("ord"), F.col("embedding").alias("feat"))
-    return det.change_reuse(v, change=13.5, flat=11.0, scale=100.0)
+    return det.change_reuse(samples(spark, d), change=13.5, flat=11.0, scale=100.0)
+
+
+@query("r7_crop_reuse", reuse_sql({"media_id": "label", "x": "CAST(vec_id % 3 * 10 AS INTEGER)", "mode": "CASE WHEN vec_id % 2 = 0 THEN 'blur' ELSE 'black' END"}, 13.5, None, 100.0))
+def r7b(spark, d):
+    """Masked crops, each box and mode for itself; a changed crop is always worked on."""
+    v = samples(spark, d).withColumns({"x": (F.col("ord") % 3 * 10).cast("int"), "mode": F.when(F.col("ord") % 2 == 0, "blur").otherwise("black")})
+    return det.change_reuse(v, keys=("media_id", "x", "mode"), change=13.5, flat=None, scale=100.0)
