@@ -29,12 +29,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_rows(path: str):
-    """A Parquet file or folder of the shared folder, read within a task."""
+def opened(path: str):
+    """(file system, path within it) of a path as Spark names it, for use in tasks."""
     import pyarrow.fs as fs
-    import pyarrow.parquet as pq
 
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
-    system, at = (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+
+
+def read_rows(path: str):
+    """A Parquet file or folder of the shared folder, read within a task."""
+    import pyarrow.parquet as pq
+
+    system, at = opened(path)
     return pq.read_table(at, filesystem=system, partitioning=None)

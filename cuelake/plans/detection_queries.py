@@ -162,11 +162,11 @@ def reuse_sql(keys: dict[str, str], change: float, flat: float | None, scale: fl
     dev = "sqrt(" + total.format("feat", "(CAST(x AS DOUBLE) - m) * (CAST(x AS DOUBLE) - m)") + " / len(feat))"
     flat_rule = "false" if flat is None else f"dev * {scale} < {flat}"
     near = total.format("list_zip(f.kept, s.feat)", "CAST(abs(x[1] - x[2]) AS DOUBLE)") + f" / len(s.feat) * {scale} < {change}"
-    row = f"SELECT {names}, k, ord, CASE WHEN same THEN 'reuse' WHEN {flat_rule} THEN 'empty' ELSE 'read' END AS action, CASE WHEN same THEN at WHEN {flat_rule} THEN NULL ELSE ord END AS source_ord, CASE WHEN same OR {flat_rule} THEN kept ELSE feat END AS kept, CASE WHEN same OR {flat_rule} THEN at ELSE ord END AS at FROM "
-    return f"""RECURSIVE WITH e AS (SELECT {", ".join(f"{v} AS {k}" for k, v in keys.items())}, vec_id AS ord, embedding AS feat, {total.format("embedding", "CAST(x AS DOUBLE)")} / len(embedding) AS m FROM embeddings),
+    row = f"SELECT {names}, k, ord, CASE WHEN same THEN 'reuse' WHEN {flat_rule} THEN 'empty' ELSE 'read' END AS action, CASE WHEN same THEN held_at WHEN {flat_rule} THEN NULL ELSE ord END AS source_ord, CASE WHEN same OR {flat_rule} THEN kept ELSE feat END AS kept, CASE WHEN same OR {flat_rule} THEN held_at ELSE ord END AS held_at FROM "
+    return f"""WITH RECURSIVE e AS (SELECT {", ".join(f"{v} AS {k}" for k, v in keys.items())}, vec_id AS ord, embedding AS feat, {total.format("embedding", "CAST(x AS DOUBLE)")} / len(embedding) AS m FROM embeddings),
  s AS (SELECT *, {dev} AS dev, row_number() OVER (PARTITION BY {names} ORDER BY ord) AS k FROM e),
- f AS ({row} (SELECT *, false AS same, CAST(NULL AS FLOAT[]) AS kept, CAST(NULL AS BIGINT) AS at FROM s WHERE k = 1) q
- UNION ALL {row} (SELECT s.*, coalesce(f.kept IS NOT NULL AND {near}, false) AS same, f.kept, f.at FROM f JOIN s ON {" AND ".join(f"s.{k} = f.{k}" for k in keys)} AND s.k = f.k + 1) q)
+ f AS ({row} (SELECT *, false AS same, CAST(NULL AS FLOAT[]) AS kept, CAST(NULL AS BIGINT) AS held_at FROM s WHERE k = 1) q
+ UNION ALL {row} (SELECT s.*, coalesce(f.kept IS NOT NULL AND {near}, false) AS same, f.kept, f.held_at FROM f JOIN s ON {" AND ".join(f"s.{k} = f.{k}" for k in keys)} AND s.k = f.k + 1) q)
  SELECT {names}, ord, action, source_ord FROM f"""
 
 

@@ -1,9 +1,11 @@
 """Queries over documents, projects and other sources, with their SQL."""
 from pyspark.sql import functions as F
 
+from cuelake.operators.shared import new_path
 from cuelake.plans import bindings as b
 from cuelake.plans.bindings import V_CUES, V_MEDIA
 from cuelake.plans.registry import query
+from cuelake.sources import files
 from cuelake.sources import subtitles as s
 
 BACK = "SELECT media_id, CAST(row_number() OVER (PARTITION BY media_id ORDER BY start_ms, ord) AS BIGINT) AS ord, start_ms, end_ms, text FROM v_cues"
@@ -43,17 +45,38 @@ def presets(spark, d):
                     F.lit("left").alias("h_align"), F.lit("top").alias("v_align"), F.when(F.col("media_id") % 4 == 0, F.lit(50.0)).alias("custom_x"), F.lit(88.0).alias("custom_y"), (F.col("width") + 100).alias("width"), (F.col("height") + 100).alias("height"))
 
 
-@query("s6_ass_styles", """SELECT media_id, 'Style: Default,Arial,' || ((media_id % 30 + 10) * 3 // 2) || ',&H0000FFFF,&H000000FF,&H00100000,&H' || CASE media_id % 2 WHEN 0 THEN '33' ELSE '80' END || '030201,0,0,0,0,100,100,0,0,' ||
- CASE WHEN media_id % 3 = 0 THEN 3 ELSE 1 END || ',' || CASE WHEN media_id % 3 = 0 THEN 0 ELSE 2 END || ',0,' || CASE WHEN media_id % 4 = 0 THEN 5 ELSE 7 END || ',' || ((width + 100) * 5 // 100) || ',' || ((width + 100) * 5 // 100) || ',' || ((height + 100) * 8 // 100) || ',1' AS style FROM v_media""", V_MEDIA)
+STYLES = """SELECT media_id, 'Style: Default,Arial,' || ((media_id % 30 + 10) * 3 // 2) || ',&H0000FFFF,&H000000FF,&H00100000,&H' || CASE media_id % 2 WHEN 0 THEN '33' ELSE '80' END || '030201,0,0,0,0,100,100,0,0,' ||
+ CASE WHEN media_id % 3 = 0 THEN 3 ELSE 1 END || ',' || CASE WHEN media_id % 3 = 0 THEN 0 ELSE 2 END || ',0,' || CASE WHEN media_id % 4 = 0 THEN 5 ELSE 7 END || ',' || ((width + 100) * 5 // 100) || ',' || ((width + 100) * 5 // 100) || ',' || ((height + 100) * 8 // 100) || ',1' AS style FROM v_media"""
+
+
+@query("s6_ass_styles", STYLES, V_MEDIA)
 def s6(spark, d):
     return s.ass_styles(presets(spark, d))
 
 
-@query("s5_ass_sink")
+#: The dialogue lines of a medium, and its file; times in hundredths of a second.
+CENTIS = "(SELECT (c // 360000) || ':' || lpad(CAST(c // 6000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(c // 100 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') FROM (SELECT CAST(round_even(greatest({}, 0) / 10.0, 0) AS BIGINT) AS c) h)"
+ASS = "st AS (" + STYLES + "), dl AS (SELECT v.media_id, string_agg('Dialogue: 0,' || " + CENTIS.format("v.start_ms") + " || ',' || " + CENTIS.format("v.end_ms") + r""" || ',Default,,0000,0000,0000,,' ||
+  CASE WHEN v.media_id % 4 = 0 THEN printf('{\an5\pos(%.1f,%.1f)}', (m.width + 100) * 50.0 / 100, (m.height + 100) * 88.0 / 100) ELSE '' END || trim(v.text), chr(10) ORDER BY v.ord) AS lines
+  FROM v_cues v JOIN v_media m ON m.media_id = v.media_id WHERE trim(v.text) <> '' GROUP BY v.media_id)
+ SELECT m.media_id, concat_ws(chr(10), '[Script Info]', 'ScriptType: v4.00+', 'PlayResX: ' || (m.width + 100), 'PlayResY: ' || (m.height + 100), '', '[V4+ Styles]', 'Format: """ + s.ASS_STYLE_FIELDS + """', st.style, '', '[Events]',
+  'Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text', coalesce(dl.lines, '')) AS document FROM v_media m JOIN st ON st.media_id = m.media_id LEFT JOIN dl ON dl.media_id = m.media_id"""
+
+
+@query("s5_ass_sink", "WITH " + ASS, V_CUES, V_MEDIA)
 def s5(spark, d):
     return s.to_ass(b.cues(spark, d), presets(spark, d))
 
 
+@query("s4_srt_files", BACK, V_CUES)
+def s4_files(spark, d):
+    """A file a medium by the data source, read back by it."""
+    at = new_path(spark, "srt-files")
+    files.save(s.srt_parts(b.cues(spark, d)), at)
+    medium = F.regexp_extract("path", r"([^/]*)\.srt$", 1).cast("bigint")
+    return files.read(spark, at).select(medium.alias("media_id"), "ord", "start_ms", "end_ms", "text")
+
+
 def projects(spark, d):
     """Orders as editing projects: line items as segments, every second with its text."""
     li = b.detections(spark, d).withColumn("id", F.concat(F.lit("m"), F.col("ord").cast("string")))

@@ -1,6 +1,7 @@
 """Subtitle files, scripts and editing projects as tables, and back."""
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +21,32 @@ def decode_bytes(content: Column) -> Column:
     )
 
 
+#: Encodings tried one after another for rule files.
+ENCODINGS = ["utf-8-sig", "utf-16", "utf-8", "utf-16-le", "utf-16-be", "cp1258", "latin-1"]
+
+
+def decode_one(content: bytes | None) -> str | None:
+    """Bytes in the first of ENCODINGS that takes them; the last one takes any."""
+    if content is None:
+        return None
+    for name in ENCODINGS:
+        try:
+            return content.decode(name)
+        except UnicodeError:
+            continue
+
+
+def decode_any(content: Column) -> Column:
+    """decode_one as a column: bytes that are UTF-8 stay in the JVM, only others go to Python."""
+
+    @F.pandas_udf("string")
+    def rest(x: pd.Series) -> pd.Series:
+        return x.map(decode_one)
+
+    utf8 = F.is_valid_utf8(content.cast("string"))
+    return F.when(utf8, F.regexp_replace(content.cast("string"), "^\ufeff", "")).otherwise(rest(F.when(~utf8, content)))
+
+
 def read_documents(spark: SparkSession, path: str, glob: str = "*.srt") -> DataFrame:
     """(path, modified, text): whole files of any of the accepted encodings."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
@@ -48,12 +75,22 @@ def parse_srt(documents: DataFrame, key: str = "media_id", *, keep_empty: bool =
     return cues if keep_empty else cues.filter("text <> ''")
 
 
+def srt_parts(cues: DataFrame) -> DataFrame:
+    """(media_id, n, part): the file of a medium in parts, its cues renumbered from 1 by start."""
+    n = F.row_number().over(W.partitionBy("media_id").orderBy("start_ms", "ord"))
+    block = F.concat(F.when(F.col("n") > 1, "\n").otherwise(""), F.col("n").cast("string"), F.lit("\n"), srt_time(F.col("start_ms")), F.lit(" --> "), srt_time(F.col("end_ms")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
+    return cues.withColumn("n", n).select("media_id", "n", block.alias("part"))
+
+
+def joined(parts: DataFrame) -> DataFrame:
+    """(media_id, document): the parts of a medium put together; files.save writes them without that."""
+    held = parts.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("n", "part"))).alias("p"))
+    return held.select("media_id", F.array_join(F.col("p.part"), "").alias("document"))
+
+
 def to_srt(cues: DataFrame) -> DataFrame:
     """(media_id, document): cues renumbered from 1 by start."""
-    n = F.row_number().over(W.partitionBy("media_id").orderBy("start_ms", "ord"))
-    block = F.concat(F.col("n").cast("string"), F.lit("\n"), srt_time(F.col("start_ms")), F.lit(" --> "), srt_time(F.col("end_ms")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
-    numbered = cues.withColumn("n", n).select("media_id", "n", block.alias("block"))
-    return numbered.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("n", "block"))).alias("b")).select("media_id", F.array_join(F.col("b.block"), "\n").alias("document"))
+    return joined(srt_parts(cues))
 
 
 def ass_styles(presets: DataFrame) -> DataFrame:
@@ -78,24 +115,30 @@ def ass_styles(presets: DataFrame) -> DataFrame:
 ASS_STYLE_FIELDS = "Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding"
 
 
-def to_ass(cues: DataFrame, presets: DataFrame) -> DataFrame:
-    """(media_id, document): script header, one style, a dialogue line a readable cue.
+def ass_parts(cues: DataFrame, presets: DataFrame) -> DataFrame:
+    """(media_id, n, part): script header with one style, then a dialogue line a readable cue, in the order of ord.
 
     Cues may have bbox; a custom position of the preset comes first, then the centre of
-    the box where smart_pos is set.
+    the box where smart_pos is set. Every medium with a preset has a file.
     """
-    p = presets.join(ass_styles(presets), "media_id")
+    p = presets.join(ass_styles(presets).hint("merge"), "media_id")
     has_box = "bbox" in cues.columns
-    j = cues.filter((strip(F.coalesce("text", F.lit(""))) != "") & ~is_placeholder(F.col("text"))).join(p.select("media_id", "width", "height", "custom_x", "custom_y", "smart_pos"), "media_id")
+    j = cues.filter((strip(F.coalesce("text", F.lit(""))) != "") & ~is_placeholder(F.col("text"))).join(p.select("media_id", "width", "height", "custom_x", "custom_y", "smart_pos").hint("merge"), "media_id")
     pos = lambda x, y: F.format_string("{\\an5\\pos(%.1f,%.1f)}", x.cast("double"), y.cast("double"))
     tag = F.when(F.col("custom_x").isNotNull(), pos(F.col("width") * F.col("custom_x") / 100, F.col("height") * F.col("custom_y") / 100))
     if has_box:
         tag = tag.when(F.col("smart_pos") & F.col("bbox").isNotNull(), pos(F.col("bbox.x") + F.col("bbox.w") / 2, F.col("bbox.y") + F.col("bbox.h") / 2))
     line = F.concat(F.lit("Dialogue: 0,"), ass_time(F.col("start_ms")), F.lit(","), ass_time(F.col("end_ms")), F.lit(",Default,,0000,0000,0000,,"), F.coalesce(tag, F.lit("")), F.replace(strip(F.col("text")), F.lit("\n"), F.lit("\\N")))
-    body = j.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("d"))
+    n = F.row_number().over(W.partitionBy("media_id").orderBy("ord", "start_ms", "end_ms", "text"))
+    body = j.select("media_id", n.alias("n"), line.alias("line")).select("media_id", "n", F.concat(F.when(F.col("n") > 1, "\n").otherwise(""), "line").alias("part"))
     head = F.concat_ws("\n", F.lit("[Script Info]\nScriptType: v4.00+"), F.concat(F.lit("PlayResX: "), "width"), F.concat(F.lit("PlayResY: "), "height"), F.lit(f"\n[V4+ Styles]\nFormat: {ASS_STYLE_FIELDS}"), F.col("style"),
-                       F.lit("\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"))
-    return p.join(body, "media_id", "left").select("media_id", F.concat_ws("\n", head, F.array_join(F.coalesce(F.col("d.line"), F.array()), "\n")).alias("document"))
+                       F.lit("\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\n"))
+    return p.select("media_id", F.lit(0).alias("n"), head.alias("part")).unionByName(body)
+
+
+def to_ass(cues: DataFrame, presets: DataFrame) -> DataFrame:
+    """(media_id, document): see ass_parts."""
+    return joined(ass_parts(cues, presets))
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
