@@ -2,11 +2,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 _CJK = re.compile(r"[\u4e00-\u9fff\u3000-\u303f\uff00-\uffef]")
@@ -17,9 +18,20 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+def reaches(a: str, b: str, least: float) -> bool:
+    """ratio(a, b) >= least. Matches are no more than the shorter length, nor than the common subsequence:
+    most pairs are settled by those, and equal texts at once."""
+    total = len(a) + len(b)
+    if a == b:
+        return least <= 1.0
+    if 2.0 * min(len(a), len(b)) / total < least or 2.0 * common_subsequence(a, b) / total < least:
+        return False
+    return ratio(a, b) >= least
+
+
 def alike(a: str | None, b: str | None, least: float = 0.78) -> bool:
     x, y = (" ".join((t or "").split()).lower() for t in (a, b))
-    return x == y if not (x and y) else ratio(x, y) >= least
+    return x == y if not (x and y) else reaches(x, y, least)
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -95,6 +107,34 @@ def similarity(a: Column | str, b: Column | str) -> Column:
     return pandas_udf(_similarity, "double")(a, b)
 
 
+#: Characters that are counted one by one in the bound; all others count together.
+COUNTED = " etaoinshrdlucmfpgwybvkxjqz"
+
+
+def ratio_bound(a: Column, b: Column) -> Column:
+    """No less than ratio(a, b), in the JVM: twice the characters that both texts can have in common (each of
+    COUNTED for itself, the rest as a whole) over the sum of the lengths; 1 for two empty texts."""
+    n = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c)))
+    rest = lambda x: F.length(F.translate(x, COUNTED, ""))
+    common = reduce(lambda x, y: x + y, [F.least(n(a, c), n(b, c)) for c in COUNTED], F.least(rest(a), rest(b)))
+    total = F.length(a) + F.length(b)
+    # sums of doubles: 2.0 * M / T with M no more than common
+    return F.when(total == 0, 1.0).otherwise(F.lit(2.0) * F.least(common, F.length(a), F.length(b)) / total)
+
+
+def similarity_from(a: Column, b: Column, least: float) -> Column:
+    """ratio(a, b) where it is least or more, else null. Pairs whose bound is lower, and equal texts, are
+    settled in the JVM; Python gets the others only."""
+    open_ = (a != b) & (ratio_bound(a, b) >= least)
+
+    @pandas_udf("double")
+    def scored(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None or not reaches(p, q, least) else ratio(p, q) for p, q in zip(x, y)], dtype="float64")
+
+    asked = scored(F.when(open_, a), F.when(open_, b))
+    return F.when((a == b) & F.lit(least <= 1.0), F.lit(1.0)).when(open_, asked)
+
+
 def overlap_merged(a: Column | str, b: Column | str) -> Column:
     return pandas_udf(_overlap_merge, "string")(a, b)
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cuelake.functions.similarity import alike, overlap_merge, ratio
+from cuelake.functions.similarity import alike, overlap_merge, reaches, similarity_from
 from cuelake.functions.text import strip
 from cuelake.operators.cues import BEFORE, SO_FAR, drop_brief, drop_degenerate, drop_short_noise, media_order, with_islands
 
@@ -98,7 +98,7 @@ def merge_by_strategy(cues: DataFrame, strategy: str = "combine", gap_ms: int =
 def same_line(a: str, b: str, least: float) -> bool:
     """Similar enough or one within the other; placeholders are never the same line."""
     a, b = a.strip().lower(), b.strip().lower()
-    return not ("[chữ khó" in a or "[chữ khó" in b) and (a in b or b in a or ratio(a, b) >= least)
+    return not ("[chữ khó" in a or "[chữ khó" in b) and (a in b or b in a or reaches(a, b, least))
 
 
 def joins_overlap(cur: Cue, nxt: Cue, overlap_ms: int, least: float, longest_ms: int = 8_000) -> bool:
@@ -255,10 +255,8 @@ def consecutive_either(detections: DataFrame, interval_ms: int = 1_500, lead_in_
 
 def residual_duplicates(cues: DataFrame, gap_ms: int = 2_500, least: float = 0.85) -> DataFrame:
     """Neighbouring cues that still hold one line: close in time, over two characters, alike."""
-    from cuelake.functions.similarity import similarity
-
     w = W.partitionBy("media_id").orderBy("start_ms", "ord")
     pairs = cues.withColumns({"next_text": F.lead("text").over(w), "next_start": F.lead("start_ms").over(w)}).filter(
         (F.col("next_start") - F.col("end_ms") <= gap_ms) & (F.length("text") > 2) & (F.length("next_text") > 2)
     )
-    return pairs.withColumn("ratio", similarity("text", "next_text")).filter(F.col("ratio") >= least).select("media_id", "ord", "text", "next_text", "ratio")
+    return pairs.withColumn("ratio", similarity_from(F.col("text"), F.col("next_text"), least)).filter("ratio IS NOT NULL").select("media_id", "ord", "text", "next_text", "ratio")

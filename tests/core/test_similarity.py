@@ -48,3 +48,32 @@ def test_long_texts_without_a_border():
     began = time.time()
     assert overlap_merge(a, b) == f"{a} {b}"
     assert time.time() - began < 10
+
+
+def pairs_of(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("text").collect()]
+    lines = [x for t in texts for x in t.split(". ")][:300]
+    rows = list(zip(lines, lines[1:])) + [(x, x[: len(x) * k // 10] + "zz") for k in (5, 7, 9) for x in lines[:60]] + [(x, x) for x in lines[:20]]
+    return rows + [("", ""), ("", "a"), (None, "a"), ("a" * 300, "a" * 299), ("ab" * 150, "ba" * 150), ("éé你好", "你好éé"), ("aA", "Aa")]
+
+
+def test_bounds_settle_pairs_and_change_none(spark):
+    from pyspark.sql import functions as F
+
+    from cuelake.functions import similarity as sim
+
+    rows = pairs_of(spark)
+    df = spark.createDataFrame(rows, "a string, b string")
+    for least in (0.5, 0.78, 0.85, 1.0):
+        got = df.select("a", "b", sim.similarity_from(F.col("a"), F.col("b"), least).alias("r"), sim.ratio_bound(F.col("a"), F.col("b")).alias("most")).collect()
+        sent = 0
+        for r in got:
+            if r.a is None:
+                assert r.r is None
+                continue
+            true = sim.ratio(r.a, r.b)
+            assert r.most >= true and sim.reaches(r.a, r.b, least) == (true >= least)
+            assert r.r == (true if true >= least else None)
+            sent += r.a != r.b and r.most >= least
+        if least >= 0.78:
+            assert sent < 0.7 * len(rows)  # settled in the JVM: the others
