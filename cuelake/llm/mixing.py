@@ -13,6 +13,8 @@ BLOCK_DOCS, PERIOD, BUCKET_DOCS = 16, 1_000, 20_000
 MAX_BUCKETS = 1 << 28
 #: Slots a source has on the average where there are more sources than slots of a period.
 SPREAD = 4
+#: Slots that given weights may sum to: they are folded as one period and broadcast.
+MAX_PERIOD = 20_000
 
 
 def target_weights(docs: DataFrame, *, period: int = PERIOD, power: float = 0.5) -> DataFrame:
@@ -124,6 +126,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, block_docs
     documents are kept. Ranks are counted in hash buckets of a source (BUCKET_DOCS each),
     whose sizes are summed, so that no task holds a source.
 
+    Given weights (source, weight) share one period, their sum: MAX_PERIOD at most, more are an error.
     A null source is the source ''; sources outside `weights` follow the mixture, with
     null slots. Null ids and rows that repeat an id are ordered by their texts. Input columns
     with the added names are replaced; an empty table gives an empty table.
@@ -132,6 +135,9 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, block_docs
     if weights is None:
         table, levels = slot_tables(docs, period=period)
     else:
+        total = weights.filter("weight > 0").agg(F.coalesce(F.sum(F.col("weight").cast("bigint")), F.lit(0))).first()[0]
+        if total > MAX_PERIOD:
+            raise ValueError(f"weights sum to {total} slots; divide them, so that they sum to {MAX_PERIOD} or less")
         slots = slot_lists(staged(pfair_slots(weights.select("source", "weight", F.lit("").alias("grp"))), "slots"))
         table, levels = slots.select(F.col("source").alias("w_source"), *[F.col(c).alias(f"{c}_0") for c in ("weight", "period", "at")]), 1
     buckets = min(MAX_BUCKETS, max(1, -(-docs.count() // BUCKET_DOCS)))

@@ -214,6 +214,8 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
         page.alias("page_id"), F.col("response.type").alias("record_type"), F.col("response.record_id").alias("record_id"), F.col("response.refers_to").alias("to"),
         F.col("response.payload_bytes").alias("bytes"), F.col("response.payload_sha256").alias("sha256"), F.col("response.header_digest").alias("said"),
     )
+    # what refers to nothing gets a key that no other has: nulls would all meet in one task
+    rows = rows.withColumn("to", F.coalesce("to", F.concat(F.lit("none "), "record_id")))
     full = rows.filter("record_type = 'response'").select(F.col("record_id").alias("to"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("to_bytes"), F.col("sha256").alias("to_sha256"))
     return rows.join(full.hint("merge"), "to", "left").select(
         "page_id", F.coalesce("bytes", "to_bytes").alias("payload_bytes"), F.coalesce("sha256", "to_sha256", "said").alias("payload_digest"), "record_type", "refers_to"

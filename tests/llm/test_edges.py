@@ -77,6 +77,8 @@ def test_mixing_keeps_rows_and_shares(spark):
     rows += [(5, "a"), (5, "a")]
     table = spark.createDataFrame([(d, None if d == 7 else str(d), s, "x") for d, s in rows], "doc_id bigint, text string, source string, slot string")
     weights = spark.createDataFrame([("a", 5), ("b", 3), ("c", 1), ("", 1)], "source string, weight int")
+    with pytest.raises(ValueError, match="divide them"):
+        mixing.mix_sources(table, weights.withColumn("weight", F.col("weight") * 10_000))
     got = mixing.mix_sources(table, weights, block_docs=4).collect()
     assert len(got) == len(rows) and len({(r.source, r.source_rank) for r in got}) == len(rows)
     slots = {}
