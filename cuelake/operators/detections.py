@@ -36,7 +36,7 @@ def force_scan(frames: DataFrame, det: DataFrame, *, least: float = 0.15) -> Dat
     """Every detection, doubtful texts as UNREAD, and one UNREAD row for empty frames."""
     doubtful = F.col("conf") < least
     kept = det.select("frame", "ord", F.when(doubtful, UNREAD).otherwise(F.col("text")).alias("text"), "conf")
-    return frames.select("frame").distinct().join(kept, "frame", "left").select(
+    return frames.select("frame").distinct().join(kept.hint("merge"), "frame", "left").select(
         "frame", F.coalesce("ord", F.lit(0)).alias("ord"), F.coalesce("text", F.when(F.col("ord").isNull(), F.lit(UNREAD))).alias("text"), F.when(F.col("ord").isNull(), F.lit(0.10)).otherwise(F.col("conf")).alias("conf")
     )
 

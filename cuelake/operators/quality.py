@@ -94,9 +94,11 @@ def keep_latest(rows: DataFrame, by: str, order: list[Column], n: int = 50) -> D
 
 def rotate_logs(lines: DataFrame, limit_bytes: int = 1 << 20, keep: int = 500, marker: str = "--- rotated ---") -> DataFrame:
     """Logs (log, line_no, text) over the limit keep their last lines behind a marker line."""
-    size = lines.groupBy("log").agg(F.sum(F.octet_length("text") + 1).alias("_bytes"), F.max("line_no").alias("_last"))
-    sized = lines.join(size.hint("merge"), "log")
+    size = lines.groupBy("log").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("_bytes"))
     long = F.col("_bytes") > limit_bytes
-    kept = sized.withColumn("_n", F.row_number().over(W.partitionBy("log").orderBy(F.desc("line_no")))).filter(~long | (F.col("_n") <= keep)).select("log", "line_no", "text")
+    sized = lines.join(size.hint("merge"), "log")
+    # of the long ones alone: the filter on the number then cuts each partition before the exchange
+    last = sized.filter(long).withColumn("_n", F.row_number().over(W.partitionBy("log").orderBy(F.desc("line_no")))).filter(F.col("_n") <= keep)
+    kept = sized.filter(~long).select("log", "line_no", "text").unionByName(last.select("log", "line_no", "text"))
     marks = size.filter(long).select("log", F.lit(-1).cast(lines.schema["line_no"].dataType).alias("line_no"), F.lit(marker).alias("text"))
     return kept.unionByName(marks)

@@ -77,3 +77,21 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], fold: Fold, schem
         latest = written(latest.join(again.hint("merge"), "_piece", "left_anti").unionByName(again), "rounds")
     kept = [r.filter("_state IS NULL").join(latest.filter(F.col("round") == n).select("_piece").hint("merge"), "_piece", "left_semi") for n, r in enumerate(results)]
     return reduce(DataFrame.unionByName, kept).drop("_state")
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str, *, piece_bits: int | None = None) -> DataFrame:
+    """Adds the number of each row of its keys in the order given, from 1, without a task that holds all rows of a key.
+
+    All rows are ordered at once; a piece of 2^piece_bits rows numbers its own, and running sums of the pieces'
+    counts put them in line.
+    """
+    bits = PIECE_BITS if piece_bits is None else piece_bits
+    placed = rows.orderBy(*keys, *order).withColumn("_seq", F.monotonically_increasing_id())
+    placed = written(placed.withColumn("_piece", F.shiftright("_seq", bits)), "numbered")
+    counts = placed.groupBy(*keys, "_piece").agg(F.count("*").alias("_n"))
+    earlier = W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    base = counts.withColumn("_base", F.sum("_n").over(earlier)).filter("_base > 0").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_piece").alias("_at"), "_base")
+    own = F.row_number().over(W.partitionBy("_piece", *keys).orderBy("_seq"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_piece") == F.col("_at"))
+    joined = placed.withColumn("_own", own).join(base.hint("merge"), same, "left")
+    return joined.withColumn(name, F.col("_own") + F.coalesce("_base", F.lit(0))).select(*rows.columns, name)

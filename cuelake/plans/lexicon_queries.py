@@ -177,6 +177,13 @@ def x14(spark, d):
     return lex.enforce_words(x, pairs).select("doc_id", "out")
 
 
+@query("x14_abbreviations_in_prose", "SELECT text, regexp_replace(regexp_replace(text, '(?i)\\bis\\b', 'it is', 'g'), '(?i)\\bof\\b', '$1 of', 'g') AS out FROM (SELECT DISTINCT text FROM v_lines) q".replace("\\\\", "\\"), V_LINES)
+def x14_prose(spark, d):
+    """Whole words of every line, in any case."""
+    pairs = spark.createDataFrame([(0, "IS", "it is"), (1, "of", "$1 of")], "ord int, key string, value string")
+    return lex.enforce_words(distinct_lines(spark, d), pairs)
+
+
 @query("x15_longest_match")
 def x15(spark, d):
     # words that begin with an ASCII letter or digit are copied without a look-up

@@ -54,6 +54,21 @@ def q8(spark, d):
     return b.messages(spark, d).select("event_id", q.retry_delay(F.col("message")).alias("delay"))
 
 
+@query("q7_error_texts", "SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)404|NOT_FOUND') THEN 'not_found' WHEN regexp_matches(text, '(?i)503|UNAVAILABLE') THEN 'unavailable' WHEN regexp_matches(text, '(?i)429|RESOURCE_EXHAUSTED|quota') THEN 'exhausted' WHEN regexp_matches(text, '(?i)401|auth') THEN 'auth' ELSE 'other' END AS error FROM documents")
+def q7_texts(spark, d):
+    """Whole texts as messages."""
+    return b.table(spark, d, "documents").select("doc_id", q.error_class(F.col("text")).alias("error"))
+
+
+@query("q8_retry_values", "SELECT l_orderkey, l_linenumber, l_partkey, greatest(2.0, least(60.0, CAST(l_quantity AS DOUBLE) * CASE WHEN l_linenumber % 2 = 0 THEN 1.5 ELSE 0.25 END)) AS delay FROM lineitem")
+def q8_values(spark, d):
+    """Delays of every length, in both forms of the message."""
+    li = b.table(spark, d, "lineitem")
+    seconds = (F.col("l_quantity").cast("double") * F.when(F.col("l_linenumber") % 2 == 0, 1.5).otherwise(0.25)).cast("string")
+    message = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("quota: 'retryDelay': '"), seconds, F.lit("s'"))).otherwise(F.concat(F.lit("Please RETRY in "), seconds, F.lit(" s.")))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", q.retry_delay(message).alias("delay"))
+
+
 @query("q9_latest_state", "SELECT job_id, arg_max(state, ts_ms * 100000000 + event_id) AS state, max(ts_ms) AS ts_ms, arg_max(state, ts_ms * 100000000 + event_id) IN ('COMPLETED', 'FAILED', 'CANCELLED') AS final FROM v_jobs GROUP BY job_id", V_CUES, V_JOBS)
 def q9(spark, d):
     return q.latest_state(b.job_events(spark, d))
@@ -103,10 +118,10 @@ def w6(spark, d):
  r AS (SELECT s.*, bytes, row_number() OVER (PARTITION BY log ORDER BY line_no DESC) AS n FROM s JOIN z USING (log))
  SELECT log, line_no, text FROM r WHERE bytes <= 20000 OR n <= 50 UNION ALL SELECT log, -1, '--- rotated ---' FROM z WHERE bytes > 20000""".replace(", s AS", "WITH s AS", 1), V_LINES)
 def s18(spark, d):
-    from pyspark.sql import Window as W
+    from cuelake.operators.resume import numbered
 
-    lines = b.lines(spark, d).select(F.col("source").alias("log"), F.row_number().over(W.partitionBy("source").orderBy("media_id", "line_no")).cast("bigint").alias("line_no"), "text")
-    return q.rotate_logs(lines, 20_000, 50)
+    lines = b.lines(spark, d).select(F.col("source").alias("log"), "media_id", F.col("line_no").alias("at"), "text")
+    return q.rotate_logs(numbered(lines, ["log"], ["media_id", "at"], "line_no").select("log", "line_no", "text"), 20_000, 50)
 
 
 @query("u1_merge_strategy", """WITH o AS (SELECT *, max(end_ms) OVER (PARTITION BY media_id ORDER BY start_ms, start_ms - end_ms, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM v_cues),

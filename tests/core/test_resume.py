@@ -6,7 +6,8 @@ import pytest
 
 from cuelake.operators import detections as det
 from cuelake.operators import translate as tr
-from cuelake.operators.resume import folded
+from cuelake.operators import quality
+from cuelake.operators.resume import folded, numbered
 
 
 def plain_batches(lines, budget):
@@ -75,3 +76,24 @@ def test_a_fold_that_never_forgets_is_still_exact(spark):
     rows = [(k, v) for k in ("a", None) for v in range(64)]
     got = folded(spark.createDataFrame(rows, "k string, v bigint"), ["k"], ["v"], fold, "k string, v bigint, total bigint", piece_bits=4).collect()
     assert sorted((r.k or "", r.total) for r in got) == sorted((k or "", v * (v + 1) // 2) for k, v in rows)
+
+
+@pytest.mark.parametrize("bits", [2, 13])
+def test_numbers_of_rows(spark, bits):
+    r = random.Random(1)
+    rows = [(k, r.random(), "x") for k in ["hot"] * 300 + ["a", None, None, "b", "b"]]
+    got = numbered(spark.createDataFrame(rows, "k string, v double, _own string"), ["k"], ["v"], "n", piece_bits=bits)
+    by = {}
+    for k, v, _ in sorted(rows, key=lambda x: x[1]):
+        by.setdefault(k, []).append(v)
+    assert got.columns == ["k", "v", "_own", "n"]
+    assert sorted((x.k or "", x.v, x.n) for x in got.collect()) == sorted((k or "", v, n) for k, vs in by.items() for n, v in enumerate(vs, 1))
+
+
+def test_log_tails_are_cut_before_the_exchange(spark):
+    lines = spark.createDataFrame([("long", n, "x" * 9) for n in range(400)] + [("short", n, None) for n in range(5)], "log string, line_no bigint, text string")
+    out = quality.rotate_logs(lines, 2_000, 7)
+    assert sorted((x.log, x.line_no, x.text) for x in out.filter("log = 'long'").collect()) == [("long", -1, "--- rotated ---")] + [("long", n, "x" * 9) for n in range(393, 400)]
+    assert out.filter("log = 'short'").count() == 5
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
