@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuelake.functions.text import spoken_style, squeeze, strip
+from cuelake.operators.keyed import KeyedTable
 from cuelake.operators.lexicon import enforce_words, translate_longest
 from cuelake.operators.resume import folded
 from cuelake.operators.shared import written
@@ -29,10 +30,21 @@ def residue(cues: DataFrame, memory: DataFrame) -> DataFrame:
     return cues.select(MEMORY_KEY).dropDuplicates().join(m, MEMORY_KEY, "left_anti")
 
 
+def valid_answers(answers: DataFrame) -> DataFrame:
+    """Answers (MEMORY_KEY, value) to remember: not blank and not the text itself; of several the smallest."""
+    new = answers.filter((strip(F.coalesce("value", F.lit(""))) != "") & (F.col("value") != F.col("text")))
+    return new.groupBy(MEMORY_KEY).agg(F.min("value").alias("value"))
+
+
 def write_back(memory: DataFrame, answers: DataFrame) -> DataFrame:
     """Memory with the valid answers (MEMORY_KEY, value) in place of older values."""
-    new = answers.filter((strip(F.coalesce("value", F.lit(""))) != "") & (F.col("value") != F.col("text"))).groupBy(MEMORY_KEY).agg(F.min("value").alias("value"))
-    return memory.join(new, MEMORY_KEY, "left_anti").unionByName(new)
+    new = valid_answers(answers)
+    return memory.join(new.hint("merge"), MEMORY_KEY, "left_anti").unionByName(new)
+
+
+def remember(memory: KeyedTable, answers: DataFrame) -> None:
+    """The same in place, in a memory kept as a table by MEMORY_KEY: only the buckets of the answers are rewritten."""
+    memory.upsert(valid_answers(answers))
 
 
 def refine_key(engine: Column, glossary: Column, original: Column, raw: Column) -> Column:

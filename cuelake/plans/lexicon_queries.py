@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import text as t
 from cuelake.operators import lexicon as lex
+from cuelake.operators.keyed import KeyedTable
+from cuelake.operators.shared import new_path
 from cuelake.plans import bindings as b
 from cuelake.plans.bindings import V_LEXICON_LINES, V_LINES, V_PAIRS
 from cuelake.plans.registry import query
@@ -84,18 +86,42 @@ def l6(spark, d):
     return lex.merge_slang(*slang(spark, d)).drop("category")
 
 
-@query("l7_upsert", "SELECT zh, vi FROM fresh UNION ALL SELECT zh, vi FROM have WHERE zh NOT IN (SELECT zh FROM fresh)", HAVE)
+UPSERTED = "SELECT zh, vi FROM fresh UNION ALL SELECT zh, vi FROM have WHERE zh NOT IN (SELECT zh FROM fresh)"
+DELETED = "SELECT zh, vi FROM have WHERE zh NOT IN (SELECT zh FROM fresh)"
+
+
+@query("l7_upsert", UPSERTED, HAVE)
 def l7(spark, d):
     have, fresh = slang(spark, d)
     return lex.upsert(have.select("zh", "vi"), fresh.select("zh", "vi"), "zh")
 
 
-@query("l7_delete", "SELECT zh, vi FROM have WHERE zh NOT IN (SELECT zh FROM fresh)", HAVE)
+@query("l7_delete", DELETED, HAVE)
 def l7b(spark, d):
     have, fresh = slang(spark, d)
     return lex.delete(have.select("zh", "vi"), fresh, "zh")
 
 
+def slang_kept(spark, d):
+    have, fresh = slang(spark, d)
+    return KeyedTable.create(have.select("zh", "vi"), new_path(spark, "slang"), "zh"), fresh.select("zh", "vi")
+
+
+@query("l7_table_upsert", UPSERTED, HAVE)
+def l7_table(spark, d):
+    """The same entries in a table that is changed in place."""
+    table, fresh = slang_kept(spark, d)
+    table.upsert(fresh)
+    return table.read(spark)
+
+
+@query("l7_table_delete", DELETED, HAVE)
+def l7b_table(spark, d):
+    table, fresh = slang_kept(spark, d)
+    table.delete(fresh)
+    return table.read(spark)
+
+
 @query("l8_backfill", "SELECT zh, vi FROM have UNION ALL SELECT zh, vi FROM fresh WHERE zh NOT IN (SELECT zh FROM have) AND (SELECT count(*) FROM have) < 1000000", HAVE)
 def l8(spark, d):
     have, fresh = slang(spark, d)

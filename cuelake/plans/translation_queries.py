@@ -2,6 +2,8 @@
 from pyspark.sql import functions as F
 
 from cuelake.operators import translate as tr
+from cuelake.operators.keyed import KeyedTable
+from cuelake.operators.shared import new_path
 from cuelake.plans import bindings as b
 from cuelake.plans.bindings import V_JOBS
 from cuelake.plans.registry import query
@@ -38,11 +40,25 @@ def b1(spark, d):
     return n.join(left, "engine", "left").na.fill(0, ["to_request"])
 
 
-@query("b2_write_back", """, nw AS (SELECT src, tgt, engine, text, min(CASE WHEN media_id % 2 = 0 THEN 'N:' || text ELSE text END) FILTER (media_id % 2 = 0) AS value FROM tc GROUP BY 1, 2, 3, 4), nv AS (SELECT * FROM nw WHERE value IS NOT NULL)
- SELECT * FROM nv UNION ALL SELECT m.src, m.tgt, m.engine, m.text, m.value FROM mem m ANTI JOIN nv USING (src, tgt, engine, text)""".replace(", nw", "WITH nw", 1), CUES, MEMORY)
+WRITTEN_BACK = """, nw AS (SELECT src, tgt, engine, text, min(CASE WHEN media_id % 2 = 0 THEN 'N:' || text ELSE text END) FILTER (media_id % 2 = 0) AS value FROM tc GROUP BY 1, 2, 3, 4), nv AS (SELECT * FROM nw WHERE value IS NOT NULL)
+ SELECT * FROM nv UNION ALL SELECT m.src, m.tgt, m.engine, m.text, m.value FROM mem m ANTI JOIN nv USING (src, tgt, engine, text)""".replace(", nw", "WITH nw", 1)
+
+
+def given_answers(spark, d):
+    return cues(spark, d).withColumn("value", F.when(F.col("media_id") % 2 == 0, F.concat(F.lit("N:"), "text")).otherwise(F.col("text"))).select(*tr.MEMORY_KEY, "value")
+
+
+@query("b2_write_back", WRITTEN_BACK, CUES, MEMORY)
 def b2(spark, d):
-    answers = cues(spark, d).withColumn("value", F.when(F.col("media_id") % 2 == 0, F.concat(F.lit("N:"), "text")).otherwise(F.col("text"))).select(*tr.MEMORY_KEY, "value")
-    return tr.write_back(memory(spark, d), answers)
+    return tr.write_back(memory(spark, d), given_answers(spark, d))
+
+
+@query("b2_memory_table", WRITTEN_BACK, CUES, MEMORY)
+def b2_table(spark, d):
+    """The memory as a table that is changed in place."""
+    table = KeyedTable.create(memory(spark, d), new_path(spark, "memory"), *tr.MEMORY_KEY)
+    tr.remember(table, given_answers(spark, d))
+    return table.read(spark)
 
 
 @query("b3_refine_key", """SELECT conv_id, turn, sha256('{"engine":"' || role || '","glossary":[{"key":"a","value":"1"},{"key":"b","value":"2"}],"original":"o' || turn || '","raw":"r"}') AS key FROM conversations""")
