@@ -5,6 +5,7 @@ key and sorted; a task streams many of them through one Arrow call and holds one
 """
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 from itertools import groupby
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions.similarity import alike, overlap_merge, reaches, similarity_from
 from cuelake.functions.text import strip
+from cuelake.operators.resume import folded as in_pieces
 from cuelake.operators.cues import BEFORE, SO_FAR, drop_brief, drop_degenerate, drop_short_noise, media_order, with_islands
 
 #: Rows of an Arrow batch of results.
@@ -211,46 +213,56 @@ def tidied(cues: DataFrame) -> DataFrame:
     return drop_brief(cues.withColumn("text", strip(F.col("text"))).filter("text <> ''"))
 
 
-def consecutive_similar(frames: DataFrame, *, hold_ms: int = 1_500, least: float = 0.78) -> DataFrame:
-    """As sampled_cues, but an empty sample always closes the cue and age does not matter."""
+def consecutive_similar(frames: DataFrame, *, hold_ms: int = 1_500, least: float = 0.78, piece_bits: int | None = None) -> DataFrame:
+    """As sampled_cues, but an empty sample always closes the cue and age does not matter: only the texts can
+    end a cue, so its rows are folded in pieces (see resume.folded) and added up."""
     w = media_order("t_ms", "ord")
     empty = (F.coalesce("text", F.lit("")) == "").cast("int")
     runs = frames.withColumn("run", F.sum(empty).over(w.rowsBetween(*SO_FAR))).filter("text <> ''")
-    # sightings of a run are consecutive: only the texts can end a cue
 
-    def fold(rows):
-        cue = None
-        for ord, t, text in rows:
-            here = Cue(ord, t, t + hold_ms, text)
-            if cue and alike(cue.text, text, least):
-                cue = cue.grown(here, longer(cue.text, text))
+    def fold(table: pa.Table, state: bytes | None) -> tuple[pa.Table, bytes]:
+        head, text = json.loads(state) if state else (None, "")
+        heads, texts = [], []
+        for row in zip(*(table[c].to_pylist() for c in ("t_ms", "ord", "text"))):
+            if head is not None and alike(text, row[2], least):
+                text = longer(text, row[2])
             else:
-                if cue:
-                    yield cue
-                cue = here
-        yield cue
+                head, text = list(row[:2]), row[2]
+            heads.append(head)
+            texts.append(text)
+        return _headed(table, ["media_id", "t_ms", "ord"], heads, text=texts), json.dumps([head, text]).encode()
 
-    return folded(runs, "run", [F.col("t_ms"), F.col("ord")], ["ord", "t_ms", "text"], fold, CUE)
+    rows = runs.select("media_id", "run", F.col("t_ms").cast("bigint").alias("t_ms"), F.col("ord").cast("bigint").alias("ord"), "text")
+    made = in_pieces(rows, ["media_id", "run"], ["t_ms", "ord"], fold, "media_id bigint, t_ms bigint, ord bigint, text string, head_t bigint, head_ord bigint", piece_bits=piece_bits)
+    cues = made.groupBy("media_id", "head_t", "head_ord").agg(F.max("t_ms").alias("t"), F.max_by("text", F.struct("t_ms", "ord")).alias("text"))
+    return cues.select("media_id", F.col("head_ord").alias("ord"), F.col("head_t").alias("start_ms"), (F.col("t") + hold_ms).alias("end_ms"), "text")
 
 
-def consecutive_either(detections: DataFrame, interval_ms: int = 1_500, lead_in_ms: int = 200) -> DataFrame:
-    """Cues of consecutive detections (media_id, t_ms, ord, text, trans, x, y, w, h) that share
-    the text or the translation of the cue's first one; text is that translation, and the
-    box is the first one's. Time has no bound, so a medium is one stream."""
+def _headed(table: pa.Table, columns: list[str], heads: list[list[int]], **more: list) -> pa.Table:
+    """Rows of a piece with (t_ms, ord) of the row that began their cue."""
+    t, o = zip(*heads) if heads else ((), ())
+    return pa.table({**{c: table[c] for c in columns}, **more, "head_t": pa.array(t, pa.int64()), "head_ord": pa.array(o, pa.int64())})
 
-    def fold(rows):
-        cue = first = None
-        for ord, t, text, trans, *box in rows:
-            if cue and (first[0] == text or first[1] == trans):
-                cue = replace(cue, end=t + interval_ms)
-            else:
-                if cue:
-                    yield cue
-                first, cue = (text, trans), Cue(ord, max(t - lead_in_ms, 0), t + interval_ms, trans, box_of(*box))
-        yield cue
 
-    rows = with_boxes(detections).withColumn("whole", F.lit(0))
-    return folded(rows, "whole", [F.col("t_ms"), F.col("ord")], ["ord", "t_ms", "text", "trans", "x", "y", "w", "h"], fold, BOXED)
+def consecutive_either(detections: DataFrame, interval_ms: int = 1_500, lead_in_ms: int = 200, *, piece_bits: int | None = None) -> DataFrame:
+    """Cues of consecutive detections (media_id, t_ms, ord, text, trans, x, y, w, h) that share
+    the text or the translation of the cue's first one; text is that translation, and the
+    box is the first one's. Time has no bound: a medium is folded in pieces (see resume.folded)."""
+
+    def fold(table: pa.Table, state: bytes | None) -> tuple[pa.Table, bytes]:
+        head, first = json.loads(state) if state else (None, None)
+        heads = []
+        for t, o, text, trans in zip(*(table[c].to_pylist() for c in ("t_ms", "ord", "text", "trans"))):
+            if head is None or not (first[0] == text or first[1] == trans):
+                head, first = [t, o], [text, trans]
+            heads.append(head)
+        return _headed(table, ["media_id", "t_ms", "ord", "trans", *"xywh"], heads), json.dumps([head, first]).encode()
+
+    rows = with_boxes(detections).select("media_id", F.col("t_ms").cast("bigint").alias("t_ms"), F.col("ord").cast("bigint").alias("ord"), "text", "trans", *[F.col(c).cast("int").alias(c) for c in "xywh"])
+    made = in_pieces(rows, ["media_id"], ["t_ms", "ord"], fold, "media_id bigint, t_ms bigint, ord bigint, trans string, x int, y int, w int, h int, head_t bigint, head_ord bigint", piece_bits=piece_bits)
+    order = F.struct("t_ms", "ord")
+    cues = made.groupBy("media_id", "head_t", "head_ord").agg(F.max("t_ms").alias("t"), F.min_by(F.struct("trans", *"xywh"), order).alias("f"))
+    return cues.select("media_id", F.col("head_ord").alias("ord"), F.greatest(F.col("head_t") - lead_in_ms, F.lit(0)).alias("start_ms"), (F.col("t") + interval_ms).alias("end_ms"), F.col("f.trans").alias("text"), *[F.col(f"f.{c}").alias(c) for c in "xywh"])
 
 
 def residual_duplicates(cues: DataFrame, gap_ms: int = 2_500, least: float = 0.85) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 
 from cuelake.operators import detections as det
 from cuelake.operators import translate as tr
-from cuelake.operators import quality
+from cuelake.operators import folds, quality
 from cuelake.operators.resume import folded, numbered
 
 
@@ -97,3 +97,28 @@ def test_log_tails_are_cut_before_the_exchange(spark):
     assert out.filter("log = 'short'").count() == 5
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("bits", [3, 13])
+def test_cues_without_a_bound_in_time(spark, bits):
+    """One medium of one long chain of texts, folded in pieces."""
+    r = random.Random(bits)
+    texts = ["a line of text", "a line of text!", "another", "", "a line of"]
+    rows = [(1, 10 * i, i, r.choice(texts), r.choice("pqr")) for i in range(200)] + [(2, 5, 0, "same", "p"), (2, 9, 1, "same", "q")] + [(3, i, i, "same", None) for i in range(50)]
+    df = spark.createDataFrame(rows, "media_id bigint, t_ms bigint, ord bigint, text string, trans string").repartition(4)
+
+    similar, either, cue, first = [], [], None, None
+    for m, t, o, text, trans in rows:
+        if first and first[0] == m and (first[1] == text or (trans is not None and first[2] == trans) or (trans is None and first[2] is None)):
+            either[-1][3] = t + 1_500
+        else:
+            first = (m, text, trans)
+            either.append([m, o, max(t - 200, 0), t + 1_500, trans])
+        if cue and cue[0] == m and text and folds.alike(cue[4], text):
+            cue[3], cue[4] = t + 1_500, text if len(text) > len(cue[4]) else cue[4]
+        else:
+            cue = [m, o, t, t + 1_500, text] if text else None
+            similar += [cue] if cue else []
+    key = lambda x: tuple("" if v is None else v for v in x)
+    assert sorted(map(key, folds.consecutive_similar(df.drop("trans"), piece_bits=bits).collect())) == sorted(map(key, similar))
+    assert sorted(map(key, folds.consecutive_either(df, piece_bits=bits).drop(*"xywh").collect())) == sorted(map(key, either))
