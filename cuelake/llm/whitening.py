@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from decimal import Decimal
 from fractions import Fraction
 
 import numpy as np
@@ -18,6 +19,7 @@ ROWS, COMPONENTS = 8_192, 16
 RANK = 1e-13
 #: Largest integer that a component may become, either sign.
 TOP = 2**52
+DECIMAL = pa.decimal128(38, 0)
 
 
 def shifted(table: DataFrame, scale: int = 64, offset: int = 1_000_000) -> DataFrame:
@@ -136,7 +138,8 @@ def whiten(table: DataFrame, *, scale: int = 64, most: int = COMPONENTS) -> Data
     Repeated rows are returned each; a null vec_id stays null. Directions without variance
     (repeated or constant dimensions, a single distinct vector) have no component. Vectors of
     another length have a model of their own. Other columns are dropped, an empty table
-    gives an empty table, values whose sums leave 64 bits raise an error.
+    gives an empty table. deviation is a decimal, as it leaves 64 bits past some 10^8 vectors; values whose
+    sums leave 64 bits, or whose squares leave 38 digits, raise an error.
     """
     rows = shifted(table.select("vec_id", "embedding"), scale).select("vec_id", "x")
     fit = staged(rows.select("x").distinct(), "distinct-vectors")
@@ -179,16 +182,17 @@ def whiten(table: DataFrame, *, scale: int = 64, most: int = COMPONENTS) -> Data
                 if not k:
                     continue
                 centred, w = _scores(of["x"].flatten().to_numpy().reshape(of.num_rows, width), model)
-                if float((centred.astype(np.float64) ** 2).sum(axis=1).max()) >= 2**62:
-                    raise ValueError("a deviation exceeds 64 bits")
+                wide = float((centred.astype(np.float64) ** 2).sum(axis=1).max()) >= 2**62
+                squares = (centred.astype(object) if wide else centred) ** 2
+                deviation = pa.array([Decimal(int(v)) for v in squares.sum(axis=1)], DECIMAL) if wide else pa.array(squares.sum(axis=1)).cast(DECIMAL)
                 at = np.repeat(np.arange(of.num_rows), k)
                 part = np.tile(np.arange(k), of.num_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [of["vec_id"].take(pa.array(at)), pa.array(part + 1, pa.int32()), pa.array(np.full(len(at), model["n"])), pa.array((centred**2).sum(axis=1)[at]), pa.array(w.ravel()), pa.array(model["shares"][part]), pa.array(np.full(len(at), model["error"]))],
+                    [of["vec_id"].take(pa.array(at)), pa.array(part + 1, pa.int32()), pa.array(np.full(len(at), model["n"])), deviation.take(pa.array(at)), pa.array(w.ravel()), pa.array(model["shares"][part]), pa.array(np.full(len(at), model["error"]))],
                     names=["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
                 )
 
-    return rows.mapInArrow(project, "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double")
+    return rows.mapInArrow(project, "vec_id bigint, component int, n bigint, deviation decimal(38,0), whitened double, explained double, identity_error double")
 
 
 def _by_width(batch: pa.RecordBatch):
@@ -198,4 +202,5 @@ def _by_width(batch: pa.RecordBatch):
 
 
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    found = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    return found.withColumn("deviation", F.col("deviation").cast("bigint"))

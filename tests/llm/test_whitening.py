@@ -38,7 +38,7 @@ def same(got, rows, most=16):
     for (i, k), held in by.items():
         assert 1 <= k <= keep and len(held) == len(want[i])
         for r, (n, dev, w, share) in zip(sorted(held, key=lambda r: r.deviation), sorted(want[i], key=lambda x: x[1])):
-            assert (r.n, r.deviation) == (n, dev)
+            assert (r.n, int(r.deviation)) == (n, dev)
             assert r.explained == pytest.approx(share[k - 1], rel=1e-9)
             if abs(w[k - 1]) > 1e-6:
                 sign = math.copysign(1, r.whitened * w[k - 1])
@@ -84,6 +84,9 @@ def test_edges(spark):
     got = wh.whiten(spark.createDataFrame([(i, v, None, None, None) for i, v in mixed], SCHEMA)).collect()
     same([r for r in got if r.vec_id is None or r.vec_id < 20], mixed[:4])
     same([r for r in got if r.vec_id is not None and r.vec_id >= 20], mixed[4:])
+    # squares past 64 bits
+    far = [(i, [float(i) * 2.0**38, 1.0 + i % 2]) for i in range(30)]
+    same(wh.whiten(spark.createDataFrame([(i, v, None, None, None) for i, v in far], SCHEMA)).collect(), far)
     with pytest.raises(Exception, match="too large"):
         wh.whiten(spark.createDataFrame([(1, [1e300], None, None, None)], SCHEMA)).collect()
 
