@@ -236,7 +236,7 @@ def x4(spark, d):
     from cuelake.functions.similarity import overlap_merged
 
     turn = b.turns(spark, d).withColumn("next", F.lead("text").over(W.partitionBy("conv_id").orderBy("turn"))).filter("next IS NOT NULL")
-    return turn.select("conv_id", "turn", overlap_merged("text", "next").alias("merged"))
+    return turn.withColumn("merged", overlap_merged("text", "next")).select("conv_id", "turn", F.length("merged").alias("n"), "merged")
 
 
 @query("u2_registered_functions", "SELECT doc_id, CASE WHEN starts_with(source, 'src') THEN 6 / (length(source) + 3) END AS ratio, 'a ' || source || ' b' AS merged FROM documents")
