@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by key before costly work on each: few bytes may be much work, and a small file is one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as cues of one medium a user: an hour of event time is a second of media time."""
     e = table(spark, sf_dir, "events")

@@ -245,12 +245,12 @@ def x3(spark, d):
 
 @query("x5_clean_script")
 def x5(spark, d):
-    return b.table(spark, d, "documents").select("doc_id", t.clean_script(F.col("text")).alias("text"))
+    return b.dealt(b.table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", t.clean_script(F.col("text")).alias("text"))
 
 
 @query("x6_sentences")
 def x6(spark, d):
-    return b.table(spark, d, "documents").select("doc_id", F.posexplode(t.sentences(F.col("text"))).alias("n", "text"))
+    return b.dealt(b.table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.posexplode(t.sentences(F.col("text"))).alias("n", "text"))
 
 
 @query("x7_phrase_rules", "SELECT media_id, line_no, " + SQUEEZE.format("regexp_replace('Nên là ' || text || ' vì vậy.', '[ \\t\\n\\x0b\\f\\r]+([,.!?])', '\\1', 'g')") + " AS text FROM v_lines", V_LINES)

@@ -226,7 +226,7 @@ def x2(spark, d):
     from cuelake.functions.similarity import similarity
 
     # dealt by medium before the window: tasks hold like shares of the comparing, however small their bytes
-    lines = b.lines(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "media_id")
+    lines = b.dealt(b.lines(spark, d), "media_id")
     pairs = lines.withColumn("next", F.lead("text").over(W.partitionBy("media_id").orderBy("line_no"))).filter("next IS NOT NULL")
     return pairs.select("media_id", "line_no", similarity(F.lower("text"), F.lower("next")).alias("ratio"))
 

@@ -32,3 +32,16 @@ def test_fit_text_packs_lines_not_words(spark):
     assert (got[3].size, got[3].lines, got[3].overflow) == (12, ["a" * 151], True)
     assert " ".join(got[4].lines) == texts[4][1] and not got[4].overflow
     assert got[5].size == 12 and got[5].overflow and {len(x) for x in got[5].lines[:-1]} == {149}
+
+
+def test_script_lines_go_through_each_pattern_once(spark):
+    from pyspark.sql import functions as F
+
+    from cuelake.functions.text import NO_LETTER, clean_script, sentences
+
+    x = "Hook: Hello  there　\n\n# KỊCH BẢN BIG\nGhi chú: no\n- Dr. Ana lives in TP. Hà Nội , ok\r\nVO:  3.5 v.v. (note) fin\n SHOUTED LINE "
+    made = spark.createDataFrame([(x,)], "text string").select(clean_script(F.col("text")).alias("c"), sentences(F.col("text")).alias("s"))
+    assert spark.createDataFrame([(x,)], "text string").select(clean_script(F.col("text")))._jdf.queryExecution().analyzed().toString().count(NO_LETTER) <= 2
+    row = made.head()
+    assert row.c == "Hello there\nDr. Ana lives in TP. Hà Nội, ok\n3. 5 v. v. fin"
+    assert row.s == ["Hello there Dr. Ana lives in TP. Hà Nội, ok 3.", "5 v.", "V.", "Fin."]
