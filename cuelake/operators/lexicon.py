@@ -32,6 +32,8 @@ SLANG = [
     ("泰裤辣", "quá ngầu"), ("栓Q", "cảm ơn nhiều"), ("特种兵式", "kiểu lính đặc nhiệm"), ("沉浸式", "kiểu đắm chìm"), ("搭子", "cạ cứng / bạn đồng hành"), ("尊嘟假嘟", "thật á / đùa à"),
 ]
 MAX_KEY = 50
+#: Whole-word rules that become patterns of the plan, which are compiled once; more of them are compiled for each text.
+FEW_RULES = 200
 
 
 def scan_lines(spark, path: str, layer: str, priority: int) -> DataFrame:
@@ -204,7 +206,11 @@ def apply_glossary(texts: DataFrame, pairs: DataFrame | None = None) -> DataFram
 def enforce_words(texts: DataFrame, pairs: DataFrame, *, longest_first: bool = False) -> DataFrame:
     """Adds out: whole-word replacement in any case (glossary terms, names, abbreviations)."""
     order = (-F.length("key"), F.col("ord")) if longest_first else (F.col("ord"),)
-    return _with_pairs(texts, pairs_array(pairs, *order), t.replace_words)
+    rules = pairs_array(pairs, *order)
+    few = texts.sparkSession.range(1).select(F.when(F.size(rules) <= FEW_RULES, rules).alias("p")).head().p
+    if few is None:
+        return _with_pairs(texts, rules, t.replace_words)
+    return texts.withColumn("out", t.rewrite(F.col("text"), [(r.key, r.value) for r in few], ignore_case=True))
 
 
 def find_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:

@@ -45,3 +45,17 @@ def test_script_lines_go_through_each_pattern_once(spark):
     row = made.head()
     assert row.c == "Hello there\nDr. Ana lives in TP. Hà Nội, ok\n3. 5 v. v. fin"
     assert row.s == ["Hello there Dr. Ana lives in TP. Hà Nội, ok 3.", "5 v.", "V.", "Fin."]
+
+
+def test_word_rules_are_patterns_of_the_plan(spark):
+    from cuelake.operators import lexicon as lex
+
+    texts = spark.createDataFrame([("The on, once ON é.",), (None,)], "text string")
+    pairs = spark.createDataFrame([(1, "on", "$1\\"), (0, "the", "on")], "ord int, key string, value string")
+    plan = lex.enforce_words(texts, pairs)
+    assert "lambda" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    many = pairs.unionByName(spark.range(2, 300).selectExpr("CAST(id AS INT) AS ord", "concat('zz', id) AS key", "'' AS value"))
+    for out in (plan, lex.enforce_words(texts, many)):
+        assert {r.text: r.out for r in out.collect()} == {"The on, once ON é.": "$1\\ $1\\, once $1\\ é.", None: None}
+    gap = lex.enforce_words(texts, spark.createDataFrame([(0, "a", None)], "ord int, key string, value string"))
+    assert [r.out for r in gap.collect()] == [None, None]
