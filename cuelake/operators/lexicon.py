@@ -6,6 +6,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -186,7 +187,8 @@ def replace_longest(texts: DataFrame, pairs: DataFrame, limit: int | None = None
     @F.pandas_udf("string")
     def change(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            out = trie.replaced(known, b.fillna("").tolist(), limit)
+            texts = b.fillna("").tolist()
+            out = [x for start, stop in trie.slices(map(len, texts)) for x in trie.replaced(known, texts[start:stop], limit)]
             yield pd.Series(out, index=b.index, dtype=object).where(b.notna(), None)
 
     return texts.withColumn("out", change("text"))
@@ -225,8 +227,10 @@ def find_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            row, found, n = trie.counted(known, ["" if x is None else x for x in batch["text"].to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(row)), pa.array(found, pa.string()), pa.array(n)], names=["id", "term", "n"])
+            for start, stop in trie.slices(pc.utf8_length(batch["text"])):
+                part = batch.slice(start, stop - start)
+                row, found, n = trie.counted(known, ["" if x is None else x for x in part["text"].to_pylist()])
+                yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(row)), pa.array(found, pa.string()), pa.array(n)], names=["id", "term", "n"])
 
     schema = T.StructType([T.StructField("id", kind), T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])
     return texts.select("id", "text").mapInArrow(rows, schema).groupBy("id", "term").agg(F.sum("n").alias("n"))
@@ -245,10 +249,13 @@ def mask_terms(texts: DataFrame, terms: DataFrame, mask: str = "***") -> DataFra
     @F.pandas_udf("hits int, out string")
     def change(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            held = b.fillna("").tolist()
-            row, _, _ = trie.counted(known, held)
-            out = pd.Series(trie.replaced(known, held), dtype=object).where(b.notna().to_numpy(), None)
-            yield pd.DataFrame({"hits": np.bincount(row, minlength=len(held)).astype("int32"), "out": out})
+            texts, hits, out = b.fillna("").tolist(), [], []
+            for start, stop in trie.slices(map(len, texts)):
+                held = texts[start:stop]
+                row, _, _ = trie.counted(known, held)
+                hits.append(np.bincount(row, minlength=len(held)).astype("int32"))
+                out += trie.replaced(known, held)
+            yield pd.DataFrame({"hits": np.concatenate(hits) if hits else np.empty(0, "int32"), "out": pd.Series(out, dtype=object).where(b.notna().to_numpy(), None)})
 
     return texts.withColumn("_m", change("text")).withColumns({"hits": F.col("_m.hits"), "out": F.col("_m.out")}).drop("_m")
 
@@ -304,7 +311,9 @@ def translate_longest(texts: DataFrame, lexicon: DataFrame, shortcuts: DataFrame
     @F.pandas_udf("string")
     def segment(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield pd.Series(segmented(known, b.fillna("").tolist()), dtype=object).where(b.notna().to_numpy(), None)
+            texts = b.fillna("").tolist()
+            out = [x for start, stop in trie.slices(map(len, texts)) for x in segmented(known, texts[start:stop])]
+            yield pd.Series(out, dtype=object).where(b.notna().to_numpy(), None)
 
     distinct = texts.select("text").distinct().withColumn("_o", segment("text"))
     distinct = distinct.withColumn("_o", t.tidy_marks(F.col("_o")))

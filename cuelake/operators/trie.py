@@ -8,6 +8,7 @@ characters reach, and nothing for the number of terms but its logarithm.
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,8 @@ from cuelake.operators.shared import new_path, read_rows, written
 
 #: Terms of a shard aimed at (a shard holds whole first characters), shards at most.
 SHARD, SHARDS = 200_000, 1_024
+#: Characters of texts that are walked at once.
+SLICE = 1 << 20
 #: Bytes of opened shards that a worker keeps.
 HELD = 1 << 29
 _BITS = 21
@@ -30,6 +33,20 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)))
 
 
+def slices(sizes: Iterable) -> Iterator[tuple[int, int]]:
+    """(first, one past the last) of consecutive texts that have SLICE characters together, or of one longer text: a walk
+    holds arrays over all characters that it is given, so batches of long texts go in slices."""
+    start, held, n = 0, 0, 0
+    for n, size in enumerate(sizes, 1):
+        size = int(size.as_py() or 0) if isinstance(size, pa.Scalar) else size
+        if held and held + size > SLICE:
+            yield start, n - 1
+            start, held = n - 1, 0
+        held += size
+    if n > start:
+        yield start, n
+
+
 class Trie:
     """Terms with their values; several entries may share a term."""
 

@@ -59,3 +59,15 @@ def test_word_rules_are_patterns_of_the_plan(spark):
         assert {r.text: r.out for r in out.collect()} == {"The on, once ON é.": "$1\\ $1\\, once $1\\ é.", None: None}
     gap = lex.enforce_words(texts, spark.createDataFrame([(0, "a", None)], "ord int, key string, value string"))
     assert [r.out for r in gap.collect()] == [None, None]
+
+
+def test_long_texts_are_walked_in_slices(spark, monkeypatch):
+    from cuelake.operators import lexicon as lex
+    from cuelake.operators import trie
+
+    monkeypatch.setattr(trie, "SLICE", 100)
+    assert list(trie.slices([30, 80, 20, 500, 0, 1])) == [(0, 1), (1, 3), (3, 4), (4, 6)] and list(trie.slices([])) == []
+    monkeypatch.undo()
+    texts = [(i, f"破防 {i} " * n) for i, n in enumerate([200_000, 0, 3, 250_000, 1])] + [(9, None)]
+    found = lex.find_terms(spark.createDataFrame(texts, "id bigint, text string").coalesce(1), lex.slang_table(spark))
+    assert sorted((r.id, r.term, r.n) for r in found.collect()) == [(0, "破防", 200_000), (2, "破防", 3), (3, "破防", 250_000), (4, "破防", 1)]
