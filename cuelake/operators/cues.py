@@ -5,6 +5,10 @@ of the input. Every ordered operator partitions by media_id.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -210,9 +214,28 @@ def speech_fit(cues: DataFrame, clips: DataFrame) -> DataFrame:
     )
 
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """start_ms of parts that follow one another from part 0, each text's after another's."""
+    ended = 0  # of the text that the last batch stopped in
+    for b in batches:
+        if not b.num_rows:
+            continue
+        took, first = b["dur_ms"].to_numpy(zero_copy_only=False), b["part"].to_numpy(zero_copy_only=False) == 0
+        before = np.cumsum(took) - took
+        begins = np.flatnonzero(first)
+        base = np.concatenate(([-ended], before[begins]))[np.cumsum(first)]
+        start = before - base
+        ended = int(start[-1] + took[-1])
+        yield b.set_column(b.schema.get_field_index("start_ms"), "start_ms", pa.array(start, pa.int64()))
+
+
 def masked_timeline(rows: DataFrame, clips: DataFrame | None = None, tone_ms: int = 400, missing_ms: int = 300) -> DataFrame:
     """Parts of texts with runs of *: a tone each, silence for marks, clips (text, clip_ms)
-    for words; with running start times. Texts without * have one part."""
+    for words; with running start times. Texts without * have one part.
+
+    Without clips the parts of a text stay where it is read, and its times are added up as they pass; clips
+    are joined, so that there a window puts the parts in line again.
+    """
     part = F.regexp_extract_all("text", F.lit(r"\*+|[^*]+"), 0)
     parts = rows.select("media_id", "ord", F.posexplode(part).alias("part", "piece"))
     kind = F.when(F.col("piece").startswith("*"), "tone").when(F.col("piece").rlike(r"^(?U:[\s,.!?，。！？]*)$"), "silence").otherwise("speech")
@@ -222,8 +245,12 @@ def masked_timeline(rows: DataFrame, clips: DataFrame | None = None, tone_ms: in
     else:
         parts = parts.withColumn("clip_ms", F.lit(None).cast("bigint"))
     length = F.when(F.col("kind") == "tone", tone_ms).when(F.col("kind") == "silence", F.length("piece") * 50).otherwise(F.coalesce("clip_ms", F.lit(missing_ms)))
+    parts = parts.withColumn("dur_ms", length.cast("bigint"))
+    if clips is None:
+        made = parts.select("media_id", "ord", "part", "kind", F.lit(0).cast("bigint").alias("start_ms"), "dur_ms")
+        return made.mapInArrow(_running, made.schema)
     w = W.partitionBy("media_id", "ord").orderBy("part").rowsBetween(*BEFORE)
-    return parts.withColumn("dur_ms", length.cast("bigint")).withColumn("start_ms", F.coalesce(F.sum("dur_ms").over(w), F.lit(0)).cast("bigint")).select("media_id", "ord", "part", "kind", "start_ms", "dur_ms")
+    return parts.withColumn("start_ms", F.coalesce(F.sum("dur_ms").over(w), F.lit(0)).cast("bigint")).select("media_id", "ord", "part", "kind", "start_ms", "dur_ms")
 
 
 def search(cues: DataFrame, term: str, columns: list[str]) -> DataFrame:

@@ -71,3 +71,21 @@ def test_long_texts_are_walked_in_slices(spark, monkeypatch):
     texts = [(i, f"破防 {i} " * n) for i, n in enumerate([200_000, 0, 3, 250_000, 1])] + [(9, None)]
     found = lex.find_terms(spark.createDataFrame(texts, "id bigint, text string").coalesce(1), lex.slang_table(spark))
     assert sorted((r.id, r.term, r.n) for r in found.collect()) == [(0, "破防", 200_000), (2, "破防", 3), (3, "破防", 250_000), (4, "破防", 1)]
+
+
+def test_masked_timeline_adds_up_where_it_reads(spark):
+    from cuelake.operators.cues import masked_timeline
+
+    texts = [(m, o, "ab**" * (m * 4_000 + o) + " .") for m in range(3) for o in range(3)] + [(5, 0, None), (5, 1, ""), (5, 2, "*a,*")]
+    made = masked_timeline(spark.createDataFrame(texts, "media_id bigint, ord int, text string").repartition(2))
+    assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in made.collect():
+        got.setdefault((r.media_id, r.ord), []).append((r.part, r.kind, r.start_ms, r.dur_ms))
+    for m, o, text in texts[:9]:
+        want, at = [], 0
+        for kind, ms in [("speech", 300), ("tone", 400)] * (m * 4_000 + o) + [("silence", 100)]:
+            want.append((len(want), kind, at, ms))
+            at += ms
+        assert sorted(got.pop((m, o))) == want
+    assert {k: sorted(v) for k, v in got.items()} == {(5, 2): [(0, "tone", 0, 400), (1, "speech", 400, 300), (2, "tone", 700, 400)]}
