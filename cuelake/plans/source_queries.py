@@ -38,7 +38,7 @@ def u4(spark, d):
 
 
 def presets(spark, d):
-    m = b.media(spark, d)
+    m = b.dealt(b.media(spark, d), "media_id")  # before the many constants of a preset
     color = lambda *c: F.array(*map(F.lit, c))
     return m.select("media_id", F.lit("fonts/Arial.ttf").alias("font_name"), (F.col("media_id") % 30 + 10).cast("int").alias("font_size"), color(255, 255, 0).alias("font_color"), color(0, 0, 16).alias("outline_color"), color(1, 2, 3).alias("bg_color"),
                     F.lit(2).alias("outline_width"), (F.col("media_id") % 2 * 50).cast("int").alias("bg_opacity"), F.lit(False).alias("use_bg_box"), (F.col("media_id") % 3 == 0).alias("smart_pos"), F.lit(8.0).alias("margin_v"), F.lit(5.0).alias("margin_h"), F.lit("percent").alias("margin_type"),
@@ -65,7 +65,7 @@ ASS = "st AS (" + STYLES + "), dl AS (SELECT v.media_id, string_agg('Dialogue: 0
 
 @query("s5_ass_sink", "WITH " + ASS, V_CUES, V_MEDIA)
 def s5(spark, d):
-    return s.to_ass(b.cues(spark, d), presets(spark, d))
+    return s.to_ass(b.dealt(b.cues(spark, d), "media_id"), presets(spark, d))
 
 
 @query("s4_srt_files", BACK, V_CUES)

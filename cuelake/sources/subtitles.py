@@ -94,7 +94,12 @@ def to_srt(cues: DataFrame) -> DataFrame:
 
 
 def ass_styles(presets: DataFrame) -> DataFrame:
-    """(media_id, style): the style line of each preset (media_id, font_name, font_size,
+    """(media_id, style): the style line of each preset, see ass_style."""
+    return presets.select("media_id", ass_style().alias("style"))
+
+
+def ass_style() -> Column:
+    """The style line of a preset (media_id, font_name, font_size,
     font_color, outline_color, bg_color array<int>, outline_width, bg_opacity, use_bg_box,
     smart_pos, margin_v, margin_h, margin_type, h_align, v_align, custom_x, custom_y, width, height)."""
     two = lambda x: F.lpad(F.hex(x.cast("bigint")), 2, "0")
@@ -109,7 +114,7 @@ def ass_styles(presets: DataFrame) -> DataFrame:
     outline = F.when(F.col("smart_pos"), 0).otherwise(F.col("outline_width"))
     font = F.regexp_replace("font_name", r"^.*[/\\]|\.(ttf|otf|ttc)$", "")
     fields = ["Default", font, F.floor(F.col("font_size") * 1.5), color("font_color", opaque), "&H000000FF", color("outline_color", opaque), color("bg_color", back), *"0000", 100, 100, 0, 0, border, outline, 0, align, margin("margin_h", "width"), margin("margin_h", "width"), margin("margin_v", "height"), 1]
-    return presets.select("media_id", F.concat(F.lit("Style: "), F.concat_ws(",", *[f.cast("string") if isinstance(f, Column) else F.lit(str(f)) for f in fields])).alias("style"))
+    return F.concat(F.lit("Style: "), F.concat_ws(",", *[f.cast("string") if isinstance(f, Column) else F.lit(str(f)) for f in fields]))
 
 
 ASS_STYLE_FIELDS = "Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding"
@@ -121,24 +126,38 @@ def ass_parts(cues: DataFrame, presets: DataFrame) -> DataFrame:
     Cues may have bbox; a custom position of the preset comes first, then the centre of
     the box where smart_pos is set. Every medium with a preset has a file.
     """
-    p = presets.join(ass_styles(presets).hint("merge"), "media_id")
+    heads = presets.filter("media_id IS NOT NULL").select("media_id", F.lit(0).alias("n"), ass_head().alias("part"))
+    return heads.unionByName(ass_dialogues(cues, presets))
+
+
+def ass_head() -> Column:
+    """The header of a preset's script."""
+    return F.concat_ws("\n", F.lit("[Script Info]\nScriptType: v4.00+"), F.concat(F.lit("PlayResX: "), "width"), F.concat(F.lit("PlayResY: "), "height"), F.lit(f"\n[V4+ Styles]\nFormat: {ASS_STYLE_FIELDS}"), ass_style(),
+                       F.lit("\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\n"))
+
+
+def ass_dialogues(cues: DataFrame, presets: DataFrame) -> DataFrame:
+    """(media_id, n, part): the dialogue lines of ass_parts. Of the presets only the position meets the cues."""
     has_box = "bbox" in cues.columns
-    j = cues.filter((strip(F.coalesce("text", F.lit(""))) != "") & ~is_placeholder(F.col("text"))).join(p.select("media_id", "width", "height", "custom_x", "custom_y", "smart_pos").hint("merge"), "media_id")
     pos = lambda x, y: F.format_string("{\\an5\\pos(%.1f,%.1f)}", x.cast("double"), y.cast("double"))
-    tag = F.when(F.col("custom_x").isNotNull(), pos(F.col("width") * F.col("custom_x") / 100, F.col("height") * F.col("custom_y") / 100))
+    placed = F.when(F.col("custom_x").isNotNull(), pos(F.col("width") * F.col("custom_x") / 100, F.col("height") * F.col("custom_y") / 100))
+    places = presets.select("media_id", placed.alias("tag"), *[F.col(c) for c in ("custom_x", "smart_pos") if has_box])
+    j = cues.filter((strip(F.coalesce("text", F.lit(""))) != "") & ~is_placeholder(F.col("text"))).join(places.hint("merge"), "media_id")
+    tag = F.col("tag")
     if has_box:
-        tag = tag.when(F.col("smart_pos") & F.col("bbox").isNotNull(), pos(F.col("bbox.x") + F.col("bbox.w") / 2, F.col("bbox.y") + F.col("bbox.h") / 2))
+        boxed = F.col("custom_x").isNull() & F.col("smart_pos") & F.col("bbox").isNotNull()
+        tag = F.when(boxed, pos(F.col("bbox.x") + F.col("bbox.w") / 2, F.col("bbox.y") + F.col("bbox.h") / 2)).otherwise(tag)
     line = F.concat(F.lit("Dialogue: 0,"), ass_time(F.col("start_ms")), F.lit(","), ass_time(F.col("end_ms")), F.lit(",Default,,0000,0000,0000,,"), F.coalesce(tag, F.lit("")), F.replace(strip(F.col("text")), F.lit("\n"), F.lit("\\N")))
     n = F.row_number().over(W.partitionBy("media_id").orderBy("ord", "start_ms", "end_ms", "text"))
-    body = j.select("media_id", n.alias("n"), line.alias("line")).select("media_id", "n", F.concat(F.when(F.col("n") > 1, "\n").otherwise(""), "line").alias("part"))
-    head = F.concat_ws("\n", F.lit("[Script Info]\nScriptType: v4.00+"), F.concat(F.lit("PlayResX: "), "width"), F.concat(F.lit("PlayResY: "), "height"), F.lit(f"\n[V4+ Styles]\nFormat: {ASS_STYLE_FIELDS}"), F.col("style"),
-                       F.lit("\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\n"))
-    return p.select("media_id", F.lit(0).alias("n"), head.alias("part")).unionByName(body)
+    return j.select("media_id", n.alias("n"), line.alias("line")).select("media_id", "n", F.concat(F.when(F.col("n") > 1, "\n").otherwise(""), "line").alias("part"))
 
 
 def to_ass(cues: DataFrame, presets: DataFrame) -> DataFrame:
-    """(media_id, document): see ass_parts."""
-    return joined(ass_parts(cues, presets))
+    """(media_id, document): the parts of ass_parts put together. Headers are made once presets have met their lines, so that
+    none is sent or sorted."""
+    lines = joined(ass_dialogues(cues, presets)).withColumnRenamed("document", "lines")
+    found = presets.filter("media_id IS NOT NULL").join(lines.hint("merge"), "media_id", "left")
+    return found.select("media_id", F.concat(ass_head(), F.coalesce("lines", F.lit(""))).alias("document"))
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
