@@ -283,15 +283,16 @@ def _segments(text: str, first: int, size, values: dict[int, str]) -> Iterator[s
         at = end
 
 
-#: What is copied and never looked up.
-_PLAIN = np.array([*map(ord, sorted(_ALNUM | _COPIED)), *(i for i in range(0x110000) if chr(i).isspace())])
+#: By code point: what is copied and never looked up.
+_COPIED_AS_IT_IS = np.zeros(0x110000, bool)
+_COPIED_AS_IT_IS[[*map(ord, sorted(_ALNUM | _COPIED)), *(i for i in range(0x110000) if chr(i).isspace())]] = True
 
 
 def segmented(known: trie.Dictionary, texts: list[str]) -> list[str]:
     """The parts of each text, joined by spaces."""
     cps, starts = trie.code_points(texts)
     stop = np.repeat(starts[1:], np.diff(starts))
-    size, values = known.longest(cps, stop, np.flatnonzero(~np.isin(cps, _PLAIN)), MAX_KEY)
+    size, values = known.longest(cps, stop, np.flatnonzero(~_COPIED_AS_IT_IS[cps]), MAX_KEY)
     return [" ".join(_segments(x, s, size, values)) for x, s in zip(texts, starts.tolist())]
 
 
@@ -302,8 +303,8 @@ def translate_longest(texts: DataFrame, lexicon: DataFrame, shortcuts: DataFrame
     else is looked up (at most MAX_KEY characters) or copied; parts are joined by spaces and
     tidied, then abbreviations and phrase rules apply. Entries that begin with a copied
     character are never looked up and are left out. The lexicon has one value a key and any size: it
-    is a dictionary in the shared folder, of which workers open what their texts need. Only distinct
-    texts are sent.
+    is a dictionary in the shared folder, of which workers open what their texts need. Texts are sent as
+    they come: make them distinct before where many are alike.
     """
     usable = lexicon.select("key", "value").filter(F.length("key").between(1, MAX_KEY) & ~F.substring("key", 1, 1).isin(*sorted(_ALNUM | _COPIED)))
     known = trie.publish(usable)
@@ -315,12 +316,10 @@ def translate_longest(texts: DataFrame, lexicon: DataFrame, shortcuts: DataFrame
             out = [x for start, stop in trie.slices(map(len, texts)) for x in segmented(known, texts[start:stop])]
             yield pd.Series(out, dtype=object).where(b.notna().to_numpy(), None)
 
-    distinct = texts.select("text").distinct().withColumn("_o", segment("text"))
-    distinct = distinct.withColumn("_o", t.tidy_marks(F.col("_o")))
+    out = texts.withColumn("_o", segment("text")).withColumn("_o", t.tidy_marks(F.col("_o")))
     if shortcuts is not None:
-        distinct = distinct.withColumn("_p", pairs_array(shortcuts, F.col("ord"))).withColumn("_o", t.replace_words(F.col("_o"), F.col("_p"))).drop("_p")
-    distinct = distinct.select(F.col("text").alias("_t"), t.phrase_style(F.col("_o")).alias("out"))
-    return texts.join(distinct.hint("merge"), texts["text"].eqNullSafe(distinct["_t"]), "left").drop("_t")
+        out = out.withColumn("_p", pairs_array(shortcuts, F.col("ord"))).withColumn("_o", t.replace_words(F.col("_o"), F.col("_p"))).drop("_p")
+    return out.withColumn("out", t.phrase_style(F.col("_o"))).drop("_o")
 
 
 def language_candidates(label: Column) -> Column:
