@@ -237,7 +237,7 @@ def x4(spark, d):
 
     from cuelake.functions.similarity import overlap_merged
 
-    turn = b.turns(spark, d).withColumn("next", F.lead("text").over(W.partitionBy("conv_id").orderBy("turn"))).filter("next IS NOT NULL")
+    turn = b.dealt(b.turns(spark, d).select("conv_id", "turn", "text"), "conv_id").withColumn("next", F.lead("text").over(W.partitionBy("conv_id").orderBy("turn"))).filter("next IS NOT NULL")
     return turn.withColumn("merged", overlap_merged("text", "next")).select("conv_id", "turn", F.length("merged").alias("n"), "merged")
 
 

@@ -89,3 +89,20 @@ def test_masked_timeline_adds_up_where_it_reads(spark):
             at += ms
         assert sorted(got.pop((m, o))) == want
     assert {k: sorted(v) for k, v in got.items()} == {(5, 2): [(0, "tone", 0, 400), (1, "speech", 400, 300), (2, "tone", 700, 400)]}
+
+
+def test_borders_are_not_cut_out_one_by_one():
+    class Counting(list):
+        cuts = 0
+
+        def __getitem__(self, at):
+            Counting.cuts += isinstance(at, slice)
+            return super().__getitem__(at)
+
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(6))
+    a, b = Counting(word() for _ in range(400)), [word() for _ in range(400)]
+    assert similarity.closest_border(a, b, " ", 2, 0.80) == 0 and Counting.cuts < 60
+    tail = ["Σίσυφος", "İki", "x"]
+    assert similarity.closest_border([*a, *tail], ["ΣΊΣΥΦΟΣ", "iki", "x", *b], " ", 2, 0.80) == 3
+    assert [similarity.exact_border(*p) for p in (("abcab", "abx"), ("aaa", "aaaa"), ("abc", "xyz"), ("", "a"), ("ab", "b"))] == [2, 3, 0, 0, 1]
