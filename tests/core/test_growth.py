@@ -106,3 +106,20 @@ def test_borders_are_not_cut_out_one_by_one():
     tail = ["Σίσυφος", "İki", "x"]
     assert similarity.closest_border([*a, *tail], ["ΣΊΣΥΦΟΣ", "iki", "x", *b], " ", 2, 0.80) == 3
     assert [similarity.exact_border(*p) for p in (("abcab", "abx"), ("aaa", "aaaa"), ("abc", "xyz"), ("", "a"), ("ab", "b"))] == [2, 3, 0, 0, 1]
+
+
+def test_a_medium_is_one_row_of_the_state(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from cuelake.streaming import cues as st
+
+    kind = "media_id bigint, ord bigint, text string"
+    rows = [(m, o, None if o % 3 else f"{m} {o}") for o in range(40) for m in (*range(25), None)]
+    spark.createDataFrame(rows, kind).repartition(3).write.parquet(f"{tmp_path}/in")
+    made = st.packed(spark.read.parquet(f"{tmp_path}/in")).collect()
+    assert len(made) == 26 and sorted(((r.media_id is None, r.media_id), o, t or "") for r in made for o, t in zip(r.ord, r.text)) == sorted(((m is None, m), o, t or "") for m, o, t in rows)
+    # no frame is built for a medium
+    cues = st.read_stream(spark, f"{tmp_path}/in", kind).selectExpr("media_id", "ord", "900 * ord AS start_ms", "900 * ord + 700 AS end_ms", "text", "900 * ord AS t_ms", "bigint(99000) AS duration_ms").withColumn("ts", F.timestamp_millis("start_ms"))
+    for stream in (st.dedupe_stream(cues), st.sample_stream(cues), st.mark_behind(cues, "30 seconds"), st.mark_late(cues.drop("ts"), 30_000)):
+        plan = stream._jdf.queryExecution().analyzed().toString()
+        assert "TransformWithStateInPySpark" in plan and "MapInArrow" in plan
