@@ -86,11 +86,11 @@ def r5b(spark, d):
     last = e.agg(F.max("event_id")).scalar()
     file = F.floor(F.col("event_id") * ARRIVALS / (last + 1)).cast("int") + F.when(F.col("event_id") % 7 == 3, 2).otherwise(0)
     dealt = e.withColumn("file", file)
-    for n in range(ARRIVALS + 2):  # files arrive one after another
-        dealt.filter(F.col("file") == n).drop("file").coalesce(1).write.mode("append").parquet(f"{at}/in")
-    rows = st.read_stream(spark, f"{at}/in", EVENTS, files_per_batch=1)
-    cues = rows.select(F.col("user_id").alias("media_id"), F.col("event_id").alias("ord"), F.lit(0).cast("bigint").alias("start_ms"), F.lit(0).cast("bigint").alias("end_ms"), F.col("event_type").alias("text"), F.col("ts").cast("timestamp").alias("ts"))
-    st.split_rows(st.mark_behind(cues, f"{DELAY_MS} milliseconds", 400 * DELAY_MS), f"{at}/on-time", f"{at}/late", f"{at}/checkpoint")
+    for n in range(ARRIVALS + 2):  # they arrive one after another; each is as many files as tasks read it
+        dealt.filter(F.col("file") == n).drop("file").write.mode("append").parquet(f"{at}/in")
+        rows = st.read_stream(spark, f"{at}/in", EVENTS, files_per_batch=1_000_000)
+        cues = rows.select(F.col("user_id").alias("media_id"), F.col("event_id").alias("ord"), F.lit(0).cast("bigint").alias("start_ms"), F.lit(0).cast("bigint").alias("end_ms"), F.col("event_type").alias("text"), F.col("ts").cast("timestamp").alias("ts"))
+        st.split_rows(st.mark_behind(cues, f"{DELAY_MS} milliseconds", 400 * DELAY_MS), f"{at}/on-time", f"{at}/late", f"{at}/checkpoint")
     table = lambda name, late: spark.read.parquet(f"{at}/{name}").select("media_id", "ord", F.lit(late).alias("late"), "behind_ms")
     return table("on-time", False).unionByName(table("late", True))
 

@@ -123,3 +123,30 @@ def test_a_medium_is_one_row_of_the_state(spark, tmp_path):
     for stream in (st.dedupe_stream(cues), st.sample_stream(cues), st.mark_behind(cues, "30 seconds"), st.mark_late(cues.drop("ts"), 30_000)):
         plan = stream._jdf.queryExecution().analyzed().toString()
         assert "TransformWithStateInPySpark" in plan and "MapInArrow" in plan
+
+
+def test_rows_without_a_time_are_not_late(spark, tmp_path):
+    from cuelake.streaming import cues as st
+
+    kind = "media_id bigint, ord bigint, start_ms bigint, end_ms bigint, text string, ts timestamp"
+    for k in range(2):
+        spark.sql(f"SELECT 1L, {k}L, 0L, 1L, 'a', CAST(NULL AS TIMESTAMP) UNION ALL SELECT 1L, {k + 2}L, 0L, 1L, 'b', TIMESTAMP '2024-01-0{3 - k} 00:00:00'").toDF(*[c.split()[0] for c in kind.split(", ")]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        st.split_rows(st.mark_behind(st.read_stream(spark, f"{tmp_path}/in", kind), "30 seconds"), f"{tmp_path}/on", f"{tmp_path}/late", f"{tmp_path}/cp")
+    got = [sorted((r.ord, r.behind_ms) for r in spark.read.parquet(f"{tmp_path}/{name}").collect()) for name in ("on", "late")]
+    assert got == [[(0, 0), (1, 0), (2, 0)], [(3, 86_400_000)]]
+
+
+def test_arrivals_are_not_dealt_out_by_one_task(spark, tmp_path, monkeypatch):
+    from cuelake.plans import streaming_queries as sq
+
+    e = spark.range(400).selectExpr("id AS event_id", "CAST(timestamp_millis(1704067200000 + id * 3600000) AS TIMESTAMP_NTZ) AS ts", "id % 9 AS user_id", "'view' AS event_type", "1.0D AS value", "'{}' AS props")
+    e.repartition(4).write.parquet(f"{tmp_path}/d/events.parquet")
+    monkeypatch.setattr(sq, "place", lambda spark: f"{tmp_path}/at")
+    got = {(r.media_id, r.ord): (r.late, r.behind_ms) for r in sq.r5b(spark, f"{tmp_path}/d").collect()}
+    assert len(list((tmp_path / "at" / "in").glob("*.parquet"))) > sq.ARRIVALS + 2
+    file = lambda i: i * sq.ARRIVALS // 400 + (2 if i % 7 == 3 else 0)
+    for i in range(400):
+        before = [k for k in range(400) if file(k) < file(i)]
+        own = [k for k in before if k % 9 == i % 9]
+        assert got.pop((i % 9, i)) == (bool(before) and i <= max(before) - 24, 3_600_000 * max([k - i for k in own] + [0]))
+    assert not got
