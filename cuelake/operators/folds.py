@@ -216,24 +216,24 @@ def tidied(cues: DataFrame) -> DataFrame:
 def consecutive_similar(frames: DataFrame, *, hold_ms: int = 1_500, least: float = 0.78, piece_bits: int | None = None) -> DataFrame:
     """As sampled_cues, but an empty sample always closes the cue and age does not matter: only the texts can
     end a cue, so its rows are folded in pieces (see resume.folded) and added up."""
-    w = media_order("t_ms", "ord")
-    empty = (F.coalesce("text", F.lit("")) == "").cast("int")
-    runs = frames.withColumn("run", F.sum(empty).over(w.rowsBetween(*SO_FAR))).filter("text <> ''")
 
     def fold(table: pa.Table, state: bytes | None) -> tuple[pa.Table, bytes]:
         head, text = json.loads(state) if state else (None, "")
         heads, texts = [], []
-        for row in zip(*(table[c].to_pylist() for c in ("t_ms", "ord", "text"))):
-            if head is not None and alike(text, row[2], least):
-                text = longer(text, row[2])
+        for t, o, own in zip(*(table[c].to_pylist() for c in ("t_ms", "ord", "text"))):
+            if not own:
+                head, text = None, ""
+            elif head is not None and alike(text, own, least):
+                text = longer(text, own)
             else:
-                head, text = list(row[:2]), row[2]
-            heads.append(head)
+                head, text = (t, o), own
+            heads.append(head or (None, None))
             texts.append(text)
         return _headed(table, ["media_id", "t_ms", "ord"], heads, text=texts), json.dumps([head, text]).encode()
 
-    rows = runs.select("media_id", "run", F.col("t_ms").cast("bigint").alias("t_ms"), F.col("ord").cast("bigint").alias("ord"), "text")
-    made = in_pieces(rows, ["media_id", "run"], ["t_ms", "ord"], fold, "media_id bigint, t_ms bigint, ord bigint, text string, head_t bigint, head_ord bigint", piece_bits=piece_bits)
+    # by medium, empty samples included: most runs between those are some rows only, and a group has a cost of its own
+    rows = frames.select("media_id", F.col("t_ms").cast("bigint").alias("t_ms"), F.col("ord").cast("bigint").alias("ord"), "text")
+    made = in_pieces(rows, ["media_id"], ["t_ms", "ord"], fold, "media_id bigint, t_ms bigint, ord bigint, text string, head_t bigint, head_ord bigint", piece_bits=piece_bits).filter("head_ord IS NOT NULL")
     cues = made.groupBy("media_id", "head_t", "head_ord").agg(F.max("t_ms").alias("t"), F.max_by("text", F.struct("t_ms", "ord")).alias("text"))
     return cues.select("media_id", F.col("head_ord").alias("ord"), F.col("head_t").alias("start_ms"), (F.col("t") + hold_ms).alias("end_ms"), "text")
 

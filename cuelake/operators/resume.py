@@ -45,14 +45,17 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], fold: Fold, schem
         made, number = [], own["_piece"][0].as_py()
         for s, e in zip(cuts, cuts[1:]):
             table, state = fold(own.slice(s, e - s), state if s == 0 else None)
-            n = table.num_rows
-            made.append(table.append_column("_piece", pa.array([number] * n, pa.int64())).append_column("_state", pa.nulls(n, pa.binary())).cast(arrow))
-        made.append(pa.table({f.name: pa.array([number if f.name == "_piece" else state if f.name == "_state" else None], f.type) for f in arrow}))
-        return pa.concat_tables(made)
+            made.append(table if table.schema.equals(inner) else table.cast(inner))
+        # the groups of a piece are put together before anything is added to them: most are small
+        table = pa.concat_tables(made)
+        n = table.num_rows
+        table = table.append_column("_piece", pa.array([number] * n, pa.int64())).append_column("_state", pa.nulls(n, pa.binary())).cast(arrow)
+        return pa.concat_tables([table, pa.table({f.name: pa.array([number if f.name == "_piece" else state if f.name == "_state" else None], f.type) for f in arrow})])
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(out_type)
+    inner = pa.schema(list(arrow)[:-2])
 
     def run(todo: DataFrame) -> DataFrame:
         held = placed.join(todo.select("_piece").hint("broadcast" if todo.count() <= FEW else "merge"), "_piece", "left_semi")

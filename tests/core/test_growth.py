@@ -150,3 +150,23 @@ def test_arrivals_are_not_dealt_out_by_one_task(spark, tmp_path, monkeypatch):
         own = [k for k in before if k % 9 == i % 9]
         assert got.pop((i % 9, i)) == (bool(before) and i <= max(before) - 24, 3_600_000 * max([k - i for k in own] + [0]))
     assert not got
+
+
+def test_similar_cues_are_folded_by_medium_not_by_run(spark, monkeypatch):
+    from cuelake.operators import folds
+
+    asked, in_pieces = [], folds.in_pieces
+    monkeypatch.setattr(folds, "in_pieces", lambda rows, keys, *more, **kw: asked.append(keys) or in_pieces(rows, keys, *more, **kw))
+    texts = ["a line of text", "", "a line of text", "a line of text!", None, None, "a line of text", "other"]
+    rows = [(m, 10 * i, i, texts[(i + m) % 8]) for m in range(3) for i in range(21)] + [(7, 0, 0, ""), (7, 1, 1, None)]
+    frames = spark.createDataFrame(rows, "media_id bigint, t_ms int, ord int, text string")
+    want, cue = [], None
+    for m, t, o, text in rows:
+        if cue and cue[0] == m and text and cue[4] and folds.alike(cue[4], text):
+            cue[3], cue[4] = t + 1_500, folds.longer(cue[4], text)
+        else:
+            cue = [m, o, t, t + 1_500, text] if text else None
+            want += [cue] if cue else []
+    for bits in (2, 13):
+        assert sorted(map(list, folds.consecutive_similar(frames, piece_bits=bits).collect())) == sorted(want)
+    assert asked == [["media_id"]] * 2
