@@ -21,10 +21,16 @@ RADII = (1.0, 0.5, 0.25, 0.125, 0.0625)
 SLACK, EXACT = 1e-6, 1e-12
 #: What a cosine in single precision may be off, at most.
 ROUND = 2e-5
-#: Entries of a block of cosines; nodes that a level may have for each of the level below it.
+#: Entries of a block of cosines; work that a level may take for that of the level below it alone.
 BLOCK, WORTH = 1 << 20, 0.8
+#: What a pair of nodes that is not dropped costs, in cosines of a block; nodes of a level whose pairs are tried for that.
+OPENED, TRIED = 60, 128
+#: Components that a block may compare first; what a block takes besides them and what a pair that goes on takes, in components.
+LEADS, BESIDE, ONWARD = (8, 12, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256), 6, 10_000
 #: Cells that are broadcast at most.
 FEW_CELLS = 200_000
+#: Tiles that a table has at least, if it has so many cells; components of a vector times cells of a tile, at most.
+TILES, TILE = 32, 512
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -40,6 +46,12 @@ def reaches(x: np.ndarray, y: np.ndarray, cosine: Fraction) -> bool:
     return dot > 0 and dot * dot >= cosine * cosine * sum(p * p for p in a) * sum(q * q for q in b)
 
 
+def held(mask: np.ndarray) -> np.ndarray:
+    """np.flatnonzero of a mask that holds few, by eight entries at once; its length divides by eight."""
+    some = np.flatnonzero(mask.view(np.uint64) != 0)
+    return (some[:, None] * 8 + np.arange(8))[mask.reshape(-1, 8)[some]]
+
+
 def net(u: np.ndarray, rows: np.ndarray, radius: float, most: int | None = None) -> list[np.ndarray]:
     """Groups of rows, each led by a centre that holds the others within radius; centres are further
     apart than radius. With `most`, only the centres found first, and groups may miss rows."""
@@ -74,12 +86,22 @@ class Tree:
 
     def __init__(self, u: np.ndarray, starts: list[np.ndarray], radii: list[np.ndarray]):
         self.u, self.starts, self.radii = u, starts, radii
-        self.short = u.astype(np.float32)
+        self.short, self.leads = u.astype(np.float32), {}
         self.ends = [np.append(s[1:], len(u)) for s in starts]
 
+    def lead(self, k: int) -> np.ndarray:
+        """The first k components and the length of the others, in single precision: products of two such
+        rows are no less than the cosine."""
+        if k >= self.u.shape[1]:
+            return self.short
+        if k not in self.leads:
+            rest = np.sqrt(np.einsum("ij,ij->i", self.u[:, k:], self.u[:, k:]))
+            self.leads[k] = np.column_stack((self.short[:, :k], rest.astype(np.float32)))
+        return self.leads[k]
+
     @classmethod
-    def grown(cls, u: np.ndarray) -> tuple[Tree, np.ndarray]:
-        """(the tree, the order in which it holds the rows of u)."""
+    def grown(cls, u: np.ndarray, far: float = 0.5) -> tuple[Tree, np.ndarray]:
+        """(the tree, the order in which it holds the rows of u); far is the distance of a link at most."""
         groups, radii, radii_of, sizes = [np.arange(len(u))], np.array([2.0]), [], []
         for r in RADII:
             finer, found = [], []
@@ -91,13 +113,28 @@ class Tree:
             sizes.append(np.array([len(g) for g in groups]))
             radii_of.append(radii)
         order = np.concatenate(groups)
+        u, starts = u[order], [np.concatenate(([0], np.cumsum(n)[:-1])) for n in sizes]
         # runs of a level lie within runs of the level above, so the order of the last level serves all;
-        # a level that hardly joins nodes of the one below costs more than it saves
+        # a level that joins few nodes of the one below, or whose nodes are too wide to be dropped, costs more than it saves
         kept = [len(RADII) - 1]
         for level in range(len(RADII) - 2, -1, -1):
-            if len(sizes[level]) <= WORTH * len(sizes[kept[0]]):
-                kept.insert(0, level)
-        return cls(u[order], [np.concatenate(([0], np.cumsum(sizes[k])[:-1])) for k in kept], [radii_of[k] for k in kept]), order
+            held, finer = starts[level], starts[kept[0]]
+            if len(held) <= WORTH * len(finer):
+                below = np.diff(np.append(np.searchsorted(finer, held), len(finer)))
+                if cls._work(u, held, radii_of[level], far, below) <= WORTH * cls._work(u, finer, radii_of[kept[0]], far):
+                    kept.insert(0, level)
+        return cls(u, [starts[k] for k in kept], [radii_of[k] for k in kept]), order
+
+    @staticmethod
+    def _work(u: np.ndarray, starts: np.ndarray, radii: np.ndarray, far: float, below: np.ndarray | None = None) -> float:
+        """Cosines that all pairs of a level cost, by those of TRIED of its nodes: every pair, OPENED
+        for each that is not dropped and for each pair of nodes below one that is opened."""
+        some = np.linspace(0, len(starts) - 1, min(len(starts), TRIED)).astype(np.int64)
+        d, r = np.sqrt(np.maximum(0, 2 - 2 * (u[starts[some]] @ u[starts].T))), radii[some][:, None] + radii
+        work = d.size + OPENED * float((d - r <= far).sum())
+        if below is not None:
+            work += OPENED * float((((d - r <= far) & (d + r > far)) * np.multiply.outer(below[some], below)).sum())
+        return work * len(starts) / len(some)
 
     @staticmethod
     def _radius(u: np.ndarray, rows: np.ndarray) -> float:
@@ -195,24 +232,49 @@ def traverse(a: Tree, b: Tree, x: np.ndarray, y: np.ndarray, weights: np.ndarray
         more = ~ones & ~inside & (d - r <= far + SLACK)
         return i[more], j[more]
 
+    def lowest(reach):
+        """The cosines of centres that are `reach` apart, less the rounding of single precision."""
+        return (1 - reach**2 / 2 - ROUND * max(1, a.u.shape[1] / 256)).astype(np.float32)
+
+    def leading(la, lb, i, j):
+        """How many components the pairs of node runs i and j are to be compared by first, from some of them."""
+        width = a.u.shape[1]
+        if len(i) * len(j) < BLOCK >> 2:
+            return width
+        i, j = (v[np.linspace(0, len(v) - 1, min(len(v), n)).astype(np.int64)] for v, n in ((i, 64), (j, 512)))
+        left, right = a.starts[la][i], b.starts[lb][j]
+        least = lowest(a.radii[la][i][:, None] + b.radii[lb][j] + far + SLACK)
+        costs = {}
+        for k in [n for n in LEADS if n < width] + [width]:
+            costs[k] = k + BESIDE + ONWARD * float((a.lead(k)[left] @ b.lead(k)[right].T >= least).mean())
+            if k + BESIDE > min(costs.values()):
+                break
+        return min(costs, key=costs.get)
+
     def block(la, lb, i, j, triangle):
         """All pairs of the node runs i and j (one run with itself, if triangle), by blocks of cosines.
 
-        Cosines are taken in single precision first; pairs that are further off than their bound by ROUND
-        are left out, the others are taken again. Single vectors have one bound for all.
+        Bounds of the cosines are taken in single precision first, from as many leading components as
+        pay; pairs whose bound is too low by ROUND are left out, the cosines of the others are taken.
+        Single vectors have one bound for all.
         """
-        alone = a.radii[la][i] == 0
+        k = leading(la, lb, i, j)
+        alone, right, reach = a.radii[la][i] == 0, b.lead(k)[b.starts[lb][j]], b.radii[lb][j] + far + SLACK
+        step = max(1, BLOCK // max(1, len(j)))
+        cosines, enough = np.empty(step * len(j), np.float32), np.zeros(step * len(j) + 7, bool)
         for rows, flat in ((i[alone], True), (i[~alone], False)):
-            step = max(1, BLOCK // max(1, len(j)))
+            left = a.lead(k)[a.starts[la][rows]]
             for s in range(0, len(rows), step):
                 part = rows[s : s + step]
-                cols = j[np.searchsorted(j, part[0]) :] if triangle else j
-                left, right = a.starts[la][part], b.starts[lb][cols]
-                least = b.radii[lb][cols] + far + SLACK
-                least = 1 - (least if flat else a.radii[la][part][:, None] + least) ** 2 / 2 - ROUND
-                at = np.flatnonzero(a.short[left] @ b.short[right].T >= least.astype(np.float32))
-                for k in range(0, len(at), BLOCK >> 4):
-                    cut = at[k : k + (BLOCK >> 4)]
+                first = np.searchsorted(j, part[0]) if triangle else 0
+                cols, n = j[first:], len(part) * (len(j) - first)
+                least = lowest(reach[first:] if flat else a.radii[la][part][:, None] + reach[first:])
+                c = np.matmul(left[s : s + step], right[first:].T, out=cosines[:n].reshape(len(part), -1))
+                np.greater_equal(c, least, out=enough[:n].reshape(len(part), -1))
+                enough[n : n + 7] = False
+                at = held(enough[: -(-n // 8) * 8])
+                for start in range(0, len(at), BLOCK >> 4):
+                    cut = at[start : start + (BLOCK >> 4)]
                     p, q = part[cut // len(cols)], cols[cut % len(cols)]
                     if triangle:
                         p, q = p[q >= p], q[q >= p]
@@ -337,7 +399,7 @@ def split(cells: DataFrame, sizes: DataFrame, depth: int, leaf: int, fan: int) -
 DEALT = pa.schema([("k", pa.int64()), ("mult", pa.int64()), ("x", pa.list_(pa.field("element", pa.float64()))), ("cell", pa.string()), ("parent", pa.string()), ("far", pa.float64())])
 
 
-def leaves(rows: DataFrame) -> DataFrame:
+def leaves(rows: DataFrame, far: float) -> DataFrame:
     """One row a cell of rows (cell, k, mult, x): its tree with the vectors in tree order, packed.
 
     Vectors are stored with 4 bytes a component where that loses nothing.
@@ -345,7 +407,7 @@ def leaves(rows: DataFrame) -> DataFrame:
 
     def grow(table: pa.Table) -> pa.Table:
         x = _matrix(table["x"], table.num_rows)
-        tree, order = Tree.grown(unit(x))
+        tree, order = Tree.grown(unit(x), far)
         x = x[order]
         with np.errstate(over="ignore"):
             short = x.astype(np.float32)
@@ -396,6 +458,27 @@ def node_pairs(nodes: DataFrame, far: float) -> DataFrame:
         pairs = both.select(F.col("a_cell").alias("a"), F.col("b_cell").alias("b"), (~(F.col("a_leaf") & F.col("b_leaf"))).alias("more"))
 
 
+def tiled(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """(left, right, cell, others): the cells that each pair of tiles takes, and for a cell the others that
+    it is to be compared with there. Every pair (a, b) is in one pair of tiles.
+
+    A tile is a run of cells in the order of their names, so of neighbours: a cell is sent
+    once for all cells of another tile, not once a pair. Tiles hold few cells where
+    vectors are wide or cells are few, so that tasks stay small and many.
+    """
+    cells = staged(cells.select("cell"), "cell-names")
+    n = cells.count()
+    at = cells.repartitionByRange(1 + n // FEW_CELLS, "cell").sortWithinPartitions("cell").withColumn("at", F.monotonically_increasing_id())
+    width = F.split("cell", r"\.")[0]
+    size = F.greatest(F.lit(1), F.least(F.lit(n // TILES), F.floor(F.lit(TILE) / width.cast("int"))))
+    at = staged(at.select("cell", F.struct(width.cast("int").alias("width"), F.floor(F.col("at") / size).alias("run")).alias("tile")), "tiles")
+    side = lambda s: at.select(F.col("cell").alias(s), F.struct("tile", "cell").alias(f"{s}_at")).hint("broadcast" if n <= FEW_CELLS else "merge")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select(F.least("a_at", "b_at").alias("p"), F.greatest("a_at", "b_at").alias("q"))
+    ends = F.array(F.struct("p.cell", F.col("q.cell").alias("other")), F.struct("q.cell", F.lit(None).cast("string").alias("other")))
+    both = both.select(F.col("p.tile").alias("left"), F.col("q.tile").alias("right"), F.explode(ends).alias("end"))
+    return both.groupBy("left", "right", "end.cell").agg(F.collect_list("end.other").alias("others"))
+
+
 def near_vectors(table: DataFrame, *, cosine: float = 0.9, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of table (vec_id, embedding): near-duplicate vectors.
 
@@ -406,9 +489,9 @@ def near_vectors(table: DataFrame, *, cosine: float = 0.9, leaf: int = LEAF, fan
     Equal vectors become one class. Classes are dealt to cells, nested nets of centres with halving
     radii, until a cell has `leaf` classes at most; every cell holds a tree of finer levels. Pairs of
     cells, then pairs of nodes within them, are dropped by their covering radii or opened; no pair is
-    lost and none is found that way alone (see traverse). A task holds two leaves and returns a number and one
-    edge a vector, whatever the number of links. Vectors without structure (all at right
-    angles) leave all pairs of leaves, and work then grows with the square of the table.
+    lost and none is found that way alone (see traverse). A task holds two tiles of a few leaves each and returns
+    a number and one edge a vector and leaf, whatever the number of links. Vectors without structure (all at
+    right angles) leave all pairs of leaves, and work then grows with the square of the table.
 
     A row a distinct (vec_id, vector): repeated rows count once, a vec_id with several vectors
     has a row each. Vectors that are null, empty, zero or hold null or non-finite components, and
@@ -443,20 +526,24 @@ def near_vectors(table: DataFrame, *, cosine: float = 0.9, leaf: int = LEAF, fan
         sizes = staged(dealt.groupBy("cell", "parent").agg(F.count("*").alias("n"), F.max("far").alias("radius")), "sizes")
         nodes.append(sizes.join(centres.hint("merge"), "cell", "left").select("cell", "parent", "centre", "radius", (F.col("n") <= leaf).alias("leaf")))
         depth += 1
-    packed = staged(leaves(reduce(DataFrame.unionByName, settled)), "leaves", compression="none")
-    pairs = node_pairs(reduce(DataFrame.unionByName, nodes), math.sqrt(2 - 2 * cosine))
-    sides = pairs.select("a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("cell"))
-
-    def cell_pair(table: pa.Table) -> pa.Table:
-        held = {r["cell"]: _unpacked(r) for r in table.drop_columns(["a", "b"]).to_pylist()}
-        a, b = (held[table[c][0].as_py()] for c in ("a", "b"))
-        ids, mult = (a[2], a[3]) if a is b else (np.concatenate(v) for v in zip(a[2:], b[2:]))
-        count, label = traverse(a[0], b[0], a[1], b[1], mult, cosine)
-        some = np.flatnonzero(count)
-        return pa.table({"k": pa.array(ids[some]), "links": pa.array(count[some]), "to": pa.array(ids[label[some]])})
-
-    # The packed rows are large: they are sent once a pair, two to a group.
-    found = sides.join(packed.hint("merge"), "cell").groupBy("a", "b").applyInArrow(cell_pair, "k bigint, links bigint, to bigint")
+    far = math.sqrt(2 - 2 * cosine)
+    packed = staged(leaves(reduce(DataFrame.unionByName, settled), far), "leaves", compression="none")
+    pairs = node_pairs(reduce(DataFrame.unionByName, nodes), far)
+
+    def tile_pair(table: pa.Table) -> pa.Table:
+        held = {r["cell"]: _unpacked(r) for r in table.drop_columns(["left", "right", "others"]).to_pylist()}
+        found = []
+        for one, others in zip(table["cell"].to_pylist(), table["others"].to_pylist()):
+            for other in others:
+                a, b = held[one], held[other]
+                ids, mult = (a[2], a[3]) if a is b else (np.concatenate(v) for v in zip(a[2:], b[2:]))
+                count, label = traverse(a[0], b[0], a[1], b[1], mult, cosine)
+                some = np.flatnonzero(count)
+                found.append((ids[some], count[some], ids[label[some]]))
+        return pa.table([pa.array(np.concatenate(v)) for v in zip(*found)], ["k", "links", "to"])
+
+    # The packed rows are large: they are sent once a pair of tiles.
+    found = tiled(pairs, packed).join(packed.hint("merge"), "cell").groupBy("left", "right").applyInArrow(tile_pair, "k bigint, links bigint, to bigint")
     found = staged(found, "vector-links")
     parts = max(8, min(1_000, classes.count() // 1_000_000))
     label = components(found.select(F.col("k").alias("a"), F.col("to").alias("b")), parts)

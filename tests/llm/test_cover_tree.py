@@ -151,3 +151,69 @@ def test_sql(spark):
     con.executemany("INSERT INTO t VALUES (?, ?)", [list(r) for r in rows])
     con.execute("CREATE OR REPLACE VIEW embeddings AS SELECT * FROM t")
     assert sorted(con.execute(ct.ORACLE).fetchall()) == plain(rows)
+
+
+def opened(monkeypatch, tree, x):
+    """(linked vectors of each, pairs whose cosines were taken one by one) of a tree with itself."""
+    taken, original = [], np.einsum
+
+    def counted(how, p, q):
+        taken.append(len(p) if p is not q else 0)
+        return original(how, p, q)
+
+    monkeypatch.setattr(ct.np, "einsum", counted)
+    count, _ = ct.traverse(tree, tree, x, x, np.ones(len(x), np.int64), 0.9)
+    monkeypatch.setattr(ct.np, "einsum", original)
+    return count, sum(taken)
+
+
+@pytest.mark.parametrize("spread,scale", [(0.75, None), (0.0, slice(0, 32)), (0.0, slice(16, 64))])
+def test_wide_levels_cost_no_pairs(monkeypatch, spread, scale):
+    """Nodes that are joined, but too wide to be dropped, are not a level: nearly all pairs stay in blocks."""
+    r = np.random.default_rng(3)
+    x = spread * r.normal(size=64) + r.normal(size=(1_500, 64))
+    if scale:
+        x[:, scale] *= 0.05
+    x[700:720] = x[:20] + 0.02 * r.normal(size=(20, 64))
+    u = ct.unit(x)
+    tree, order = ct.Tree.grown(u)
+    count, taken = opened(monkeypatch, tree, x[order])
+    assert (count == ((u @ u.T >= 0.9).sum(axis=1) - 1)[order]).all() and count.sum() >= 40
+    assert taken < 0.02 * len(x) ** 2 / 2
+
+
+def test_levels_that_drop_pairs_stay():
+    r = np.random.default_rng(5)
+    x = r.normal(size=(40, 64))[r.integers(40, size=1_600)] + 0.1 * r.normal(size=(1_600, 64))
+    tree, _ = ct.Tree.grown(ct.unit(x))
+    assert len(tree.starts[0]) < 100 < len(tree.starts[-1])
+
+
+def test_leading_components_bound_the_cosine():
+    u = ct.unit(np.array([v for _, v in made(6, 400, 24)]))
+    tree, _ = ct.Tree.grown(u)
+    for k in (1, 8, 23, 24, 90):
+        assert (tree.lead(k) @ tree.lead(k).T >= tree.u @ tree.u.T - ct.ROUND).all()
+
+
+def test_few_entries_of_a_mask():
+    r = np.random.default_rng(1)
+    for share in (0, 0.01, 0.5, 1):
+        mask = r.random(800) < share
+        assert np.array_equal(ct.held(mask), np.flatnonzero(mask))
+
+
+@pytest.mark.parametrize("width,wide", [(8, 5), (600, 1)])
+def test_cells_are_sent_once_a_tile(spark, width, wide):
+    n = 160
+    names = [f"{width}.{i}" for i in range(n)]
+    pairs = [(a, b) if (i + j) % 3 else (b, a) for i, a in enumerate(names) for j, b in enumerate(names[: i + 1])]
+    out = ct.tiled(spark.createDataFrame(pairs, "a string, b string"), spark.createDataFrame([(c,) for c in names], "cell string")).collect()
+    assert sorted(tuple(sorted((r.cell, o))) for r in out for o in r.others) == sorted(tuple(sorted(p)) for p in pairs)
+    held = {}
+    for r in out:
+        held.setdefault((r.left, r.right), set()).add(r.cell)
+    assert all(r.cell in held[r.left, r.right] and set(r.others) <= held[r.left, r.right] for r in out)
+    assert len(out) == sum(map(len, held.values()))  # a cell once a pair of tiles
+    tiles = n // wide
+    assert len(held) == tiles * (tiles + 1) // 2 and max(map(len, held.values())) == 2 * wide
