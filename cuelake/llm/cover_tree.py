@@ -27,6 +27,8 @@ BLOCK, WORTH = 1 << 20, 0.8
 OPENED, TRIED = 60, 128
 #: Components that a block may compare first; what a block takes besides them and what a pair that goes on takes, in components.
 LEADS, BESIDE, ONWARD = (8, 12, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256), 6, 10_000
+#: Links that a block may hold one by one, and the share of a block from which they are counted as a matrix.
+SPARSE, DENSE = 4_096, 1 / 16
 #: Cells that are broadcast at most.
 FEW_CELLS = 200_000
 #: Tiles that a table has at least, if it has so many cells; components of a vector times cells of a tile, at most.
@@ -171,6 +173,18 @@ class Links:
         self.count += np.bincount(p, self.weights[q], len(self.count)).astype(np.int64) + np.bincount(q, self.weights[p], len(self.count)).astype(np.int64)
         self.unite(p, q)
 
+    def matrix(self, p: np.ndarray, q: np.ndarray, hit: np.ndarray) -> None:
+        """Vectors p[i] and q[j] are linked where hit[i, j]; p holds a vector once, and so does q."""
+        linked = hit.astype(np.float64)
+        self.count[p] += (linked @ self.weights[q]).astype(np.int64)
+        self.count[q] += (self.weights[p] @ linked).astype(np.int64)
+        # one link a row and one a column join nearly all; the rest is where labels still differ
+        rows, cols = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+        self.unite(p[rows], q[hit[rows].argmax(axis=1)])
+        self.unite(p[hit[:, cols].argmax(axis=0)], q[cols])
+        i, j = np.nonzero(hit & (self.label[p][:, None] != self.label[q]))
+        self.unite(p[i], q[j])
+
     def whole(self, s: np.ndarray, e: np.ndarray, t: np.ndarray, f: np.ndarray) -> None:
         """All of run s..e is linked with all of run t..f."""
         for a, b, x, y in ((s, e, t, f), (t, f, s, e)):
@@ -216,6 +230,23 @@ def traverse(a: Tree, b: Tree, x: np.ndarray, y: np.ndarray, weights: np.ndarray
         if hit.any():
             links.pairs(i[hit], j[hit] + shift)
 
+    def matrix(i, j, triangle):
+        """single() for all vectors i with all vectors j (j after i alone, if triangle)."""
+        c = a.u[i] @ b.u[j].T
+        hit, sure = c >= cosine - EXACT, c >= cosine + EXACT
+        if triangle:
+            hit &= j > i[:, None]
+            sure &= hit
+        n = np.count_nonzero(hit)
+        if n != np.count_nonzero(sure):
+            for p, q in zip(*np.nonzero(hit & ~sure)):
+                hit[p, q] = reaches(x[i[p]], y[j[q]], limit)
+        if n > DENSE * hit.size:
+            links.matrix(i, j + shift, hit)
+        elif n:
+            p, q = np.nonzero(hit)
+            links.pairs(i[p], j[q] + shift)
+
     def settle(la, lb, i, j, c):
         """Node pairs (i, j) of levels la and lb with the cosines of their centres; gives those to open."""
         d, r = np.sqrt(np.maximum(0, 2 - 2 * c)), a.radii[la][i] + b.radii[lb][j]
@@ -251,6 +282,15 @@ def traverse(a: Tree, b: Tree, x: np.ndarray, y: np.ndarray, weights: np.ndarray
                 break
         return min(costs, key=costs.get)
 
+    def dense(la, lb, i, j, marks, triangle):
+        """Takes the pairs of single vectors off the marks of a block, if many of some rows and columns have one."""
+        alone = b.radii[lb][j] == 0
+        taken = marks & alone
+        rows, cols = np.flatnonzero(taken.any(axis=1)), np.flatnonzero(taken.any(axis=0))
+        if np.count_nonzero(taken) > DENSE * len(rows) * len(cols):
+            matrix(a.starts[la][i[rows]], b.starts[lb][j[cols]], triangle)
+            marks &= ~alone
+
     def block(la, lb, i, j, triangle):
         """All pairs of the node runs i and j (one run with itself, if triangle), by blocks of cosines.
 
@@ -270,8 +310,10 @@ def traverse(a: Tree, b: Tree, x: np.ndarray, y: np.ndarray, weights: np.ndarray
                 cols, n = j[first:], len(part) * (len(j) - first)
                 least = lowest(reach[first:] if flat else a.radii[la][part][:, None] + reach[first:])
                 c = np.matmul(left[s : s + step], right[first:].T, out=cosines[:n].reshape(len(part), -1))
-                np.greater_equal(c, least, out=enough[:n].reshape(len(part), -1))
+                marks = np.greater_equal(c, least, out=enough[:n].reshape(len(part), -1))
                 enough[n : n + 7] = False
+                if flat and np.count_nonzero(marks) > SPARSE:
+                    dense(la, lb, part, cols, marks, triangle)
                 at = held(enough[: -(-n // 8) * 8])
                 for start in range(0, len(at), BLOCK >> 4):
                     cut = at[start : start + (BLOCK >> 4)]
@@ -316,13 +358,7 @@ def traverse(a: Tree, b: Tree, x: np.ndarray, y: np.ndarray, weights: np.ndarray
     def points(left, right, triangle):
         step = max(1, BLOCK // max(1, len(right)))
         for s in range(0, len(left), step):
-            rows = left[s : s + step]
-            c = a.u[rows] @ b.u[right].T
-            keep = c >= cosine - EXACT
-            if triangle:
-                keep &= right[None, :] > rows[:, None]
-            p, q = np.nonzero(keep)
-            single(rows[p], right[q], c[p, q])
+            matrix(left[s : s + step], right, triangle)
 
     block(0, 0, np.arange(len(a.starts[0])), np.arange(len(b.starts[0])), own)
     return links.close()
@@ -466,9 +502,8 @@ def tiled(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     once for all cells of another tile, not once a pair. Tiles hold few cells where
     vectors are wide or cells are few, so that tasks stay small and many.
     """
-    cells = staged(cells.select("cell"), "cell-names")
     n = cells.count()
-    at = cells.repartitionByRange(1 + n // FEW_CELLS, "cell").sortWithinPartitions("cell").withColumn("at", F.monotonically_increasing_id())
+    at = cells.select("cell").repartitionByRange(1 + n // FEW_CELLS, "cell").sortWithinPartitions("cell").withColumn("at", F.monotonically_increasing_id())
     width = F.split("cell", r"\.")[0]
     size = F.greatest(F.lit(1), F.least(F.lit(n // TILES), F.floor(F.lit(TILE) / width.cast("int"))))
     at = staged(at.select("cell", F.struct(width.cast("int").alias("width"), F.floor(F.col("at") / size).alias("run")).alias("tile")), "tiles")

@@ -217,3 +217,31 @@ def test_cells_are_sent_once_a_tile(spark, width, wide):
     assert len(out) == sum(map(len, held.values()))  # a cell once a pair of tiles
     tiles = n // wide
     assert len(held) == tiles * (tiles + 1) // 2 and max(map(len, held.values())) == 2 * wide
+
+
+@pytest.mark.parametrize("spread", [0.25, 0.33])
+def test_dense_links_are_counted_as_a_matrix(spread):
+    """A ball whose vectors are nearly all linked, but wider than the limit, is not taken link by link."""
+    r = np.random.default_rng(8)
+    x = np.array([1.0, 0, 0, 0]) + spread * r.normal(size=(900, 4))
+    at_limit = [[9.0, a * p, b * q, c * s] for a, b, c in ((3, 3, 1), (3, 1, 3), (1, 3, 3)) for p in (1, -1) for q in (1, -1) for s in (1, -1)]
+    x = np.concatenate((x, [[1.0, 0, 0, 0], [2.0, 0, 0, 1e-13], [-1.0, 0.1, 0, 0]], at_limit))
+    want = [(n, k, c) for n, k, c, _ in plain([(n, v.tolist()) for n, v in enumerate(x)])]
+    tree, order = ct.Tree.grown(ct.unit(x))
+    tree = ct.Tree(tree.u, [np.arange(len(x))], [np.zeros(len(x))])  # single vectors alone
+    calls, original = [], ct.Links.pairs
+    ct.Links.pairs = lambda self, p, q: calls.append(len(p)) or original(self, p, q)
+    try:
+        count, label = ct.traverse(tree, tree, x[order], x[order], np.ones(len(x), np.int64), 0.9)
+        half = len(x) // 2
+        a, b = (ct.Tree(tree.u[s], [np.arange(len(tree.u[s]))], [np.zeros(len(tree.u[s]))]) for s in (slice(half), slice(half, None)))
+        cross, _ = ct.traverse(a, b, x[order][:half], x[order][half:], np.ones(len(x), np.int64), 0.9)
+        ends = [ct.traverse(t, t, v, v, np.ones(len(v), np.int64), 0.9)[0] for t, v in ((a, x[order][:half]), (b, x[order][half:]))]
+    finally:
+        ct.Links.pairs = original
+    least = {}
+    for n, c in zip(order.tolist(), label.tolist()):
+        least[c] = min(n, least.get(c, n))
+    assert sorted(zip(order.tolist(), count.tolist(), (least[c] for c in label.tolist()))) == want
+    assert (cross + np.concatenate(ends) == count).all()
+    assert sum(calls) < 0.1 * count.sum()
